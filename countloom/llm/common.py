@@ -126,6 +126,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Ids that may be sent to every task: 16 MB.
+MOST_SENT = 2_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose `on` is in ids: by broadcast if ids are counted to be at most MOST_SENT, else by a shuffle."""
+    ids = cut(ids.select(on).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, on, "left_semi")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(v, component) for each vertex of the edges (a, b): the smallest vertex that it reaches.
 

@@ -7,7 +7,8 @@ threshold are confirmed on their full shingle sets, and links give connected com
 
 Hot groups: equal word sequences become one representative first. A band bucket links each member to
 the bucket's smallest member only (one row a member). What that star misses, members of one bucket
-that are still in different components, is compared in blocks of bounded size in a second pass.
+that are still in different components, is compared in blocks of bounded size in a second pass, on
+whole sets, which returns a spanning forest of the links and never pairs.
 
 Nulls and odd rows: a null or wordless text has an empty set and links with nothing; a null doc_id
 never links and is its own row with component null; a text with fewer words than the shingle is one
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, Words, connected_components, cut, mix, text_runs
+from .common import M1, Words, connected_components, cut, mix, text_runs, with_ids
 
 HASHES, BITS, ROWS = 128, 4, 4
 BANDS = HASHES // ROWS
-BLOCK = 1024
+BLOCK = 512
 _rng = np.random.Generator(np.random.PCG64(20240229))
 MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -146,26 +147,69 @@ def _confirm(k: int, percent: int):
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
     texts = docs.select(F.col("doc_id").cast("long").alias("a"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("ta")).where("a is not null")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = cut(texts.join(wanted, "a", "left_semi"), "texts")
+    texts = cut(with_ids(texts, pairs.select("a").union(pairs.select("b")), "a"), "texts")
     joined = pairs.join(texts, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
-def _across(floor: float):
-    """In a block of a bucket: pairs of different components that the signatures don't rule out."""
+def _open_pairs(table, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of a bucket: its rows to the left and right, and which pairs are of different components and not ruled out by their signatures."""
+    comp, side = (table.column(c).to_numpy() for c in ("component", "side"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(comp), -1)
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    if not len(left) or not len(right):
+        return left, right, np.zeros((len(left), len(right)), bool)
+    may = np.stack([estimate(sig[i], sig[right]) >= floor for i in left])
+    return left, right, may & (comp[left][:, None] != comp[right][None, :])
 
-    def run(_key, table):
-        ids, comp, side = (table.column(c).to_numpy() for c in ("rep", "component", "side"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        out = [np.empty((0, 2), np.int64)]
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((side[i] == 1) | (ids[right] > ids[i]))]
-            j = j[estimate(sig[i], sig[j]) >= floor]
-            out.append(np.sort(np.stack([np.full(len(j), ids[i]), ids[j]], 1), 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+def _flag(floor: float):
+    """The rows of a block that have such a pair."""
+
+    def run(table):
+        left, right, may = _open_pairs(table, floor)
+        return table.take(pa.array(np.union1d(left[may.any(1)], right[may.any(0)])))
+
+    return run
+
+
+def _settle(floor: float, percent: int):
+    """Links of such pairs, on their whole sets: each row with the least rep that it reaches in the block."""
+
+    def run(table):
+        left, right, may = _open_pairs(table, floor)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        code = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(sets)), size)
+        common = np.zeros(may.shape)
+        for at in range(0, int(code.max(initial=-1)) + 1, 4096):
+            ok = (code >= at) & (code < at + 4096)
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[row[ok], code[ok] - at] = 1
+            common += has[left] @ has[right].T
+        link = may & (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common))
+        rep = table.column("rep").to_numpy()
+        a, b, big = rep[left].copy(), rep[right].copy(), np.iinfo(np.int64).max
+        while link.any():
+            a2 = np.minimum(a, np.where(link, b, big).min(1))
+            b2 = np.minimum(b, np.where(link, a2[:, None], big).min(0))
+            if (a2 == a).all() and (b2 == b).all():
+                break
+            a, b = a2, b2
+        out = np.stack([np.concatenate([rep[left], rep[right]]), np.concatenate([a, b])])
+        out = out[:, out[0] != out[1]]
+        return pa.table({"a": out[0], "b": out[1]})
+
+    return run
+
+
+def _sets(k: int):
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in text_runs(batch.column(1)):
+                sets = shingle_sets(Words(data, offsets, lower=True), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "set"])
 
     return run
 
@@ -203,12 +247,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
     own = F.pmod(F.xxhash64("rep"), F.col("nb"))
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    rest = rest.select("key", lo.alias("lo"), hi.alias("hi"), "rep", "component", "sig", F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2).alias("side"))
-    pairs = rest.groupBy("key", "lo", "hi").applyInArrow(_across(floor), "a long, b long").distinct()
-    pairs = cut(pairs.join(star, ["a", "b"], "left_anti"), "rest")
-    if not pairs.isEmpty():
-        more = confirm(pairs, docs, shingle, percent)
-        found = connected_components(links.unionByName(copies).unionByName(more))
+    rest = rest.select("key", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "rep", "component", "sig", F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2).alias("side"))
+    kind = "key long, lo long, hi long, rep long, component long, sig binary, side int"
+    rest = cut(rest.groupBy("key", "lo", "hi").applyInArrow(_flag(floor), kind), "rest")
+    if not rest.isEmpty():
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        sets = with_ids(texts, rest, "rep").mapInArrow(_sets(shingle), "rep long, set binary").dropDuplicates(["rep"])
+        more = rest.join(sets, "rep").groupBy("key", "lo", "hi").applyInArrow(_settle(floor, percent), "a long, b long").distinct()
+        found = connected_components(links.unionByName(copies).unionByName(cut(more, "more")))
     out = rows.select("doc_id", "n_shingles").join(found.toDF("doc_id", "component_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

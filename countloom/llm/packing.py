@@ -7,15 +7,13 @@ every window but a shard's last is full; the last is cut into powers of two, whi
 
 Nulls and odd rows: null text is empty (its only id is the end id); rows with a null doc_id are packed too;
 rows that repeat a doc_id are packed each; ties in score go to the smaller doc_id, then to the longer
-document; other columns are ignored. Whole texts are encoded; a single space between two
-non-space characters always starts a new piece of the tokenizer's pattern, so stretches between such
-spaces are encoded once and remembered (at most 200,000 a task).
+document; other columns are ignored. Whole texts are encoded.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,35 +28,30 @@ K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_values() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 as itself, the other bytes in order from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of texts as little-endian 32-bit bytes. The vocabulary is read from a tokenizers file whose ids
+    are its merge ranks; tests compare the ids with that library's. Strings of special tokens are ordinary text."""
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r" \s|\s ")
+        import public_tokenizers
+        import tiktoken
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        model = json.loads(Path(tokenizer).read_text())["model"]
+        value = byte_values()
+        ranks = {bytes(value[c] for c in token): i for token, i in model["vocab"].items() if all(c in value for c in token) and len(token) < 256 and not token.startswith("<|endof")}
+        self.coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.odd.search(text) or text[:1] == " " or text[-1:] == " ":
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        try:
-            return self.whole(first) + b"".join([known[w] for w in rest])
-        except KeyError:
-            new = list({w for w in rest if w not in known})
-        if len(known) + len(new) > 200_000:
-            known.clear()
-            new = list(set(rest))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return self.whole(first) + b"".join([known[w] for w in rest])
+        return np.array(self.coding.encode_ordinary(text), "<u4").tobytes()
 
 
 class Index:
@@ -88,6 +81,7 @@ class Index:
         """Of all documents for document i as the query: each of its terms once."""
         at = np.searchsorted(self.vocabulary, self.terms[i])
         lo, hi = self.start[at], self.stop[at]
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]  # a term of one document scores no other
         size = hi - lo
         if not len(size):
             return np.zeros(self.n)

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def windows(df: DataFrame, text: str, k: int) -> DataFrame:
-    """df with word: every k-letter window of a text, one row each."""
-    at = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - (k - 1)))
-    return df.withColumn("_at", F.explode(at)).withColumn("word", F.substring(F.col(text), F.col("_at"), F.lit(k))).drop("_at")
+    """df with word: every k-letter window of a text, one row each. Letters are split once, so that long texts cost no more a letter than short ones."""
+    rows = df.withColumn("_c", F.split(text, "")).withColumn("_n", F.length(text))
+    c = F.col("_c")
+    word = lambda i: F.concat(*(F.get(c, i + j) for j in range(k)))
+    rows = rows.where(F.col("_n") >= k).withColumn("word", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - k), word)))
+    return rows.drop("_c", "_n")
 
 
 def category_table(rows: DataFrame, key: str, y: str) -> DataFrame:

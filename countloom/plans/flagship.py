@@ -10,15 +10,16 @@ from .registry import query
 
 
 @query("""
-with w as (select substr(text, cast(i as bigint), 2) as word, quality as y from documents join labels using (doc_id),
-  unnest(range(1, length(text))) as u(i)),
+with c as (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, length(text) + 1)) as i from documents where length(text) > 0 and doc_id in (select doc_id from labels)),
+v as (select doc_id, c || lead(c) over (partition by doc_id order by i) as word from c),
+w as (select word, quality as y from v join labels using (doc_id) where word is not null),
 t as (select word, count(*) as total, sum(y) as positive from w group by word),
 g as (select sum(positive) / sum(total) as p from t),
 s as (select word, total, positive, (positive + 1.0) / (total + 1.0 / p) as score from t, g),
 l as (select score, sum(total) as total, sum(positive) as positive from s group by score),
-c as (select *, sum(total) over (order by score desc) as ct, sum(positive) over (order by score desc) as cp from l)
+k as (select *, sum(total) over (order by score desc) as ct, sum(positive) over (order by score desc) as cp from l)
 select cast(sum(total) as bigint) as windows, cast(sum(positive) as bigint) as positive, count(*) as levels,
-  round(sum(positive * cp / ct) / sum(positive), 10) as average_precision from c
+  round(sum(positive * cp / ct) / sum(positive), 10) as average_precision from k
 """)
 def flagship_kmer_score(t):
     rows = t("documents").join(t("labels"), "doc_id").select("text", F.col("quality").alias("y"))

@@ -19,7 +19,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import MOST_SENT, cut
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Statistics that rules may test; each is a rate, so that texts of any length compare.
@@ -151,7 +151,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base rule nor the list rejects, with docs' own columns."""
-    stats = cut(text_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
-    rules = learn(stats, labels)
-    rows = text_statistics(docs.select("doc_id", "text", F.struct(*docs.columns).alias("k_row")))
-    return rows.where(~base_failed() & verdict(rules, rows)).select("k_row.*")
+    key = F.xxhash64(F.col("text").cast("string"))
+    stats = cut(text_statistics(docs.select("doc_id", "text")).withColumn("k_key", key).drop("text"), "statistics")
+    bad = base_failed() | ~verdict(learn(stats, labels), stats)
+    lost = cut(stats.where(bad).select(F.col("doc_id").alias("k_id"), F.col("k_key").alias("k_lost")).distinct(), "rejected")
+    lost = F.broadcast(lost) if lost.count() <= MOST_SENT else lost
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("k_id")) & (key == F.col("k_lost")), "left_anti")

@@ -1,6 +1,6 @@
 """All registered queries outside the llm folder."""
 
-from .plans import flagship, intervals, sequences  # noqa: F401
+from .plans import flagship, intervals, ranking, sequences  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -73,7 +73,7 @@ def e5_bin_enrichment(t):
     seen = t("lineitem").where("l_quantity is not null").groupBy(F.floor(F.col("l_quantity") / 5).alias("bin")).agg(F.count("*").alias("total"), returned().alias("positive"))
     base = seen.agg((F.sum("positive") / F.sum("total")).alias("base"))
     rate = F.col("positive") / F.col("total")
-    rows = spark.range(13).toDF("bin").join(F.broadcast(seen), "bin", "left").crossJoin(F.broadcast(base))
+    rows = spark.range(13).toDF("bin").join(F.broadcast(seen.where("bin between 0 and 12")), "bin", "left").crossJoin(F.broadcast(base))
     return rows.select("bin", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("positive", F.lit(0)).alias("positive"), F.round(rate, 10).alias("rate"), F.round(rate / F.col("base"), 10).alias("enrichment"))
 
 
@@ -128,3 +128,45 @@ def g3_time_folds(t):
     rows = t("events").select("event_id", "ts")
     ranked = ranks.row_numbers(rows, [F.asc("ts"), F.asc("event_id")], "r").crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     return ranked.select("event_id", F.floor((F.col("r") - 1) * BLOCKS / F.col("n")).cast("long").alias("block"))
+
+
+@query("""with r as (select l_suppkey, l_orderkey, l_linenumber, count(*) over (partition by l_suppkey) as n, row_number() over (partition by l_suppkey order by l_extendedprice, l_orderkey, l_linenumber) as r from lineitem)
+select l_suppkey, l_orderkey, l_linenumber, case when r <= floor(0.25 * n) then 'bottom' else 'top' end as tail from r where r <= floor(0.25 * n) or r > n - floor(0.25 * n)""")
+def c12_exact_cell_tails(t):
+    """The bottom and top quarter of each cell; ranks are two-level, so a hot cell is not one task."""
+    rows = t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    ranked = ranks.row_numbers(rows, [F.asc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], "r", ["l_suppkey"])
+    size = rows.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    quarter = F.floor(0.25 * F.col("n"))
+    low, high = F.col("r") <= quarter, F.col("r") > F.col("n") - quarter
+    return ranked.join(size, "l_suppkey").where(low | high).select("l_suppkey", "l_orderkey", "l_linenumber", F.when(low, "bottom").otherwise("top").alias("tail"))
+
+
+@query("""with c as (select text, count(*) as n from documents group by 1)
+select cast(sum(n) as bigint) as n_rows, cast(sum(case when text is null then n else 0 end) as bigint) as n_null, cast(sum(case when trim(text, ' ') = '' then n else 0 end) as bigint) as n_blank,
+count(text) as n_unique, cast(sum(case when text is not null then n - 1 else 0 end) as bigint) as n_repeats, cast(max(n) as bigint) as most_repeats from c""")
+def e19_text_report(t):
+    """Counts per distinct text first, then one row of totals."""
+    c = t("documents").groupBy("text").agg(F.count("*").alias("n"))
+    n, known = F.col("n"), F.col("text").isNotNull()
+    part = lambda keep, v=n: F.sum(F.when(keep, v).otherwise(0))
+    return c.agg(
+        F.sum("n").alias("n_rows"), part(~known).alias("n_null"), part(F.trim("text") == "").alias("n_blank"),
+        F.count("text").alias("n_unique"), part(known, n - 1).alias("n_repeats"), F.max("n").alias("most_repeats"),
+    )
+
+
+@query("""with c as (select source, count(*) as n from documents where source is not null group by 1)
+select source, n, round(sum(n) over (order by n desc, source) / sum(n) over (), 10) as cumulative_share from c""")
+def e19_value_shares(t):
+    """Levels by count with their cumulative share."""
+    c = t("documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    out = ranks.cumulative(c, [F.desc("n"), F.asc("source")], {"upto": F.col("n")}).crossJoin(F.broadcast(c.agg(F.sum("n").alias("whole"))))
+    return out.select("source", "n", F.round(F.col("upto") / F.col("whole"), 10).alias("cumulative_share"))
+
+
+@query("""with v as (select l_returnflag, l_discount, sum(l_quantity) as w from lineitem where l_discount is not null and l_quantity is not null group by 1, 2)
+select l_returnflag, round(sum(w * l_discount) / sum(w), 10) as weighted_mean, cast(sum(w) as bigint) as weight from v group by 1""")
+def e12_weighted_mean(t):
+    rows = t("lineitem").where("l_discount is not null and l_quantity is not null")
+    return rows.groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity"), 10).alias("weighted_mean"), F.sum("l_quantity").cast("long").alias("weight"))

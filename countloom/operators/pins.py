@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """df written to the folder that all machines share (spark.checkpoint.dir; a temporary one only where that is unset) and read again."""
-    spark = df.sparkSession
+def pinned_path(spark: SparkSession, what: str = "pinned") -> str:
+    """A new path in the folder that all machines share (spark.checkpoint.dir; a temporary one only where that is unset)."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         folder = tempfile.mkdtemp(prefix="countloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/pinned-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = pinned_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -88,3 +88,11 @@ def entropy(counts: list[Column]) -> Column:
 
 def letter_count(text: Column, letters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, letters, ""))
+
+
+def log_gamma(x: Column, shift: int = 10) -> Column:
+    """ln of the gamma function for x > 0: Stirling's series at x + shift, less the logarithm of the factors between."""
+    z = x + shift
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    factors = reduce(lambda a, b: a + b, (F.ln(x + i) for i in range(shift)))
+    return (z - 0.5) * F.ln(z) - z + 0.91893853320467274178 + series - factors

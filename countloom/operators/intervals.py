@@ -84,3 +84,11 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
         if not side.groupBy(*on).count().where("count > 1").isEmpty():
             raise ValueError(f"keys {on} of the {name} side are not unique")
     return left.join(right, on, how)
+
+
+def background(intervals: DataFrame, n: int, seed: int) -> DataFrame:
+    """(contig, pos) of n different positions, uniform over all bases of disjoint intervals (all of them when there are fewer).
+
+    Positions are ranked by a seeded hash; Spark keeps n a task before it merges."""
+    rows = expanded(intervals).select("contig", "pos")
+    return rows.orderBy(F.xxhash64("contig", "pos", F.lit(seed)), "contig", "pos").limit(n)

@@ -3,8 +3,9 @@
 Two codebooks, one for each half of the unit vectors, are fitted on at most SAMPLE vectors (those with
 the least hashes of their ids); pairs of their entries form a grid of cells, and every vector is filed in
 one cell. A vector as a query visits cells by rising sum of the two half distances. How many it visits is
-set by brute force: of at most PROBES queries against all vectors, the share `target` of true links must
-lie in the visited cells; at least LEAST_CELLS are visited. Visited vectors are compared in double precision.
+set by brute force: of at most PROBES queries against all vectors, each must find the share `target` of its
+own true links in the visited cells, if need be in all; at least LEAST_CELLS are visited. Visited vectors are
+compared in double precision.
 
 Equal vectors are one entry with a count. Cells are compared in blocks of bounded size, and a block
 returns counts and a spanning forest, not pairs.
@@ -30,6 +31,7 @@ from .common import connected_components, cut
 SAMPLE, PROBES, LEAST_CELLS = 8192, 1024, 8
 CELL, MOST_CODES = 64, 256
 INDEX_BLOCK, QUERY_BLOCK = 2048, 4096
+VISITS = 1 << 16  # made at once
 
 
 def _valid(dim: int):
@@ -101,21 +103,32 @@ def _file(books):
     return run
 
 
-def _ranks(probes: np.ndarray, books, least: float, most: int):
-    """Of true links of the probes: how many lie in the r-th visited cell; those beyond `most` count as r = most."""
+def _hits(probes: np.ndarray, reps: np.ndarray, least: float):
+    """Of true links of the probes, without a probe's link to itself: how many lie in each cell."""
 
     def run(batches):
-        visits = nearest_cells(probes, books, most)
-        rank = np.full((len(probes), len(books[0]) ** 2), most, np.int32)
-        np.put_along_axis(rank, visits, np.arange(visits.shape[1], dtype=np.int32)[None, :].repeat(len(probes), 0), 1)
-        total = np.zeros(most + 1, np.int64)
         for b in batches:
             if b.num_rows:
-                cell = b.column(1).to_numpy()
-                q, y = np.nonzero(probes @ _units(b.column(0)).T >= least)
-                total += np.bincount(rank[q, cell[y]], minlength=most + 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["r", "n"])
+                hit = probes @ _units(b.column(1)).T >= least
+                hit &= reps[:, None] != b.column(0).to_numpy()[None, :]
+                q, y = np.nonzero(hit)
+                pairs, n = np.unique(np.stack([q, b.column(2).to_numpy()[y]], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int32()), pa.array(n, pa.int64())], ["probe", "cell", "n"])
+
+    return run
+
+
+def _needed(probes: np.ndarray, books, target: float):
+    """How many cells a probe must visit to reach the share `target` of its links."""
+
+    def run(table):
+        q, codes = table.column("probe")[0].as_py(), len(books[0])
+        rank = np.empty(codes * codes, int)
+        rank[nearest_cells(probes[q : q + 1], books, codes * codes)[0]] = np.arange(codes * codes)
+        rank, n = rank[table.column("cell").to_numpy()], table.column("n").to_numpy()
+        order = rank.argsort()
+        reached = n[order].cumsum()
+        return pa.table({"cells": pa.array([rank[order][(reached >= target * reached[-1]).argmax()] + 1], pa.int32())})
 
     return run
 
@@ -123,8 +136,9 @@ def _ranks(probes: np.ndarray, books, least: float, most: int):
 def _visit(books, cells: int):
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            step = max(1, min(2000, VISITS // cells))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 near = nearest_cells(_units(part.column(1)), books, cells)
                 index = np.repeat(np.arange(part.num_rows), near.shape[1])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index)), pa.array(near.ravel(), pa.int32()), part.column(1).take(pa.array(index))], ["rep", "cell", "unit"])
@@ -168,19 +182,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999)
     owner = cut(valid.select("vec_id", "same").join(entry.select("same", "rep", "n"), "same").select("vec_id", "rep", "n"), "owners")
     entry = cut(entry.select("rep", "unit", "n"), "entries")
     total = entry.count()
-    sample = [r["unit"] for r in entry.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").collect()]
+    sample = entry.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "unit").collect()
     if total > 1:
-        points = np.frombuffer(b"".join(sample), float).reshape(len(sample), -1)
+        points = np.frombuffer(b"".join(r["unit"] for r in sample), float).reshape(len(sample), -1)
+        probes, reps = points[:PROBES], np.array([r["rep"] for r in sample[:PROBES]])
         codes = int(min(MOST_CODES, len(points), max(2, round((total / CELL) ** 0.5))))
         books = tuple(fit_codebook(h, codes) for h in halves(points))
         filed = cut(entry.mapInArrow(_file(books), "rep long, unit binary, n long, cell int"), "cells")
-        most = min(codes * codes, 512)
-        found = filed.select("unit", "cell").mapInArrow(_ranks(points[:PROBES], books, least, most), "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect()
-        links, seen, cells = sum(r["n"] for r in found), 0, 0
-        for r in found:
-            if seen < target * links:
-                seen, cells = seen + r["n"], r["r"] + 1
-        cells = min(codes * codes, max(LEAST_CELLS, cells))
+        hits = filed.select("rep", "unit", "cell").mapInArrow(_hits(probes, reps, least), "probe int, cell int, n long").groupBy("probe", "cell").agg(F.sum("n").alias("n"))
+        needed = hits.groupBy("probe").applyInArrow(_needed(probes, books, target), "cells int").agg(F.max("cells").alias("cells")).head()["cells"]
+        cells = min(codes * codes, max(LEAST_CELLS, needed or 0))
         size = F.ceil(F.count("*") / INDEX_BLOCK).cast("int")
         blocks = filed.groupBy("cell").agg(size.alias("ib"))
         asked = filed.select("rep", "unit").mapInArrow(_visit(books, cells), "rep long, cell int, unit binary")

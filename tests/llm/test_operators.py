@@ -129,6 +129,20 @@ def test_vectors_against_brute_force(spark):
     assert multiindex.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_far_out_in_the_traversal(spark, monkeypatch):
+    """A wide hot group is split over most of 1,225 cells: its links lie beyond the 512th cell."""
+    monkeypatch.setattr(multiindex, "CELL", 1)
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = rng.normal(size=(1200, 64))
+    x[:900] = x[0] + 0.17 * rng.normal(size=(900, 64))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    assert want[:900].min() > 800
+    assert np.mean([got[i] >= 0.999 * want[i] for i in range(1200)]) > 0.99
+
+
 def test_minhash_against_brute_force(docs, corpus):
     got = {r.doc_id: r for r in minhash.near_duplicates(docs.where("not (doc_id <=> 5)"), 4, 80).collect()}
     sets = {}

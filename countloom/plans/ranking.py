@@ -138,3 +138,25 @@ def g4_stratified_sample(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").withColumn("r", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber"))).where("r <= 20")
     n = t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
     return rows.join(n, ["l_suppkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", F.round(F.col("n") / F.least("n", F.lit(20)), 10).alias("weight"))
+
+
+@query("""with n as (select distinct c_nationkey from customer), r as (select c_nationkey, row_number() over (order by md5(cast(c_nationkey as varchar) || ':holdout'), c_nationkey) as r, count(*) over () as k from n)
+select c_nationkey, case when r <= ceil(0.25 * k) then 'validation' else 'train' end as split from r""")
+def g1_seeded_holdout(t):
+    """Whole groups in a seeded order, the first quarter to validation; g1_group_holdout takes them in key order."""
+    n = t("customer").select("c_nationkey").distinct().withColumn("h", F.md5(F.concat(F.col("c_nationkey").cast("string"), F.lit(":holdout")).cast("binary")))
+    rows = ranks.row_numbers(n, [F.asc("h"), F.asc("c_nationkey")], "r").crossJoin(F.broadcast(n.agg(F.count("*").alias("k"))))
+    return rows.select("c_nationkey", F.when(F.col("r") <= F.ceil(F.lit(0.25) * F.col("k")), "validation").otherwise("train").alias("split"))
+
+
+@query("""with h as (select *, md5(cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':sample') as h from lineitem),
+r as (select l_orderkey, l_linenumber, row_number() over (partition by l_suppkey, l_returnflag order by h, l_orderkey, l_linenumber) as r, count(*) over (partition by l_suppkey, l_returnflag) as n from h)
+select l_orderkey, l_linenumber, round(n / least(n, 20), 10) as weight from r where r <= 20""")
+def g4_seeded_sample(t):
+    """20 rows of each supplier and class by least seeded hash, so that each row of a group is as likely; g4_stratified_sample takes them in key order."""
+    by = ["l_suppkey", "l_returnflag"]
+    h = F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", F.lit("sample")).cast("binary"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", *by).withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(h, "l_orderkey", "l_linenumber"))).where("r <= 20")
+    n = t("lineitem").groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(n, same).select("l_orderkey", "l_linenumber", F.round(F.col("n") / F.least("n", F.lit(20)), 10).alias("weight"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -132,3 +135,98 @@ select word, a as en, b as other, round(log2((a + 1) / (b + 1)), 10) as log_rati
 def e14_cohort_kmers(t):
     n = counts.windows(t("documents").select("lang", "text"), "text", 3).groupBy("word").agg(F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") != "en").alias("other"))
     return n.withColumn("log_ratio", F.round(sc.log2_ratio(F.col("en"), F.col("other")), 10)).orderBy(F.desc("en"), "word").limit(50)
+
+
+#: Every letter but A, C, G and T is N, and so is what lies outside the text.
+FOLDED = f"regexp_replace({UP}, '[^ACGT]', 'N', 'g')"
+RUN = 1 << 20
+
+
+def folded(c: Column) -> Column:
+    return F.regexp_replace(sc.fold_bases(c), "[^ACGT]", "N")
+
+
+def _contexts(half: int):
+    """Of texts of A, C, G, T and N: how often each window of 2 * half + 1 letters stands around a letter, N outside; windows as base-5 codes."""
+    digit, gap = np.zeros(256, np.int32), b"N" * half
+    digit[np.frombuffer(b"ACGTN", np.uint8)] = range(5)
+
+    def count(texts):
+        data = digit[np.frombuffer(gap + gap.join(texts) + gap, np.uint8)]
+        code = np.zeros(len(data) - 2 * half, np.int32)
+        for j in range(2 * half + 1):
+            code = code * 5 + data[j : j + len(code)]
+        length = np.array([len(t) for t in texts])
+        centre = np.zeros(len(code) + 1, np.int32)
+        start = np.cumsum(length + half) - length - half
+        np.add.at(centre, start, 1)
+        np.add.at(centre, start + length, -1)
+        codes, n = np.unique(code[centre[:-1].cumsum() > 0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(n, pa.int64())], ["code", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for t in b.column(0):
+                held.append(t.as_py().encode())
+                size += len(held[-1])
+                if size >= RUN:
+                    yield count(held)
+                    held, size = [], 0
+        if held:
+            yield count(held)
+
+    return run
+
+
+@query(f"""with c as (select w, count(*) as n from ({_windows(11, f"('NNNNN' || {FOLDED} || 'NNNNN')", "doc_id")}) group by 1)
+select '+' as strand, w as context, n from c union all select '-', reverse(translate(w, 'ACGT', 'TGCA')), n from c""")
+def d1_contexts_everywhere(t):
+    """The oriented contexts of five letters each way around every position of each text, on both strands: how often each stands there."""
+    rows = t("documents").where(F.length("text") > 0).select(folded(F.col("text")).alias("seq"))
+    c = rows.mapInArrow(_contexts(5), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    letter = lambda k: F.substring(F.lit("ACGTN"), (F.floor(F.col("code") / 5**k) % 5 + 1).cast("int"), F.lit(1))
+    c = c.select(F.concat(*(letter(k) for k in range(10, -1, -1))).alias("w"), "n")
+    both = F.array(F.struct(F.lit("+").alias("strand"), F.col("w").alias("context")), F.struct(F.lit("-").alias("strand"), sc.reverse_complement(F.col("w")).alias("context")))
+    return c.select(F.explode(both).alias("s"), "n").select("s.strand", "s.context", "n")
+
+
+def offset_bases(rows: DataFrame, keys: list[str], half: int) -> DataFrame:
+    """keys, at, base, n: of seq in each row, how many positions have the base at the offset, N outside.
+
+    At offset o > 0 that is all of the text but its first o letters, at o < 0 all but its last, and as many N as lie outside."""
+    rows = rows.select(*keys, F.left("seq", F.lit(half)).alias("head"), F.right("seq", F.lit(half)).alias("tail"), *(sc.letter_count(F.col("seq"), b).alias(f"_{b}") for b in "ACGTN"), F.length("seq").alias("_len"))
+    n, o = F.col("_len"), F.col("at")
+    left = F.least(F.abs(o), n)
+    lost = F.when(o > 0, F.left("head", left)).otherwise(F.right("tail", left))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("lost", lost).withColumn("out", left)
+    count = lambda b: F.col(f"_{b}") - sc.letter_count(F.col("lost"), b) + (F.col("out") if b == "N" else 0)
+    rows = rows.select(*keys, F.col("at").cast("long").alias("at"), F.explode(F.array(*(F.struct(F.lit(b).alias("base"), count(b).cast("long").alias("n")) for b in "ACGTN"))).alias("x"))
+    return rows.select(*keys, "at", "x.base", "x.n").where("n > 0")
+
+
+def _offsets(half, columns, rows="documents"):
+    """Each letter of a padded text as the base at each offset of the position that it stands by, if that lies in the text."""
+    pad = "N" * half
+    return f"""select {columns}, o, c as base from (select {columns}, len, unnest(string_split(s, '')) as c, unnest(range(1, len + {2 * half + 1})) as j
+ from (select {columns}, length(text) as len, '{pad}' || {FOLDED} || '{pad}' as s from {rows} where length(text) > 0)), (select unnest(range({-half}, {half + 1})) as o) where j - {half} - o between 1 and len"""
+
+
+@query(f"select doc_id, cast(o as bigint) as at, base, count(*) as n from ({_offsets(3, 'doc_id')}) where base <> 'A' group by 1, 2, 3")
+def d3_bases_everywhere(t):
+    """The ones of the one-hot code at offsets -3 to 3 of every position, summed over each text: A is the reference and has no row."""
+    rows = t("documents").where(F.length("text") > 0).select("doc_id", folded(F.col("text")).alias("seq"))
+    return offset_bases(rows, ["doc_id"], 3).where("base <> 'A'").groupBy("doc_id", "at", "base").agg(F.sum("n").alias("n"))
+
+
+@query(f"""with n as (select o, base, count(*) filter (where y = 1) as ones, count(*) filter (where y = 0) as zeros from ({_offsets(20, "y", "(select text, quality as y from documents join labels using (doc_id))")}) group by 1, 2),
+s as (select *, ones / nullif(sum(ones) over (partition by o), 0) as p, zeros / nullif(sum(zeros) over (partition by o), 0) as q from n)
+select cast(o as bigint) as at, base, ones, zeros, round(log2((p + 1e-6) / (q + 1e-6)), 8) as log2_enrichment from s""")
+def e13_bases_everywhere(t):
+    """Base counts by class at offsets -20 to 20 of every position of each labelled text, and the log2 enrichment of their shares."""
+    rows = t("documents").where(F.length("text") > 0).join(t("labels"), "doc_id").select(F.col("quality").alias("y"), folded(F.col("text")).alias("seq"))
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    n = offset_bases(rows, ["y"], 20).groupBy("at", "base").agg(of(1).alias("ones"), of(0).alias("zeros"))
+    total = n.groupBy("at").agg(F.sum("ones").alias("all_ones"), F.sum("zeros").alias("all_zeros"))
+    share = lambda c: F.try_divide(c, f"all_{c}") + 1e-6
+    return n.join(F.broadcast(total), "at").select("at", "base", "ones", "zeros", F.round(F.log2(share("ones") / share("zeros")), 8).alias("log2_enrichment"))

@@ -37,7 +37,7 @@ def byte_values() -> dict[str, int]:
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes. The vocabulary is read from a tokenizers file whose ids
-    are its merge ranks; tests compare the ids with that library's. Strings of special tokens are ordinary text."""
+    are its merge ranks; tests compare the ids with that library's. Strings of the file's added tokens get those tokens' ids, as there."""
 
     def __init__(self, tokenizer: str):
         import json
@@ -45,13 +45,16 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
-        model = json.loads(Path(tokenizer).read_text())["model"]
+        file = json.loads(Path(tokenizer).read_text())
+        model, added = file["model"], file.get("added_tokens") or []
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in or ask for their surroundings are not supported")
         value = byte_values()
         ranks = {bytes(value[c] for c in token): i for token, i in model["vocab"].items() if all(c in value for c in token) and len(token) < 256 and not token.startswith("<|endof")}
-        self.coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.coding.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.coding.encode(text, allowed_special="all"), "<u4").tobytes()
 
 
 class Index:

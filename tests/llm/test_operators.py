@@ -58,6 +58,21 @@ def test_packing_covers_each_id_once(docs, spark, corpus):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_takes_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path, end = queries.tokenizer_path(), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x  {end}\n\n{end}", f"  {end}  word<|endof {end[:-1]}", f"{prose(3000)} {end} {prose(20)}", "plain"]
+    tok = Tokenizer.from_file(path)
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for i, text in enumerate(texts):
+        ids = np.array(tok.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        assert (50256 in ids) == (end in text)
+        pieces = [r for r in got if r.doc_id == i]
+        assert all(r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in pieces)
+        assert sum(r.length for r in pieces) == len(ids)
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500
     rows = [(1, "http://a.b/c", big), (2, None, big), (3, "http://[bad", None), (4, "u", "s"), (None, "u", big), (6, "http://A.b:80/C?q#f", "é" * 600)]

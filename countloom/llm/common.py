@@ -18,9 +18,11 @@ GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all machines see: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = tempfile.mkdtemp(prefix="countloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +49,15 @@ def groups_for(total: float, each: float, least: int = 8) -> int:
     return max(least, int(-(-total // each)))
 
 
+#: Bytes that a task should read of a shuffle.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(spark: SparkSession, total: float, each: float = TASK_BYTES) -> int:
+    """How many shuffle tasks read `total` in parts of about `each`: the session's number, or more where that is too few."""
+    return groups_for(total, each, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base, inverse = np.uint64(BYTE_BASE), np.uint64(pow(BYTE_BASE, -1, 1 << 64))
@@ -136,21 +147,35 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, on, "left_semi")
 
 
+def spread_join(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """many joined to one, which has a row for each `on`, where a few values of `on` may hold most rows of many:
+    by broadcast if one is counted to have at most MOST_SENT rows, else each value is dealt to `salts` tasks by a hash of `by`."""
+    if one.count() <= MOST_SENT // 8:
+        return many.join(F.broadcast(one), on, how)
+    return salted(many, one, on, by, how, salts)
+
+
+def salted(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    left = many.withColumn("k_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    right = one.withColumn("k_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [on, "k_salt"], how).drop("k_salt")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(v, component) for each vertex of the edges (a, b): the smallest vertex that it reaches.
 
     Each round takes the least label among a vertex and its neighbours and then follows labels one
     step (pointer jumping), so the number of rounds grows with the logarithm of a chain's length.
-    Labels are written between rounds; only a count of changes comes to the driver. Null ends and
-    loops are ignored; repeated edges are counted once."""
+    Hubs and the label of a giant component are dealt over several tasks. Labels are written between rounds;
+    only whether one changed comes to the driver. Null ends and loops are ignored; repeated edges are counted once."""
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = cut(edges.union(edges.select("b", "a")).distinct().toDF("v", "w"), "edges")
     labels = cut(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("component")), "labels")
     for _ in range(most_rounds):
-        seen = both.join(labels.withColumnsRenamed({"v": "w", "component": "c"}), "w").groupBy("v").agg(F.min("c").alias("c"))
+        seen = salted(both, labels.withColumnsRenamed({"v": "w", "component": "c"}), "w", "v").groupBy("v").agg(F.min("c").alias("c"))
         step = labels.join(seen, "v").select("v", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        jump = labels.select(F.col("v").alias("c"), F.col("component").alias("cc"))
-        step = cut(step.join(jump, "c", "left").select("v", "was", F.least("c", "cc").alias("component")), "labels")
+        jump = labels.where("v <> component").select(F.col("v").alias("c"), F.col("component").alias("cc"))
+        step = cut(salted(step, jump, "c", "v", "left").select("v", "was", F.least("c", "cc").alias("component")), "labels")
         labels = step.select("v", "component")
         if step.where("was <> component").isEmpty():
             return labels

@@ -195,14 +195,25 @@ def test_substrings_against_brute_force(docs, corpus):
     assert substrings.without_repeats(docs).columns == docs.columns and substrings.removed_passages(docs.limit(0)).count() == 0
 
 
-def test_hot_anchors_give_the_same(docs, monkeypatch):
+@pytest.mark.parametrize("ratio", [1, 17, 300])
+def test_hot_anchors_give_the_same(docs, monkeypatch, ratio):
+    """Anchors that count as shared by too many go by prefixes of 9, 11 and 13 words of each suffix."""
     one = docs.where("not (doc_id <=> 5)")
     want = sorted((r.doc_id or -1, r.kept_sha256) for r in substrings.removed_passages(one).collect())
-    meet = substrings._meet
-    monkeypatch.setattr(substrings, "_meet", lambda hot: meet(1))
+    monkeypatch.setattr(substrings, "_meet", lambda hot, meet=substrings._meet: meet(0))
+    monkeypatch.setattr(substrings, "_send_suffixes", lambda g, w, p, limit, hot, send=substrings._send_suffixes: send(g, w, p, 0.5 / ratio, hot))
     assert sorted((r.doc_id or -1, r.kept_sha256) for r in substrings.removed_passages(one).collect()) == want
 
 
+def test_subtrees_give_maximal_repeats():
+    """A 16-word repeat around an anchor is one repeat of 16 words, not four windows."""
+    words = RNG.integers(1, 2**62, (2, 40), dtype=np.uint64)
+    words[1, 8:24] = words[0, 10:26]  # the repeat: from 3 words before the anchor to 6 behind it
+    pos = np.array([13, 11])
+    record = {"h": np.array([5, 5], np.uint64), "left": np.stack([[words[i, p - j] for j in range(1, 7)] for i, p in enumerate(pos)]), "right": np.stack([words[i, p + 7 : p + 13] for i, p in enumerate(pos)]), "lo": np.array([6, 6]), "hi": np.array([6, 6])}
+    assert [x.tolist() for x in substrings.subtrees(record, np.array([1, 2]), 13, 7)] == [[1], [3], [16]]
+
+
 def test_mixing(docs, corpus):
     got = mixing.mixture(docs).collect()
     again = mixing.mixture(docs.repartition(3)).collect()

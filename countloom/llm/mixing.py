@@ -1,12 +1,16 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, with DataFrame operations only.
 
-Documents of a source fall into at most 4,096 hash blocks. A source that must give t words takes each
-block floor(t / size) times and, for the rest, blocks in permuted order and documents of the last
-block as they fit, half of its share in permuted order. Every taken (source, pass, block) is one unit. A
-node of the tree splits the units of its output shards by source counts drawn without replacement
-(equal halves of a keyed random order of interchangeable tokens, which is the multivariate
+Documents of a source fall into hash blocks of about BLOCK_WORDS words. A source that must give t words
+takes each block floor(t / size) times and, for the rest, blocks in permuted order and documents of the
+last block as they fit, half of its share in permuted order. Every taken (source, pass, block) is one unit. A
+node of the tree splits the units of its output shards among at most FAN children by source counts drawn without
+replacement (consecutive parts of a keyed random order of interchangeable tokens, which is the multivariate
 hypergeometric law), down to single shards; a source's permuted units then fill its quotas, so shards
-are disjoint, and a keyed order inside a shard is the local shuffle.
+are disjoint. Each copy of a document has its shard and its slot, a keyed order inside the shard, which is
+the local shuffle; the mixed documents come partitioned by shard and sorted by slot.
+
+Random orders are ranked in two steps, by the high bits of the key and inside those, so neither a node nor
+a source is ever one task's work.
 
 Nulls and odd rows: null text has size 0; null sources form one source, ordered last; rows equal in
 doc_id, source and size share one decision; documents of size 0 are taken 0 words; an empty table gives
@@ -19,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, groups_for, tasks_for, text_bytes
 
 BLOCK_WORDS = 1 << 16
-MOST_BLOCKS = 4096
 MOST_REPEATS = 3
-SHARDS = 8
+#: Words of an output shard, and how many there are at least.
+SHARD_WORDS, LEAST_SHARDS = 1 << 25, 8
+FAN = 16
 #: How often the gap that is left in a source's last block is filled with documents that still fit.
 FILLS = 6
 
@@ -52,41 +57,59 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return table.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))).select("source", "rank", "source_size", "target")
 
 
+def ranked(rows: DataFrame, by: list[str], key: Column, ties: list[str], value: str | None = None) -> DataFrame:
+    """rows with at: their place (from 1) by key among rows of equal `by`, or with a value its running sum; and n: how many there are.
+
+    Places are counted in 1,024 parts of the key's range, then inside each part. rows must be a written table."""
+    rows = rows.withColumn("k_key", key).withColumn("k_part", F.shiftright("k_key", 54))
+    amount = F.col(value) if value else F.lit(1)
+    per = rows.groupBy(*by, "k_part").agg(F.sum(amount).alias("k_sum"), F.count("*").alias("k_n"))
+    order = W.partitionBy(*by).orderBy("k_part")
+    per = per.select(*by, "k_part", (F.sum("k_sum").over(order) - F.col("k_sum")).alias("k_before"), F.sum("k_n").over(W.partitionBy(*by)).alias("n"))
+    inside = W.partitionBy(*by, "k_part").orderBy("k_key", *ties).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(per, [*by, "k_part"]).withColumn("at", F.col("k_before") + F.sum(amount).over(inside))
+    return out.drop("k_key", "k_part", "k_before")
+
+
 def split_tree(units: DataFrame, shards: int, seed: int) -> DataFrame:
-    """units (rank, pass, block) with a shard: quotas by the tree, then permuted units into them."""
-    unit = units.withColumn("turn", F.row_number().over(W.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), F.lit("unit"), "rank", "pass", "block"), "pass", "block")))
-    token = unit.select("rank", F.col("turn").alias("k")).withColumn("node", F.lit(0)).withColumn("wide", F.lit(shards))
-    level = 0
-    while (1 << level) < shards:
-        key = F.xxhash64(F.lit(seed), F.lit(level), "rank", "k")
-        at = F.row_number().over(W.partitionBy("node").orderBy(key, "rank", "k"))
-        half = F.col("wide") - F.floor(F.col("wide") / 2)
-        left = F.col("wide") == 1
-        goes = left | (at * F.col("wide") <= F.count("*").over(W.partitionBy("node")) * half)
-        token = token.select("rank", "k", (F.col("node") * 2 + F.when(goes, 0).otherwise(1)).alias("node"), F.when(left, 1).when(goes, half).otherwise(F.col("wide") - half).cast("int").alias("wide"))
-        level += 1
-    token = token.withColumn("shard", F.dense_rank().over(W.orderBy("node")) - 1) if shards > 1 else token.withColumn("shard", F.lit(0))
-    quota = token.groupBy("rank", "shard").agg(F.count("*").alias("n"))
+    """units (rank, pass, block), a written table, with a shard: quotas by the tree, then permuted units into them."""
+    unit = ranked(units, ["rank"], F.xxhash64(F.lit(seed), F.lit("unit"), "rank", "pass", "block"), ["pass", "block"]).withColumnRenamed("at", "turn")
+    unit = cut(unit.select("rank", "pass", "block", "turn"), "units")
+    token = unit.select("rank", F.col("turn").alias("k"), F.lit(0).cast("long").alias("node"), F.lit(shards).cast("long").alias("wide"))
+    level, most = 0, shards
+    while most > 1:
+        seen = ranked(token, ["node"], F.xxhash64(F.lit(seed), F.lit(level), "rank", "k"), ["rank", "k"])
+        parts = F.least(F.col("wide"), F.lit(FAN))
+        shard = F.expr("(at * wide + n - 1) div n - 1")  # of the node's shards, that in which a place falls
+        seen = seen.withColumn("parts", parts).withColumn("shard", shard).withColumn("part", F.expr("((shard + 1) * parts + wide - 1) div wide - 1"))
+        lo, hi = F.expr("wide * part div parts"), F.expr("wide * (part + 1) div parts")
+        token = cut(seen.select("rank", "k", (F.col("node") + lo).alias("node"), (hi - lo).alias("wide")), "tree")
+        level, most = level + 1, -(-most // FAN)
+    quota = token.groupBy("rank", F.col("node").cast("int").alias("shard")).agg(F.count("*").alias("n"))
     quota = quota.withColumn("hi", F.sum("n").over(W.partitionBy("rank").orderBy("shard"))).withColumn("turn", F.explode(F.sequence(F.col("hi") - F.col("n") + 1, F.col("hi"))))
     return unit.join(quota.select("rank", "turn", "shard"), ["rank", "turn"]).select("rank", "pass", "block", "shard")
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, copies, and takes: for each copy its shard and slot (the local order)."""
+def mixture(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, copies, and takes: for each copy its shard and slot (the local order).
+
+    shards: the number of output shards; by default one for each SHARD_WORDS words."""
     sized = cut(docs.select("doc_id", F.col("source").cast("string"), word_count().alias("size")), "sizes")
     table = cut(source_targets(sized), "targets")
-    blocks = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)))
+    if shards is None:
+        shards = groups_for(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).head()[0], SHARD_WORDS, LEAST_SHARDS)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS))
     table = table.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_REPEATS))).otherwise(0).cast("int"))
     table = table.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("blocks", blocks)
     rows = sized.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
 
     per = rows.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    order = W.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "rank", "block"), "block")
-    per = per.withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("left", F.col("rest") - F.col("before"))
+    per = ranked(cut(per, "blocks"), ["rank"], F.xxhash64(F.lit(seed), F.lit("block"), "rank", "block"), ["block"], "words")
+    per = per.withColumn("left", F.col("rest") - (F.col("at") - F.col("words")))
     per = cut(per.select("rank", "block", "passes", "left", (F.col("left") > 0).alias("last"), ((F.col("left") > 0) & (F.col("words") > F.col("left"))).alias("edge")), "blocks")
     units = per.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS)))).where((F.col("pass") < F.col("passes")) | ((F.col("pass") == F.col("passes")) & F.col("last"))).select("rank", "pass", "block")
-    dealt = split_tree(units, shards, seed).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("units"))
+    dealt = split_tree(cut(units, "units"), shards, seed).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("units"))
 
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "rank", "block").join(per, ["rank", "block"]).join(dealt, ["rank", "block"], "left")
     whole = rows.where(~F.col("edge")).withColumn("in_last", F.col("last"))
@@ -107,10 +130,11 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.size("takes").alias("copies"), "takes")
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """docs as the mix has them: a document taken n times has n rows, one taken 0 times none."""
-    copies = mixture(docs, shards, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = copies.toDF("k_id", "k_source", "k_size", "k_copies")
+def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """docs as the mix has them, partitioned by shard and in the local order: a document taken n times has n rows, one taken 0 times none."""
+    takes = mixture(docs, shards, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("takes").alias("k_takes"))
+    takes = takes.toDF("k_id", "k_source", "k_size", "k_takes")
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").cast("string").eqNullSafe(F.col("k_source")) & (F.col("k_words") == F.col("k_size"))
-    rows = docs.withColumn("k_words", word_count()).join(copies, same)
-    return rows.withColumn("k_copy", F.explode(F.sequence(F.lit(1), F.col("k_copies")))).select(*docs.columns)
+    rows = docs.withColumn("k_words", word_count()).join(takes, same).withColumn("k_take", F.explode("k_takes"))
+    tasks = tasks_for(docs.sparkSession, text_bytes(docs))
+    return rows.repartition(tasks, "k_take.shard").sortWithinPartitions("k_take.shard", "k_take.slot", "doc_id").select(*docs.columns)

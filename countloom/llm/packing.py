@@ -1,29 +1,35 @@
 """Lexical retrieval packing.
 
-Documents are dealt by hash to shards of bounded size. A shard keeps a BM25 inverted index over its
-documents' token ids. A seed document opens a window; its best-scoring unused neighbours follow, the
-last one is cut where the window is full, and its rest opens the next window with it as the seed. So
-every window but a shard's last is full; the last is cut into powers of two, which need no padding.
+Texts become token ids once. A weighted min-hash of a document's distinct ids (rare ids count more) names its
+lexical key, the two ids that win; documents in key order, so that like lies beside like, are cut into shards of
+bounded size, and a key that many documents share simply fills several shards. A shard keeps a BM25 inverted
+index over its documents' token ids. A seed document opens a window; its best-scoring unused neighbours
+follow, the last one is cut where the window is full, and its rest opens the next window with it as the
+seed. So every window but a shard's last is full; the last is cut into powers of two, which need no padding.
 
 Nulls and odd rows: null text is empty (its only id is the end id); rows with a null doc_id are packed too;
-rows that repeat a doc_id are packed each; ties in score go to the smaller doc_id, then to the longer
-document; other columns are ignored. Whole texts are encoded.
+rows that repeat a doc_id are packed each; ties in score go to the document that is first in key order;
+other columns are ignored. Whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for, text_bytes
+from .common import cut, mix, tasks_for
 
 WINDOW, END_ID = 2048, 1
-SHARD_BYTES = 2 << 20
+#: Ids of a shard: about 2 MB of text.
+SHARD_IDS = 1 << 19
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,21 +46,61 @@ class Encoder:
     are its merge ranks; tests compare the ids with that library's. Strings of the file's added tokens get those tokens' ids, as there."""
 
     def __init__(self, tokenizer: str):
-        import json
-
         import public_tokenizers
         import tiktoken
 
         file = json.loads(Path(tokenizer).read_text())
-        model, added = file["model"], file.get("added_tokens") or []
-        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        model, added = file["model"], {t["content"]: t for t in file.get("added_tokens") or []}
+        if any(t.get(k) for t in added.values() for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError("added tokens that take in or ask for their surroundings are not supported")
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+            raise ValueError("the ids of this vocabulary are not its merge ranks")
         value = byte_values()
-        ranks = {bytes(value[c] for c in token): i for token, i in model["vocab"].items() if all(c in value for c in token) and len(token) < 256 and not token.startswith("<|endof")}
-        self.coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+        ranks = {bytes(value[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+        self.coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={c: t["id"] for c, t in added.items()})
+        self.kind = "<u2" if self.coding.max_token_value < 1 << 16 else "<u4"
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.coding.encode_to_numpy(text, allowed_special="all")
+
+
+@lru_cache(maxsize=2)
+def _draws(n: int) -> np.ndarray:
+    """A fixed exponential draw for each id, divided by its weight: ids weigh by their rank, common ones little."""
+    ids = np.arange(n)
+    uniform = (mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)) * 2.0**-53 + 2.0**-54
+    return -np.log(uniform) / np.log2(ids + 2.0) ** 4
+
+
+def lexical_key(ids: np.ndarray, vocabulary: int) -> int:
+    """The two distinct ids with the least draws: those that win a weighted min-hash."""
+    draw = _draws(vocabulary)[ids]
+    first = ids[draw.argmin()]
+    second = ids[np.where(ids == first, np.inf, draw).argmin()]
+    return (int(first) << 32) + int(second)
+
+
+def _encode(tokenizer: str, end_id: int):
+    held: list[Encoder] = []
+
+    def run(batches):
+        if not held:
+            held.append(Encoder(tokenizer))
+        end, task = np.array([end_id], np.uint32), TaskContext.get().partitionId()
+        number, most = 0, max(held[0].coding.max_token_value, end_id) + 1
+        for b in batches:
+            keys, raw, n = [], [], []
+            for text in b.column(1).to_pylist():
+                ids = np.concatenate([held[0](text or ""), end])
+                keys.append(lexical_key(ids, most))
+                raw.append(ids.astype(held[0].kind if end_id < 1 << 16 else "<u4").tobytes())
+                n.append(len(ids))
+            salt = mix(np.arange(number, number + len(n), dtype=np.uint64) + np.uint64(task << 32)).view(np.int64)
+            number += len(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(salt), pa.array(raw, pa.binary())], ["doc_id", "n", "key", "salt", "ids"])
 
-    def __call__(self, text: str) -> bytes:
-        return np.array(self.coding.encode(text, allowed_special="all"), "<u4").tobytes()
+    return run
 
 
 class Index:
@@ -94,25 +140,27 @@ class Index:
 
 def order_of(docs: list[np.ndarray], window: int) -> list[int]:
     """Seeds and their neighbours, in the order in which they fill windows."""
-    index, unused, out, ahead, room = Index(docs), np.ones(len(docs), bool), [], [], 0
-    free = 0
-    for _ in docs:
+    index, unused, out = Index(docs), np.ones(len(docs), bool), []
+    free, room, ahead = 0, window, []
+    while len(out) < len(docs):
         while ahead and not unused[ahead[-1]]:
             ahead.pop()
-        if room <= 0 or not ahead:
-            seed = out[-1] if out else None
-            if seed is None:
-                while not unused[free]:
-                    free += 1
-                ahead, room = [free], window
-            else:
-                score = np.where(unused, index.scores(seed), -1.0)
-                ahead = np.argsort(-score, kind="stable")[: unused.sum()][::-1].tolist()
-                room = window - sum(len(docs[i]) for i in out[-1:]) % window
-        pick = ahead.pop()
+        if not ahead:  # a window opens with a new seed
+            while not unused[free]:
+                free += 1
+            ahead = [free]
+        pick, opens = ahead.pop(), room == window
         unused[pick] = False
         out.append(pick)
-        room -= len(docs[pick])
+        over = len(docs[pick]) - room
+        if over >= 0:
+            room = window - over % window
+            ahead = []
+        else:
+            room = -over
+        if room < window and (opens or over > 0):  # it opened this window: its neighbours follow
+            score = np.where(unused, index.scores(pick), -1.0)
+            ahead = np.argsort(-score, kind="stable")[: len(docs) - len(out)][::-1].tolist()
     return out
 
 
@@ -122,35 +170,45 @@ def windows(lengths: list[int], window: int) -> list[int]:
     return [window] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pack(tokenizer: str, window: int, end_id: int):
-    held: list[Encoder] = []
+def _pack(window: int, shard_ids: int, kind: str):
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(table):
-        if not held:
-            held.append(Encoder(tokenizer))
-        shard = table.column("shard")[0].as_py()
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        end = np.array([end_id], "<u4").tobytes()
-        docs = [np.frombuffer(held[0](t or "") + end, "<u4") for _, t in rows]
-        order = order_of(docs, window)
-        out, sizes, number, offset = [], windows([len(d) for d in docs], window), 0, 0
-        for i in order:
-            at = 0
-            while at < len(docs[i]):
-                n = min(len(docs[i]) - at, sizes[number] - offset)
-                out.append((rows[i][0], at, n, zlib.crc32(docs[i][at : at + n].tobytes()), len(docs[i]), (shard << 32) + number, offset))
+    def shard(ids: list, docs: list[np.ndarray], number: int) -> tuple[pa.RecordBatch, int]:
+        out, sizes, at_size, offset = [], windows([len(d) for d in docs], window), 0, 0
+        for i in order_of(docs, window):
+            whole, at = docs[i].astype("<u4"), 0
+            while at < len(whole):
+                n = min(len(whole) - at, sizes[at_size] - offset)
+                out.append((ids[i], at, n, zlib.crc32(whole[at : at + n]), len(whole), number + at_size, offset))
                 at, offset = at + n, offset + n
-                if offset == sizes[number]:
-                    number, offset = number + 1, 0
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(names, zip(*out, strict=True), strict=True)})
+                if offset == sizes[at_size]:
+                    at_size, offset = at_size + 1, 0
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names), number + at_size
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 40
+        ids, docs, held = [], [], 0
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                docs.append(np.frombuffer(raw, kind))
+                held += len(docs[-1])
+                if held >= shard_ids:
+                    batch, number = shard(ids, docs, number)
+                    yield batch
+                    ids, docs, held = [], [], 0
+        if docs:
+            yield shard(ids, docs, number)[0]
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """A row for each piece: its document, start and length there, CRC of its ids, sequence and offset."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shards = groups_for(text_bytes(rows), shard_bytes)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(_pack(tokenizer, window, end_id), SCHEMA)
+    rows = cut(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n long, key long, salt long, ids binary"), "ids")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    kind = Encoder(tokenizer).kind if end_id < 1 << 16 else "<u4"
+    tasks = max(1, min(tasks_for(docs.sparkSession, 2 * total), total // shard_ids))
+    rows = rows.repartitionByRange(tasks, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
+    return rows.select("doc_id", "ids").mapInArrow(_pack(window, shard_ids, kind), SCHEMA)

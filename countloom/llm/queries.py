@@ -48,8 +48,8 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels").where(_remainder(5) != 0))
-    out = toxicity.score(docs, model, locate=False).select("doc_id", "score")
-    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"), "sentences")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixture(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return out.select("doc_id", "size", "source_size", "target", taken, F.col("takes.shard").alias("shards"), F.col("takes.slot").alias("slots"))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_chat, op4_rules, op5_toxicity, op6_quality, op7_vectors, op8_minhash, op9_substrings, op10_mixing)}

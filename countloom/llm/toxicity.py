@@ -2,8 +2,10 @@
 
 A sentence scores sigmoid(bias + weights of its words); a document scores the noisy-or of its sentences,
 1 - prod(1 - score). Weights are fitted to the documents' labels by gradient steps on that likelihood,
-over at most MOST_ROWS labelled documents (a documented bound) and the WORDS words that most set the two
-labels apart. Scoring reads every whole text; sentences that score at least 0.5 are located.
+over at most MOST_ROWS labelled documents (a documented bound). Words with a weight are all those that
+stand out in toxic documents by more standard errors than the largest of as many chance values would;
+where none does, a warning says so. Scoring reads every whole text; sentences that score at least 0.5
+are located.
 
 Nulls and odd rows: null and empty texts have no sentence and get the empty score, which is 0; without
 labels of both kinds every score is 0; rows that repeat a doc_id each get their row; other columns
@@ -13,15 +15,17 @@ are ignored.
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .labelled import labelled_sample
 
-MOST_ROWS, WORDS, LEAST_Z = 20000, 256, 4.5
+MOST_ROWS, LEAST_DOCS = 20000, 5
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 Weights = tuple[float, dict[str, float]]
@@ -33,19 +37,22 @@ def sentence_words(text: str) -> list[set[str]]:
 
 def _words(batches):
     for b in batches:
+        words, labels = [], []
         for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = sorted(set(WORD.findall(text.lower())))
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([y] * len(words), pa.int32())], ["word", "y"])
+            found = sorted(set(WORD.findall(text.lower())))
+            words += found
+            labels += [y] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "y"])
 
 
 def _bags(index: dict[str, int]):
     def run(batches):
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sentences = [w & index.keys() for w in sentence_words(text)]
-                hits = [sorted(index[w] for w in s) for s in sentences if s]
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([len(sentences)], pa.int64()), pa.array([hits], pa.list_(pa.list_(pa.int32())))], ["y", "n", "hits"])
+            bags = []
+            for text in b.column(1).to_pylist():
+                sentences = sentence_words(text)
+                bags.append((len(sentences), [sorted(index[w] for w in known) for s in sentences if (known := s & index.keys())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in bags], pa.int64()), pa.array([h for _, h in bags], pa.list_(pa.list_(pa.int32())))], ["y", "n", "hits"])
 
     return run
 
@@ -80,10 +87,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         if not sizes.get(0) or not sizes.get(1):
             return None
         a, b = sizes[1], sizes[0]
-        seen = sample.mapInArrow(_words, "word string, y int").groupBy("word").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where("n >= 5")
+        seen = sample.mapInArrow(_words, "word string, y int").groupBy("word").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
         rate = F.col("n") / (a + b)
-        z = (F.col("p") / a - (F.col("n") - F.col("p")) / b) / F.sqrt(rate * (1 - rate) * (1 / a + 1 / b) + 1e-12)
-        top = [r["word"] for r in seen.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS).collect()]
+        seen = cut(seen.withColumn("z", (F.col("p") / a - (F.col("n") - F.col("p")) / b) / F.sqrt(rate * (1 - rate) * (1 / a + 1 / b) + 1e-12)), "words")
+        least = (2 * np.log(max(2, seen.count()))) ** 0.5  # about the largest of so many standard normal values
+        top = [r["word"] for r in seen.where(F.col("z") >= least).orderBy("word").select("word").collect()]
+        if not top:
+            warnings.warn("no word sets toxic documents apart: every sentence gets the same score", stacklevel=2)
         rows = sample.mapInArrow(_bags({w: i for i, w in enumerate(top)}), "y int, n long, hits array<array<int>>").collect()
     finally:
         sample.unpersist()
@@ -91,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return bias, {w: float(x) for w, x in zip(top, weights, strict=True)}
 
 
-def _score(model: Weights | None, locate: bool):
+def _score(model: Weights | None):
     bias, weights = model or (-np.inf, {})
 
     def run(batches):
@@ -99,20 +109,13 @@ def _score(model: Weights | None, locate: bool):
         for b in batches:
             scores, spans = [], []
             for text in b.column(1).to_pylist():
-                total, found = 0.0, []
-                for part in SENTENCE.finditer((text or "").lower()) if locate else ():
-                    z = bias + sum(weights[w] for w in known & set(WORD.findall(part[0])))
-                    total += float(np.logaddexp(0, z))
-                    if z >= 0:
-                        found.append({"start": part.start(), "end": part.end(), "score": float(1 / (1 + np.exp(-z)))})
-                if not locate and text:
-                    low = text.lower()
-                    sentences = SENTENCE.findall(low)
-                    total = base * len(sentences)
-                    if known & set(WORD.findall(low)):
-                        for s in sentences:
-                            if got := known & set(WORD.findall(s)):
-                                total += float(np.logaddexp(0, bias + sum(weights[w] for w in got))) - base
+                total, found = base * len(SENTENCE.findall(text or "")), []
+                if text and (bias >= 0 or known & set(WORD.findall(text.lower()))):
+                    for part in SENTENCE.finditer(text):
+                        z = bias + sum(weights[w] for w in known & set(WORD.findall(part[0].lower())))
+                        total += float(np.logaddexp(0, z)) - base
+                        if z >= 0:
+                            found.append({"start": part.start(), "end": part.end(), "score": float(1 / (1 + np.exp(-z)))})
                 scores.append(float(-np.expm1(-total)))
                 spans.append(found)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -121,7 +124,7 @@ def _score(model: Weights | None, locate: bool):
     return run
 
 
-def score(docs: DataFrame, model: Weights | None, locate: bool = True) -> DataFrame:
-    """doc_id, score, and with locate the sentences that score at least 0.5 (offsets in the lower-cased text)."""
+def score(docs: DataFrame, model: Weights | None) -> DataFrame:
+    """doc_id, score, and sentences: start, end (characters of the text) and score of those that score at least 0.5."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_score(model, locate), "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
+    return rows.mapInArrow(_score(model), "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")

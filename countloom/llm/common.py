@@ -7,7 +7,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every operator here: space and the five controls from tab to carriage return.
@@ -49,13 +49,19 @@ def groups_for(total: float, each: float, least: int = 8) -> int:
     return max(least, int(-(-total // each)))
 
 
-#: Bytes that a task should read of a shuffle.
-TASK_BYTES = 64 << 20
+#: Bytes that a task should read of a shuffle, and how many tasks a shuffle has at most (more would be too many blocks).
+TASK_BYTES, MOST_TASKS = 8 << 20, 50_000
 
 
-def tasks_for(spark: SparkSession, total: float, each: float = TASK_BYTES) -> int:
-    """How many shuffle tasks read `total` in parts of about `each`: the session's number, or more where that is too few."""
-    return groups_for(total, each, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def tasks_for(total: float, each: float = TASK_BYTES) -> int:
+    """How many shuffle tasks read `total` in parts of about `each`; parts grow where there would be too many tasks."""
+    return min(MOST_TASKS, groups_for(total, each))
+
+
+def by_bucket(df: DataFrame, buckets: int) -> GroupedData:
+    """df grouped by its column bucket (0 to buckets - 1): a task for each bucket, or where those would be too many, tasks of several."""
+    spread = df.repartitionById(buckets, "bucket") if buckets <= MOST_TASKS else df.repartition(MOST_TASKS, "bucket")
+    return spread.groupBy("bucket")
 
 
 @lru_cache(maxsize=2)

@@ -136,5 +136,5 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 17)
     takes = takes.toDF("k_id", "k_source", "k_size", "k_takes")
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").cast("string").eqNullSafe(F.col("k_source")) & (F.col("k_words") == F.col("k_size"))
     rows = docs.withColumn("k_words", word_count()).join(takes, same).withColumn("k_take", F.explode("k_takes"))
-    tasks = tasks_for(docs.sparkSession, text_bytes(docs))
+    tasks = tasks_for(text_bytes(docs))
     return rows.repartition(tasks, "k_take.shard").sortWithinPartitions("k_take.shard", "k_take.slot", "doc_id").select(*docs.columns)

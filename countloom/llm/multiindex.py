@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MOST_SENT, connected_components, cut, mix, spread_join, tasks_for
+from .common import MOST_SENT, by_bucket, connected_components, cut, mix, spread_join
 
 SAMPLE, PROBES, LEAST_CELLS, LEAST_LINKED = 8192, 1024, 8, 32
 CELL, MOST_CODES = 64, 256
@@ -197,14 +197,15 @@ def _ask(plan):
     return run
 
 
-BLOCKS = "g int, i int, q int, side int, rep long, n long, raw binary, cell int, visits array<int>"
+BLOCKS = "bucket int, side int, rep long, n long, raw binary, cell int, visits array<int>"
 
 
 def _deal(plan):
-    """Rows of each block (group, index part i, query part q): side 0 vectors of the group, which are also queries; 2 vectors for other queries only; 1 queries."""
+    """Rows of each block (index part i and query part q of a group): side 0 vectors of the group, which are also queries; 2 vectors for other queries only; 1 queries."""
 
     def run(batches):
         group, ib, qb = plan.value
+        base = np.cumsum(ib * qb) - ib * qb
         for b in batches:
             cell, visits = b.column(3).to_numpy(), b.column(4)
             home, h = group[cell], mix(b.column(0).to_numpy().astype(np.uint64))
@@ -221,7 +222,7 @@ def _deal(plan):
 
             def rows(at, g, i, q, side, which, lists=lists, b=b):
                 at = pa.array(at)
-                columns = [pa.array(np.asarray(x), pa.int32()) for x in (g, i, q, side)]
+                columns = [pa.array(base[g] + i * qb[g] + q, pa.int32()), pa.array(side, pa.int32())]
                 return pa.RecordBatch.from_arrays([*columns, *(b.column(c).take(at) for c in range(4)), lists.take(pa.array(which))], [x.split()[0] for x in BLOCKS.split(", ")])
 
             times = qb[home]
@@ -233,12 +234,12 @@ def _deal(plan):
             which = np.repeat(out, times)
             i = np.arange(len(which)) - np.repeat(times.cumsum() - times, times)
             at = row[first[which]]
-            yield rows(at, g[first[which]], i, q_own(g[first[which]], at), np.ones(len(at)), which)
+            yield rows(at, g[first[which]], i, q_own(g[first[which]], at), np.ones(len(at), int), which)
             times = ib[home] - 1 - i_own  # one large cell: its vectors are queries of its later parts too
             at = np.repeat(np.arange(b.num_rows), times)
             i = i_own[at] + 1 + np.arange(len(at)) - np.repeat(times.cumsum() - times, times)
             alone = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1), pa.int32()), pa.array(cell, pa.int32()))
-            yield rows(at, home[at], i, q_own(home[at], at), np.ones(len(at)), at, alone)
+            yield rows(at, home[at], i, q_own(home[at], at), np.ones(len(at), int), at, alone)
 
     return run
 
@@ -324,9 +325,7 @@ def _met(filed: DataFrame, codes: int, least: float, kind: str) -> DataFrame:
         asked[group[cell]] += n if ib[group[cell]] > 1 else 0  # parts of a large cell ask its later parts
     qb = np.maximum(1, -(-asked // QUERY_BLOCK))
     dealt = filed.mapInArrow(_deal(sc.broadcast((group, ib, qb))), BLOCKS)
-    tasks = tasks_for(filed.sparkSession, float((ib * qb).sum()), 1)
-    dealt = dealt.repartition(min(tasks, 1 << 16), "g", "i", "q")
-    return cut(dealt.groupBy("g", "i", "q").applyInArrow(_block(least, kind), "rep long, links long, to long"), "met")
+    return cut(by_bucket(dealt, int((ib * qb).sum())).applyInArrow(_block(least, kind), "rep long, links long, to long"), "met")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999) -> DataFrame:

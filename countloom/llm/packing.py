@@ -209,6 +209,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     rows = cut(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n long, key long, salt long, ids binary"), "ids")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     kind = Encoder(tokenizer).kind if end_id < 1 << 16 else "<u4"
-    tasks = max(1, min(tasks_for(docs.sparkSession, 2 * total), total // shard_ids))
+    tasks = max(1, min(tasks_for(2 * total), total // shard_ids))
     rows = rows.repartitionByRange(tasks, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
     return rows.select("doc_id", "ids").mapInArrow(_pack(window, shard_ids, kind), SCHEMA)

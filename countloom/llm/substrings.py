@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GRAM_BASE, Words, cut, groups_for, mix, tasks_for, text_bytes, text_runs
+from .common import GRAM_BASE, Words, by_bucket, cut, groups_for, mix, tasks_for, text_bytes, text_runs
 
 WINDOW, PREFIX = 13, 7
 #: Bytes of text whose anchors make one group.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 #: Records that may share an anchor: 6 MB of them. At most MOST_HOT anchors (16 MB) can be listed as shared by more.
 HOT, MOST_HOT = 1 << 16, 1 << 21
 #: Records of a group whose subtrees are built at once.
@@ -422,11 +422,10 @@ def repeats(docs: DataFrame, others: list[str], window: int = WINDOW, prefix: in
     """row (a struct of the columns `others`), text, tk (text key) and late: the maximal repeats of each text that a smaller doc_id has too, as a list of tk and packed spans."""
     spark = docs.sparkSession
     size = text_bytes(docs)
-    groups, tasks = groups_for(size, GROUP_BYTES, 24), tasks_for(spark, size)
+    groups, tasks = groups_for(size, GROUP_BYTES), tasks_for(size)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     limit = max(HOT, size // 8 // MOST_HOT)  # a record needs a word, its separator and, on average, as much again
-    dealt_out = lambda d: d.repartition(max(tasks, groups), "bucket").groupBy("bucket")
-    met = cut(dealt_out(rows.mapInArrow(_send_anchors(groups, window, prefix), BLOB)).applyInArrow(_meet(limit), "doc_id long, at binary"), "anchors")
+    met = cut(by_bucket(rows.mapInArrow(_send_anchors(groups, window, prefix), BLOB), groups).applyInArrow(_meet(limit), "doc_id long, at binary"), "anchors")
     found = b"".join(r["at"] for r in met.where("doc_id is null and length(at) > 0").select("at").toLocalIterator())
     often = np.frombuffer(found, np.uint64).reshape(-1, 2)
     often = often[np.argsort(often[:, 0])]
@@ -437,7 +436,7 @@ def repeats(docs: DataFrame, others: list[str], window: int = WINDOW, prefix: in
     named = whole.where("id is not null").repartition(tasks, "id")
     lists = met.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("at").alias("at"))
     joined = named.join(lists, "id").select("id", "tk", F.coalesce("text", F.lit("")).alias("text"), "at")
-    late = dealt_out(joined.mapInArrow(_send_suffixes(groups, window, prefix, limit, hot), BLOB)).applyInArrow(_trees(window, prefix), "doc_id long, tk long, at binary")
+    late = by_bucket(joined.mapInArrow(_send_suffixes(groups, window, prefix, limit, hot), BLOB), groups).applyInArrow(_trees(window, prefix), "doc_id long, tk long, at binary")
     late = late.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("tk", "at")).alias("late"))
     out = named.join(late, "id", "left").select("row", "text", "tk", "late")
     return out.unionByName(whole.where("id is null").select("row", "text", "tk", F.lit(None).cast(out.schema["late"].dataType).alias("late")))

@@ -1,6 +1,6 @@
 """All registered queries outside the llm folder."""
 
-from .plans import audits, files, flagship, intervals, learning, profiles, ranking, regions, sequences  # noqa: F401
+from .plans import audits, files, flagship, intervals, learning, profiles, ranking, regions, selections, sequences, studies  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

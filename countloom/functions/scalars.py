@@ -96,3 +96,14 @@ def log_gamma(x: Column, shift: int = 10) -> Column:
     series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
     factors = reduce(lambda a, b: a + b, (F.ln(x + i) for i in range(shift)))
     return (z - 0.5) * F.ln(z) - z + 0.91893853320467274178 + series - factors
+
+
+def keyed_hash(key: Column | str, salt: str) -> Column:
+    """32 hexadecimal digits that a key and a salt give on any engine."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.md5(F.concat_ws(":", c.cast("string"), F.lit(salt)).cast("binary"))
+
+
+def keyed_uniform(key: Column | str, salt: str) -> Column:
+    """A number in [0, 1) of 32 bits from keyed_hash()."""
+    return F.conv(F.substring(keyed_hash(key, salt), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)

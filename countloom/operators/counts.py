@@ -1,18 +1,274 @@
-"""Population counts of sequence features and what is derived from them."""
+"""Population counts of sequence features and what is derived from them.
+
+Windows are never rows: a task counts them in arrays and sends partial counts, at most one a key and word for
+each RUN letters, to the shuffle.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Letters counted at once; a longer text goes in pieces that overlap by a window less a letter.
+RUN = 1 << 20
+#: Code of a character among A, C, G and T; 4 for any other.
+DIGIT = np.full(128, 4, np.int64)
+DIGIT[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def _runs(batches, overlap: int):
+    """Of batches whose last column is text: (points, owner, starts) of runs of texts: code points, the row in a list of keys
+    that each text belongs to, and where each begins; and the keys. Null texts are empty."""
+    texts, keys, size = [], [], 0
+
+    def run():
+        data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        return data, np.array([len(x) for x in texts]), list(keys)
+
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        for row in zip(*columns, strict=True):
+            text, at = row[-1] or "", 0
+            while at == 0 or at + overlap < len(text):
+                texts.append(text[at : at + RUN])
+                keys.append(row[:-1])
+                size += len(texts[-1])
+                at += RUN - overlap
+                if size >= RUN:
+                    yield run()
+                    texts, keys, size = [], [], 0
+    if texts:
+        yield run()
+
+
+def _windows_of(points: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of k letters that lie in one text start, and the number of that text."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    if len(points) < k:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.flatnonzero(owner[: len(points) - k + 1] == owner[k - 1 :])
+    return at, owner[at]
+
+
+def _distinct(keys: list) -> tuple[list, np.ndarray]:
+    names = list(dict.fromkeys(keys))
+    number = {x: i for i, x in enumerate(names)}
+    return names, np.array([number[x] for x in keys], np.int64)
+
+
+def _counted(key: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, code) and their counts; codes are below size."""
+    both, n = np.unique(key * size + code, return_counts=True)
+    return both // size, both % size, n
+
+
+def rolling_codes(digits: np.ndarray, k: int) -> np.ndarray:
+    """Base-4 codes of all windows of k letters; 4^k where one of them is no base."""
+    m = len(digits) - k + 1
+    code, fine = np.zeros(max(m, 0), np.int64), np.ones(max(m, 0), bool)
+    for j in range(k if m > 0 else 0):
+        code = code * 4 + (digits[j : j + m] & 3)
+        fine &= digits[j : j + m] < 4
+    return np.where(fine, code, 4**k)
+
+
+def _schema(df: DataFrame, keys: list[str], more: str) -> str:
+    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys), more])
+
+
+def _arrow(df: DataFrame, keys: list[str]) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.select(*keys).schema)
+
+
+def kmer_counts(df: DataFrame, text: str, k: int, keys: list[str]) -> DataFrame:
+    """keys, code, n: how often each k-letter window stands in the texts of each key. A, C, G and T give base-4 codes, windows with
+    any other letter 4^k; text must be folded to upper case before."""
+    kinds = _arrow(df, keys)
+
+    def run(batches):
+        for points, lengths, owners in _runs(batches, k - 1):
+            names, number = _distinct(owners)
+            at, owner = _windows_of(points, lengths, k)
+            codes = rolling_codes(DIGIT[np.minimum(points, 127)], k)[at]
+            key, code, n = _counted(number[owner], codes, 4**k + 1)
+            yield pa.RecordBatch.from_arrays([*(pa.array([names[i][c] for i in key], f.type) for c, f in enumerate(kinds)), pa.array(code), pa.array(n)], [*kinds.names, "code", "n"])
+
+    part = df.select(*keys, text).mapInArrow(run, _schema(df, keys, "code long, n long"))
+    return part.groupBy(*keys, "code").agg(F.sum("n").alias("n"))
+
+
+def word_counts(df: DataFrame, text: str, k: int, keys: list[str]) -> DataFrame:
+    """keys, word, n: the same for windows of any characters, as words; k is at most 3."""
+    kinds = _arrow(df, keys)
+
+    def run(batches):
+        for points, lengths, owners in _runs(batches, k - 1):
+            names, number = _distinct(owners)
+            at, owner = _windows_of(points, lengths, k)
+            code = np.zeros(len(at), np.int64)
+            for j in range(k):
+                code = (code << 21) | points[at + j]
+            words, which = np.unique(code, return_inverse=True)
+            key, which, n = _counted(number[owner], which.reshape(-1), max(1, len(words)))
+            letters = np.stack([words >> 21 * j & (1 << 21) - 1 for j in range(k - 1, -1, -1)], 1).astype("<u4")
+            spelt = [x.tobytes().decode("utf-32-le") for x in letters]
+            yield pa.RecordBatch.from_arrays([*(pa.array([names[i][c] for i in key], f.type) for c, f in enumerate(kinds)), pa.array([spelt[i] for i in which], pa.string()), pa.array(n)], [*kinds.names, "word", "n"])
+
+    part = df.select(*keys, text).mapInArrow(run, _schema(df, keys, "word string, n long"))
+    return part.groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+
+
+def reverse_codes(code: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the reverse complements; 4^k stays."""
+    out, rest = np.zeros_like(code), code.copy()
+    for _ in range(k):
+        out = out * 4 + (3 - rest % 4)
+        rest //= 4
+    return np.where(code == 4**k, code, out)
+
+
+def oriented_counts(df: DataFrame, text: str, sizes: tuple[int, ...], keys: list[str]) -> DataFrame:
+    """keys, strand, k, code, n: each position once a strand and k. On + the word ends at the position; on - it is the reverse
+    complement of the word that begins there; 4^k where it leaves the text or holds another letter."""
+    kinds = _arrow(df, keys)
+    most = max(sizes)
+
+    def run(batches):
+        gap = np.full(most, 4)
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                points = DIGIT[np.minimum(np.frombuffer((row[-1] or "").encode("utf-32-le"), np.uint32), 127)]
+                for lo in range(0, len(points), RUN):
+                    hi = min(len(points), lo + RUN)
+                    before, after = points[max(0, lo - most + 1) : lo], points[hi : hi + most - 1]
+                    yield row[:-1], np.concatenate([gap[: most - 1 - len(before)], before, points[lo:hi], after, gap[: most - 1 - len(after)]])
+
+    def count(batches):
+        held: dict = {}
+        for owner, padded in run(batches):
+            n = len(padded) - 2 * (most - 1)
+            for k in sizes:
+                plus = rolling_codes(padded[most - k : most - 1 + n], k)
+                minus = rolling_codes(padded[most - 1 : most - 1 + n + k - 1], k)
+                for strand, codes in (("+", plus), ("-", minus)):
+                    held.setdefault((owner, strand, k), []).append(codes)
+            if sum(len(c) for v in held.values() for c in v) >= RUN:
+                yield from flush(held)
+                held = {}
+        yield from flush(held)
+
+    def flush(held):
+        for (owner, strand, k), codes in held.items():
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            code = reverse_codes(code, k) if strand == "-" else code
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([owner[c]] * len(n), f.type) for c, f in enumerate(kinds)), pa.array([strand] * len(n)), pa.array([k] * len(n), pa.int32()), pa.array(code), pa.array(n)],
+                [*kinds.names, "strand", "k", "code", "n"],
+            )
+
+    part = df.select(*keys, text).mapInArrow(count, _schema(df, keys, "strand string, k int, code long, n long"))
+    return part.groupBy(*keys, "strand", "k", "code").agg(F.sum("n").alias("n"))
+
+
+def joint_counts(df: DataFrame, text: str, k: int, half: int, keys: list[str]) -> DataFrame:
+    """keys, code, gc, valid, n: how often a k-mer ends at a position whose window of `half` letters each way, clipped at the ends, has so
+    many G and C letters and so many bases. Each position once; 4^k where the word leaves the text or holds another letter."""
+    kinds, wide, halo = _arrow(df, keys), 2 * half + 2, max(half, k - 1)
+
+    def count(owner, codes):
+        code, n = np.unique(np.concatenate(codes), return_counts=True)
+        values = (code // wide // wide, code // wide % wide, code % wide, n)
+        return pa.RecordBatch.from_arrays([*(pa.array([owner[c]] * len(n), f.type) for c, f in enumerate(kinds)), *map(pa.array, values)], [*kinds.names, "code", "gc", "valid", "n"])
+
+    def run(batches):
+        held: dict = {}
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                points = DIGIT[np.minimum(np.frombuffer((row[-1] or "").encode("utf-32-le"), np.uint32), 127)]
+                for lo in range(0, len(points), RUN):
+                    hi = min(len(points), lo + RUN)
+                    part = np.full(hi - lo + 2 * halo, 4)
+                    first, last = max(0, lo - halo), min(len(points), hi + halo)
+                    part[first - lo + halo : last - lo + halo] = points[first:last]
+                    code = rolling_codes(part[halo - k + 1 : halo + hi - lo], k)
+                    sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((part == 1) | (part == 2), part < 4)]
+                    at = np.arange(halo, halo + hi - lo)
+                    gc, valid = (x[at + half + 1] - x[at - half] for x in sums)
+                    held.setdefault(row[:-1], []).append((code * wide + gc) * wide + valid)
+            if sum(len(c) for v in held.values() for c in v) >= RUN:
+                yield from (count(*x) for x in held.items())
+                held = {}
+        yield from (count(*x) for x in held.items())
+
+    part = df.select(*keys, text).mapInArrow(run, _schema(df, keys, "code long, gc long, valid long, n long"))
+    return part.groupBy(*keys, "code", "gc", "valid").agg(F.sum("n").alias("n"))
+
+
+def word_places(df: DataFrame, text: str, words: list[str], width: int, keys: list[str]) -> DataFrame:
+    """keys, word, bin, n: where the words begin (overlapping ones too), in bins of `width` letters."""
+    kinds = _arrow(df, keys)
+
+    def run(batches):
+        for b in batches:
+            seen: dict = {}
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for w in words:
+                    at = (row[-1] or "").find(w)
+                    while at >= 0:
+                        name = (*row[:-1], w, at // width)
+                        seen[name] = seen.get(name, 0) + 1
+                        at = row[-1].find(w, at + 1)
+            rows = [(*k, n) for k, n in seen.items()]
+            types = [*(f.type for f in kinds), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], [*kinds.names, "word", "bin", "n"])
+
+    part = df.select(*keys, text).mapInArrow(run, _schema(df, keys, "word string, bin long, n long"))
+    return part.groupBy(*keys, "word", "bin").agg(F.sum("n").alias("n"))
+
+
+def backoff_scores(table: DataFrame, sizes: tuple[int, ...], strength: float | None = None) -> DataFrame:
+    """table (code, total, positive) of words of the largest size with score (positive + s * parent) / (total + s); the parent is the score of
+    the word's suffix of the next smaller size, the prevalence for the smallest, and N/edge of N/edge. s = 1 / prevalence unless given."""
+    g = table.agg((F.sum("positive") / F.sum("total")).alias("prevalence"))
+    s = F.lit(strength) if strength is not None else F.try_divide(F.lit(1.0), F.col("prevalence"))
+    most = max(sizes)
+    parent = lambda code, k: F.when(code == 4**most, F.lit(4**k)).otherwise(code % 4**k)
+    score = None
+    for k in sorted(sizes):
+        rows = table.groupBy(parent(F.col("code"), k).cast("long").alias("_code")).agg(F.sum("total").alias("total"), F.sum("positive").alias("positive")).crossJoin(F.broadcast(g))
+        if score is None:
+            rows = rows.withColumn("_parent", F.col("prevalence"))
+        else:
+            shorter, size = score
+            up = F.when(F.col("_code") == 4**k, F.lit(4**size)).otherwise(F.col("_code") % 4**size)
+            rows = rows.withColumn("_up", up.cast("long")).join(shorter.select(F.col("_code").alias("_up"), F.col("score").alias("_parent")), "_up")
+        score = rows.withColumn("score", (F.col("positive") + s * F.col("_parent")) / (F.col("total") + s)).select("_code", "total", "positive", "score"), k
+    return score[0].withColumnRenamed("_code", "code")
+
+
+def window_sums(df: DataFrame, text: str, key: str, half: int) -> DataFrame:
+    """key, positions, gc, valid, most_gc: over all positions of a text, the sums of the G and C letters and of the bases in the window of
+    `half` letters each way, clipped at the ends, and the largest G and C count. Prefix sums; nothing is exploded."""
+    kinds = _arrow(df, [key])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                points = DIGIT[np.minimum(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), 127)]
+                n = len(points)
+                lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
+                gc, valid = (np.concatenate([[0], np.cumsum(x)]) for x in ((points == 1) | (points == 2), points < 4))
+                near = gc[hi] - gc[lo]
+                out.append((name, n, int(near.sum()), int((valid[hi] - valid[lo]).sum()), int(near.max(initial=0))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(0).type if i == 0 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))] if out else [pa.array([], kinds.field(0).type), *[pa.array([], pa.int64())] * 4],
+                                             [key, "positions", "gc", "valid", "most_gc"])
 
-def windows(df: DataFrame, text: str, k: int) -> DataFrame:
-    """df with word: every k-letter window of a text, one row each. Letters are split once, so that long texts cost no more a letter than short ones."""
-    rows = df.withColumn("_c", F.split(text, "")).withColumn("_n", F.length(text))
-    c = F.col("_c")
-    word = lambda i: F.concat(*(F.get(c, i + j) for j in range(k)))
-    rows = rows.where(F.col("_n") >= k).withColumn("word", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - k), word)))
-    return rows.drop("_c", "_n")
+    return df.select(key, text).mapInArrow(run, _schema(df, [key], "positions long, gc long, valid long, most_gc long"))
 
 
 def category_table(rows: DataFrame, key: str, y: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import cumulative
+from .pins import pinned
+from .ranks import cumulative, scan
 
 
 def with_offsets(intervals: DataFrame, order: list[Column]) -> DataFrame:
@@ -22,11 +22,35 @@ def template(intervals: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumnsRenamed({"offset": "template_start", "stop": "template_stop"})
 
 
-def violations(intervals: DataFrame) -> DataFrame:
-    """Per contig: empty or negative intervals, and those that overlap the one before."""
-    before = F.lag("end").over(W.partitionBy("contig").orderBy("start", "end"))
-    rows = intervals.withColumn("late", F.coalesce(before > F.col("start"), F.lit(False)))
-    return rows.groupBy("contig").agg(F.count_if((F.col("start") < 0) | (F.col("end") <= F.col("start"))).alias("bad_bounds"), F.count_if("late").alias("overlaps"))
+def violations(intervals: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """Per contig: empty or negative intervals, or such as end beyond the contig; those that overlap the one before; with lengths (contig,
+    length) also those of unknown contigs. The end before is carried over ranges, so a hot contig is many tasks."""
+    rows = intervals.select("contig", "start", "end").withColumn("_id", F.monotonically_increasing_id())
+    rows = scan(rows, ["start", "end", "_id"], {"_before": ("last", F.col("end"))}, ["contig"], exclusive=True)
+    bad, found = (F.col("start") < 0) | (F.col("end") <= F.col("start")), [F.count_if(F.coalesce(F.col("_before") > F.col("start"), F.lit(False))).alias("overlaps")]
+    if lengths is not None:
+        known = lengths.select("contig", F.col("length").alias("_length"))
+        rows = rows.join(known, "contig", "left")
+        bad = bad | F.coalesce(F.col("end") > F.col("_length"), F.lit(False))
+        found.append(F.count_if(F.col("_length").isNull()).alias("unknown"))
+    return rows.groupBy("contig").agg(F.count_if(bad).alias("bad_bounds"), *found)
+
+
+def checked_intervals(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
+    """intervals, if they are in bounds of known contigs and do not overlap; else ValueError."""
+    wrong = violations(intervals, lengths).where("bad_bounds > 0 or overlaps > 0 or unknown > 0").limit(5).collect()
+    if wrong:
+        raise ValueError(f"bad intervals, of each contig: {[r.asDict() for r in wrong]}")
+    return intervals
+
+
+def checked_lengths(index: DataFrame, least: int = 1) -> DataFrame:
+    """index (contig, length, ...), if it has rows, contigs are unique and not null and lengths are at least `least`; else ValueError."""
+    facts = index.groupBy("contig").agg(F.count("*").alias("n"), F.min("length").alias("length")).agg(F.count("*").alias("n"), F.count_if(F.expr(f"n > 1 or contig is null or length is null or length < {least}")).alias("bad"))
+    n, bad = facts.head()
+    if not n or bad:
+        raise ValueError("a contig index needs rows, unique names and lengths that are large enough")
+    return index
 
 
 def contained(points: DataFrame, intervals: DataFrame, bin_width: int, how: str = "inner") -> DataFrame:
@@ -47,12 +71,24 @@ def tiles(intervals: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("contig", "tile").agg(F.sum(inside).alias("bases"))
 
 
+def tile_table(intervals: DataFrame, positives: DataFrame, width: int) -> DataFrame:
+    """tiles() with positives, their total count, negatives, and both sampling probabilities: a tile's share of positives and of negatives.
+
+    positives: (contig, pos, count), a row a position."""
+    hits = positives.groupBy("contig", F.floor(F.col("pos") / width).alias("tile")).agg(F.count("*").alias("positives"), F.sum("count").alias("total"))
+    rows = tiles(intervals, width).join(hits, ["contig", "tile"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("positives", "total")}).withColumn("negatives", F.col("bases") - F.col("positives"))
+    whole = rows.agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
+    rows = rows.crossJoin(F.broadcast(whole))
+    return rows.withColumn("p_positive", F.try_divide("positives", "_p")).withColumn("p_negative", F.try_divide("negatives", "_n")).drop("_p", "_n")
+
+
 def merged(intervals: DataFrame) -> DataFrame:
-    """Touching and overlapping intervals of a contig as one."""
-    w = W.partitionBy("contig").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = intervals.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Touching and overlapping intervals of a contig as one. The largest end so far is carried over ranges, so a hot contig is many tasks."""
+    rows = intervals.select("contig", "start", "end").withColumn("_id", F.monotonically_increasing_id())
+    rows = scan(rows, ["start", "end", "_id"], {"_before": ("max", F.col("end"))}, ["contig"], exclusive=True)
+    rows = rows.withColumn("_new", F.when(F.col("_before") >= F.col("start"), 0).otherwise(1))
+    rows = scan(rows, ["start", "end", "_id"], {"island": ("sum", F.col("_new"))}, ["contig"])
     return rows.groupBy("contig", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
@@ -68,14 +104,56 @@ def pooled(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, r1.alias("r1"), r2.alias("r2"), (r1 + r2).alias("count"), ((r1 + r2) > 0).cast("int").alias("target"))
 
 
-def nearest(queries: DataFrame, events: DataFrame) -> DataFrame:
-    """Of queries (contig, pos, ...) the nearest event (contig, pos) of the contig: near, distance; the left one wins ties."""
-    rows = queries.withColumn("_e", F.lit(None).cast("long")).unionByName(events.select("contig", "pos").distinct().withColumn("_e", F.col("pos")), allowMissingColumns=True)
-    rows = rows.withColumn("_q", F.col("_e").isNull())
-    w = W.partitionBy("contig").orderBy("pos")
-    rows = rows.withColumn("_l", F.last("_e", True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("_r", F.first("_e", True).over(w.rangeBetween(0, W.unboundedFollowing)))
+def nearest(queries: DataFrame, events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of queries (contig, pos, ...) the nearest event (contig, pos) of the contig, or of equal `by` columns: near, distance; the left one wins ties.
+
+    The last event on each side is carried over ranges of positions, so a hot contig is many tasks."""
+    by = by or ["contig"]
+    rows = queries.withColumn("_id", F.monotonically_increasing_id()).withColumn("_e", F.lit(None).cast("long"))
+    rows = rows.unionByName(events.select(*by, "pos").distinct().withColumn("_e", F.col("pos")), allowMissingColumns=True)
+    rows = rows.withColumn("_q", F.col("_e").isNull().cast("int")).withColumn("_back", -F.col("pos")).withColumn("_id", F.coalesce("_id", F.lit(-1)))
+    rows = scan(rows, ["pos", "_q", "_id"], {"_l": ("last", F.col("_e"))}, by)
+    rows = scan(rows, ["_back", "_q", "_id"], {"_r": ("last", F.col("_e"))}, by)
     near = F.when(F.col("_r").isNull() | (F.col("pos") - F.col("_l") <= F.col("_r") - F.col("pos")), F.col("_l")).otherwise(F.col("_r"))
-    return rows.where("_q").select(*queries.columns, near.alias("near"), F.abs(F.col("pos") - near).alias("distance"))
+    return rows.where("_q = 1").select(*queries.columns, near.alias("near"), F.abs(F.col("pos") - near).alias("distance"))
+
+
+def nearest_by_strand(queries: DataFrame, events: DataFrame) -> DataFrame:
+    """queries (contig, pos, strand, ...) with mode (same, opposite, any strand), near, distance, and oriented: near less pos along the query's strand."""
+    other = F.when(F.col("strand") == "+", "-").otherwise("+")
+    asked = queries.withColumn("mode", F.explode(F.array(*map(F.lit, ("same", "opposite", "any")))))
+    asked = asked.withColumn("_want", F.when(F.col("mode") == "same", F.col("strand")).when(F.col("mode") == "opposite", other).otherwise("any"))
+    offered = events.select("contig", "pos", F.explode(F.array("strand", F.lit("any"))).alias("_want"))
+    out = nearest(asked, offered, ["contig", "_want"]).drop("_want")
+    return out.withColumn("oriented", (F.col("near") - F.col("pos")) * F.when(F.col("strand") == "+", 1).otherwise(-1))
+
+
+def population_join(population: DataFrame, positives: DataFrame, on: list[str]) -> DataFrame:
+    """population (on, total) with positive, 0 where positives (on, positive) has no row; ValueError where positives exceed the population or fall outside it."""
+    rows = pinned(checked_join(population, positives, on, "full_outer", "one_to_one"))
+    if not rows.where("total is null or positive > total").isEmpty():
+        raise ValueError("more positives than population")
+    return rows.withColumn("positive", F.coalesce("positive", F.lit(0)).cast("long"))
+
+
+def category_scores(rows: DataFrame, scores: DataFrame, on: list[str], score: str = "score") -> DataFrame:
+    """rows with the score of their category; ValueError where a category that occurs has none."""
+    missing = rows.select(*on).distinct().join(scores.where(F.col(score).isNotNull()), on, "left_anti")
+    if not missing.isEmpty():
+        raise ValueError(f"categories without a score, such as {missing.limit(3).collect()}")
+    return checked_join(rows, scores, on, "left")
+
+
+def linear_positions(index: DataFrame, spans: DataFrame, bin_width: int, column: str = "template_index") -> DataFrame:
+    """index rows (column, ...) with contig, strand and pos, through spans (contig, strand, start, template_start, template_stop); ValueError out of range."""
+    side = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("template_start") / bin_width), F.floor((F.col("template_stop") - 1) / bin_width))))
+    rows = index.withColumn("_bin", F.floor(F.col(column) / bin_width))
+    inside = (F.col(f"r.{column}") >= F.col("s.template_start")) & (F.col(f"r.{column}") < F.col("s.template_stop"))
+    out = rows.alias("r").join(side.alias("s"), (F.col("r._bin") == F.col("s._bin")) & inside, "left")
+    out = pinned(out.select("r.*", "s.contig", "s.strand", (F.col("s.start") + F.col(f"r.{column}") - F.col("s.template_start")).alias("pos")).drop("_bin"))
+    if not out.where("contig is null").isEmpty():
+        raise ValueError("an index lies outside the template")
+    return out
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", validate: str = "many_to_one") -> DataFrame:

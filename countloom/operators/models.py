@@ -161,3 +161,20 @@ def aligned_predictions(model: PipelineModel, rows: DataFrame, sample: DataFrame
 def letter_bags(text: str, k: int = 3, size: int = 4096) -> Pipeline:
     """k-letter bags of whole texts, hashed to a fixed width."""
     return Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="_c", pattern="(?s).", gaps=False), NGram(n=k, inputCol="_c", outputCol="_k"), HashingTF(inputCol="_k", outputCol="features", numFeatures=size)])
+
+
+#: Groups whose sizes may come to the driver to be dealt one after the other; more go round the folds by falling size.
+MOST_GROUPS = 100_000
+
+
+def lightest_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
+    """group, n, fold: groups by falling size, then name, each to the fold that has the fewest rows so far."""
+    sizes = pinned(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")))
+    if sizes.count() > MOST_GROUPS:
+        return ranks.row_numbers(sizes, [F.desc("n"), F.asc(group)], "r").select(group, "n", ((F.col("r") - 1) % folds).cast("int").alias("fold"))
+    held, out = [0] * folds, []
+    for name, n in sizes.orderBy(F.desc("n"), group).collect():
+        fold = held.index(min(held))
+        held[fold] += n
+        out.append((name, n, fold))
+    return df.sparkSession.createDataFrame(out, f"`{group}` {sizes.schema[group].dataType.simpleString()}, n long, fold int")

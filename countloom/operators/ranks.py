@@ -45,3 +45,55 @@ def value_ranks(df: DataFrame, value: str, descending: bool = False, parts: int
     order = [F.desc(value) if descending else F.asc(value)]
     out = cumulative(counts, order, {"upto": F.col("n"), "dense": F.lit(1).cast("long")}, parts=parts)
     return out.select(value, "n", "dense", (F.col("upto") - F.col("n")).alias("below"), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("average"))
+
+
+def scan(df: DataFrame, order: list[str], found: dict[str, tuple[str, Column]], by: list[str] | None = None, parts: int | None = None, exclusive: bool = False) -> DataFrame:
+    """df with running values in ascending `order`, overall or in each group `by`, the row itself included unless exclusive.
+
+    found: name -> (kind, column) with kind sum, max or last (the last value that is not null). As in cumulative(), order must tell
+    rows apart, rows are dealt by range, and one row a partition and group carries values over, so a hot group is many tasks."""
+    by = by or []
+    rows = _spread(df, [*(F.col(c) for c in by), *(F.col(c) for c in order)], parts)
+    inside = W.partitionBy("_part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    over = {"sum": lambda c, w: F.sum(c).over(w), "max": lambda c, w: F.max(c).over(w), "last": lambda c, w: F.last(c, True).over(w)}
+    whole = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.struct(*order)))}
+    total = rows.groupBy("_part", *by).agg(*(whole[kind](c).alias(f"_t_{k}") for k, (kind, c) in found.items()))
+    shift = total.select(F.col("_part").alias("_p2"), *(F.col(c).alias(f"_by_{c}") for c in by), *(over[kind](F.col(f"_t_{k}"), before).alias(f"_s_{k}") for k, (kind, _) in found.items()))
+    part = rows.withColumns({f"_r_{k}": over[kind](c, inside) for k, (kind, c) in found.items()})
+    same = [F.col("_part") == F.col("_p2"), *(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)]
+    r, s = (lambda k: F.col(f"_r_{k}")), (lambda k: F.col(f"_s_{k}"))
+    join = {"sum": lambda k: F.coalesce(r(k), F.lit(0)) + F.coalesce(s(k), F.lit(0)), "max": lambda k: F.greatest(r(k), s(k)), "last": lambda k: F.coalesce(r(k), s(k))}
+    return part.join(shift, same).select(*df.columns, *(join[kind](k).alias(k) for k, (kind, _) in found.items()))
+
+
+def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """by, q, value: exact linear quantiles of the values that are not null, from two-level ranks of distinct values, so that no task
+    holds all values. weight: how often a row counts. The rows asked for (groups x probs x 2) are broadcast."""
+    by = by or []
+    n = F.sum(weight) if weight else F.count("*")
+    levels = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(n.cast("long").alias("_n"))
+    c = cumulative(levels, [F.asc("_v")], {"_upto": F.col("_n")}, by)
+    at = c.groupBy(*by).agg(F.max("_upto").alias("_all")).withColumn("q", F.explode(F.array(*(F.lit(float(p)) for p in probs)))).withColumn("_p", F.col("q") * (F.col("_all") - 1))
+    ends = at.select(*(F.col(x).alias(f"_by_{x}") for x in by), "q", "_p", F.explode(F.array(F.floor("_p") + 1, F.ceil("_p") + 1)).alias("_r")).distinct()
+    on = [(F.col("_upto") - F.col("_n") < F.col("_r")) & (F.col("_r") <= F.col("_upto")), *(F.col(x).eqNullSafe(F.col(f"_by_{x}")) for x in by)]
+    found = c.join(F.broadcast(ends), on).groupBy(*by, "q", "_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    return found.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_p") - F.floor("_p"))).alias("value"))
+
+
+def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, q, value: quantiles by mid-point weights: a distinct value stands at (weight so far - own weight / 2) / all weight; linear between
+    two of them, the end values beyond."""
+    by = by or []
+    levels = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).cast("double").alias("_w")).where("_w > 0")
+    c = cumulative(levels, [F.asc("_v")], {"_upto": F.col("_w")}, by)
+    whole = c.groupBy(*(F.col(x).alias(f"_by_{x}") for x in by)).agg(F.max("_upto").alias("_all"))
+    same = [F.col(x).eqNullSafe(F.col(f"_by_{x}")) for x in by]
+    c = (c.join(F.broadcast(whole), same) if by else c.crossJoin(F.broadcast(whole))).withColumn("_at", (F.col("_upto") - F.col("_w") / 2) / F.col("_all"))
+    c = c.select(*by, "_at", "_v", F.explode(F.array(*(F.lit(float(p)) for p in probs))).alias("q"))
+    low, high = F.col("_at") <= F.col("q"), F.col("_at") >= F.col("q")
+    end = F.struct("_at", "_v")
+    out = c.groupBy(*by, "q").agg(F.max(F.when(low, end)).alias("l"), F.min(F.when(high, end)).alias("h"))
+    a, b, x, y = F.col("l._at"), F.col("h._at"), F.col("l._v"), F.col("h._v")
+    inside = F.when(a == b, x).otherwise(x + (y - x) * (F.col("q") - a) / (b - a))
+    return out.select(*by, "q", F.when(F.col("l").isNull(), y).when(F.col("h").isNull(), x).otherwise(inside).alias("value"))

@@ -23,7 +23,8 @@ select cast(sum(total) as bigint) as windows, cast(sum(positive) as bigint) as p
 """)
 def flagship_kmer_score(t):
     rows = t("documents").join(t("labels"), "doc_id").select("text", F.col("quality").alias("y"))
-    table = counts.category_table(counts.windows(rows, "text", 2).select("word", "y"), "word", "y").select("word", "total", "positive")
+    found = counts.word_counts(rows, "text", 2, ["y"])
+    table = found.groupBy("word").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("y")).alias("positive"))
     levels = counts.smoothed_scores(table).groupBy("score").agg(F.sum("total").alias("total"), F.sum("positive").alias("positive"))
     ap = metrics.average_precision(levels)
     return ap.crossJoin(levels.agg(F.count("*").alias("levels"))).select(F.col("total").alias("windows"), "positive", "levels", rounded(F.col("ap")).alias("average_precision"))

@@ -22,9 +22,10 @@ SPANS = f"select o_custkey as contig, cast(min({DAY}) as bigint) as start, cast(
 POINTS = f"select o_custkey as contig, cast({DAY} as bigint) as pos, o_orderkey, o_totalprice from orders"
 
 
-@query("select doc_id as contig, cast(length(text) as bigint) as length from documents")
+@query("select doc_id as contig, cast(coalesce(length(text), 0) as bigint) as length from documents")
 def a2_contig_lengths(t):
-    return t("documents").groupBy(F.col("doc_id").alias("contig")).agg(F.max(F.length("text")).cast("long").alias("length"))
+    """Lengths of the texts as contigs; an id that occurs twice is an error."""
+    return iv.checked_lengths(t("documents").select(F.col("doc_id").alias("contig"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length")), least=0)
 
 
 @query(f'with s as ({SPANS}) select contig, start, "end" - start as length, cast(sum("end" - start) over (order by contig) - ("end" - start) as bigint) as whitelist_offset from s')
@@ -93,13 +94,13 @@ def c4_population_join(t):
     rows = t("lineitem")
     total = rows.groupBy("l_suppkey").agg(F.count("*").alias("total"))
     hits = rows.where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count("*").alias("positive"))
-    return iv.checked_join(total, hits, ["l_suppkey"], "left", "one_to_one").select("l_suppkey", "total", F.coalesce("positive", F.lit(0)).cast("long").alias("positive"))
+    return iv.population_join(total, hits, ["l_suppkey"])
 
 
 @query("""with s as (select l_suppkey, round(avg(l_discount), 8) as score from lineitem group by 1) select l_orderkey, l_linenumber, score from lineitem join s using (l_suppkey)""")
 def c5_category_lookup(t):
     scores = t("lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_discount"), 8).alias("score"))
-    return iv.checked_join(t("lineitem"), scores, ["l_suppkey"]).select("l_orderkey", "l_linenumber", "score")
+    return iv.category_scores(t("lineitem"), scores, ["l_suppkey"]).select("l_orderkey", "l_linenumber", "score")
 
 
 MINUTE = "cast(floor(epoch(ts) / 60) as bigint)"

@@ -87,8 +87,7 @@ BIN_SQL = f"(select doc_id, cast(floor(100.0 * (length(regexp_replace({UP}, '[^C
 
 def joint(t):
     gc = F.floor(100.0 * sc.letter_count(F.col("seq"), "CG") / F.length("seq")).alias("gc_bin")
-    rows = counts.windows(sequences(t).where(F.length("seq") > 0).select("seq", gc), "seq", 2)
-    return rows.groupBy(sc.kmer_code(F.col("word"), 2).alias("code"), "gc_bin").agg(F.count("*").alias("n"))
+    return counts.kmer_counts(sequences(t).where(F.length("seq") > 0).select("seq", gc), "seq", 2, ["gc_bin"])
 
 
 @query(f"select cast({_code(2)} as bigint) as code, gc_bin, count(*) as n from ({_windows(2)}) join {BIN_SQL} using (doc_id) group by 1, 2")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import counts
+from ..operators.pins import pinned
 from .registry import query
 
 UP = "translate(text, 'acgt', 'ACGT')"
@@ -39,21 +40,29 @@ def _windows(k, text=UP, columns="doc_id, source"):
 
 @query(f"select cast({_code(2)} as bigint) as code, count(*) as n from ({_windows(2)}) group by 1")
 def d2_dinucleotide_codes(t):
-    rows = counts.windows(sequences(t), "seq", 2)
-    return rows.groupBy(sc.kmer_code(F.col("word"), 2).alias("code")).agg(F.count("*").alias("n"))
+    return counts.kmer_counts(sequences(t), "seq", 2, [])
 
 
 @query(f"select source, cast({_code(4)} as bigint) as code, count(*) as n from ({_windows(4)}) group by 1, 2")
 def e1_kmer_counts(t):
-    rows = counts.windows(sequences(t), "seq", 4)
-    return rows.groupBy("source", sc.kmer_code(F.col("word"), 4).alias("code")).agg(F.count("*").alias("n"))
+    return counts.kmer_counts(sequences(t), "seq", 4, ["source"])
+
+
+@query(f"""with w as (select source, w, count(*) as n from ({_windows(15, f"('NNNNNNN' || {UP} || 'NNNNNNN')")}) group by 1, 2),
+k as (select source, unnest([2, 4, 6, 8]) as k, w, n from w),
+o as (select source, '+' as strand, k, substr(w, 9 - k, k) as s, n from k union all select source, '-', k, reverse(translate(substr(w, 8, k), 'ACGTacgt', 'TGCAtgca')), n from k)
+select source, strand, k, cast(case when regexp_matches(s, '^[ACGT]+$') then list_sum([(strpos('ACGT', substr(s, i, 1)) - 1) * power(4, k - i) for i in range(1, k + 1)]) else power(4, k) end as bigint) as code,
+  cast(sum(n) as bigint) as n from o group by 1, 2, 3, 4""")
+def e1_oriented_kmers(t):
+    """2-, 4-, 6- and 8-mers on both strands that end at each position, in one pass; N/edge is 4^k, so each strand and k counts every position once."""
+    return counts.oriented_counts(sequences(t), "seq", (2, 4, 6, 8), ["source"])
 
 
 @query(f"""with c as (select cast({_code(4)} as bigint) as code, count(*) as n from ({_windows(4)}) group by 1),
 m as (select unnest([1, 2, 3]) as k, code, n from c)
 select k, cast(case when code = 256 then power(4, k) else code % cast(power(4, k) as bigint) end as bigint) as parent, cast(sum(n) as bigint) as n from m group by 1, 2""")
 def d5_suffix_marginals(t):
-    c = counts.windows(sequences(t), "seq", 4).groupBy(sc.kmer_code(F.col("word"), 4).alias("code")).agg(F.count("*").alias("n"))
+    c = counts.kmer_counts(sequences(t), "seq", 4, [])
     m = c.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     size = F.pow(F.lit(4), F.col("k")).cast("long")
     return m.groupBy("k", F.when(F.col("code") == 256, size).otherwise(F.col("code") % size).alias("parent")).agg(F.sum("n").alias("n"))
@@ -71,18 +80,13 @@ def d11_sequence_stats(t):
 
 
 @query("""with w as (select doc_id, chr.i as pos, case when regexp_matches(chr.c, '[CGcg]') then 1 else 0 end as gc, case when regexp_matches(chr.c, '[ACGTacgt]') then 1 else 0 end as valid
-  from (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, length(text) + 1)) as i from documents where doc_id < 100) chr),
+  from (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, length(text) + 1)) as i from documents) chr),
 s as (select doc_id, pos, sum(gc) over (partition by doc_id order by pos range between 50 preceding and 50 following) as gc, sum(valid) over (partition by doc_id order by pos range between 50 preceding and 50 following) as valid from w)
-select doc_id, cast(sum(gc) as bigint) as gc, cast(sum(valid) as bigint) as valid, max(gc) as top from s group by 1""".replace(" where doc_id < 100", ""))
+select doc_id, cast(sum(gc) as bigint) as gc, cast(sum(valid) as bigint) as valid, max(gc) as top from s group by 1""")
 def d6_window_composition(t):
     """Centred windows by prefix sums inside each text: the sum over positions of the window counts, and the largest."""
-    flags = lambda pattern: F.transform(F.split("seq", ""), lambda c: F.when(c.rlike(pattern), 1).otherwise(0))
-    rows = sequences(t).where(F.length("seq") > 0).select("doc_id", F.posexplode(F.arrays_zip(flags("[CG]").alias("gc"), flags("[ACGT]").alias("valid"))).alias("pos", "x")).select("doc_id", "pos", "x.gc", "x.valid")
-    from pyspark.sql import Window as W
-
-    near = W.partitionBy("doc_id").orderBy("pos").rangeBetween(-50, 50)
-    rows = rows.select("doc_id", F.sum("gc").over(near).alias("gc"), F.sum("valid").over(near).alias("valid"))
-    return rows.groupBy("doc_id").agg(F.sum("gc").alias("gc"), F.sum("valid").alias("valid"), F.max("gc").cast("long").alias("top"))
+    rows = sequences(t).where(F.length("seq") > 0)
+    return counts.window_sums(rows, "seq", "doc_id", 50).select("doc_id", "gc", "valid", F.col("most_gc").alias("top"))
 
 
 @query("""select case when l_discount >= 0.08 then 4 when l_discount >= 0.06 then 3 when l_discount >= 0.03 then 2 when l_discount >= 0.01 then 1 else 0 end as code, count(*) as n,
@@ -106,7 +110,7 @@ def d8_pair_observed_expected(t):
 f as (select source, word, n / sum(n) over (partition by source) as f from b), c as (select word, sum(f) / (select count(distinct source) from documents) as f from f group by 1)
 select source, round(sum(f.f * c.f) / (sqrt(sum(f.f * f.f)) * (select sqrt(sum(f * f)) from c)), 8) as cosine from f join c using (word) group by 1""")
 def d12_centroid_cosine(t):
-    b = counts.windows(t("documents"), "text", 2).groupBy("source", "word").agg(F.count("*").alias("n"))
+    b = pinned(counts.word_counts(t("documents"), "text", 2, ["source"]))
     f = b.join(b.groupBy("source").agg(F.sum("n").alias("all")), "source").select("source", "word", (F.col("n") / F.col("all")).alias("f"))
     groups = t("documents").agg(F.countDistinct("source").alias("groups"))
     c = f.groupBy("word").agg(F.sum("f").alias("s")).crossJoin(groups).select("word", (F.col("s") / F.col("groups")).alias("c"))
@@ -133,7 +137,9 @@ def e13_base_frequency(t):
 n as (select word, count(*) filter (where lang = 'en') as a, count(*) filter (where lang <> 'en') as b from b group by 1)
 select word, a as en, b as other, round(log2((a + 1) / (b + 1)), 10) as log_ratio from n order by a desc, word limit 50""")
 def e14_cohort_kmers(t):
-    n = counts.windows(t("documents").select("lang", "text"), "text", 3).groupBy("word").agg(F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") != "en").alias("other"))
+    rows = counts.word_counts(t("documents"), "text", 3, ["lang"])
+    of = lambda keep: F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0)).alias
+    n = rows.groupBy("word").agg(of(F.col("lang") == "en")("en"), of(F.col("lang") != "en")("other"))
     return n.withColumn("log_ratio", F.round(sc.log2_ratio(F.col("en"), F.col("other")), 10)).orderBy(F.desc("en"), "word").limit(50)
 
 

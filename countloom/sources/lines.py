@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranks
+from ..operators.intervals import checked_lengths
 from ..operators.pins import pinned
 
 
@@ -88,3 +89,17 @@ def read_ordered(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("file").agg(F.count("*").alias("n"))
     before = ranks.cumulative(files, [F.asc("file")], {"upto": F.col("n")}).select("file", (F.col("upto") - F.col("n")).alias("before"))
     return rows.join(F.broadcast(before), "file").select((F.col("before") + F.col("line_no")).alias("line_no"), "value")
+
+
+def sequence_index(records: DataFrame, order: str, length: str, line: int) -> DataFrame:
+    """contig, length, byte_offset (of the first base), line_bases, line_bytes of records `>name`, then lines of `line` bases, in the order of a key that is also the name."""
+    name = F.col(order).cast("string")
+    body = F.col(length) + F.ceil(F.col(length) / line)
+    rows = records.select(F.col(order).alias("_key"), name.alias("contig"), F.col(length).cast("long").alias("length"), body.alias("_body"), (F.length(name) + 2 + body).alias("_bytes"))
+    out = ranks.cumulative(rows, [F.asc("_key")], {"_end": F.col("_bytes")})
+    return out.select("contig", "length", (F.col("_end") - F.col("_body")).cast("long").alias("byte_offset"), F.lit(line).cast("long").alias("line_bases"), F.lit(line + 1).cast("long").alias("line_bytes"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated sequence index; ValueError if it is empty, repeats a contig or has a length that is not positive."""
+    return checked_lengths(spark.read.schema("contig string, length long, byte_offset long, line_bases long, line_bytes long").option("sep", "\t").csv(path))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ranks
+
 
 @dataclass
 class Catalog:
@@ -141,3 +143,36 @@ def sparse_signal(bed: DataFrame, allowed: DataFrame | None = None, bin_width: i
         if not found.isEmpty():
             raise ValueError(what)
     return rows
+
+
+def split_report(source: DataFrame, parts: dict[str, DataFrame], group: str) -> DataFrame:
+    """One row: rows of the source that no part has (missing), rows that the parts have beyond the source (extra), groups in several parts (shared)."""
+    whole = None
+    for name, df in parts.items():
+        one = df.select(*source.columns).withColumn("_split", F.lit(name))
+        whole = one if whole is None else whole.unionByName(one)
+    rows = whole.drop("_split")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    shared = whole.groupBy(group).agg(F.countDistinct("_split").alias("_n")).where("_n > 1")
+    return n(source.exceptAll(rows), "missing").crossJoin(F.broadcast(n(rows.exceptAll(source), "extra"))).crossJoin(F.broadcast(n(shared, "shared")))
+
+
+def checked_split(source: DataFrame, parts: dict[str, DataFrame], group: str) -> None:
+    """ValueError unless the parts hold each source row once and no group is in two of them."""
+    found = split_report(source, parts, group).head().asDict()
+    if any(found.values()):
+        raise ValueError(f"not a split of the source: {found}")
+
+
+def prepare_rows(df: DataFrame, target: str, least: int = 1, time: list[str] | None = None, group: str | None = None, least_groups: int = 2) -> DataFrame:
+    """df with row (its place in the order of the `time` columns), after checks in one pass: the target is never null, each of its values has
+    `least` rows, groups are not null and there are enough. ValueError names all that is wrong."""
+    facts = df.groupBy(target).agg(F.count("*").alias("n"))
+    few = facts.agg(F.coalesce(F.sum(F.when(F.col(target).isNull(), F.col("n"))), F.lit(0)).alias("null"), F.coalesce(F.min(F.when(F.col(target).isNotNull(), F.col("n"))), F.lit(0)).alias("least")).head()
+    wrong = [f"{few['null']} rows without a target"] * bool(few["null"]) + [f"a target value of {few['least']} rows"] * (few["least"] < least)
+    if group:
+        n, null = df.agg(F.countDistinct(group), F.count_if(F.col(group).isNull())).head()
+        wrong += [f"{null} rows without a group"] * bool(null) + [f"only {n} groups"] * (n < least_groups)
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return ranks.row_numbers(df, [F.asc(c) for c in time], "row") if time else df

@@ -11,12 +11,13 @@ differed would raise.
 
 Nulls and odd rows: null text and null role are empty; null turns sort first; equal turns sort by role
 and text; a null conv_id is a conversation of its own; other columns are ignored. A conversation is one row and
-one string, so its turns meet in one task.
+one string, so its turns meet in one task; the place of each turn is a running sum over them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -70,9 +71,15 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant") -> Dat
 
     turns has conv_id, turn, role, text."""
     clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    one = F.struct(F.col("turn"), clean("role").alias("role"), clean("text").alias("text"))
-    conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("k"))
-    conv = conv.select("conv_id", F.transform("k", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
+    rows = turns.select("conv_id", "turn", clean("role").alias("role"), clean("text").alias("text"))
+    order, places = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0), []
+    for kind, role, text in (("plain", F.col("role"), F.col("text")), ("marked", _role_out(F.col("role")), escape(F.col("text")))):
+        head, body = F.length(role) + len(START) + 1, F.length(text)  # of each turn as it stands in either form of the conversation
+        at = F.sum(head + body + len(END)).over(order) - body - len(END)
+        places.append(F.struct(at.cast("int").alias("start"), body.alias("length")).alias(kind))
+    rows = rows.select("conv_id", F.struct("turn", "role", "text", *places).alias("one"))
+    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("k"))
+    conv = conv.withColumn("source", F.transform("k", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     back = lambda c: F.transform(parse(c), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     closed = lambda c: F.forall(parse(c), lambda t: t["closed"])
     conv = conv.withColumn("raw", joined(render(F.col("source"), False)))
@@ -82,15 +89,8 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant") -> Dat
     conv = conv.withColumn("turns", back(F.col("formatted")))
     ok = F.when(F.col("turns") == F.col("source"), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation did not survive the round trip")).cast(conv.schema["turns"].dataType))
     conv = conv.withColumn("turns", ok)
-    sized = F.transform("pieces", lambda p: F.struct(F.length(p["head"]).alias("h"), F.length(p["body"]).alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("all"))
-    spans = F.aggregate(
-        sized, start,
-        lambda s, p: F.struct((s["at"] + p["h"] + p["b"] + len(END)).alias("at"), F.concat(s["all"], F.array(F.struct((s["at"] + p["h"]).alias("start"), p["b"].alias("length")))).alias("all")),
-        lambda s: s["all"],
-    )
-    spans = F.filter(F.arrays_zip(spans.alias("span"), F.col("turns").alias("turn")), lambda x: x["turn"]["role"] == learn_role)
-    conv = conv.withColumn("spans", F.transform(spans, lambda x: x["span"]))
+    learnt = F.filter("k", lambda t: t["role"] == learn_role)
+    conv = conv.withColumn("spans", F.transform(learnt, lambda t: F.when(F.col("escaped"), t["marked"]).otherwise(t["plain"])))
     return conv.select("conv_id", "formatted", "escaped", "spans", "turns")
 
 

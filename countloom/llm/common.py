@@ -147,12 +147,6 @@ def ascii_lower(c: Column) -> Column:
 MOST_SENT = 2_000_000
 
 
-def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of df whose `on` is in ids: by broadcast if ids are counted to be at most MOST_SENT, else by a shuffle."""
-    ids = cut(ids.select(on).distinct(), "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, on, "left_semi")
-
-
 def spread_join(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """many joined to one, which has a row for each `on`, where a few values of `on` may hold most rows of many:
     by broadcast if one is counted to have at most MOST_SENT rows, else each value is dealt to `salts` tasks by a hash of `by`."""
@@ -167,6 +161,24 @@ def salted(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner"
     return left.join(right, [on, "k_salt"], how).drop("k_salt")
 
 
+#: Rows of a join key that one task may read.
+MOST_OF_A_KEY = 4096
+
+
+def skewed_join(many: DataFrame, one: DataFrame, on: str, by: str, salts: int = 32) -> DataFrame:
+    """The inner join of many, a written table, to one, which has a row for each `on`. Values of `on` with more than MOST_OF_A_KEY rows of
+    many are dealt to `salts` tasks by a hash of `by`, with a copy of their row of one for each task; the others join plainly."""
+    hot = cut(many.groupBy(on).count().where(F.col("count") > MOST_OF_A_KEY).select(on), "hot")
+    n = hot.count()
+    if not n:
+        return many.join(one, on)
+    if n > MOST_SENT // 8:  # too many to list: all are dealt so
+        return salted(many, one, on, by, salts=salts)
+    hot = F.broadcast(hot)
+    few = salted(many.join(hot, on, "left_semi"), one.join(hot, on, "left_semi"), on, by, salts=salts)
+    return few.unionByName(many.join(hot, on, "left_anti").join(one, on))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(v, component) for each vertex of the edges (a, b): the smallest vertex that it reaches.
 

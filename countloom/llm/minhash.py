@@ -5,14 +5,16 @@ no band with probability 5e-8). The low 4 bits of each minimum, packed to 64 byt
 similarity by counting equal nibbles and taking out chance collisions; pairs that pass a slack
 threshold are confirmed on their full shingle sets, and links give connected components.
 
-Hot groups: equal word sequences become one representative first. A band bucket links each member to
-the bucket's smallest member only (one row a member). What that star misses, members of one bucket
+Hot groups: equal word sequences become one node first, by an aggregation that combines before it
+shuffles. A band bucket links each member to the bucket's smallest member only (one row a member); joins on
+buckets and on their smallest members deal such keys as many rows share to several tasks. What that star misses, members of one bucket
 that are still in different components, is compared in blocks of bounded size in a second pass, on
 whole sets, which returns a spanning forest of the links and never pairs.
 
 Nulls and odd rows: a null or wordless text has an empty set and links with nothing; a null doc_id
 never links and is its own row with component null; a text with fewer words than the shingle is one
-shingle; rows that repeat a doc_id are one vertex and each gets its row; other columns are ignored.
+shingle; rows that repeat a doc_id are one vertex, linked by each of their texts, and each gets its own row; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, Words, connected_components, cut, mix, text_runs, with_ids
+from .common import M1, MOST_SENT, Words, connected_components, cut, mix, skewed_join, spread_join, text_runs
 
 HASHES, BITS, ROWS = 128, 4, 4
 BANDS = HASHES // ROWS
@@ -94,17 +96,20 @@ def _sketch(k: int):
                 at[full] = np.arange(len(full))
                 same = [hashlib.blake2b(words.h[words.first[i] : words.first[i + 1]].tobytes(), digest_size=16).digest() if n[i] else None for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array([signed[j] if j >= 0 else None for j in at], pa.list_(pa.int64())), pa.array([packed[j].tobytes() if j >= 0 else None for j in at], pa.binary())],
-                    ["doc_id", "n_shingles", "same", "bands", "sig"],
+                    [ids.slice(row, len(n)), batch.column(2).slice(row, len(n)), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array([signed[j] if j >= 0 else None for j in at], pa.list_(pa.int64())), pa.array([packed[j].tobytes() if j >= 0 else None for j in at], pa.binary())],
+                    ["doc_id", "tk", "n_shingles", "same", "bands", "sig"],
                 )
 
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("tk"))
+
+
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, same (digest of the word sequence), bands (32 keys), sig (64 bytes)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, same binary, bands array<long>, sig binary")
+    """doc_id, tk (hash of the text), n_shingles, same (digest of the word sequence), bands (32 keys), sig (64 bytes)."""
+    return keyed(docs).mapInArrow(_sketch(shingle), "doc_id long, tk long, n_shingles long, same binary, bands array<long>, sig binary")
 
 
 def _similar(floor: float):
@@ -144,11 +149,18 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("a"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("ta")).where("a is not null")
-    texts = cut(with_ids(texts, pairs.select("a").union(pairs.select("b")), "a"), "texts")
-    joined = pairs.join(texts, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def texts_of(nodes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes: of the row that the node was made from. Their ids are sent to all tasks where they are counted few."""
+    wanted = cut(nodes.select("node", "rep", "tk").join(wanted, "node", "left_semi"), "wanted")
+    rows = keyed(docs).withColumnRenamed("doc_id", "rep")
+    found = rows.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT // 2 else wanted, ["rep", "tk"])
+    return cut(found.select("node", F.coalesce("text", F.lit("")).alias("text")), "texts")
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes, a written table, whose whole sets have 100 * intersection >= percent * union."""
+    texts = texts_of(nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs).dropDuplicates(["node"])
+    joined = skewed_join(pairs, texts.toDF("a", "ta"), "a", "b").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
@@ -223,27 +235,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
     floor = percent / 100 - slack
     rows = cut(sketch(docs, shingle), "sketch")
     full = rows.where("doc_id is not null and n_shingles > 0")
-    reps = full.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    owner = full.select("doc_id", "same").join(reps, "same").select("doc_id", "rep").distinct()
-    owner = cut(owner, "owner")
-    kept = full.join(owner.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    sigs = kept.groupBy("doc_id").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    sigs = cut(sigs, "signatures")
-
-    keys = sigs.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    bucket = cut(keys.join(shared, "key"), "buckets")
-    star = bucket.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    sig = sigs.select("doc_id", "sig")
-    star = star.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_similar(floor), "a long, b long")
-    star = cut(star, "star")
-    links = cut(confirm(star, docs, shingle, percent), "links")
-    copies = owner.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = connected_components(links.unionByName(copies))
-
-    named = bucket.join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
-    rest = named.join(mixed, "key").join(sig.withColumnRenamed("doc_id", "rep"), "rep").select("key", "rep", "component", "sig", F.ceil(F.col("m") / BLOCK).alias("nb"))
+    nodes = full.groupBy("same").agg(F.min(F.struct("doc_id", "tk")).alias("r"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = nodes.select("same", F.col("r.doc_id").alias("rep"), F.col("r.tk").alias("tk"), "n", "sig", "bands", F.monotonically_increasing_id().alias("node"))
+    nodes = cut(nodes, "nodes")  # from here on node ids are fixed
+    several = cut(nodes.where("n > 1").select("same", "rep"), "several")
+    copies = spread_join(full.select("doc_id", "same"), several, "same", "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = cut(copies, "copies")
+
+    keys = cut(nodes.select("node", F.explode("bands").alias("key")), "keys")
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1")
+    bucket = cut(skewed_join(keys, shared.select("key", "first"), "key", "node"), "buckets")
+    star = cut(bucket.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    sig = nodes.select("node", "sig")
+    near = skewed_join(star, sig.toDF("a", "sa"), "a", "b").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_similar(floor), "a long, b long")
+    links = cut(confirm(cut(near, "near"), nodes, docs, shingle, percent), "links")
+
+    named = bucket.join(connected_components(links).toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = cut(named.select("key", "node", "component"), "named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("nb"))
+    rest = skewed_join(named, mixed, "key", "node").join(sig, "node").select("key", F.col("node").alias("rep"), "component", "sig", "nb")
     own = F.pmod(F.xxhash64("rep"), F.col("nb"))
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
@@ -251,10 +261,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
     kind = "key long, lo long, hi long, rep long, component long, sig binary, side int"
     rest = cut(rest.groupBy("key", "lo", "hi").applyInArrow(_flag(floor), kind), "rest")
     if not rest.isEmpty():
-        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        sets = with_ids(texts, rest, "rep").mapInArrow(_sets(shingle), "rep long, set binary").dropDuplicates(["rep"])
+        texts = texts_of(nodes, rest.select(F.col("rep").alias("node")).distinct(), docs)
+        sets = texts.mapInArrow(_sets(shingle), "rep long, set binary").dropDuplicates(["rep"])
         more = rest.join(sets, "rep").groupBy("key", "lo", "hi").applyInArrow(_settle(floor, percent), "a long, b long").distinct()
-        found = connected_components(links.unionByName(copies).unionByName(cut(more, "more")))
+        links = links.unionByName(cut(more, "more"))
+    name = nodes.select("node", "rep")
+    ends = links.join(name.toDF("a", "ra"), "a").join(name.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    found = connected_components(ends.unionByName(copies))
     out = rows.select("doc_id", "n_shingles").join(found.toDF("doc_id", "component_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

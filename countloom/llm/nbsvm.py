@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-A document's n-grams (words, signs, shapes of words, and pairs of shapes and signs), hashed to BINS
+A document's n-grams (words and signs, pairs of them, shapes of words and signs, and pairs of shapes), hashed to BINS
 indicators, are scaled by the log ratio of their shares in the two classes; a linear hinge-loss model
 is fitted by dual coordinate descent; a logistic curve fitted on rows held out from it turns margins
 into scores. All on at most MOST_ROWS labelled documents (a documented bound). Every whole text is scored.
@@ -12,7 +12,6 @@ of both kinds every score is 0.5; rows that repeat a doc_id each get their row;
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -20,40 +19,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import M2, mix
 from .labelled import labelled_sample
 
-MOST_ROWS, BINS, LEAST_ROWS = 12000, 1 << 18, 5
+MOST_ROWS, BINS, LEAST_ROWS = 12000, 1 << 20, 5
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\n")
-
-
-@lru_cache(200_000)
-def _shape(token: str) -> tuple[int, str]:
-    """The bin of a token and its shape: the token itself for signs; letter case and length class for words."""
-    if token[0].isalpha():
-        case = "A" if token.isupper() and len(token) > 1 else "Aa" if token[0].isupper() else "a"
-        shape = case + "1234567"[min(len(token), 25) // 4]
-        return crc32(token.lower().encode()) % BINS, shape
-    shape = "9" if token[0].isdigit() else token[:3]
-    return crc32(shape.encode()) % BINS, shape
-
-
-@lru_cache(100_000)
-def _pair(a: str, b: str) -> int:
-    return crc32(f"{a}\x00{b}".encode()) % BINS
-
-
-def features(text: str) -> np.ndarray:
-    """Bins of the n-grams of a whole text, sorted and distinct."""
-    tokens = list(map(_shape, TOKEN.findall(text)))
-    shapes = [s for _, s in tokens]
-    bins = {b for b, _ in tokens} | {_pair("", s) for s in set(shapes)} | {_pair(a, b) for a, b in set(zip(shapes, shapes[1:], strict=False))}
-    return np.array(sorted(bins), np.int32)
+#: Characters of text whose n-grams are made at once, and tokens that are remembered.
+RUN, REMEMBERED = 1 << 20, 400_000
+
+
+class Hashes(dict):
+    """Of tokens met before: the hash of the token (numbers are one) and, above it, that of its shape: letter case and length class of
+    words, the kinds of signs and their number."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if token[0].isalpha():
+            case = "A" if token.isupper() and len(token) > 1 else "Aa" if token[0].isupper() else "a"
+            name, shape = token.lower(), case + "1234567"[min(len(token), 25) // 4]
+        elif token[0].isdigit():
+            name = shape = "9"
+        else:
+            name, shape = token, "".join(sorted(set(token))) + str(min(len(token), 4))
+        out = crc32(name.encode()) | crc32(shape.encode()) << 32
+        self[token] = out
+        return out
+
+
+def features(texts: list[str], seen: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bin) of the distinct n-grams of whole texts, sorted."""
+    tokens = [TOKEN.findall(t) for t in texts]
+    n = np.array([len(t) for t in tokens])
+    both = np.fromiter((seen[x] for t in tokens for x in t), np.uint64, int(n.sum()))
+    doc = np.repeat(np.arange(len(texts)), n)
+    pair = np.flatnonzero(doc[1:] == doc[:-1])
+    keys = []
+    for kind, h in enumerate((both & np.uint64(0xFFFFFFFF), both >> np.uint64(32))):
+        salt = np.uint64(2 * kind + 1)
+        for at, code in ((doc, mix(h + (salt << np.uint64(33)))), (doc[pair], mix(h[pair] * M2 + h[pair + 1] + (salt << np.uint64(34))))):
+            keys.append(at * BINS + (code % np.uint64(BINS)).astype(np.int64))
+    found = np.unique(np.concatenate(keys))
+    return found // BINS, found % BINS
+
+
+def runs(texts: list):
+    """Consecutive parts of texts of about RUN characters; null texts are empty."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= RUN:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _rows(batches):
+    seen = Hashes()
     for b in batches:
-        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([features(text).tobytes()])], ["y", "x"])
+        out = []
+        for part in runs(b.column(1).to_pylist()):
+            doc, bins = features(part, seen)
+            edges = np.searchsorted(doc, np.arange(len(part) + 1))
+            out += [bins[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["y", "x"])
 
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -116,22 +147,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return w.astype(np.float32), ratio.astype(np.float32), slope, shift
 
 
-def _score(model):
+def _score(sent):
     def run(batches):
+        seen = Hashes()
+        if sent is not None:
+            product, square, bias, slope, shift = sent.value
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                if model is None:
-                    out.append(0.5)
-                    continue
-                w, ratio, slope, shift = model
-                z = slope * float(margins([features(text or "")], ratio, w)[0]) + shift
-                out.append(float(1 / (1 + np.exp(-z))) if z > -500 else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+            out = [np.full(b.num_rows, 0.5)] if sent is None else []
+            for part in runs(b.column(1).to_pylist()) if sent is not None else ():
+                doc, bins = features(part, seen)
+                dot, size = (np.bincount(doc, x[bins], len(part)) for x in (product, square))
+                z = slope * (dot / np.maximum(1e-9, np.sqrt(size)) + bias) + shift
+                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())], ["doc_id", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model) -> DataFrame:
     """doc_id and score (near 1: good)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(model), "doc_id long, score double")
+    sent = None
+    if model is not None:
+        w, ratio, slope, shift = model
+        sent = docs.sparkSession.sparkContext.broadcast((w[:-1] * ratio, ratio * ratio, float(w[-1]), slope, shift))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(sent), "doc_id long, score double")

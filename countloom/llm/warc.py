@@ -27,11 +27,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, spread_join, tasks_for
 
 LEAST_REVISIT = 1000
 BLOCK_LINES, MOST_BLOCKS = 3000, 65536
-READ_BYTES = 8 << 20
+READ_BYTES = 1 << 20
+LINE_BYTES = 256
 ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "key string, page_id long, file string, offset long, length long"
@@ -121,7 +122,7 @@ def write_archives(pages: DataFrame) -> tuple[DataFrame, str]:
     p = p.withColumn("digest", F.sha1("html"))
     long = F.length("html") >= LEAST_REVISIT
     first = p.where(long).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
-    p = p.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(long & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
+    p = spread_join(p, cut(first, "repeated"), "digest", "page_id", "left").select("page_id", "url", "html", "digest", F.when(long & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
     return cut(p.mapInArrow(_write(folder), INDEX), "capture-lines"), folder
 
 
@@ -149,18 +150,20 @@ class CaptureIndex:
     """blocks: a table of compressed blocks; first, last, ids: the directory, in key order."""
 
     def __init__(self, lines: DataFrame):
-        size = max(BLOCK_LINES, -(-lines.count() // MOST_BLOCKS))
-        parts = lines.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        rows = lines.repartitionByRange(int(parts), "key").sortWithinPartitions("key", "file", "offset")
+        count = lines.count()
+        size = max(BLOCK_LINES, -(-count // MOST_BLOCKS))
+        rows = lines.repartitionByRange(tasks_for(count * LINE_BYTES), "key").sortWithinPartitions("key", "file", "offset")
         self.blocks = cut(rows.mapInArrow(_blocks(size), "block string, first string, last string, n long, data binary"), "capture-blocks")
         directory = self.blocks.select("first", "last", "block").orderBy("first", "last").collect()
         self.first, self.last, self.ids = ([r[i] for r in directory] for i in range(3))
+        self.sent = lines.sparkSession.sparkContext.broadcast((self.first, self.last, self.ids))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """For the distinct column key of keys (capture keys, or URL keys for all their captures): key, page_id, file, offset, length."""
-        first, last, ids = self.first, self.last, self.ids
+        sent = self.sent
 
         def route(batches):
+            first, last, ids = sent.value
             for batch in batches:
                 out = []
                 for key in batch.column(0).to_pylist():
@@ -206,9 +209,9 @@ def _read(folder: str):
     return run
 
 
-def read_records(places: DataFrame, folder: str) -> DataFrame:
-    """The records at places (file, offset, length), as RECORD."""
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def read_records(places: DataFrame, folder: str, size: int) -> DataFrame:
+    """The records at places (file, offset, length), of `size` bytes in all, as RECORD."""
+    n = tasks_for(size)
     spread = places.select("file", "offset", "length").repartition(n, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return spread.mapInArrow(_read(folder), RECORD)
 
@@ -216,4 +219,5 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """Write all pages, index them, look every capture up and read it back."""
     lines, folder = write_archives(pages)
-    return read_records(CaptureIndex(lines).lookup(lines.select("key")), folder)
+    size = lines.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    return read_records(CaptureIndex(lines).lookup(lines.select("key")), folder, size)

@@ -226,10 +226,11 @@ def _sets(k: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack: float = 0.18) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
+def linked_nodes(docs: DataFrame, shingle: int, percent: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written tables: rows (the sketch of each document), nodes (one a different word sequence, with rep and tk of its least row),
+    links (a, b: nodes), copies (doc_id, tk, rep, rep_tk of rows that share a node).
 
-    percent: documents link when 100 * intersection >= percent * union of their shingle sets.
+    percent: nodes link when 100 * intersection >= percent * union of their shingle sets.
     slack: pairs whose estimate is below percent / 100 - slack are not confirmed; 0.18 is five
     standard errors of the estimate."""
     floor = percent / 100 - slack
@@ -238,9 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
     nodes = full.groupBy("same").agg(F.min(F.struct("doc_id", "tk")).alias("r"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = nodes.select("same", F.col("r.doc_id").alias("rep"), F.col("r.tk").alias("tk"), "n", "sig", "bands", F.monotonically_increasing_id().alias("node"))
     nodes = cut(nodes, "nodes")  # from here on node ids are fixed
-    several = cut(nodes.where("n > 1").select("same", "rep"), "several")
-    copies = spread_join(full.select("doc_id", "same"), several, "same", "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = cut(copies, "copies")
+    several = cut(nodes.where("n > 1").select("same", "rep", F.col("tk").alias("rep_tk")), "several")
+    copies = cut(spread_join(full.select("doc_id", "tk", "same"), several, "same", "doc_id").select("doc_id", "tk", "rep", "rep_tk"), "copies")
 
     keys = cut(nodes.select("node", F.explode("bands").alias("key")), "keys")
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1")
@@ -265,9 +265,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack:
         sets = texts.mapInArrow(_sets(shingle), "rep long, set binary").dropDuplicates(["rep"])
         more = rest.join(sets, "rep").groupBy("key", "lo", "hi").applyInArrow(_settle(floor, percent), "a long, b long").distinct()
         links = links.unionByName(cut(more, "more"))
+    return rows, nodes, links, copies
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, slack: float = 0.18) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id). Parameters as in linked_nodes()."""
+    rows, nodes, links, copies = linked_nodes(docs, shingle, percent, slack)
     name = nodes.select("node", "rep")
     ends = links.join(name.toDF("a", "ra"), "a").join(name.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    found = connected_components(ends.unionByName(copies))
+    found = connected_components(ends.unionByName(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     out = rows.select("doc_id", "n_shingles").join(found.toDF("doc_id", "component_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def unique_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, slack: float = 0.18) -> DataFrame:
+    """docs with one document of each group of linked texts: that of the least id, then least text hash. An id that has several
+    texts is judged text by text; rows equal in id and text are one document; rows that link with nothing all stay."""
+    _, nodes, links, copies = linked_nodes(docs, shingle, percent, slack)
+    group = nodes.select("node", "rep", "tk").join(connected_components(links).toDF("node", "component"), "node")
+    first = group.groupBy("component").agg(F.min(F.struct("rep", "tk")).alias("first"))
+    lost = skewed_join(cut(group, "groups"), first, "component", "node").where("rep <> first.rep or tk <> first.tk").select(F.col("rep").alias("id"), "tk")
+    lost = lost.unionByName(copies.where("doc_id <> rep or tk <> rep_tk").select(F.col("doc_id").alias("id"), "tk"))
+    lost = cut(lost.distinct(), "lost")
+    lost = F.broadcast(lost) if lost.count() <= MOST_SENT // 2 else lost
+    same = (F.col("d.doc_id").cast("long") == F.col("l.id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("l.tk"))
+    return docs.alias("d").join(lost.alias("l"), same, "left_anti").select(*(F.col(f"d.`{c}`") for c in docs.columns))

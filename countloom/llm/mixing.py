@@ -132,9 +132,10 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataF
 
 def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
     """docs as the mix has them, partitioned by shard and in the local order: a document taken n times has n rows, one taken 0 times none."""
-    takes = mixture(docs, shards, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("takes").alias("k_takes"))
-    takes = takes.toDF("k_id", "k_source", "k_size", "k_takes")
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").cast("string").eqNullSafe(F.col("k_source")) & (F.col("k_words") == F.col("k_size"))
-    rows = docs.withColumn("k_words", word_count()).join(takes, same).withColumn("k_take", F.explode("k_takes"))
+    takes = mixture(docs, shards, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("takes").alias("takes"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.col("source").cast("string"), word_count().alias("size"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size"))
+    rows = rows.alias("r").join(takes.alias("t"), same).select("r.row", "r.doc_id", F.explode("t.takes").alias("take"))
     tasks = tasks_for(text_bytes(docs))
-    return rows.repartition(tasks, "k_take.shard").sortWithinPartitions("k_take.shard", "k_take.slot", "doc_id").select(*docs.columns)
+    rows = rows.repartition(tasks, "take.shard").sortWithinPartitions("take.shard", "take.slot", "doc_id")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

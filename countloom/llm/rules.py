@@ -154,6 +154,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = F.xxhash64(F.col("text").cast("string"))
     stats = cut(text_statistics(docs.select("doc_id", "text")).withColumn("k_key", key).drop("text"), "statistics")
     bad = base_failed() | ~verdict(learn(stats, labels), stats)
-    lost = cut(stats.where(bad).select(F.col("doc_id").alias("k_id"), F.col("k_key").alias("k_lost")).distinct(), "rejected")
-    lost = F.broadcast(lost) if lost.count() <= MOST_SENT else lost
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("k_id")) & (key == F.col("k_lost")), "left_anti")
+    lost = cut(stats.where(bad).select("doc_id", F.col("k_key").alias("tk")).distinct(), "rejected")
+    lost = F.broadcast(lost) if lost.count() <= MOST_SENT // 2 else lost
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("l.tk"))
+    return docs.alias("d").join(lost.alias("l"), same, "left_anti").select(*(F.col(f"d.`{c}`") for c in docs.columns))

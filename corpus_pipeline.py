@@ -18,8 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    lost = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.unique_documents(docs, shingle=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +27,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document taken n times has n rows."""
+    """The mix, partitioned by shard and in the shards' local order: a document taken n times has n rows."""
     return mixing.mixed_documents(docs)
 
 
@@ -39,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("MinHash near-dedup", near_duplicates), ("substring dedup", repeated_passages), ("mixing", mix), ("packing", pack)]
 
-#: The learned list, the drawn blocks and the packing have no SQL; tests/llm compares the stages with brute force.
+#: The learned list, the drawn blocks and the packing have no SQL; tests/llm/test_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 

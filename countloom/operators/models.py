@@ -94,6 +94,7 @@ def estimator(name: str, seed: int = 42):
     made = {
         "logistic": lambda: LogisticRegression(maxIter=50), "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0), "tree": lambda: DecisionTreeClassifier(maxDepth=5, seed=seed),
         "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed), "boosting": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=seed),
+        "prior": lambda: LogisticRegression(maxIter=50, regParam=1e12), "mean": lambda: LinearRegression(regParam=1e12, elasticNetParam=0.0),  # the intercept bears no penalty: constants
     }
     return made[name]()
 

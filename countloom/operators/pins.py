@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def pinned_path(spark: SparkSession, what: str = "pinned") -> str:
-    """A new path in the folder that all machines share (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    """A new path in the folder that all machines share (spark.checkpoint.dir). Where that is unset, a temporary one in local mode; on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         folder = tempfile.mkdtemp(prefix="countloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"

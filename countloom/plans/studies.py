@@ -305,3 +305,86 @@ def h1_backoff_scores(t):
     rows = sequences(t).join(t("labels"), "doc_id").select("seq", F.col("quality").alias("y"))
     n = counts.kmer_counts(rows, "seq", 4, ["y"]).groupBy("code").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("positive"))
     return counts.backoff_scores(pinned(n), (2, 4)).withColumn("score", F.round("score", 10))
+
+
+@query(f"""with c as (select cast(floor(l_quantity / 10) as bigint) as bin, l_linestatus as status, count(*) as total, sum({R}) as positive, sum(l_quantity) as w from lineitem group by 1, 2), g as (select sum(positive) / sum(total) as p from c)
+select bin, status, total, cast(positive as bigint) as positive, round(positive / total, 10) as rate, round(positive / total / p, 10) as enrichment, round(w / total, 8) as mean from c, g""")
+def e5_interaction_cells(t):
+    """Rate, enrichment and mean quantity of each cell of quantity bin and status."""
+    hit = F.col("l_returnflag") == "R"
+    c = t("lineitem").groupBy(F.floor(F.col("l_quantity") / 10).alias("bin"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("total"), F.count_if(hit).alias("positive"), F.sum("l_quantity").alias("w"))
+    g = c.agg((F.sum("positive") / F.sum("total")).alias("p"))
+    rate = F.col("positive") / F.col("total")
+    return c.crossJoin(F.broadcast(g)).select("bin", "status", "total", "positive", F.round(rate, 10).alias("rate"), F.round(rate / F.col("p"), 10).alias("enrichment"), F.round(F.col("w") / F.col("total"), 8).alias("mean"))
+
+
+@query(f"""with p as ({POINTS}), i as (select distinct contig, pos // 60 * 60 as start, pos // 60 * 60 + 30 as "end" from p), c as (select contig, pos, count(*) as n from p group by 1, 2),
+k as (select c.*, i.start is not null as allowed from c left join i on i.contig = c.contig and c.pos >= i.start and c.pos < i."end")
+select contig, pos // 32 as region, count(*) as positions, bool_and(allowed) as all_allowed, count(*) filter (where allowed) as n_positive, cast(coalesce(sum(n) filter (where allowed), 0) as bigint) as total,
+ arg_max(pos, n * 1000000 - pos) filter (where allowed) as dominant from k group by 1, 2""")
+def e15_allowed_regions(t):
+    """Regions of 32 days: positions, whether all are in the allow-list, and positives, orders and the dominant day (the first in ties) of those that are."""
+    p = order_days(t)
+    slots = p.select("contig", (F.floor(F.col("pos") / 60) * 60).alias("start")).distinct().withColumn("end", F.col("start") + 30)
+    c = pinned(p.groupBy("contig", "pos").agg(F.count("*").alias("n")))
+    inside = iv.contained(c, slots, 30).select("contig", "pos", F.lit(True).alias("in"))
+    k = c.join(inside, ["contig", "pos"], "left").withColumn("in", F.coalesce("in", F.lit(False)))
+    found = k.groupBy("contig", F.floor(F.col("pos") / 32).alias("region"))
+    return found.agg(
+        F.count("*").alias("positions"), F.bool_and("in").alias("all_allowed"), F.count_if("in").alias("n_positive"), F.coalesce(F.sum(F.when(F.col("in"), F.col("n"))), F.lit(0)).alias("total"),
+        F.max_by("pos", F.when(F.col("in"), F.col("n") * 1000000 - F.col("pos"))).alias("dominant"),
+    )
+
+
+@query("""select lang, c as symbol, count(*) as n from (select lang, unnest(string_split(text, '')) as c from documents where length(text) > 0) where regexp_matches(c, '^[!-/:-@\\[-`{-~]$') group by 1, 2""")
+def e19_special_characters(t):
+    """ASCII signs in the texts of each language, counted in arrays."""
+    return counts.word_counts(t("documents"), "text", 1, ["lang"]).where(F.col("word").rlike(r"^[!-/:-@\[-`{-~]$")).select("lang", F.col("word").alias("symbol"), "n")
+
+
+@query("""with h as (select event_type, hour(ts) as hour, count(*) as n, avg(value) as mean, quantile_cont(value, 0.5) as median from events group by 1, 2)
+select event_type, cast(hour as bigint) as hour, n, round(n / sum(n) over (partition by event_type), 10) as share, round(mean, 8) as mean, round(median, 8) as median, rank() over (partition by event_type order by n desc) as place from h""")
+def e21_position_histogram(t):
+    """Where events of a type fall in the day: share within the type, mean, median and place by number."""
+    from pyspark.sql import Window as W
+
+    rows = t("events").select("event_type", F.hour("ts").cast("long").alias("hour"), "value")
+    h = rows.groupBy("event_type", "hour").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    q = ranks.quantiles(rows, "value", [0.5], ["event_type", "hour"]).select("event_type", "hour", F.col("value").alias("median"))
+    by = W.partitionBy("event_type")  # 24 rows each
+    share = F.col("n") / F.sum("n").over(by)
+    return h.join(q, ["event_type", "hour"], "left").select("event_type", "hour", "n", F.round(share, 10).alias("share"), F.round("mean", 8).alias("mean"), F.round("median", 8).alias("median"), F.rank().over(by.orderBy(F.desc("n"))).cast("long").alias("place"))
+
+
+@query(f"""with x as (select l_orderkey * 10 + l_linenumber as key, l_extendedprice as p from lineitem where l_returnflag = 'R'), q as (select quantile_cont(p, [0.25, 0.5, 0.75]) as q from x),
+s as (select key, case when p > q[3] then 3 when p > q[2] then 2 when p > q[1] then 1 else 0 end as quartile from x, q), r as (select *, row_number() over (partition by quartile order by {md5("key", "strata")}, key) as r from s)
+select quartile, key from r where r <= 25""")
+def f7_quartile_strata(t):
+    """The 25 least keyed hashes of each price quartile of the positives (a repeatable sample is the feature)."""
+    from pyspark.sql import Window as W
+
+    x = t("lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("p"))
+    cuts = [r["value"] for r in ranks.quantiles(x, "p", [0.25, 0.5, 0.75]).orderBy("q").collect()]
+    s = x.withColumn("quartile", sc.bin_code_closed(F.col("p"), cuts))
+    return s.withColumn("r", F.row_number().over(W.partitionBy("quartile").orderBy(sc.keyed_hash("key", "strata"), "key"))).where("r <= 25").select("quartile", "key")
+
+
+@query(f"""with {NEAR}, k as (select event_id, distance, case when distance is null then 'isolated' when distance > 1024 then 'far' else 'near' end as cohort from n where mode = 'any'),
+r as (select *, row_number() over (partition by cohort order by coalesce(distance, 0) desc, event_id) as r from k) select cohort, event_id, distance from r where r <= 50""")
+def f8_distance_cohorts(t):
+    """Of purchases without a view, far from and near to one, the 50 farthest (a top report)."""
+    from pyspark.sql import Window as W
+
+    d = F.col("distance")
+    k = nearest_views(t).where("mode = 'any'").withColumn("cohort", F.when(d.isNull(), "isolated").when(d > 1024, "far").otherwise("near"))
+    return k.withColumn("r", F.row_number().over(W.partitionBy("cohort").orderBy(F.desc(F.coalesce(d, F.lit(0))), "event_id"))).where("r <= 50").select("cohort", "event_id", "distance")
+
+
+@query(f"""with e as (select l_linestatus as status, abs({R} - l_discount * 5) as a, abs({R} - l_tax * 6) as b from lineitem)
+select status, round(avg(a), 10) as reference_error, round(avg(b), 10) as candidate_error, round(avg(b) - avg(a), 10) as change, count(*) filter (where b < a) as nearer, count(*) filter (where b > a) as farther from e group by 1""")
+def f16_absolute_errors(t):
+    """Mean absolute errors of two predictors by status, their change, and the rows that come nearer or go farther."""
+    y = (F.col("l_returnflag") == "R").cast("double")
+    e = t("lineitem").select(F.col("l_linestatus").alias("status"), F.abs(y - F.col("l_discount") * 5).alias("a"), F.abs(y - F.col("l_tax") * 6).alias("b"))
+    at = lambda c, n: F.round(c, 10).alias(n)
+    return e.groupBy("status").agg(at(F.avg("a"), "reference_error"), at(F.avg("b"), "candidate_error"), at(F.avg("b") - F.avg("a"), "change"), F.count_if(F.col("b") < F.col("a")).alias("nearer"), F.count_if(F.col("b") > F.col("a")).alias("farther"))

@@ -48,16 +48,46 @@ class Catalog:
         return {n: self.load(n) for n in self.available_names()}
 
     def file_report(self) -> DataFrame:
-        """table, n_rows, n_columns, n_files, bytes, sha256 (of the files' digests in order of their paths; files of under 2 GB)."""
+        """table, n_rows, n_columns, n_files, bytes, sha256 (of the files' digests in order of their paths). Large files are digested in pieces."""
         out = None
         for name, df in self.load_all().items():
-            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path(name)).select("path", "length", F.sha2("content", 256).alias("digest"))
+            files = file_digests(self.spark, self.path(name))
             sums = files.agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: x["digest"]), ""), 256).alias("sha256"))
             one = df.agg(F.count("*").alias("n_rows")).crossJoin(sums).select(F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_files", "bytes", "sha256")
             out = one if out is None else out.unionByName(one)
         return out
 
 
+#: Bytes up to which a file may be one row, and of a piece of a larger one.
+WHOLE_FILE, PIECE = 1 << 28, 1 << 24
+
+
+def _streamed(batches):
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    for b in batches:
+        digests = []
+        for path in b.column(0).to_pylist():
+            fs, name = pafs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with fs.open_input_stream(name, compression=None) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests)], ["path", "length", "digest"])
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """path, length, digest (SHA-256) of all files under a path. Files of more than `whole` bytes are read in pieces, a file a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("digest"))
+    large = files.where(F.col("length") > whole).select("path", "length").repartition("path")
+    return small.unionByName(large.mapInArrow(_streamed, "path string, length long, digest string"))
+
+
 def schema_report(df: DataFrame, key: str | None = None, target: str | None = None, inference: DataFrame | None = None, descriptions: dict[str, str] | None = None) -> DataFrame:
     """column, type, role (id, target, feature; output when inference lacks it), at_inference, description, n_null, n_values."""
     seen = set(inference.columns) if inference is not None else set(df.columns) - {target}

@@ -34,9 +34,20 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the plan ends there, and lost executors cost nothing."""
+    return cut_at(df, what)[0]
+
+
+def cut_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """cut(), and where the table is."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that cut() wrote, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_bytes(df: DataFrame, col: str = "text") -> int:
@@ -162,7 +173,7 @@ def salted(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner"
 
 
 #: Rows of a join key that one task may read.
-MOST_OF_A_KEY = 4096
+MOST_OF_A_KEY = 512
 
 
 def skewed_join(many: DataFrame, one: DataFrame, on: str, by: str, salts: int = 32) -> DataFrame:
@@ -187,14 +198,17 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Hubs and the label of a giant component are dealt over several tasks. Labels are written between rounds;
     only whether one changed comes to the driver. Null ends and loops are ignored; repeated edges are counted once."""
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut(edges.union(edges.select("b", "a")).distinct().toDF("v", "w"), "edges")
-    labels = cut(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("component")), "labels")
+    spark = edges.sparkSession
+    both, edges_at = cut_at(edges.union(edges.select("b", "a")).distinct().toDF("v", "w"), "edges")
+    labels, at = cut_at(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("component")), "labels")
     for _ in range(most_rounds):
         seen = salted(both, labels.withColumnsRenamed({"v": "w", "component": "c"}), "w", "v").groupBy("v").agg(F.min("c").alias("c"))
         step = labels.join(seen, "v").select("v", F.col("component").alias("was"), F.least("component", "c").alias("c"))
         jump = labels.where("v <> component").select(F.col("v").alias("c"), F.col("component").alias("cc"))
-        step = cut(salted(step, jump, "c", "v", "left").select("v", "was", F.least("c", "cc").alias("component")), "labels")
-        labels = step.select("v", "component")
+        step, next_at = cut_at(salted(step, jump, "c", "v", "left").select("v", "was", F.least("c", "cc").alias("component")), "labels")
+        discard(spark, at)
+        labels, at = step.select("v", "component"), next_at
         if step.where("was <> component").isEmpty():
+            discard(spark, edges_at)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, MOST_SENT, Words, connected_components, cut, mix, skewed_join, spread_join, text_runs
+from .common import M1, MOST_SENT, Words, connected_components, cut, mix, skewed_join, spread_join, tasks_for, text_runs
 
 HASHES, BITS, ROWS = 128, 4, 4
 BANDS = HASHES // ROWS
 BLOCK = 512
+#: Rows of blocks that one task compares.
+BLOCK_ROWS = 4096
 _rng = np.random.Generator(np.random.PCG64(20240229))
 MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -252,14 +254,16 @@ def linked_nodes(docs: DataFrame, shingle: int, percent: int, slack: float) -> t
 
     named = bucket.join(connected_components(links).toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named.select("key", "node", "component"), "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("nb"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m", F.ceil(F.col("m") / BLOCK).alias("nb"))
+    mixed = cut(mixed, "mixed")
+    tasks = tasks_for(mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("nb")), F.lit(0))).head()[0], BLOCK_ROWS)
     rest = skewed_join(named, mixed, "key", "node").join(sig, "node").select("key", F.col("node").alias("rep"), "component", "sig", "nb")
     own = F.pmod(F.xxhash64("rep"), F.col("nb"))
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     rest = rest.select("key", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "rep", "component", "sig", F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2).alias("side"))
     kind = "key long, lo long, hi long, rep long, component long, sig binary, side int"
-    rest = cut(rest.groupBy("key", "lo", "hi").applyInArrow(_flag(floor), kind), "rest")
+    rest = cut(rest.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(_flag(floor), kind), "rest")
     if not rest.isEmpty():
         texts = texts_of(nodes, rest.select(F.col("rep").alias("node")).distinct(), docs)
         sets = texts.mapInArrow(_sets(shingle), "rep long, set binary").dropDuplicates(["rep"])

@@ -13,7 +13,8 @@ RETURNED = "case when l_returnflag = 'R' then 1 else 0 end"
 
 
 @query("""with d as (select l_orderkey as k, round(sum(l_extendedprice), 2) as v from lineitem group by 1), j as (select o_totalprice as a, v as b from orders full outer join d on o_orderkey = k)
-select count(*) as n_lines, cast(sum(case when a <> 0 then 1 else 0 end) as bigint) as nonzero, cast(sum(case when a is distinct from b then 1 else 0 end) as bigint) as mismatches, round(sum(a), 2) as total, round(sum(b), 2) as expected from j""")
+select count(*) as n_lines, cast(sum(case when a <> 0 then 1 else 0 end) as bigint) as nonzero, cast(sum(case when a is distinct from b then 1 else 0 end) as bigint) as
+  mismatches, round(sum(a), 2) as total, round(sum(b), 2) as expected from j""")
 def a7_dense_against_sparse(t):
     """Value by value on the index; a side without the index counts as a mismatch."""
     sparse = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice"), 2).alias("b"))
@@ -21,7 +22,8 @@ def a7_dense_against_sparse(t):
     return j.agg(F.count("*").alias("n_lines"), F.count_if(F.col("a") != 0).alias("nonzero"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("mismatches"), F.round(F.sum("a"), 2).alias("total"), F.round(F.sum("b"), 2).alias("expected"))
 
 
-@query("""with n as (select p_brand || '_r' || cast(p_size % 2 + 1 as varchar) || '_' || p_type as name from part), k as (select regexp_replace(name, '_r[12]_', '_') as key, regexp_extract(name, '_r([12])_', 1) as rep from n group by 1, 2)
+@query("""with n as (select p_brand || '_r' || cast(p_size % 2 + 1 as varchar) || '_' || p_type as name from part), k as (select regexp_replace(name, '_r[12]_', '_') as
+  key, regexp_extract(name, '_r([12])_', 1) as rep from n group by 1, 2)
 select key, count(*) as replicates, count(*) = 2 as matched from k group by 1""")
 def a11_replicate_pairs(t):
     """Names without their replicate token meet; exactly two different tokens are a matched pair."""
@@ -31,8 +33,10 @@ def a11_replicate_pairs(t):
 
 
 @query("""with l as (select l_orderkey as k, count(*) as n from lineitem group by 1)
-select o_orderstatus as assembly, count(*) as n_rows, count(distinct o_custkey) as contigs, round(sum(o_totalprice), 2) as total, cast(sum(case when o_totalprice <= 0 then 1 else 0 end) as bigint) as bad_values,
-cast(sum(case when k is null then 1 else 0 end) as bigint) as unmatched, sum(case when o_totalprice <= 0 or k is null then 1 else 0 end) = 0 as passed from orders left join l on o_orderkey = k group by 1""")
+select o_orderstatus as assembly, count(*) as n_rows, count(distinct o_custkey) as contigs, round(sum(o_totalprice), 2) as total, cast(sum(case when o_totalprice <= 0
+  then 1 else 0 end) as bigint) as bad_values,
+cast(sum(case when k is null then 1 else 0 end) as bigint) as unmatched, sum(case when o_totalprice <= 0 or k is null then 1 else 0 end) = 0 as passed from orders left
+  join l on o_orderkey = k group by 1""")
 def a14_assembly_audit(t):
     """A row of counts, sums and a verdict per assembly; the failure of one stops no other."""
     lines = t("lineitem").select(F.col("l_orderkey").alias("k")).distinct()
@@ -43,7 +47,8 @@ def a14_assembly_audit(t):
     )
 
 
-@query(f"""with s as ({SPANS}), b as (select s.*, k.strand from s, (values ('+'), ('-')) k(strand)), w as (select contig, strand, start, "end", sum("end" - start) over (order by strand, contig) as stop from b),
+@query(f"""with s as ({SPANS}), b as (select s.*, k.strand from s, (values ('+'), ('-')) k(strand)), w as (select contig, strand, start, "end", sum("end" - start) over
+  (order by strand, contig) as stop from b),
 p as (select *, stop - ("end" - start) as a, lag(stop) over (order by strand, contig) as before from w)
 select strand, count(*) as n_rows, cast(sum(case when a <> coalesce(before, 0) then 1 else 0 end) as bigint) as gaps, cast(sum("end" - start) as bigint) as bases,
 cast((select count(*) from (select contig, start, "end" from b where strand = '+' except all select contig, start, "end" from b where strand = '-')) as bigint) as unlike from p group by 1""")
@@ -133,7 +138,8 @@ def h10_coefficient_scorer(t):
 
 
 @query(f"""with f as (select level, l_suppkey % 5 as fold, ln((sum(y) + 1.0) / (count(*) - sum(y) + 1.0)) as b from ({LEVELS_SQL}) group by 1, 2)
-select level, count(*) as n_folds, round(avg(b), 8) as mean, round(stddev_samp(b), 8) as std, round(greatest(sum(case when b > 0 then 1 else 0 end), sum(case when b < 0 then 1 else 0 end)) / count(*), 10) as sign_agreement, round(exp(avg(b)), 8) as odds_ratio from f group by 1""")
+select level, count(*) as n_folds, round(avg(b), 8) as mean, round(stddev_samp(b), 8) as std, round(greatest(sum(case when b > 0 then 1 else 0 end), sum(case when b < 0
+  then 1 else 0 end)) / count(*), 10) as sign_agreement, round(exp(avg(b)), 8) as odds_ratio from f group by 1""")
 def h11_coefficient_stability(t):
     f = feature_levels(t).groupBy("level", (F.col("l_suppkey") % 5).alias("fold")).agg(F.ln((F.sum("y") + 1.0) / (F.count("*") - F.sum("y") + 1.0)).alias("b"))
     b = F.col("b")
@@ -143,9 +149,11 @@ def h11_coefficient_stability(t):
     )
 
 
-@query(f"""with h as (select case when l_suppkey % 2 = 0 then 'public' else 'private' end as half, round(l_extendedprice) as score, count(*) as total, sum({RETURNED}) as positive from lineitem group by 1, 2),
+@query(f"""with h as (select case when l_suppkey % 2 = 0 then 'public' else 'private' end as half, round(l_extendedprice) as score, count(*) as total, sum({RETURNED}) as
+  positive from lineitem group by 1, 2),
 c as (select *, sum(total) over (partition by half order by score desc) as ct, sum(positive) over (partition by half order by score desc) as cp from h)
-select half, cast(sum(total) as bigint) as total, cast(sum(positive) as bigint) as positive, round(sum(positive * cp / ct) / sum(positive), 10) as ap, (select sum(total) from h) = (select count(*) from lineitem) as whole from c group by 1""")
+select half, cast(sum(total) as bigint) as total, cast(sum(positive) as bigint) as positive, round(sum(positive * cp / ct) / sum(positive), 10) as ap, (select sum(total)
+  from h) = (select count(*) from lineitem) as whole from c group by 1""")
 def h12_two_halves(t):
     """Metrics of each half, and whether the halves together are the population."""
     rows = t("lineitem").select(F.when(F.col("l_suppkey") % 2 == 0, "public").otherwise("private").alias("half"), F.round("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
@@ -155,7 +163,8 @@ def h12_two_halves(t):
 
 
 @query("""with p as (select l_orderkey as k, max(l_discount) as p, count(*) as n from lineitem where l_linenumber = 1 group by 1)
-select count(*) as positions, cast(sum(case when n > 1 then 1 else 0 end) as bigint) as repeated, cast(sum(case when n is null then 1 else 0 end) as bigint) as missing, cast(sum(case when p < 0 or p > 1 or isnan(p) then 1 else 0 end) as bigint) as outside, min(p) as low, max(p) as high
+select count(*) as positions, cast(sum(case when n > 1 then 1 else 0 end) as bigint) as repeated, cast(sum(case when n is null then 1 else 0 end) as bigint) as missing,
+  cast(sum(case when p < 0 or p > 1 or isnan(p) then 1 else 0 end) as bigint) as outside, min(p) as low, max(p) as high
 from orders left join p on o_orderkey = k""")
 def h14_prediction_checks(t):
     """Every position once, finite, in 0..1: predictions counted per key, then held against the template."""
@@ -173,8 +182,10 @@ def g2_round_robin_folds(t):
     return ranks.row_numbers(g, [F.desc("n"), F.asc("l_suppkey")], "r").select("l_suppkey", "n", ((F.col("r") - 1) % 5).alias("fold"))
 
 
-@query("""with e as (select cast(floor(epoch(ts) / 86400) as bigint) as tile, event_type as contig, sum(case when value > 50 then 1 else 0 end) as p, sum(case when value > 50 then 0 else 1 end) as q from events group by 1, 2),
-s as (select sum(p) as sp, sum(q) as sq from e) select contig, tile, round(0.5 * p / sp + 0.5 * q / sq, 12) as probability, round(1.0 / ((0.5 * p / sp + 0.5 * q / sq) * (select count(*) from e)), 8) as weight from e, s where p + q > 0""")
+@query("""with e as (select cast(floor(epoch(ts) / 86400) as bigint) as tile, event_type as contig, sum(case when value > 50 then 1 else 0 end) as p, sum(case when value
+  > 50 then 0 else 1 end) as q from events group by 1, 2),
+s as (select sum(p) as sp, sum(q) as sq from e) select contig, tile, round(0.5 * p / sp + 0.5 * q / sq, 12) as probability, round(1.0 / ((0.5 * p / sp + 0.5 * q / sq) *
+  (select count(*) from e)), 8) as weight from e, s where p + q > 0""")
 def g5_tile_probabilities(t):
     """Half of the draws from positives and half from negatives; a loss weight undoes the mixture."""
     v = F.coalesce(F.col("value") > 50, F.lit(False))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import keyed_hash
+from ..operators import intervals
 from ..operators.pins import pinned_path
 from ..sources import lines, tables
 from .registry import query
@@ -50,13 +52,13 @@ def a6_dense_values(t):
 
 
 @query("""with b as (select o_orderkey, k.strand, (o_totalprice % 100) / 100 as p from orders, (values ('+'), ('-')) k(strand))
-select cast(row_number() over (order by strand, o_orderkey) - 1 as bigint) as line_no, round(p, 4) as prediction from b""")
+select cast(row_number() over (order by strand, o_orderkey) - 1 as bigint) as line_no, round(p, 5) as prediction from b""")
 def a13_prediction_file(t):
-    """All + then all -, template order, five decimals, gzip; read back at four."""
+    """All + then all -, template order, five decimals, gzip; read back."""
     both = t("orders").select("o_orderkey", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"), (F.col("o_totalprice") % 100 / 100).alias("p"))
     path = pinned_path(both.sparkSession, "predictions")
     lines.write_ordered(both, [F.asc("strand"), F.asc("o_orderkey")], F.format_string("%.5f", "p"), path)
-    return lines.read_ordered(both.sparkSession, path).select("line_no", F.round(F.col("value").cast("double"), 4).alias("prediction"))
+    return lines.read_ordered(both.sparkSession, path).select("line_no", F.round(F.col("value").cast("double"), 5).alias("prediction"))
 
 
 ALL = ["customer", "orders", "lineitem", "events", "documents", "labels"]
@@ -89,3 +91,16 @@ def a12_saved_split(t):
     found = tables.load_split(o.sparkSession, path)
     one = lambda n: found[n].agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("keys")).select(F.lit(n).alias("name"), "n_rows", "keys")
     return one("train").unionByName(one("test"))
+
+
+@query("""with s as (select o_custkey as contig, count(*) as n, min(cast(o_orderdate as date)) as d from orders group by 1), r as (select *, row_number() over (order by
+  md5(cast(contig as varchar) || ':file'), contig) - 1 as r from s)
+select cast(r as bigint) as line_no, contig, n as length, cast(sum(n) over (order by r) - n as bigint) as whitelist_offset from r""")
+def a3_file_order(t):
+    """Half-open intervals written in no key order and read back with their lengths and running offsets in the order of the file."""
+    s = t("orders").groupBy(F.col("o_custkey").alias("contig")).agg(F.count("*").alias("n")).withColumn("h", keyed_hash("contig", "file"))
+    path = pinned_path(s.sparkSession, "intervals")
+    lines.write_ordered(s, [F.asc("h"), F.asc("contig")], F.concat_ws("\t", "contig", F.lit(0), "n"), path)
+    parts = F.split("value", "\t")
+    rows = lines.read_ordered(s.sparkSession, path).select("line_no", parts[0].cast("long").alias("contig"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"))
+    return intervals.with_offsets(rows, [F.asc("line_no")]).select("line_no", "contig", "length", F.col("offset").alias("whitelist_offset"))

@@ -27,4 +27,4 @@ def flagship_kmer_score(t):
     table = found.groupBy("word").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("y")).alias("positive"))
     levels = counts.smoothed_scores(table).groupBy("score").agg(F.sum("total").alias("total"), F.sum("positive").alias("positive"))
     ap = metrics.average_precision(levels)
-    return ap.crossJoin(levels.agg(F.count("*").alias("levels"))).select(F.col("total").alias("windows"), "positive", "levels", rounded(F.col("ap")).alias("average_precision"))
+    return ap.crossJoin(F.broadcast(levels.agg(F.count("*").alias("levels")))).select(F.col("total").alias("windows"), "positive", "levels", rounded(F.col("ap")).alias("average_precision"))

@@ -52,7 +52,7 @@ select split, count(*) as groups, cast(sum(n) as bigint) as n_rows, (select coun
 def b3_split_checks(t):
     g = t("orders").groupBy((F.col("o_custkey") % 2).alias("split"), "o_custkey").agg(F.count("*").alias("n"))
     both = g.groupBy("o_custkey").agg(F.countDistinct("split").alias("s")).agg(F.count_if(F.col("s") > 1).alias("in_both"))
-    return g.groupBy("split").agg(F.count("*").alias("groups"), F.sum("n").alias("n_rows")).crossJoin(both)
+    return g.groupBy("split").agg(F.count("*").alias("groups"), F.sum("n").alias("n_rows")).crossJoin(F.broadcast(both))
 
 
 @query("select count(*) as n, count(*) filter (where quality is null) as null_target, count(*) filter (where quality = 1) as ones, count(*) filter (where quality = 0) as zeros, count(distinct doc_id) as ids from labels")

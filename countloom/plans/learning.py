@@ -19,7 +19,8 @@ def suppliers(t):
 
 
 @query("""with c as (select l_suppkey, count(*) as n, sum(case when l_returnflag = 'R' then 1 else 0 end) as k from lineitem group by 1), g as (select sum(k) / sum(n) as p from c),
-l as (select power(2.0, i) as strength, sum(lgamma(k + s * p) + lgamma(n - k + s * (1 - p)) - lgamma(n + s) - lgamma(s * p) - lgamma(s * (1 - p)) + lgamma(s)) as likelihood from c, g, (select i, power(2.0, i) as s from range(0, 21) r(i)) group by 1)
+l as (select power(2.0, i) as strength, sum(lgamma(k + s * p) + lgamma(n - k + s * (1 - p)) - lgamma(n + s) - lgamma(s * p) - lgamma(s * (1 - p)) + lgamma(s)) as
+  likelihood from c, g, (select i, power(2.0, i) as s from range(0, 21) r(i)) group by 1)
 select strength, round(likelihood, 4) as log_likelihood, strength = (select arg_max(strength, likelihood) from l) as chosen from l""")
 def h1_empirical_strength(t):
     """How strongly category rates are drawn to the prevalence: the likelihood of each listed strength, the best one marked."""

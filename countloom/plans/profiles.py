@@ -48,8 +48,10 @@ def e9_count_ranges(t):
     return found.agg(F.count("*").alias("n_rows"), F.sum(x).cast("long").alias("total"), F.sum((x == 1).cast("long")).alias("singletons"))
 
 
-@query("""with c as (select user_id, cast(ts as date) as d, count(*) filter (where event_type = 'click') as a, count(*) filter (where event_type = 'purchase') as b from events where event_type in ('click', 'purchase') group by 1, 2)
-select cast(sum(case when a > 0 and b > 0 then 1 else 0 end) as bigint) as n_both, cast(sum(case when b = 0 then 1 else 0 end) as bigint) as only_a, cast(sum(case when a = 0 then 1 else 0 end) as bigint) as only_b, count(*) as n_union,
+@query("""with c as (select user_id, cast(ts as date) as d, count(*) filter (where event_type = 'click') as a, count(*) filter (where event_type = 'purchase') as b from
+  events where event_type in ('click', 'purchase') group by 1, 2)
+select cast(sum(case when a > 0 and b > 0 then 1 else 0 end) as bigint) as n_both, cast(sum(case when b = 0 then 1 else 0 end) as bigint) as only_a, cast(sum(case when a
+  = 0 then 1 else 0 end) as bigint) as only_b, count(*) as n_union,
 round(sum(case when a > 0 and b > 0 then 1 else 0 end) / count(*), 10) as jaccard, round(corr(ln(1 + a), ln(1 + b)), 8) as corr_union,
 round(corr(ln(1 + a), ln(1 + b)) filter (where a > 0 and b > 0), 8) as corr_shared from c""")
 def e10_replicate_agreement(t):
@@ -64,9 +66,11 @@ def e10_replicate_agreement(t):
     )
 
 
-@query("""with c as (select cast(floor(l_quantity / 5) as bigint) as bin, count(*) as total, sum(case when l_returnflag = 'R' then 1 else 0 end) as positive from lineitem where l_quantity is not null group by 1),
+@query("""with c as (select cast(floor(l_quantity / 5) as bigint) as bin, count(*) as total, sum(case when l_returnflag = 'R' then 1 else 0 end) as positive from
+  lineitem where l_quantity is not null group by 1),
 g as (select unnest(range(0, 13)) as bin), s as (select sum(positive) / sum(total) as base from c)
-select g.bin as bin, cast(coalesce(total, 0) as bigint) as total, cast(coalesce(positive, 0) as bigint) as positive, round(positive / total, 10) as rate, round(positive / total / base, 10) as enrichment from g left join c using (bin), s""")
+select g.bin as bin, cast(coalesce(total, 0) as bigint) as total, cast(coalesce(positive, 0) as bigint) as positive, round(positive / total, 10) as rate, round(positive
+  / total / base, 10) as enrichment from g left join c using (bin), s""")
 def e5_bin_enrichment(t):
     """Fixed bins, empty ones too: their rate is null."""
     spark = t("lineitem").sparkSession
@@ -78,7 +82,8 @@ def e5_bin_enrichment(t):
 
 
 @query("""select event_type, cast(ts as date) as day, cast(hour(ts) as bigint) as region, count(*) as n_rows, bool_or(value > 50) as any_positive, bool_and(value is not null) as all_valid,
-cast(sum(case when value > 50 then 1 else 0 end) as bigint) as n_positive, round(sum(case when value > 50 then value else 0 end), 6) as sum_positive, arg_max(event_id, value * 1e9 - event_id) as dominant from events group by 1, 2, 3""")
+cast(sum(case when value > 50 then 1 else 0 end) as bigint) as n_positive, round(sum(case when value > 50 then value else 0 end), 6) as sum_positive, arg_max(event_id,
+  value * 1e9 - event_id) as dominant from events group by 1, 2, 3""")
 def e15_region_rollup(t):
     v = F.col("value")
     rows = t("events").groupBy("event_type", F.to_date("ts").alias("day"), F.hour("ts").cast("long").alias("region"))
@@ -88,8 +93,10 @@ def e15_region_rollup(t):
     )
 
 
-@query("with q as (select unnest([" + ", ".join(map(str, FRACTIONS)) + """]) as f), r as (select case when l_returnflag = 'R' then 1 else 0 end as y, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber) as r, count(*) over () as n from lineitem)
-select cast(f as double) as fraction, cast(max(ceil(f * n)) as bigint) as n_top, cast(sum(case when r <= ceil(f * n) then y else 0 end) as bigint) as captured, round(sum(case when r <= ceil(f * n) then y else 0 end) / sum(y), 10) as recall from r, q group by 1""")
+@query("with q as (select unnest([" + ", ".join(map(str, FRACTIONS)) + """]) as f), r as (select case when l_returnflag = 'R' then 1 else 0 end as y, row_number() over
+  (order by l_extendedprice desc, l_orderkey, l_linenumber) as r, count(*) over () as n from lineitem)
+select cast(f as double) as fraction, cast(max(ceil(f * n)) as bigint) as n_top, cast(sum(case when r <= ceil(f * n) then y else 0 end) as bigint) as captured,
+  round(sum(case when r <= ceil(f * n) then y else 0 end) / sum(y), 10) as recall from r, q group by 1""")
 def f9_top_fractions(t):
     """One pass over the ranked rows: a conditional sum for each fraction."""
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_returnflag") == "R").cast("long").alias("y"))
@@ -113,7 +120,8 @@ def f14_cv_rollup(t):
 
 
 @query(f"""with f as ({FOLDS}), d as (select a.candidate, round(a.m - b.m, 10) as d from f a join f b on a.fold = b.fold and b.candidate = 1 where a.candidate <> 1)
-select candidate, cast(sum(case when d > 0 then 1 else 0 end) as bigint) as wins, cast(sum(case when d = 0 then 1 else 0 end) as bigint) as ties, cast(sum(case when d < 0 then 1 else 0 end) as bigint) as losses, round(avg(d), 8) as improvement from d group by 1""")
+select candidate, cast(sum(case when d > 0 then 1 else 0 end) as bigint) as wins, cast(sum(case when d = 0 then 1 else 0 end) as bigint) as ties, cast(sum(case when d <
+  0 then 1 else 0 end) as bigint) as losses, round(avg(d), 8) as improvement from d group by 1""")
 def f15_reference_compare(t):
     """Fold by fold against candidate 1."""
     f = folds(t)
@@ -130,7 +138,8 @@ def g3_time_folds(t):
     return ranked.select("event_id", F.floor((F.col("r") - 1) * BLOCKS / F.col("n")).cast("long").alias("block"))
 
 
-@query("""with r as (select l_suppkey, l_orderkey, l_linenumber, count(*) over (partition by l_suppkey) as n, row_number() over (partition by l_suppkey order by l_extendedprice, l_orderkey, l_linenumber) as r from lineitem)
+@query("""with r as (select l_suppkey, l_orderkey, l_linenumber, count(*) over (partition by l_suppkey) as n, row_number() over (partition by l_suppkey order by
+  l_extendedprice, l_orderkey, l_linenumber) as r from lineitem)
 select l_suppkey, l_orderkey, l_linenumber, case when r <= floor(0.25 * n) then 'bottom' else 'top' end as tail from r where r <= floor(0.25 * n) or r > n - floor(0.25 * n)""")
 def c12_exact_cell_tails(t):
     """The bottom and top quarter of each cell; ranks are two-level, so a hot cell is not one task."""

@@ -37,7 +37,8 @@ def running(by):
 
 
 @query(f"""with x as (select w as width, contig, floor(pos / w) as r, score, y from ({EVENTS}), {listed(WIDTHS, "w")}), a as (select width, contig, r, max(y) as act from x group by 1, 2, 3),
-g as (select width, case when act = 1 then score else 0 end as score, y, act from x join a using (width, contig, r)), l as (select width, score, count(*) as total, sum(y) as positive, sum(case when act = 1 then 1 - y else 0 end) as kept from g group by 1, 2),
+g as (select width, case when act = 1 then score else 0 end as score, y, act from x join a using (width, contig, r)), l as (select width, score, count(*) as total,
+  sum(y) as positive, sum(case when act = 1 then 1 - y else 0 end) as kept from g group by 1, 2),
 c as (select *, {running("width")} from l) select cast(width as bigint) as width, {AP}, cast(sum(kept) as bigint) as kept_negatives from c group by 1""")
 def f11_oracle_gate(t):
     """Scores outside regions with a positive become 0, for each region width. Positions are counted per region and score before the widths multiply them."""
@@ -72,7 +73,8 @@ def f12_suppression_frontier(t):
 
 @query(f"""with g as ({REGIONS}), o as (select risk, row_number() over (order by risk, contig, region) - 1 as i, count(*) over () as n from g where active = 1),
 h as (select q, risk as threshold from o, {listed(RECALLS, "q")} where i = floor(round((1 - q) * n, 6)))
-select cast(q as double) as target, contig, threshold, round(avg(case when active = 1 then cast(risk >= threshold as int) end), 10) as recall, round(avg(case when active = 0 then cast(risk < threshold as int) end), 10) as suppressed from g, h group by 1, 2, 3""")
+select cast(q as double) as target, contig, threshold, round(avg(case when active = 1 then cast(risk >= threshold as int) end), 10) as recall, round(avg(case when active
+  = 0 then cast(risk < threshold as int) end), 10) as suppressed from g, h group by 1, 2, 3""")
 def f17_recall_thresholds(t):
     """The order statistic of active regions that keeps a target recall, and what it suppresses among empty ones, per contig."""
     g = regions(t)
@@ -86,9 +88,11 @@ def f17_recall_thresholds(t):
 
 
 @query("""with r as (select l_linestatus as segment, l_quantity as k, count(*) as total, sum(case when l_returnflag = 'R' then 1 else 0 end) as positive from lineitem group by 1, 2),
-s as (select k, (sum(positive) + 1.0) / (sum(total) + 2.0) as score from r group by 1), j as (select segment, score, total, positive from r join s using (k)), l as (select segment, score, sum(total) as total, sum(positive) as positive from j group by 1, 2),
+s as (select k, (sum(positive) + 1.0) / (sum(total) + 2.0) as score from r group by 1), j as (select segment, score, total, positive from r join s using (k)), l as
+  (select segment, score, sum(total) as total, sum(positive) as positive from j group by 1, 2),
 c as (select *, sum(total) over (partition by segment order by score desc) as ct, sum(positive) over (partition by segment order by score desc) as cp from l)
-select segment, count(*) as n_levels, cast(sum(total) as bigint) as total, cast(sum(positive) as bigint) as positive, round(sum(positive) / sum(total), 10) as constant_ap, round(sum(positive * cp / ct) / sum(positive), 10) as ap,
+select segment, count(*) as n_levels, cast(sum(total) as bigint) as total, cast(sum(positive) as bigint) as positive, round(sum(positive) / sum(total), 10) as
+  constant_ap, round(sum(positive * cp / ct) / sum(positive), 10) as ap,
 round(-sum(positive * ln(score) + (total - positive) * ln(1 - score)) / sum(total), 10) as log_loss,
 round((-sum(positive * ln(score)) / sum(positive) - sum((total - positive) * ln(1 - score)) / sum(total - positive)) / 2, 10) as balanced_log_loss from c group by 1""")
 def f5_segment_metrics(t):
@@ -115,8 +119,10 @@ def f7_smallest_hashes(t):
     return rows.where("r <= 20").select("stratum", "event_id")
 
 
-@query("""with r as (select case when l_quantity > 40 then 4 when l_quantity > 25 then 3 when l_quantity > 10 then 2 when l_quantity > 5 then 1 else 0 end as bin, l_extendedprice as x from lineitem where l_quantity is not null and l_extendedprice is not null)
-select bin, count(*) as n, round(avg(case when x > 30000 then 1 else 0 end), 10) as capture_rate, round(median(x), 6) as median_price, round(count(*) / (select count(*) from r), 10) as share from r group by 1""")
+@query("""with r as (select case when l_quantity > 40 then 4 when l_quantity > 25 then 3 when l_quantity > 10 then 2 when l_quantity > 5 then 1 else 0 end as bin,
+  l_extendedprice as x from lineitem where l_quantity is not null and l_extendedprice is not null)
+select bin, count(*) as n, round(avg(case when x > 30000 then 1 else 0 end), 10) as capture_rate, round(median(x), 6) as median_price, round(count(*) / (select count(*)
+  from r), 10) as share from r group by 1""")
 def e21_binned_capture(t):
     """Right-closed bins; medians from two-level ranks, so no task holds a bin."""
     q, x = F.col("l_quantity"), F.col("l_extendedprice")
@@ -129,7 +135,8 @@ def e21_binned_capture(t):
 
 
 @query(f"""with p as (select user_id, cast(floor(epoch(ts) / 3600) as bigint) as pos, case when event_type = 'click' then 0::bigint else 1::bigint end as strand from events)
-select (user_id << 33) + (strand << 32) + pos // {REGION} as region_key, cast(bit_or(1::bigint << (pos % {REGION})) as bigint) as mask, cast(bit_count(bit_or(1::bigint << (pos % {REGION}))) as bigint) as n_positions from p group by 1""")
+select (user_id << 33) + (strand << 32) + pos // {REGION} as region_key, cast(bit_or(1::bigint << (pos % {REGION})) as bigint) as mask, cast(bit_count(bit_or(1::bigint
+  << (pos % {REGION}))) as bigint) as n_positions from p group by 1""")
 def d15_region_masks(t):
     """Packed region keys and a bit for each position of the region that is seen."""
     pos = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour("ts")
@@ -142,10 +149,12 @@ def d15_region_masks(t):
 PAIRS = "select l_orderkey * 10 + l_linenumber as key, l_returnflag as cohort, ((l_orderkey * 7919 + l_linenumber * 104729) % 997 + 0.5) / 998.0 as p from lineitem where l_returnflag in ('R', 'N')"
 
 
-@query(f"""with b as (select key, cohort, p, cast(floor(ln(p / (1 - p)) / 0.25) as bigint) as bin from ({PAIRS})), n as (select bin, least(count(*) filter (where cohort = 'R'), count(*) filter (where cohort = 'N')) as n from b group by 1),
+@query(f"""with b as (select key, cohort, p, cast(floor(ln(p / (1 - p)) / 0.25) as bigint) as bin from ({PAIRS})), n as (select bin, least(count(*) filter (where cohort
+  = 'R'), count(*) filter (where cohort = 'N')) as n from b group by 1),
 d as (select b.*, n, row_number() over (partition by bin, cohort order by md5(cast(key as varchar)), key) as r from b join n using (bin)),
 s as (select bin, cohort, key, p, row_number() over (partition by bin, cohort order by p, key) as pair from d where r <= n)
-select a.bin as bin, a.pair as pair, a.key as first_key, b.key as second_key, round(abs(a.p - b.p), 10) as distance from s a join s b on a.bin = b.bin and a.pair = b.pair and a.cohort = 'R' and b.cohort = 'N'""")
+select a.bin as bin, a.pair as pair, a.key as first_key, b.key as second_key, round(abs(a.p - b.p), 10) as distance from s a join s b on a.bin = b.bin and a.pair =
+  b.pair and a.cohort = 'R' and b.cohort = 'N'""")
 def c11_logit_matches(t):
     """Equal draws from both cohorts in each logit bin by smallest hash, paired by score rank. Ranks are two-level, so a hot bin is not one task."""
     p = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 997 + 0.5) / 998.0
@@ -160,7 +169,8 @@ def c11_logit_matches(t):
 
 
 @query("""with g as (select source, lang, regexp_replace(text, '[^A-Z]', '', 'g') as u, regexp_replace(text, '[^a-z]', '', 'g') as l, text from documents)
-select source, lang, cast(sum(length(u)) as bigint) as upper_letters, cast(sum(length(l)) as bigint) as lower_letters, cast(sum(length(text) - length(u) - length(l)) as bigint) as others from g group by grouping sets ((source), (lang), ())""")
+select source, lang, cast(sum(length(u)) as bigint) as upper_letters, cast(sum(length(l)) as bigint) as lower_letters, cast(sum(length(text) - length(u) - length(l)) as
+  bigint) as others from g group by grouping sets ((source), (lang), ())""")
 def e8_segment_letters(t):
     """Letter case by source, by language and in all, from one pass."""
     n = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
@@ -169,9 +179,11 @@ def e8_segment_letters(t):
     return sets.agg(F.sum("u").alias("upper_letters"), F.sum("l").alias("lower_letters"), F.sum(F.col("n") - F.col("u") - F.col("l")).alias("others"))
 
 
-@query("""with w as (select doc_id, w, greatest(1, length(text) // 2 + 1 - w // 2) as a, length(text) // 2 + 1 - w // 2 < 1 or length(text) // 2 + w - w // 2 > length(text) as edge, text from documents, (select unnest([51, 201, 1001]) as w) where length(text) > 0),
+@query("""with w as (select doc_id, w, greatest(1, length(text) // 2 + 1 - w // 2) as a, length(text) // 2 + 1 - w // 2 < 1 or length(text) // 2 + w - w // 2 >
+  length(text) as edge, text from documents, (select unnest([51, 201, 1001]) as w) where length(text) > 0),
 s as (select doc_id, w, edge, substr(text, a, length(text) // 2 + 1 - w // 2 + w - a) as s from w),
-c as (select doc_id, w, edge, length(s) as n, length(regexp_replace(s, '[^CGcg]', '', 'g')) as gc, length(regexp_replace(s, '[^ACGTacgt]', '', 'g')) as v, length(regexp_replace(s, '[^acgt]', '', 'g')) as low from s)
+c as (select doc_id, w, edge, length(s) as n, length(regexp_replace(s, '[^CGcg]', '', 'g')) as gc, length(regexp_replace(s, '[^ACGTacgt]', '', 'g')) as v,
+  length(regexp_replace(s, '[^acgt]', '', 'g')) as low from s)
 select doc_id, cast(w as bigint) as width, edge, round(gc / nullif(v, 0), 10) as gc_share, cast(n - v as bigint) as other_letters, round(low / nullif(v, 0), 10) as lower_share from c""")
 def d9_composition_widths(t):
     """The composition around the middle of each text at three widths, and whether the window meets an edge."""

@@ -57,7 +57,8 @@ def f19_risk_strata(t):
 
 
 @query(f"""with {C}, f as (select {u(FRACTIONS)} as fraction), k as (select fraction, max(score) as threshold from c, s, f where ct >= ceil(fraction * n) group by 1)
-select cast(fraction as double) as fraction, threshold, cast(ct as bigint) as selected, cast(cp as bigint) as tp, cast(ct - cp as bigint) as fp, round(cp / ct, 10) as precision, round(cp / p, 10) as recall from k join c on c.score = k.threshold, s""")
+select cast(fraction as double) as fraction, threshold, cast(ct as bigint) as selected, cast(cp as bigint) as tp, cast(ct - cp as bigint) as fp, round(cp / ct, 10) as
+  precision, round(cp / p, 10) as recall from k join c on c.score = k.threshold, s""")
 def f20_budget_statistics(t):
     """The threshold that selects at least a fraction, whole ties included."""
     out = selection.budget_statistics(levels(t), FRACTIONS)
@@ -76,7 +77,8 @@ def f9_target_recalls(t):
     return selection.rows_at_recalls(pinned(ranked), "r", "y", RECALLS).withColumn("share", F.round("share", 10))
 
 
-@query("""with a as (select round(l_extendedprice) as s, count(*) filter (where l_returnflag = 'R') as p, count(*) filter (where l_returnflag <> 'R') as n, sum(l_quantity) filter (where l_returnflag = 'R') as wp, sum(l_quantity) filter (where l_returnflag <> 'R') as wn from lineitem group by 1),
+@query("""with a as (select round(l_extendedprice) as s, count(*) filter (where l_returnflag = 'R') as p, count(*) filter (where l_returnflag <> 'R') as n,
+  sum(l_quantity) filter (where l_returnflag = 'R') as wp, sum(l_quantity) filter (where l_returnflag <> 'R') as wn from lineitem group by 1),
 b as (select s, p, n, coalesce(wp, 0) as wp, coalesce(wn, 0) as wn from a), c as (select *, sum(n) over (order by s) - n / 2 as below, sum(wn) over (order by s) - wn / 2 as wbelow from b)
 select round(1 - sum(p * below) / (sum(p) * sum(n)), 10) as inversion_rate, round(sum(wp * wbelow) / (sum(wp) * sum(wn)), 10) as weighted_auc from c""")
 def f10_inversions(t):
@@ -88,7 +90,8 @@ def f10_inversions(t):
     return plain.crossJoin(F.broadcast(weighted)).select(F.round(1 - F.col("auc"), 10).alias("inversion_rate"), F.round("weighted_auc", 10).alias("weighted_auc"))
 
 
-@query(f"""with l as (select l_suppkey % 4 as g, floor(l_extendedprice / 1000) / 100 as score, count(*) as total, sum({R}) as positive from lineitem group by 1, 2), m as (select score, sum(total) as total, sum(positive) as positive from l group by 1),
+@query(f"""with l as (select l_suppkey % 4 as g, floor(l_extendedprice / 1000) / 100 as score, count(*) as total, sum({R}) as positive from lineitem group by 1, 2), m as
+  (select score, sum(total) as total, sum(positive) as positive from l group by 1),
 c as (select *, sum(total) over (order by score desc) as ct, sum(positive) over (order by score desc) as cp from m)
 select round(sum(positive * cp / ct) / sum(positive), 10) as ap, round(sum(positive * cp / ct) / sum(positive) / (sum(positive) / sum(total)), 8) as lift from c""")
 def f2_quantised_lift(t):
@@ -111,9 +114,11 @@ def f8_class_cohorts(t):
     return ends.unionByName(cut(rows.join(F.broadcast(ends.select("key")), "key", "left_anti"), "random rest", sc.keyed_hash("key", "rest"), "key"))
 
 
-@query("""with q as (select l_returnflag, avg(l_extendedprice) as m, quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.9) as p90, avg(case when l_extendedprice > 50000 then 1.0 else 0 end) as above,
+@query("""with q as (select l_returnflag, avg(l_extendedprice) as m, quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.9) as p90, avg(case
+  when l_extendedprice > 50000 then 1.0 else 0 end) as above,
  sum(l_quantity * l_extendedprice) / sum(l_quantity) as w from lineitem group by 1)
-select q.l_returnflag, round(q.m, 6) as mean, round(q.p50, 6) as median, round(q.p90, 6) as p90, round(q.above, 10) as above, round(q.w, 6) as weighted, round(q.m - r.m, 6) as mean_delta, round(q.p90 - r.p90, 6) as p90_delta from q, q r where r.l_returnflag = 'R'""")
+select q.l_returnflag, round(q.m, 6) as mean, round(q.p50, 6) as median, round(q.p90, 6) as p90, round(q.above, 10) as above, round(q.w, 6) as weighted, round(q.m - r.m,
+  6) as mean_delta, round(q.p90 - r.p90, 6) as p90_delta from q, q r where r.l_returnflag = 'R'""")
 def f13_tail_table(t):
     """Mean, median, p90, share above a cut and weighted mean of each class, and how far they are from class R."""
     rows, x = t("lineitem"), F.col("l_extendedprice")
@@ -147,10 +152,13 @@ def f14_choices(t):
     return rows.select("candidate", "mean", close.alias("within_tolerance"), (F.col("candidate") == F.col("strong")).alias("strongest"), F.col("eligible").alias("within_error"), F.col("chosen").alias("simplest"))
 
 
-@query(f"""with f as ({FOLDS}), m as (select candidate, avg(m) as mean, stddev_samp(m) as std from f group by 1), d as (select a.candidate, a.m - b.m as d from f a join f b on a.fold = b.fold and b.candidate = 1),
-w as (select candidate, count(*) filter (where d > 1e-12) as wins, count(*) filter (where abs(d) <= 1e-12) as ties, count(*) filter (where d < -1e-12) as losses, stddev_samp(d) as sd from d group by 1),
+@query(f"""with f as ({FOLDS}), m as (select candidate, avg(m) as mean, stddev_samp(m) as std from f group by 1), d as (select a.candidate, a.m - b.m as d from f a join
+  f b on a.fold = b.fold and b.candidate = 1),
+w as (select candidate, count(*) filter (where d > 1e-12) as wins, count(*) filter (where abs(d) <= 1e-12) as ties, count(*) filter (where d < -1e-12) as losses,
+  stddev_samp(d) as sd from d group by 1),
 r as (select m.*, row_number() over (order by mean desc, m.candidate) as r from m)
-select r.candidate, r as rank, round(mean, 10) as mean, round(std, 10) as std, round(mean - (select mean from m where candidate = 1), 10) as improvement, case when r.candidate = 1 then 0 else wins end as wins,
+select r.candidate, r as rank, round(mean, 10) as mean, round(std, 10) as std, round(mean - (select mean from m where candidate = 1), 10) as improvement, case when
+  r.candidate = 1 then 0 else wins end as wins,
  case when r.candidate = 1 then 0 else ties end as ties, case when r.candidate = 1 then 0 else losses end as losses, round(case when r.candidate = 1 then 0 else sd end, 10) as paired_std,
  r.candidate <> 1 and (select count(*) from r k where k.r <= r.r and k.candidate <> 1) <= 3 as shortlisted from r join w using (candidate)""")
 def f15_leaderboard(t):
@@ -164,8 +172,10 @@ SWEEP = [round(0.05 * i, 2) for i in range(1, 20)]
 
 
 @query(f"""with p as (select l_discount * 10 as p, {R} as y from lineitem), s as (select {u(SWEEP)} as threshold),
-c as (select threshold, count(*) filter (where p >= threshold and y = 1) as tp, count(*) filter (where p >= threshold and y = 0) as fp, count(*) filter (where p < threshold and y = 1) as fn, count(*) filter (where p < threshold and y = 0) as tn from p, s group by 1)
-select cast(threshold as double) as threshold, round((tp + tn) / (tp + fp + fn + tn), 10) as accuracy, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 10) as balanced_accuracy,
+c as (select threshold, count(*) filter (where p >= threshold and y = 1) as tp, count(*) filter (where p >= threshold and y = 0) as fp, count(*) filter (where p <
+  threshold and y = 1) as fn, count(*) filter (where p < threshold and y = 0) as tn from p, s group by 1)
+select cast(threshold as double) as threshold, round((tp + tn) / (tp + fp + fn + tn), 10) as accuracy, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn /
+  nullif(tn + fp, 0), 0)) / 2, 10) as balanced_accuracy,
  round(coalesce(tp / nullif(tp + fp, 0), 0), 10) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 10) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 10) as f1 from c""")
 def f16_threshold_sweep(t):
     """Accuracy, balanced accuracy, precision, recall and F1 at thresholds from 0.05 to 0.95."""
@@ -175,7 +185,8 @@ def f16_threshold_sweep(t):
 
 
 @query(f"""with q as (select quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8]) as q from lineitem),
-p as (select l_linestatus, case when l_extendedprice <= q[1] then 0 when l_extendedprice <= q[2] then 1 when l_extendedprice <= q[3] then 2 when l_extendedprice <= q[4] then 3 else 4 end as fifth, (l_discount >= 0.05) = ({R} = 1) as a, (l_tax >= 0.04) = ({R} = 1) as b from lineitem, q),
+p as (select l_linestatus, case when l_extendedprice <= q[1] then 0 when l_extendedprice <= q[2] then 1 when l_extendedprice <= q[3] then 2 when l_extendedprice <= q[4]
+  then 3 else 4 end as fifth, (l_discount >= 0.05) = ({R} = 1) as a, (l_tax >= 0.04) = ({R} = 1) as b from lineitem, q),
 s as (select 'price' as feature, cast(fifth as varchar) as slice, a, b from p union all select 'status', l_linestatus, a, b from p)
 select feature, slice, count(*) as n_rows, round(avg(a::int), 10) as reference_accuracy, round(avg(b::int), 10) as candidate_accuracy, round(avg(b::int) - avg(a::int), 10) as delta,
  count(*) filter (where b and not a) as fixed, count(*) filter (where a and not b) as broken from s group by 1, 2 having count(*) >= 10""")
@@ -222,14 +233,18 @@ def e17_group_intervals(t):
     return resampling.group_intervals(rows, "o_orderpriority", "y")
 
 
-SUPPLIER_AP = """with l as (select l_suppkey, m, case when m = 'a' then round(l_extendedprice) else l_quantity end as score, count(*) as total, sum(case when l_returnflag = 'R' then 1 else 0 end) as positive from lineitem, (values ('a'), ('b')) k(m) group by 1, 2, 3),
+SUPPLIER_AP = """with l as (select l_suppkey, m, case when m = 'a' then round(l_extendedprice) else l_quantity end as score, count(*) as total, sum(case when
+  l_returnflag = 'R' then 1 else 0 end) as positive from lineitem, (values ('a'), ('b')) k(m) group by 1, 2, 3),
 c as (select *, sum(total) over (partition by l_suppkey, m order by score desc) as ct, sum(positive) over (partition by l_suppkey, m order by score desc) as cp from l),
-ap as (select l_suppkey, m, round(coalesce(sum(positive * cp / ct) / nullif(sum(positive), 0), 0), 10) as ap from c group by 1, 2), d as (select l_suppkey, max(ap) filter (where m = 'a') - max(ap) filter (where m = 'b') as d from ap group by 1)"""
+ap as (select l_suppkey, m, round(coalesce(sum(positive * cp / ct) / nullif(sum(positive), 0), 0), 10) as ap from c group by 1, 2), d as (select l_suppkey, max(ap)
+  filter (where m = 'a') - max(ap) filter (where m = 'b') as d from ap group by 1)"""
 POISSON = "case " + " ".join(f"when u < {c!r} then {k}" for k, c in enumerate(resampling.poisson_cuts(12))) + " else 12 end"
 
 
-@query(f"""{SUPPLIER_AP}, w as (select r, d, {uniform("l_suppkey || ':' || r", "pairs")} as u from d, range(0, 200) k(r)), m as (select r, sum({POISSON} * d) / nullif(sum({POISSON}), 0) as m from w group by 1)
-select (select count(*) from d) as n_groups, (select count(*) from d where d > 0) as improved, round((select avg(d) from d), 8) as mean_difference, round(quantile_cont(m, 0.025), 8) as low, round(quantile_cont(m, 0.975), 8) as high from m where m is not null""")
+@query(f"""{SUPPLIER_AP}, w as (select r, d, {uniform("l_suppkey || ':' || r", "pairs")} as u from d, range(0, 200) k(r)), m as (select r, sum({POISSON} * d) /
+  nullif(sum({POISSON}), 0) as m from w group by 1)
+select (select count(*) from d) as n_groups, (select count(*) from d where d > 0) as improved, round((select avg(d) from d), 8) as mean_difference,
+  round(quantile_cont(m, 0.025), 8) as low, round(quantile_cont(m, 0.975), 8) as high from m where m is not null""")
 def e23_paired_bootstrap(t):
     """AP by price less AP by quantity of each supplier, and the interval of its mean over 200 draws of suppliers."""
     rows = scored(t)

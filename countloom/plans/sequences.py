@@ -51,7 +51,8 @@ def e1_kmer_counts(t):
 @query(f"""with w as (select source, w, count(*) as n from ({_windows(15, f"('NNNNNNN' || {UP} || 'NNNNNNN')")}) group by 1, 2),
 k as (select source, unnest([2, 4, 6, 8]) as k, w, n from w),
 o as (select source, '+' as strand, k, substr(w, 9 - k, k) as s, n from k union all select source, '-', k, reverse(translate(substr(w, 8, k), 'ACGTacgt', 'TGCAtgca')), n from k)
-select source, strand, k, cast(case when regexp_matches(s, '^[ACGT]+$') then list_sum([(strpos('ACGT', substr(s, i, 1)) - 1) * power(4, k - i) for i in range(1, k + 1)]) else power(4, k) end as bigint) as code,
+select source, strand, k, cast(case when regexp_matches(s, '^[ACGT]+$') then list_sum([(strpos('ACGT', substr(s, i, 1)) - 1) * power(4, k - i) for i in range(1, k + 1)])
+  else power(4, k) end as bigint) as code,
   cast(sum(n) as bigint) as n from o group by 1, 2, 3, 4""")
 def e1_oriented_kmers(t):
     """2-, 4-, 6- and 8-mers on both strands that end at each position, in one pass; N/edge is 4^k, so each strand and k counts every position once."""
@@ -68,9 +69,11 @@ def d5_suffix_marginals(t):
     return m.groupBy("k", F.when(F.col("code") == 256, size).otherwise(F.col("code") % size).alias("parent")).agg(F.sum("n").alias("n"))
 
 
-@query(f"""with c as (select doc_id, {UP} as s from documents), n as (select doc_id, length(s) as len, length(s) - length(replace(s, 'A', '')) as a, length(s) - length(replace(s, 'C', '')) as c, length(s) - length(replace(s, 'G', '')) as g, length(s) - length(replace(s, 'T', '')) as t from c)
+@query(f"""with c as (select doc_id, {UP} as s from documents), n as (select doc_id, length(s) as len, length(s) - length(replace(s, 'A', '')) as a, length(s) -
+  length(replace(s, 'C', '')) as c, length(s) - length(replace(s, 'G', '')) as g, length(s) - length(replace(s, 'T', '')) as t from c)
 select doc_id, len as length, round(case when a + c + g + t > 0 then (c + g) / (a + c + g + t) end, 10) as gc, round((len - a - c - g - t) / nullif(len, 0), 10) as n_share,
-  round(case when a + c + g + t > 0 then -(case when a > 0 then a / (a + c + g + t) * log2(a / (a + c + g + t)) else 0 end + case when c > 0 then c / (a + c + g + t) * log2(c / (a + c + g + t)) else 0 end
+  round(case when a + c + g + t > 0 then -(case when a > 0 then a / (a + c + g + t) * log2(a / (a + c + g + t)) else 0 end + case when c > 0 then c / (a + c + g + t) *
+  log2(c / (a + c + g + t)) else 0 end
    + case when g > 0 then g / (a + c + g + t) * log2(g / (a + c + g + t)) else 0 end + case when t > 0 then t / (a + c + g + t) * log2(t / (a + c + g + t)) else 0 end) end, 8) as entropy from n""")
 def d11_sequence_stats(t):
     rows = sequences(t).select("doc_id", F.length("seq").cast("long").alias("length"), *(sc.letter_count(F.col("seq"), b).alias(b.lower()) for b in "ACGT"))
@@ -81,7 +84,8 @@ def d11_sequence_stats(t):
 
 @query("""with w as (select doc_id, chr.i as pos, case when regexp_matches(chr.c, '[CGcg]') then 1 else 0 end as gc, case when regexp_matches(chr.c, '[ACGTacgt]') then 1 else 0 end as valid
   from (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, length(text) + 1)) as i from documents) chr),
-s as (select doc_id, pos, sum(gc) over (partition by doc_id order by pos range between 50 preceding and 50 following) as gc, sum(valid) over (partition by doc_id order by pos range between 50 preceding and 50 following) as valid from w)
+s as (select doc_id, pos, sum(gc) over (partition by doc_id order by pos range between 50 preceding and 50 following) as gc, sum(valid) over (partition by doc_id order
+  by pos range between 50 preceding and 50 following) as valid from w)
 select doc_id, cast(sum(gc) as bigint) as gc, cast(sum(valid) as bigint) as valid, max(gc) as top from s group by 1""")
 def d6_window_composition(t):
     """Centred windows by prefix sums inside each text: the sum over positions of the window counts, and the largest."""
@@ -96,7 +100,8 @@ def d7_fixed_bins(t):
     return rows.groupBy("code").agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
 
 
-@query(f"""with s as (select doc_id, {UP} as s from documents), n as (select doc_id, length(s) - length(replace(s, 'C', '')) as c, length(s) - length(replace(s, 'G', '')) as g, (length(s) - length(replace(s, 'CG', ''))) / 2 as p,
+@query(f"""with s as (select doc_id, {UP} as s from documents), n as (select doc_id, length(s) - length(replace(s, 'C', '')) as c, length(s) - length(replace(s, 'G',
+  '')) as g, (length(s) - length(replace(s, 'CG', ''))) / 2 as p,
  length(s) - length(replace(replace(replace(replace(s, 'A', ''), 'C', ''), 'G', ''), 'T', '')) as v from s)
 select doc_id, round(case when c * g > 0 then p * v / (c * g) end, 10) as observed_expected from n""")
 def d8_pair_observed_expected(t):
@@ -113,10 +118,10 @@ def d12_centroid_cosine(t):
     b = pinned(counts.word_counts(t("documents"), "text", 2, ["source"]))
     f = b.join(b.groupBy("source").agg(F.sum("n").alias("all")), "source").select("source", "word", (F.col("n") / F.col("all")).alias("f"))
     groups = t("documents").agg(F.countDistinct("source").alias("groups"))
-    c = f.groupBy("word").agg(F.sum("f").alias("s")).crossJoin(groups).select("word", (F.col("s") / F.col("groups")).alias("c"))
+    c = f.groupBy("word").agg(F.sum("f").alias("s")).crossJoin(F.broadcast(groups)).select("word", (F.col("s") / F.col("groups")).alias("c"))
     size = c.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
     out = f.join(c, "word").groupBy("source").agg(F.sum(F.col("f") * F.col("c")).alias("dot"), F.sqrt(F.sum(F.col("f") * F.col("f"))).alias("own"))
-    return out.crossJoin(size).select("source", F.round(F.col("dot") / (F.col("own") * F.col("size")), 8).alias("cosine"))
+    return out.crossJoin(F.broadcast(size)).select("source", F.round(F.col("dot") / (F.col("own") * F.col("size")), 8).alias("cosine"))
 
 
 @query("""select l_orderkey, l_linenumber, round(1 / (1 + exp(-l_tax)), 10) as sigmoid, round(ln((0.1 + l_tax) / (1 - (0.1 + l_tax))), 10) as logit, round(ln(1 + exp(l_tax)), 10) as softplus, round(log2((l_quantity + 1) / (l_tax + 1)), 10) as ratio from lineitem""")
@@ -215,7 +220,8 @@ def _offsets(half, columns, rows="documents"):
     """Each letter of a padded text as the base at each offset of the position that it stands by, if that lies in the text."""
     pad = "N" * half
     return f"""select {columns}, o, c as base from (select {columns}, len, unnest(string_split(s, '')) as c, unnest(range(1, len + {2 * half + 1})) as j
- from (select {columns}, length(text) as len, '{pad}' || {FOLDED} || '{pad}' as s from {rows} where length(text) > 0)), (select unnest(range({-half}, {half + 1})) as o) where j - {half} - o between 1 and len"""
+ from (select {columns}, length(text) as len, '{pad}' || {FOLDED} || '{pad}' as s from {rows} where length(text) > 0)), (select unnest(range({-half}, {half + 1})) as o)
+  where j - {half} - o between 1 and len"""
 
 
 @query(f"select doc_id, cast(o as bigint) as at, base, count(*) as n from ({_offsets(3, 'doc_id')}) where base <> 'A' group by 1, 2, 3")
@@ -225,7 +231,8 @@ def d3_bases_everywhere(t):
     return offset_bases(rows, ["doc_id"], 3).where("base <> 'A'").groupBy("doc_id", "at", "base").agg(F.sum("n").alias("n"))
 
 
-@query(f"""with n as (select o, base, count(*) filter (where y = 1) as ones, count(*) filter (where y = 0) as zeros from ({_offsets(20, "y", "(select text, quality as y from documents join labels using (doc_id))")}) group by 1, 2),
+@query(f"""with n as (select o, base, count(*) filter (where y = 1) as ones, count(*) filter (where y = 0) as zeros from
+  ({_offsets(20, "y", "(select text, quality as y from documents join labels using (doc_id))")}) group by 1, 2),
 s as (select *, ones / nullif(sum(ones) over (partition by o), 0) as p, zeros / nullif(sum(zeros) over (partition by o), 0) as q from n)
 select cast(o as bigint) as at, base, ones, zeros, round(log2((p + 1e-6) / (q + 1e-6)), 8) as log2_enrichment from s""")
 def e13_bases_everywhere(t):

@@ -19,8 +19,10 @@ R = "case when l_returnflag = 'R' then 1 else 0 end"
 LETTERS = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
 
 
-@query(f"""with s as (select doc_id, length({LETTERS}) as n from documents where length({LETTERS}) > 0), r as (select doc_id, n, 2 + length(cast(doc_id as varchar)) as head, n + (n + {LINE - 1}) // {LINE} as body from s)
-select cast(doc_id as varchar) as contig, cast(n as bigint) as length, cast(sum(head + body) over (order by doc_id) - body as bigint) as byte_offset, cast({LINE} as bigint) as line_bases, cast({LINE + 1} as bigint) as line_bytes from r""")
+@query(f"""with s as (select doc_id, length({LETTERS}) as n from documents where length({LETTERS}) > 0), r as (select doc_id, n, 2 + length(cast(doc_id as varchar)) as
+  head, n + (n + {LINE - 1}) // {LINE} as body from s)
+select cast(doc_id as varchar) as contig, cast(n as bigint) as length, cast(sum(head + body) over (order by doc_id) - body as bigint) as byte_offset, cast({LINE} as
+  bigint) as line_bases, cast({LINE + 1} as bigint) as line_bytes from r""")
 def a2_sequence_index(t):
     """The index of the letters as a file of records in key order, written as text and read back with its checks."""
     s = t("documents").select("doc_id", F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("length")).where("length > 0")
@@ -31,7 +33,8 @@ def a2_sequence_index(t):
 
 @query(f"""with p as ({POINTS}), i as (select contig, pos as start, pos + 20 as "end" from p), k as (select distinct contig, 10500 as length from p where contig % 2 = 0),
 l as (select i.*, length, lag("end") over (partition by i.contig order by start, "end") as b from i left join k using (contig))
-select contig, count(*) filter (where start < 0 or "end" <= start or "end" > coalesce(length, "end")) as bad_bounds, count(*) filter (where b > start) as overlaps, count(*) filter (where length is null) as unknown from l group by contig""")
+select contig, count(*) filter (where start < 0 or "end" <= start or "end" > coalesce(length, "end")) as bad_bounds, count(*) filter (where b > start) as overlaps,
+  count(*) filter (where length is null) as unknown from l group by contig""")
 def b1_known_contigs(t):
     """Intervals against contig lengths; contigs of odd number are unknown."""
     p = order_days(t).select("contig", F.col("pos").alias("start"), (F.col("pos") + 20).alias("end"))
@@ -64,8 +67,10 @@ def c3_linear_decode(t):
 
 
 STRAND = "case when event_id % 2 = 0 then '+' else '-' end"
-NEAR = f"""q as (select user_id as contig, {MINUTE} as pos, event_id, {STRAND} as strand from events where event_type = 'purchase'), e as (select distinct user_id as contig, {MINUTE} as pos, {STRAND} as strand from events where event_type = 'view'),
-m as (select unnest(['same', 'opposite', 'any']) as mode), j as (select q.event_id, q.pos, q.strand, mode, min_by(e.pos, abs(q.pos - e.pos) * 2 + case when e.pos > q.pos then 1 else 0 end) as near, min(abs(q.pos - e.pos)) as distance
+NEAR = f"""q as (select user_id as contig, {MINUTE} as pos, event_id, {STRAND} as strand from events where event_type = 'purchase'), e as (select distinct user_id as
+  contig, {MINUTE} as pos, {STRAND} as strand from events where event_type = 'view'),
+m as (select unnest(['same', 'opposite', 'any']) as mode), j as (select q.event_id, q.pos, q.strand, mode, min_by(e.pos, abs(q.pos - e.pos) * 2 + case when e.pos > q.pos
+  then 1 else 0 end) as near, min(abs(q.pos - e.pos)) as distance
  from q cross join m left join e on e.contig = q.contig and (mode = 'any' or (mode = 'same') = (e.strand = q.strand)) group by 1, 2, 3, 4),
 n as (select event_id, mode, near, distance, (near - pos) * case when strand = '+' then 1 else -1 end as oriented from j)"""
 
@@ -85,8 +90,10 @@ def c6_nearest_by_strand(t):
 WITHIN = [16, 64, 256, 1024, 4096]
 
 
-@query(f"""with {NEAR}, k as (select {u(WITHIN)} as threshold) select event_id % 3 as grp, mode, cast(threshold as bigint) as threshold, count(*) as n, round(avg(case when distance <= threshold then 1.0 else 0 end), 10) as within,
-round(avg(case when distance <= threshold and oriented < 0 then 1.0 else 0 end), 10) as upstream, round(avg(case when distance <= threshold and oriented > 0 then 1.0 else 0 end), 10) as downstream from n, k group by 1, 2, 3""")
+@query(f"""with {NEAR}, k as (select {u(WITHIN)} as threshold) select event_id % 3 as grp, mode, cast(threshold as bigint) as threshold, count(*) as n, round(avg(case
+  when distance <= threshold then 1.0 else 0 end), 10) as within,
+round(avg(case when distance <= threshold and oriented < 0 then 1.0 else 0 end), 10) as upstream, round(avg(case when distance <= threshold and oriented > 0 then 1.0
+  else 0 end), 10) as downstream from n, k group by 1, 2, 3""")
 def e22_within_distance(t):
     """Shares of purchases with a view within a distance, by group and strand mode, before and behind; none counts as not within."""
     rows = nearest_views(t).withColumn("threshold", F.explode(F.array(*(F.lit(x).cast("long") for x in WITHIN))))
@@ -96,9 +103,11 @@ def e22_within_distance(t):
     return found.agg(F.count("*").alias("n"), share(near, "within"), share(near & F.coalesce(F.col("oriented") < 0, F.lit(False)), "upstream"), share(near & F.coalesce(F.col("oriented") > 0, F.lit(False)), "downstream"))
 
 
-TILES = f"""s as ({SPANS}), x as (select contig, unnest(range(start // 128, ("end" - 1) // 128 + 1)) as tile, start, "end" from s), b as (select contig, tile, sum(least("end", (tile + 1) * 128) - greatest(start, tile * 128)) as bases from x group by 1, 2),
+TILES = f"""s as ({SPANS}), x as (select contig, unnest(range(start // 128, ("end" - 1) // 128 + 1)) as tile, start, "end" from s), b as (select contig, tile,
+  sum(least("end", (tile + 1) * 128) - greatest(start, tile * 128)) as bases from x group by 1, 2),
 h as (select contig, pos // 128 as tile, count(distinct pos) as positives, count(*) as total from ({POINTS}) group by 1, 2),
-k as (select contig, tile, cast(bases as bigint) as bases, coalesce(positives, 0) as positives, coalesce(total, 0) as total, cast(bases - coalesce(positives, 0) as bigint) as negatives from b left join h using (contig, tile))"""
+k as (select contig, tile, cast(bases as bigint) as bases, coalesce(positives, 0) as positives, coalesce(total, 0) as total, cast(bases - coalesce(positives, 0) as
+  bigint) as negatives from b left join h using (contig, tile))"""
 
 
 def tile_rows(t):
@@ -114,8 +123,10 @@ def c7_tile_table(t):
 DRAWS = 500
 
 
-@query(f"""with {TILES}, p as (select contig, tile, 0.5 * positives / sum(positives) over () + 0.5 * negatives / sum(negatives) over () as p from k), c as (select *, sum(p) over (order by contig, tile) as hi from p),
-d as (select i as draw, {uniform("i", "draws")} as u from range(0, {DRAWS}) r(i)) select draw, contig, tile, round(1 / (p * (select count(*) from k)), 8) as weight from d join c on u >= hi - p and u < hi""")
+@query(f"""with {TILES}, p as (select contig, tile, 0.5 * positives / sum(positives) over () + 0.5 * negatives / sum(negatives) over () as p from k), c as (select *,
+  sum(p) over (order by contig, tile) as hi from p),
+d as (select i as draw, {uniform("i", "draws")} as u from range(0, {DRAWS}) r(i)) select draw, contig, tile, round(1 / (p * (select count(*) from k)), 8) as weight from
+  d join c on u >= hi - p and u < hi""")
 def g5_tile_draws(t):
     """Tiles drawn with replacement, half by positives and half by empty days, with the weights that undo it (sampling is the feature)."""
     mix = F.lit(0.5) * F.col("p_positive") + F.lit(0.5) * F.col("p_negative")
@@ -132,9 +143,11 @@ def d7_bins_with_missing(t):
     return t("lineitem").select(sc.bin_code(x, [0.01, 0.03, 0.06, 0.08]).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query(f"""with b as (select source, c, count(*) as n from (select source, unnest(string_split({UP}, '')) as c from documents) where c in ('A', 'C', 'G', 'T') group by 1, 2), v as (select source, sum(n) as v from b group by 1),
+@query(f"""with b as (select source, c, count(*) as n from (select source, unnest(string_split({UP}, '')) as c from documents) where c in ('A', 'C', 'G', 'T') group by
+  1, 2), v as (select source, sum(n) as v from b group by 1),
 p as (select source, w, count(*) as n from ({_windows(2)}) where regexp_matches(w, '^[ACGT][ACGT]$') group by 1, 2)
-select p.source, w as pair, round(p.n * v / (l.n * r.n), 8) as observed_expected from p join v on v.source is not distinct from p.source join b l on l.source is not distinct from p.source and l.c = left(w, 1) join b r on r.source is not distinct from p.source and r.c = right(w, 1)""")
+select p.source, w as pair, round(p.n * v / (l.n * r.n), 8) as observed_expected from p join v on v.source is not distinct from p.source join b l on l.source is not
+  distinct from p.source and l.c = left(w, 1) join b r on r.source is not distinct from p.source and r.c = right(w, 1)""")
 def d8_all_pairs(t):
     """Observed over expected of all 16 pairs by source."""
     one, two = (counts.kmer_counts(sequences(t), "seq", k, ["source"]).where(F.col("code") < 4**k) for k in (1, 2))
@@ -156,7 +169,8 @@ def d15_score_bins(t):
     return t("lineitem").groupBy(key.cast("long").alias("region_key"), score.alias("score_bin")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with l as (select doc_id, c, i, case when c in ('C', 'G') then 1 else 0 end as g, case when c in ('A', 'C', 'G', 'T') then 1 else 0 end as v from (select doc_id, unnest(string_split({UP}, '')) as c, unnest(range(1, length(text) + 1)) as i from documents where length(text) > 0)),
+@query(f"""with l as (select doc_id, c, i, case when c in ('C', 'G') then 1 else 0 end as g, case when c in ('A', 'C', 'G', 'T') then 1 else 0 end as v from (select
+  doc_id, unnest(string_split({UP}, '')) as c, unnest(range(1, length(text) + 1)) as i from documents where length(text) > 0)),
 w as (select sum(g) over k as gc, sum(v) over k as valid, lag(c, 5) over o || lag(c, 4) over o || lag(c, 3) over o || lag(c, 2) over o || lag(c, 1) over o || c as w from l
  window k as (partition by doc_id order by i rows between 50 preceding and 50 following), o as (partition by doc_id order by i))
 select cast(coalesce({_code(6)}, 4096) as bigint) as code, cast(gc as bigint) as gc, cast(valid as bigint) as valid, count(*) as n from w group by 1, 2, 3""")
@@ -165,8 +179,10 @@ def e2_window_composition(t):
     return counts.joint_counts(sequences(t), "seq", 6, 50, [])
 
 
-@query(f"""with c as (select {_code(4)} as code, quality as y from ({_windows(4)}) join labels using (doc_id)), n as (select code, count(*) as total, count(*) filter (where y = 1) as positive from c group by 1), g as (select sum(positive) / sum(total) as p from n)
-select cast(r.code as bigint) as code, coalesce(total, 0) as total, coalesce(positive, 0) as positive, coalesce(total, 0) - coalesce(positive, 0) as negative, round(positive / total, 10) as rate, round(positive / total / p, 10) as enrichment from range(0, 257) r(code) left join n using (code), g""")
+@query(f"""with c as (select {_code(4)} as code, quality as y from ({_windows(4)}) join labels using (doc_id)), n as (select code, count(*) as total, count(*) filter
+  (where y = 1) as positive from c group by 1), g as (select sum(positive) / sum(total) as p from n)
+select cast(r.code as bigint) as code, coalesce(total, 0) as total, coalesce(positive, 0) as positive, coalesce(total, 0) - coalesce(positive, 0) as negative,
+  round(positive / total, 10) as rate, round(positive / total / p, 10) as enrichment from range(0, 257) r(code) left join n using (code), g""")
 def e4_kmer_categories(t):
     """Every 4-mer, those that do not occur too: their rate is null."""
     rows = sequences(t).join(t("labels"), "doc_id").select("seq", F.col("quality").alias("y"))
@@ -199,7 +215,8 @@ def e9_top_share(t):
 
 @query(f"""with v as (select l_returnflag as g, l_extendedprice as v, sum(l_quantity) as w from lineitem where l_extendedprice is not null and l_quantity > 0 group by 1, 2),
 c as (select *, (sum(w) over (partition by g order by v) - w / 2) / sum(w) over (partition by g) as pos from v), q as (select {u([0.0, 0.1, 0.5, 0.9, 1.0])} as q),
-e as (select g, q, max(pos) filter (where pos <= q) as a, min(pos) filter (where pos >= q) as b, arg_max(v, pos) filter (where pos <= q) as x, arg_min(v, pos) filter (where pos >= q) as y from c, q group by 1, 2)
+e as (select g, q, max(pos) filter (where pos <= q) as a, min(pos) filter (where pos >= q) as b, arg_max(v, pos) filter (where pos <= q) as x, arg_min(v, pos) filter
+  (where pos >= q) as y from c, q group by 1, 2)
 select g as l_returnflag, cast(q as double) as q, round(case when a is null then y when b is null or a = b then x else x + (y - x) * (q - a) / (b - a) end, 6) as value from e""")
 def e12_weighted_quantiles(t):
     """Quantiles of the price by mid-point quantity weights."""
@@ -218,7 +235,8 @@ COLUMNS = ("o_orderstatus", "o_orderpriority", "o_custkey")
 
 
 @query("with " + ", ".join(f"x{i} as (select '{c}' as name, cast({c} as varchar) as v, count(*) as n from orders group by 2)" for i, c in enumerate(COLUMNS)) + ", x as (" + " union all ".join(f"select * from x{i}" for i in range(len(COLUMNS))) + """)
-select name as "column", cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (where v is null), 0) as bigint) as missing, count(v) as levels, cast(max(n) filter (where v is not null) as bigint) as mode_rows,
+select name as "column", cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (where v is null), 0) as bigint) as missing, count(v) as levels, cast(max(n)
+  filter (where v is not null) as bigint) as mode_rows,
 max(v) filter (where n = (select max(n) from x k where k.name = x.name and k.v is not null)) as mode from x group by 1""")
 def e16_columns(t):
     """Missing values, levels and the commonest level (the last by name in ties) of each column, from counts of (column, value)."""
@@ -259,9 +277,12 @@ def e18_pivot(t):
     return p.select("l_returnflag", *(F.coalesce(f"{s}_n", F.lit(0)).alias(f"n_{s.lower()}") for s in "FO"), *(F.col(f"{s}_mean").alias(f"mean_{s.lower()}") for s in "FO"))
 
 
-@query("""with f as (select l_extendedprice as x from lineitem where l_linestatus = 'F'), b as (select quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3, quantile_cont(x, 0.5) as m from f), d as (select quantile_cont(abs(x - m), 0.5) as mad from f, b),
-v as (select l_returnflag as dataset, l_suppkey % 50 as grp, case when x < q1 - 0.5 * (q3 - q1) or x > q3 + 0.5 * (q3 - q1) then 2 when x < q1 - 0.3 * (q3 - q1) or x > q3 + 0.3 * (q3 - q1) then 1 else 0 end as severity, abs(x - m) * 0.6745 / nullif(mad, 0) as z from (select *, l_extendedprice as x from lineitem), b, d)
-select dataset, count(*) as n, count(*) filter (where severity = 1) as mild, count(*) filter (where severity = 2) as extreme, count(*) filter (where z > 1.2) as far, round(max(z), 8) as most, count(distinct case when severity > 0 then grp end) as groups_flagged from v group by 1""")
+@query("""with f as (select l_extendedprice as x from lineitem where l_linestatus = 'F'), b as (select quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.75) as q3,
+  quantile_cont(x, 0.5) as m from f), d as (select quantile_cont(abs(x - m), 0.5) as mad from f, b),
+v as (select l_returnflag as dataset, l_suppkey % 50 as grp, case when x < q1 - 0.5 * (q3 - q1) or x > q3 + 0.5 * (q3 - q1) then 2 when x < q1 - 0.3 * (q3 - q1) or x >
+  q3 + 0.3 * (q3 - q1) then 1 else 0 end as severity, abs(x - m) * 0.6745 / nullif(mad, 0) as z from (select *, l_extendedprice as x from lineitem), b, d)
+select dataset, count(*) as n, count(*) filter (where severity = 1) as mild, count(*) filter (where severity = 2) as extreme, count(*) filter (where z > 1.2) as far,
+  round(max(z), 8) as most, count(distinct case when severity > 0 then grp end) as groups_flagged from v group by 1""")
 def e20_reference_bounds(t):
     """Quartile and median bounds fitted on one status and applied to each class: mild and extreme values, robust z, groups with a flagged value."""
     x, f = F.col("l_extendedprice"), t("lineitem").where("l_linestatus = 'F'")
@@ -296,10 +317,12 @@ def g3_plain_folds(t):
     return ranks.row_numbers(rows, [F.asc("h"), F.asc("event_id")], "r").select("event_id", ((F.col("r") - 1) % 5).alias("fold"))
 
 
-@query(f"""with c as (select {_code(4)} as code, quality as y from ({_windows(4)}) join labels using (doc_id)), n4 as (select code, count(*) as total, count(*) filter (where y = 1) as positive from c group by 1),
+@query(f"""with c as (select {_code(4)} as code, quality as y from ({_windows(4)}) join labels using (doc_id)), n4 as (select code, count(*) as total, count(*) filter
+  (where y = 1) as positive from c group by 1),
 g as (select sum(positive) / sum(total) as p from n4), n2 as (select case when code = 256 then 16 else code % 16 end as code, sum(total) as total, sum(positive) as positive from n4 group by 1),
 s2 as (select code, (positive + 1.0) / (total + 1 / p) as s from n2, g)
-select cast(n4.code as bigint) as code, total, positive, round((positive + s / p) / (total + 1 / p), 10) as score from n4 join s2 on s2.code = case when n4.code = 256 then 16 else n4.code % 16 end, g""")
+select cast(n4.code as bigint) as code, total, positive, round((positive + s / p) / (total + 1 / p), 10) as score from n4 join s2 on s2.code = case when n4.code = 256
+  then 16 else n4.code % 16 end, g""")
 def h1_backoff_scores(t):
     """4-mer scores drawn to those of their suffix pairs, and those to the prevalence."""
     rows = sequences(t).join(t("labels"), "doc_id").select("seq", F.col("quality").alias("y"))
@@ -307,7 +330,8 @@ def h1_backoff_scores(t):
     return counts.backoff_scores(pinned(n), (2, 4)).withColumn("score", F.round("score", 10))
 
 
-@query(f"""with c as (select cast(floor(l_quantity / 10) as bigint) as bin, l_linestatus as status, count(*) as total, sum({R}) as positive, sum(l_quantity) as w from lineitem group by 1, 2), g as (select sum(positive) / sum(total) as p from c)
+@query(f"""with c as (select cast(floor(l_quantity / 10) as bigint) as bin, l_linestatus as status, count(*) as total, sum({R}) as positive, sum(l_quantity) as w from
+  lineitem group by 1, 2), g as (select sum(positive) / sum(total) as p from c)
 select bin, status, total, cast(positive as bigint) as positive, round(positive / total, 10) as rate, round(positive / total / p, 10) as enrichment, round(w / total, 8) as mean from c, g""")
 def e5_interaction_cells(t):
     """Rate, enrichment and mean quantity of each cell of quantity bin and status."""
@@ -320,7 +344,8 @@ def e5_interaction_cells(t):
 
 @query(f"""with p as ({POINTS}), i as (select distinct contig, pos // 60 * 60 as start, pos // 60 * 60 + 30 as "end" from p), c as (select contig, pos, count(*) as n from p group by 1, 2),
 k as (select c.*, i.start is not null as allowed from c left join i on i.contig = c.contig and c.pos >= i.start and c.pos < i."end")
-select contig, pos // 32 as region, count(*) as positions, bool_and(allowed) as all_allowed, count(*) filter (where allowed) as n_positive, cast(coalesce(sum(n) filter (where allowed), 0) as bigint) as total,
+select contig, pos // 32 as region, count(*) as positions, bool_and(allowed) as all_allowed, count(*) filter (where allowed) as n_positive, cast(coalesce(sum(n) filter
+  (where allowed), 0) as bigint) as total,
  arg_max(pos, n * 1000000 - pos) filter (where allowed) as dominant from k group by 1, 2""")
 def e15_allowed_regions(t):
     """Regions of 32 days: positions, whether all are in the allow-list, and positives, orders and the dominant day (the first in ties) of those that are."""
@@ -343,7 +368,8 @@ def e19_special_characters(t):
 
 
 @query("""with h as (select event_type, hour(ts) as hour, count(*) as n, avg(value) as mean, quantile_cont(value, 0.5) as median from events group by 1, 2)
-select event_type, cast(hour as bigint) as hour, n, round(n / sum(n) over (partition by event_type), 10) as share, round(mean, 8) as mean, round(median, 8) as median, rank() over (partition by event_type order by n desc) as place from h""")
+select event_type, cast(hour as bigint) as hour, n, round(n / sum(n) over (partition by event_type), 10) as share, round(mean, 8) as mean, round(median, 8) as median,
+  rank() over (partition by event_type order by n desc) as place from h""")
 def e21_position_histogram(t):
     """Where events of a type fall in the day: share within the type, mean, median and place by number."""
     from pyspark.sql import Window as W
@@ -357,7 +383,8 @@ def e21_position_histogram(t):
 
 
 @query(f"""with x as (select l_orderkey * 10 + l_linenumber as key, l_extendedprice as p from lineitem where l_returnflag = 'R'), q as (select quantile_cont(p, [0.25, 0.5, 0.75]) as q from x),
-s as (select key, case when p > q[3] then 3 when p > q[2] then 2 when p > q[1] then 1 else 0 end as quartile from x, q), r as (select *, row_number() over (partition by quartile order by {md5("key", "strata")}, key) as r from s)
+s as (select key, case when p > q[3] then 3 when p > q[2] then 2 when p > q[1] then 1 else 0 end as quartile from x, q), r as (select *, row_number() over (partition by
+  quartile order by {md5("key", "strata")}, key) as r from s)
 select quartile, key from r where r <= 25""")
 def f7_quartile_strata(t):
     """The 25 least keyed hashes of each price quartile of the positives (a repeatable sample is the feature)."""
@@ -381,7 +408,8 @@ def f8_distance_cohorts(t):
 
 
 @query(f"""with e as (select l_linestatus as status, abs({R} - l_discount * 5) as a, abs({R} - l_tax * 6) as b from lineitem)
-select status, round(avg(a), 10) as reference_error, round(avg(b), 10) as candidate_error, round(avg(b) - avg(a), 10) as change, count(*) filter (where b < a) as nearer, count(*) filter (where b > a) as farther from e group by 1""")
+select status, round(avg(a), 10) as reference_error, round(avg(b), 10) as candidate_error, round(avg(b) - avg(a), 10) as change, count(*) filter (where b < a) as nearer,
+  count(*) filter (where b > a) as farther from e group by 1""")
 def f16_absolute_errors(t):
     """Mean absolute errors of two predictors by status, their change, and the rows that come nearer or go farther."""
     y = (F.col("l_returnflag") == "R").cast("double")

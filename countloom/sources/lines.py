@@ -88,7 +88,7 @@ def read_ordered(spark: SparkSession, path: str) -> DataFrame:
     rows = pinned(numbered(spark, path))
     files = rows.groupBy("file").agg(F.count("*").alias("n"))
     before = ranks.cumulative(files, [F.asc("file")], {"upto": F.col("n")}).select("file", (F.col("upto") - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "file").select((F.col("before") + F.col("line_no")).alias("line_no"), "value")
+    return rows.join(before, "file").select((F.col("before") + F.col("line_no")).alias("line_no"), "value")
 
 
 def sequence_index(records: DataFrame, order: str, length: str, line: int) -> DataFrame:

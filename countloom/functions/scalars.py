@@ -107,3 +107,21 @@ def keyed_hash(key: Column | str, salt: str) -> Column:
 def keyed_uniform(key: Column | str, salt: str) -> Column:
     """A number in [0, 1) of 32 bits from keyed_hash()."""
     return F.conv(F.substring(keyed_hash(key, salt), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def mixed_keys(df, key: str, salt: int, name: str = "mixed"):
+    """df with name: the key (a whole number) plus a salt through a 64-bit finalizer of multiplications and shifts, as an unsigned decimal string."""
+    import numpy as np
+    import pyarrow as pa
+
+    step, one, two = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+    def run(batches):
+        for b in batches:
+            x = b.column(b.schema.names.index(key)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(salt) + step
+            x = (x ^ (x >> np.uint64(30))) * one
+            x = (x ^ (x >> np.uint64(27))) * two
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(str, x ^ (x >> np.uint64(31))), pa.string())], [*b.schema.names, name])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{kind}, {name} string")

@@ -131,11 +131,25 @@ def reverse_codes(code: np.ndarray, k: int) -> np.ndarray:
     return np.where(code == 4**k, code, out)
 
 
-def oriented_counts(df: DataFrame, text: str, sizes: tuple[int, ...], keys: list[str]) -> DataFrame:
+def allowed(spans: list | None, lo: int, hi: int) -> np.ndarray:
+    """Which positions from lo to hi lie in one of the half-open spans; all where spans is None."""
+    if spans is None:
+        return np.ones(hi - lo, bool)
+    step = np.zeros(hi - lo + 1, np.int64)
+    for x in spans:
+        a, b = (min(max(v, lo), hi) - lo for v in (x["start"], x["end"]))
+        step[a] += 1
+        step[max(a, b)] -= 1
+    return step[:-1].cumsum() > 0
+
+
+def oriented_counts(df: DataFrame, text: str, sizes: tuple[int, ...], keys: list[str], spans: str | None = None) -> DataFrame:
     """keys, strand, k, code, n: each position once a strand and k. On + the word ends at the position; on - it is the reverse
-    complement of the word that begins there; 4^k where it leaves the text or holds another letter."""
+    complement of the word that begins there; 4^k where it leaves the text or holds another letter.
+
+    spans: a column of half-open intervals (an array of start and end) outside of which no position counts; words may reach out of them."""
     kinds = _arrow(df, keys)
-    most = max(sizes)
+    most, wide = max(sizes), [spans] if spans else []
 
     def run(batches):
         gap = np.full(most, 4)
@@ -145,17 +159,18 @@ def oriented_counts(df: DataFrame, text: str, sizes: tuple[int, ...], keys: list
                 for lo in range(0, len(points), RUN):
                     hi = min(len(points), lo + RUN)
                     before, after = points[max(0, lo - most + 1) : lo], points[hi : hi + most - 1]
-                    yield row[:-1], np.concatenate([gap[: most - 1 - len(before)], before, points[lo:hi], after, gap[: most - 1 - len(after)]])
+                    here = allowed((row[-2] or []) if spans else None, lo, hi)
+                    yield row[: len(keys)], np.concatenate([gap[: most - 1 - len(before)], before, points[lo:hi], after, gap[: most - 1 - len(after)]]), here
 
     def count(batches):
         held: dict = {}
-        for owner, padded in run(batches):
+        for owner, padded, here in run(batches):
             n = len(padded) - 2 * (most - 1)
             for k in sizes:
                 plus = rolling_codes(padded[most - k : most - 1 + n], k)
                 minus = rolling_codes(padded[most - 1 : most - 1 + n + k - 1], k)
                 for strand, codes in (("+", plus), ("-", minus)):
-                    held.setdefault((owner, strand, k), []).append(codes)
+                    held.setdefault((owner, strand, k), []).append(codes[here])
             if sum(len(c) for v in held.values() for c in v) >= RUN:
                 yield from flush(held)
                 held = {}
@@ -170,7 +185,7 @@ def oriented_counts(df: DataFrame, text: str, sizes: tuple[int, ...], keys: list
                 [*kinds.names, "strand", "k", "code", "n"],
             )
 
-    part = df.select(*keys, text).mapInArrow(count, _schema(df, keys, "strand string, k int, code long, n long"))
+    part = df.select(*keys, *wide, text).mapInArrow(count, _schema(df, keys, "strand string, k int, code long, n long"))
     return part.groupBy(*keys, "strand", "k", "code").agg(F.sum("n").alias("n"))
 
 

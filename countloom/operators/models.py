@@ -110,13 +110,73 @@ def auc_of(scored: DataFrame) -> float | None:
     return metrics.auc(metrics.score_levels(rows, "score", "label")).first().auc
 
 
+def metrics_of(scored: DataFrame) -> tuple[float | None, float, float, float]:
+    """Exact AUC and average precision, log-loss and accuracy at 0.5 of (score, label); scores are clipped for the loss."""
+    rows = pinned(scored.select(F.round("score", 12).alias("score"), F.col("label").cast("long").alias("label")))
+    levels = pinned(metrics.score_levels(rows, "score", "label"))
+    p = F.least(F.greatest("score", F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))
+    plain = rows.agg(F.avg(loss).alias("loss"), F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy")).first()
+    return metrics.auc(levels).first().auc, metrics.average_precision(levels).first().ap, plain.loss, plain.accuracy
+
+
 def cross_validated(df: DataFrame, fold: str, pipelines: dict[str, Pipeline]) -> DataFrame:
-    """(candidate, fold, auc): each pipeline fitted without a fold and scored on it. df has label; folds and candidates are few."""
+    """(candidate, fold, auc, average_precision, log_loss, accuracy): each pipeline fitted without a fold and scored on it. df has label; folds and candidates are few."""
     df, out = pinned(df), []
     for (k,) in df.select(fold).distinct().orderBy(fold).collect():
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        out += [(name, int(k), auc_of(probability(p.fit(train).transform(test)))) for name, p in pipelines.items()]
-    return df.sparkSession.createDataFrame(out, "candidate string, fold long, auc double")
+        out += [(name, int(k), *metrics_of(probability(p.fit(train).transform(test)))) for name, p in pipelines.items()]
+    return df.sparkSession.createDataFrame(out, "candidate string, fold long, auc double, average_precision double, log_loss double, accuracy double")
+
+
+def strength_grid(head: Pipeline, strengths: list[float], n_rows: int) -> dict[str, Pipeline]:
+    """Logistic pipelines by inverse strength c of the penalty on the summed loss of n_rows rows."""
+    return {f"c={c:g}": Pipeline(stages=[head, LogisticRegression(maxIter=50, regParam=1 / (c * n_rows))]) for c in strengths}
+
+
+def fit_report(model: PipelineModel, compact: DataFrame) -> DataFrame:
+    """One row: compacted rows, their weight, columns, iterations, whether they ended before the limit, and the weighted log-loss of the last stage, a logistic model."""
+    last = model.stages[-1]
+    p = vector_to_array("probability")[1]
+    p = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p)) * F.col("weight")
+    facts = model.transform(compact).agg(F.count("*").alias("n_rows"), F.sum("weight").alias("weight"), (F.sum(loss) / F.sum("weight")).alias("log_loss"))
+    steps = last.summary.totalIterations
+    return facts.select("n_rows", "weight", F.lit(last.numFeatures).alias("n_columns"), F.lit(steps).alias("iterations"), F.lit(steps < last.getMaxIter()).alias("converged"), "log_loss")
+
+
+def native_importance(model: PipelineModel, df: DataFrame, sources: list[str]) -> DataFrame:
+    """(feature, importance): a tree model's importances, or absolute coefficients, summed over the vector slots that come from each source column."""
+    last, at = model.stages[-1], df
+    for stage in model.stages[:-1]:
+        at = stage.transform(at)
+    attrs = [a for kind in at.schema["features"].metadata["ml_attr"]["attrs"].values() for a in kind]
+    flat = [y for x in model.stages for y in (x.stages if isinstance(x, PipelineModel) else [x])]
+    inputs = {x.getOutputCol(): x.getInputCols() for x in flat if isinstance(x, VectorAssembler)}
+    scaled = {x.getOutputCol(): x.getInputCol() for x in flat if x.hasParam("inputCol") and x.isDefined("inputCol") and x.getInputCol() in inputs}
+
+    def source(slot: str) -> str:
+        """The column behind a slot; slots of a scaled vector are named by their number."""
+        vector, _, i = slot.rpartition("_")
+        columns = inputs.get(scaled.get(vector, vector))
+        return columns[int(i)] if columns and i.isdigit() else slot
+
+    values = (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray()
+    held = dict.fromkeys(sources, 0.0)
+    for a in attrs:
+        owner = max((c for c in sources if source(a["name"]).startswith(c)), key=len, default=None)
+        if owner is not None:
+            held[owner] += abs(float(values[a["idx"]]))
+    return df.sparkSession.createDataFrame(list(held.items()), "feature string, importance double")
+
+
+def staged_losses(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(trees, loss) of a boosted last stage, after each of its trees."""
+    at = df
+    for stage in model.stages[:-1]:
+        at = stage.transform(at)
+    losses = model.stages[-1].evaluateEachIteration(at)
+    return df.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(losses)], "trees long, loss double")
 
 
 def shuffled_column(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:

@@ -129,3 +129,21 @@ def threshold_sweep(rows: DataFrame, probability: Column, y: str, thresholds: li
         "threshold", share(tp + tn, tp + fp + fn + tn).alias("accuracy"), ((recall + share(tn, tn + fp)) / 2).alias("balanced_accuracy"),
         share(tp, tp + fp).alias("precision"), recall.alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
+
+
+def gate(folds: DataFrame, reference, singles: list, combined, gain: float = 0.01, wins: int = 2) -> DataFrame:
+    """(check_name, passed) of a gate that is set before a run. folds: candidate, fold, m (the metric), guard, converged. The combined candidate must
+    beat the better single one by a relative gain of the mean and in `wins` folds; its mean guard must be no worse than that one's and the
+    reference's; all its folds must have converged."""
+    means = folds.groupBy("candidate").agg(F.avg("m").alias("m"), F.avg("guard").alias("g"), F.bool_and("converged").alias("ok"))
+    best = means.where(F.col("candidate").isin(singles)).agg(F.max(F.struct(F.col("m"), (-F.col("candidate")).alias("k"), F.col("g"))).alias("b"))
+    of = lambda who, name: means.where(F.col("candidate") == who).select(F.struct("m", "g", "ok").alias(name))
+    one = folds.where(F.col("candidate") == combined).select("fold", F.col("m").alias("a"))
+    pairs = one.join(folds.crossJoin(F.broadcast(best)).where(F.col("candidate") == -F.col("b.k")).select("fold", F.col("m").alias("s")), "fold")
+    won = pairs.agg(F.count_if(F.col("a") > F.col("s")).alias("won"))
+    row = best.crossJoin(F.broadcast(of(combined, "c"))).crossJoin(F.broadcast(of(reference, "r"))).crossJoin(F.broadcast(won))
+    checks = {
+        "gain": F.col("c.m") / F.col("b.m") - 1 >= gain, "wins": F.col("won") >= wins, "guard against single": F.col("c.g") >= F.col("b.g"),
+        "guard against reference": F.col("c.g") >= F.col("r.g"), "converged": F.col("c.ok"),
+    }
+    return row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check_name"), v.alias("passed")) for k, v in checks.items()))))

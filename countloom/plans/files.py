@@ -104,3 +104,17 @@ def a3_file_order(t):
     parts = F.split("value", "\t")
     rows = lines.read_ordered(s.sparkSession, path).select("line_no", parts[0].cast("long").alias("contig"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"))
     return intervals.with_offsets(rows, [F.asc("line_no")]).select("line_no", "contig", "length", F.col("offset").alias("whitelist_offset"))
+
+
+NAMED = ("customer", "labels", "lineitem", "orders")
+
+
+@query(" union all ".join(f"select '{n}' as name, count(*) as n_rows from {n}" for n in NAMED))
+def a8_catalog(t):
+    """Rows of each table of a catalog of required and optional tables; an optional one that is not there is left out."""
+    found = tables.Catalog(t.spark, t.root, ["orders", "lineitem"], ["customer", "labels", "no_such_table"]).load_all()
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name, df in sorted(found.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -107,3 +107,45 @@ def d10_pair_bin_levels(t):
 def g6_background_positions(t):
     """A thousand positions of the customers' spans without replacement, the same on each run (sampling is the feature)."""
     return intervals.background(customer_spans(t), 1000, 42)
+
+
+@query()
+def h2_fit_report(t):
+    """Compacted rows, columns, iterations and loss of the fit of h2_level_logistic."""
+    rows = labelled_lines(t).select(F.floor(F.col("l_quantity") / 10).cast("string").alias("quantity"), F.round("l_discount", 2).cast("string").alias("discount"), "label")
+    levels = ["quantity", "discount"]
+    return models.fit_report(models.fit_levels(rows, levels, "label")[0], models.compacted(rows, levels, "label"))
+
+
+@query()
+def h6_strength_grid(t):
+    """Metrics of three penalties on three supplier folds."""
+    rows = models.with_flags(labelled_lines(t), ["l_quantity", "l_extendedprice"]).withColumn("fold", F.col("l_suppkey") % 3)
+    return models.cross_validated(rows, "fold", models.strength_grid(models.preprocessor(["l_quantity", "l_extendedprice"], ["l_linestatus"]), [0.001, 1.0, 1000.0], rows.count()))
+
+
+@query()
+def h7_native_importance(t):
+    """Importances of a tree, summed over what became of each column."""
+    rows = models.with_flags(labelled_lines(t), ["l_quantity", "l_extendedprice"])
+    return models.native_importance(candidates()["tree"].fit(rows), rows, ["l_quantity", "l_extendedprice", "l_linestatus"])
+
+
+@query("""with a as (select avg(case when l_returnflag = 'R' then 1.0 else 0 end) as p from lineitem where l_orderkey % 2 = 1)
+select m as model, count(*) as n, round(max(p), 4) as score from lineitem, a, (values ('prior'), ('mean')) k(m) where l_orderkey % 2 = 0 group by 1""")
+def h5_constant_models(t):
+    """The two constant models, fitted on odd orders and applied to even ones: each predicts the share of the label."""
+    rows = models.with_flags(labelled_lines(t), ["l_quantity"])
+    out = None
+    for name in ("prior", "mean"):
+        model = Pipeline(stages=[models.preprocessor(["l_quantity"], []), models.estimator(name)]).fit(rows.where("l_orderkey % 2 = 1"))
+        one = models.probability(model.transform(rows.where("l_orderkey % 2 = 0"))).agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.round(F.max("score"), 4).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def h8_pipeline_trace(t):
+    """Rows, columns and density after each stage of the logistic pipeline."""
+    rows = models.with_flags(labelled_lines(t), ["l_quantity", "l_extendedprice"])
+    return models.pipeline_trace(candidates()["logistic"].fit(rows), rows)

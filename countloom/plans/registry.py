@@ -11,11 +11,15 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function t -> DataFrame, where t(table) reads a table; its name is the query's."""
+    """Register a function t -> DataFrame, where t(table) reads a table under t.root by t.spark; its name is the query's."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            def t(table: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+            t.root, t.spark = sf_dir, spark
+            return f(t)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run

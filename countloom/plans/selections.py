@@ -252,3 +252,17 @@ def e23_paired_bootstrap(t):
     table = pinned(of("score", "a").join(of("l_quantity", "b"), "l_suppkey"))
     out = resampling.paired_differences(table, "l_suppkey", "a", "b")
     return out.select("n_groups", "improved", *(F.round(c, 8).alias(c) for c in ("mean_difference", "low", "high")))
+
+
+GATED = "select l_linenumber as candidate, cast(l_suppkey % 5 as bigint) as fold, avg(l_discount) as m, avg(l_tax) as guard from lineitem group by 1, 2"
+
+
+@query(f"""with f as ({GATED}), k as (select candidate, avg(m) as m, avg(guard) as g from f group by 1), b as (select * from k where candidate in (2, 3) order by m desc, candidate limit 1),
+w as (select count(*) filter (where x.m > y.m) as won from f x join f y using (fold) where x.candidate = 4 and y.candidate = (select candidate from b)), c as (select * from k where candidate = 4), r as (select * from k where candidate = 1)
+select 'gain' as check_name, c.m / b.m - 1 >= 0.01 as passed from c, b union all select 'wins', won >= 2 from w union all select 'guard against single', c.g >= b.g from c, b
+union all select 'guard against reference', c.g >= r.g from c, r union all select 'converged', true""")
+def f14_gate(t):
+    """Whether candidate 4 passes a gate against the better of candidates 2 and 3 and against candidate 1."""
+    f = t("lineitem").groupBy(F.col("l_linenumber").alias("candidate"), (F.col("l_suppkey") % 5).alias("fold"))
+    f = pinned(f.agg(F.avg("l_discount").alias("m"), F.avg("l_tax").alias("guard")).withColumn("converged", F.lit(True)))
+    return selection.gate(f, 1, [2, 3], 4)

@@ -13,7 +13,7 @@ from .files import LINE
 from .intervals import MINUTE, POINTS, SPANS, customer_spans, event_minutes, order_days
 from .registry import query
 from .selections import md5, u, uniform
-from .sequences import UP, _code, _windows, sequences
+from .sequences import FOLDED, UP, _code, _contexts, _windows, folded, sequences
 
 R = "case when l_returnflag = 'R' then 1 else 0 end"
 LETTERS = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
@@ -416,3 +416,39 @@ def f16_absolute_errors(t):
     e = t("lineitem").select(F.col("l_linestatus").alias("status"), F.abs(y - F.col("l_discount") * 5).alias("a"), F.abs(y - F.col("l_tax") * 6).alias("b"))
     at = lambda c, n: F.round(c, 10).alias(n)
     return e.groupBy("status").agg(at(F.avg("a"), "reference_error"), at(F.avg("b"), "candidate_error"), at(F.avg("b") - F.avg("a"), "change"), F.count_if(F.col("b") < F.col("a")).alias("nearer"), F.count_if(F.col("b") > F.col("a")).alias("farther"))
+
+
+@query(f"""with w as (select doc_id, i, w from ({_windows(7, f"('NNN' || {UP} || 'NNN')", "doc_id")}) where (i - 1 >= 10 and i - 1 < 60) or (i - 1 >= 100 and i - 1 < 400)),
+c as (select w, count(*) as n from w group by 1), k as (select unnest([2, 4]) as k, w, n from c),
+o as (select '+' as strand, k, substr(w, 5 - k, k) as s, n from k union all select '-', k, reverse(translate(substr(w, 4, k), 'ACGTacgt', 'TGCAtgca')), n from k)
+select strand, k, cast(case when regexp_matches(s, '^[ACGT]+$') then list_sum([(strpos('ACGT', substr(s, i, 1)) - 1) * power(4, k - i) for i in range(1, k + 1)]) else power(4, k) end as bigint) as code,
+  cast(sum(n) as bigint) as n from o group by 1, 2, 3""")
+def e1_allowed_kmers(t):
+    """2- and 4-mers on both strands at the positions of two allowed intervals of each text; words may reach out of them, so each allowed position counts once."""
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((10, 60), (100, 400))))
+    return counts.oriented_counts(sequences(t).withColumn("spans", spans), "seq", (2, 4), [], "spans")
+
+
+@query(f"""with c as (select w, count(*) as n from ({_windows(7, f"('NNN' || {FOLDED} || 'NNN')", "doc_id")}) group by 1)
+select cast(o - 3 as bigint) as at, substr(w, o + 1, 2) as bases, cast(sum(n) as bigint) as n from c, range(0, 6) r(o) where not contains(substr(w, o + 1, 2), 'A') group by 1, 2""")
+def d10_adjacent_products(t):
+    """Products of the one-hot codes of adjacent offsets around every position, summed: pairs of bases at offset and next offset; A is the reference and has no column."""
+    rows = t("documents").where(F.length("text") > 0).select(folded(F.col("text")).alias("seq"))
+    c = rows.mapInArrow(_contexts(3), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    letter = lambda k: F.substring(F.lit("ACGTN"), (F.floor(F.col("code") / 5**k) % 5 + 1).cast("int"), F.lit(1))
+    pairs = F.array(*(F.struct(F.lit(2 - k).cast("long").alias("at"), F.concat(letter(k + 1), letter(k)).alias("bases")) for k in range(5, -1, -1)))
+    return c.select(F.explode(pairs).alias("x"), "n").where(~F.col("x.bases").contains("A")).groupBy("x.at", "x.bases").agg(F.sum("n").alias("n"))
+
+
+MIX = "18446744073709551616"
+
+
+def _mul(x, constant):
+    return f"cast((cast({x} as uhugeint) * {constant}) % {MIX} as ubigint)"
+
+
+@query(f"""with a as (select event_id, cast((cast(event_id as uhugeint) + 7 + 11400714819323198485) % {MIX} as ubigint) as x from events), b as (select event_id, {_mul("xor(x, x >> 30)", "13787848793156543929")} as x from a),
+c as (select event_id, {_mul("xor(x, x >> 27)", "10723151780598845931")} as x from b) select event_id, cast(xor(x, x >> 31) as varchar) as mixed from c""")
+def d15_mixed_keys(t):
+    """A 64-bit mixing hash of keys and a salt."""
+    return sc.mixed_keys(t("events").select("event_id"), "event_id", 7)

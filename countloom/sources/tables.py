@@ -206,3 +206,14 @@ def prepare_rows(df: DataFrame, target: str, least: int = 1, time: list[str] | N
     if wrong:
         raise ValueError("; ".join(wrong))
     return ranks.row_numbers(df, [F.asc(c) for c in time], "row") if time else df
+
+
+def replicate_pair(spark: SparkSession, path: str, token: str) -> tuple[str, str]:
+    """The paths of the two files under a path whose names differ in a replicate token only (a pattern for the whole token); ValueError
+    unless exactly one name has two files and no name more. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.col("path").rlike(token))
+    pairs = files.groupBy(F.regexp_replace("path", token, "*").alias("name")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    found = pairs.where(F.size("paths") > 1).limit(2).collect()
+    if len(found) != 1 or len(found[0]["paths"]) != 2:
+        raise ValueError(f"not one pair of replicates: {[r['paths'] for r in found]}")
+    return tuple(found[0]["paths"])

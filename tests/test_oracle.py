@@ -22,7 +22,9 @@ def duck():
 
 
 def near(a, b):
-    return a == b or isinstance(a, float) and b is not None and a == pytest.approx(b, abs=1e-7)
+    if isinstance(a, (bool, float)) or isinstance(b, (bool, float)):
+        return (a is None and b is None) or type(a) is type(b) and a == pytest.approx(b, abs=1e-7)
+    return a == b
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))

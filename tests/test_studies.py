@@ -150,6 +150,32 @@ def test_choices(spark):
     assert (board[2].wins, board[2].ties, board[2].losses, board[3].improvement, board[1].wins) == (1, 1, 1, 2.0, 0)
 
 
+def test_one_pair_of_replicates(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    for name in ("a.rep1.bed", "a.rep2.bed", "b.rep1.bed", "notes.txt"):
+        (tmp_path / "x" / name).write_text("x")
+    one, two = tables.replicate_pair(spark, f"{tmp_path}/x", r"\.rep[0-9]+\.")
+    assert one.endswith("a.rep1.bed") and two.endswith("a.rep2.bed")
+    (tmp_path / "x" / "b.rep2.bed").write_text("x")
+    with pytest.raises(ValueError):
+        tables.replicate_pair(spark, f"{tmp_path}/x", r"\.rep[0-9]+\.")
+
+
+def test_fit_report_importance_and_stages(spark):
+    draw = random.Random(6)
+    rows = spark.createDataFrame([(draw.gauss(0, 1), draw.choice("ab"), None) for _ in range(200)], "x double, g string, label double")
+    rows = models.with_flags(rows.withColumn("label", (F.col("x") > 0).cast("double")), ["x"])
+    head = lambda: models.preprocessor(["x"], ["g"])
+    tree = Pipeline(stages=[head(), models.estimator("tree")]).fit(rows)
+    weights = {r.feature: r.importance for r in models.native_importance(tree, rows, ["x", "g"]).collect()}
+    assert weights["x"] == pytest.approx(1.0) and weights["g"] == pytest.approx(0.0)
+    losses = [r.loss for r in models.staged_losses(Pipeline(stages=[head(), models.estimator("boosting")]).fit(rows), rows).orderBy("trees").collect()]
+    assert len(losses) == 10 and losses == sorted(losses, reverse=True)
+    levels = rows.select(F.floor(F.col("x")).cast("string").alias("a"), "label")
+    report = models.fit_report(models.fit_levels(levels, ["a"], "label")[0], models.compacted(levels, ["a"], "label")).head()
+    assert report.weight == 200 and report.converged and 0 < report.log_loss < 0.7
+
+
 def test_lightest_folds_against_a_loop(spark, monkeypatch):
     sizes = {f"g{i}": n for i, n in enumerate([50, 30, 30, 20, 10, 9, 8, 7, 1])}
     df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)] + [(None,)], "g string")

@@ -452,3 +452,43 @@ c as (select event_id, {_mul("xor(x, x >> 27)", "10723151780598845931")} as x fr
 def d15_mixed_keys(t):
     """A 64-bit mixing hash of keys and a salt."""
     return sc.mixed_keys(t("events").select("event_id"), "event_id", 7)
+
+
+@query(f"""select 'pair=' || case when code = 16 then 'N/edge' else substr('ACGT', code // 4 + 1, 1) || substr('ACGT', code % 4 + 1, 1) end as name, sum(n)::bigint as n
+from (select {_code(2)} as code, count(*) as n from ({_windows(2)}) group by 1) where code <> 0 group by 1""")
+def d2_reference_columns(t):
+    """Ones of the reference-coded pair columns: a fixed vocabulary, no column for the reference AA, N/edge separate."""
+    c = counts.kmer_counts(sequences(t), "seq", 2, []).where("code <> 0")
+    return c.select(F.concat(F.lit("pair="), sc.kmer_label(F.col("code"), 2)).alias("name"), "n")
+
+
+@query("""select l_returnflag, count(l_extendedprice) as n, round(avg(l_extendedprice), 6) as mean, round(stddev_samp(l_extendedprice), 6) as std, min(l_extendedprice) as low,
+ round(quantile_cont(l_extendedprice, 0.25), 6) as q1, round(quantile_cont(l_extendedprice, 0.5), 6) as median, round(quantile_cont(l_extendedprice, 0.75), 6) as q3, max(l_extendedprice) as high from lineitem group by 1""")
+def e18_group_describe(t):
+    """Count, mean, deviation and five-number summary of the price of each class."""
+    x, by = F.col("l_extendedprice"), ["l_returnflag"]
+    q = ranks.quantiles(t("lineitem"), "l_extendedprice", [0.25, 0.5, 0.75], by).groupBy(*by)
+    q = q.agg(*(F.round(F.max(F.when(F.col("q") == p, F.col("value"))), 6).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    m = t("lineitem").groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
+    return m.join(q, by)
+
+
+@query("""with n as (select o_custkey, count(*) as n from orders group by 1) select case when n >= 14 then cast(o_custkey as varchar) else '(rare)' end as level, cast(sum(n) as bigint) as n from n group by 1""")
+def e19_frequent_levels(t):
+    """Customers of at least 14 orders by name, all others as one level."""
+    return models.frequent(t("orders"), "o_custkey", 14).groupBy(F.col("o_custkey").alias("level")).agg(F.count("*").alias("n"))
+
+
+GAPS = {"l_discount": 0.05, "l_tax": 0.02, "l_quantity": 7}
+
+
+@query("with x as (select l_linestatus as s, " + ", ".join(f"nullif({c}, {v}) as {c}" for c, v in GAPS.items()) + " from lineitem) " + " union all ".join(
+    f"""select '{c}' as "column", round(avg(case when {c} is null then 1.0 else 0 end) filter (where s = 'F'), 10) as first_share, round(avg(case when {c} is null then 1.0 else 0 end) filter (where s = 'O'), 10) as second_share,
+ round(avg(case when {c} is null then 1.0 else 0 end) filter (where s = 'O') - avg(case when {c} is null then 1.0 else 0 end) filter (where s = 'F'), 10) as change from x""" for c in GAPS))
+def e16_missing_compared(t):
+    """Shares of missing values of each column in two tables, and their difference; one value of each column stands for a gap."""
+    rows = t("lineitem").select("l_linestatus", *(F.nullif(c, F.lit(v)).alias(c) for c, v in GAPS.items()))
+    share = lambda c, s: F.avg(F.when(F.col("l_linestatus") == s, F.col(c).isNull().cast("double")))
+    at = lambda x, name: F.round(x, 10).alias(name)
+    each = (F.struct(F.lit(c).alias("column"), at(share(c, "F"), "first_share"), at(share(c, "O"), "second_share"), at(share(c, "O") - share(c, "F"), "change")) for c in GAPS)
+    return rows.agg(F.array(*each).alias("x")).select(F.inline("x"))

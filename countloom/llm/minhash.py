@@ -31,6 +31,8 @@ from .common import M1, MOST_SENT, Words, connected_components, cut, mix, skewed
 HASHES, BITS, ROWS = 128, 4, 4
 BANDS = HASHES // ROWS
 BLOCK = 512
+#: Shingles whose sets a task remembers.
+MOST_KNOWN = 1 << 21
 #: Rows of blocks that one task compares.
 BLOCK_ROWS = 4096
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -126,11 +128,11 @@ def _similar(floor: float):
 
 def _confirm(k: int, percent: int):
     def run(batches):
-        known: dict = {}
+        known: dict = {}  # sets of the texts met last
 
         def sets(ids, texts):
             new = {i: t for i, t in zip(ids, texts, strict=True) if i not in known}
-            if len(known) > 4096:
+            if sum(map(len, known.values())) > MOST_KNOWN:
                 known.clear()
                 new = dict(zip(ids, texts, strict=True))
             for row, data, offsets in text_runs(pa.array(list(new.values()), pa.string())):
@@ -138,8 +140,8 @@ def _confirm(k: int, percent: int):
                     known[i] = s
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 a, c, ta, tc = (x.to_pylist() for x in part.columns)
                 sets(a + c, ta + tc)
                 hit = []

@@ -31,6 +31,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ GROUP_BYTES = 8 << 20
 HOT, MOST_HOT = 1 << 16, 1 << 21
 #: Records of a group whose subtrees are built at once.
 SUBTREES = 1 << 15
+#: Bytes of text whose copies are settled before anything is dealt.
+PART_BYTES = 8 << 20
 BLOB = "bucket int, blob binary"
 
 
@@ -102,16 +105,29 @@ def gathered(table: pa.Table, kind: str, width: int) -> tuple[dict[str, np.ndarr
     return {c: np.concatenate(v) for c, v in columns.items()}, np.concatenate(docs)
 
 
+def in_parts(batches, text: int):
+    """Batches cut to about PART_BYTES of the text column each; a longer text is a part of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _send_anchors(groups: int, window: int, prefix: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             h, doc, pos = [], [], []
             for row, data, offsets in text_runs(batch.column(1)):
                 words = Words(data, offsets)
                 got, at = anchors(words, window, prefix)
                 h.append(got)
-                doc.append(words.doc[at] + row)
+                doc.append((words.doc[at] + row).astype(np.int32))
                 pos.append((at - words.first[words.doc[at]]).astype(np.uint32))
             if not h or not sum(map(len, h)):
                 continue
@@ -190,7 +206,7 @@ def _locally_late(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def _records(words: Words, doc: np.ndarray, pos: np.ndarray, prefix: int, side: int) -> dict[str, np.ndarray]:
-    """Anchors at word `pos` of text `doc`, with `side` words on both sides (0 beyond the text), left ones outwards, and how many there are."""
+    """Anchors at word `pos` of text `doc`, with `side` words on both sides (0 beyond the text), left ones outwards, how many there are, and a key of it all."""
     n = np.diff(words.first)[doc]
     at = words.first[doc] + pos
     acc = np.zeros(len(at), np.uint64)
@@ -199,8 +215,11 @@ def _records(words: Words, doc: np.ndarray, pos: np.ndarray, prefix: int, side:
     last = max(len(words.h) - 1, 0)
     left = [np.where(pos >= j, words.h[np.maximum(at - j, 0)], 0) for j in range(1, side + 1)]
     right = [np.where(pos + prefix + j < n, words.h[np.minimum(at + prefix + j, last)], 0) for j in range(side)]
+    key = mix(acc)
+    for words_at in (*left, *right):
+        key = key * GRAM_BASE + words_at
     return {
-        "h": mix(acc), "left": np.stack(left, 1).astype(np.uint64), "right": np.stack(right, 1).astype(np.uint64),
+        "h": mix(acc), "key": mix(key), "left": narrow(np.stack(left, 1).astype(np.uint64)), "right": narrow(np.stack(right, 1).astype(np.uint64)),
         "lo": np.minimum(pos, side).astype(np.uint8), "hi": np.minimum(n - pos - prefix, side).astype(np.uint8), "pos": pos.astype(np.uint32),
     }
 
@@ -215,7 +234,7 @@ def _send_suffixes(groups: int, window: int, prefix: int, limit: int, hot):
 
     def run(batches):
         names, counts = hot.value
-        for batch in batches:
+        for batch in in_parts(batches, 2):
             docs = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1).astype(np.int64)
             lists = batch.column(3).to_pylist()
             got: dict[str, list] = {}
@@ -238,18 +257,14 @@ def _send_suffixes(groups: int, window: int, prefix: int, limit: int, hot):
                 level = np.where(ratio > 256, side, np.where(ratio > 16, (2 * side + 2) // 3, np.where(ratio > 1, (side + 2) // 3, 0)))
             late = []
 
-            cold = {c: v[level == 0] for c, v in a.items()}
-            key = cold["h"]
-            for c in ("left", "right"):
-                for j in range(side):
-                    key = key * GRAM_BASE + cold[c][:, j]
-            done = _locally_late(mix(key), docs[cold["doc"], 0])
+            cold = a if not level.any() else {c: v[level == 0] for c, v in a.items()}
+            done = _locally_late(cold.pop("key"), docs[cold["doc"], 0])
             ok = done & (cold["lo"] + cold["hi"] >= side)
             late.append((cold["doc"][ok], _packed(cold["pos"][ok] - cold["lo"][ok], cold["lo"][ok] + cold["hi"][ok] + prefix)))
-            cold = {c: narrow(v[~done]) if v.ndim > 1 else v[~done] for c, v in cold.items()}
+            cold = {c: v[~done] for c, v in cold.items()}
             yield from dealt((mix(cold["h"]) % most).astype(np.int64), cold, docs, "record")
 
-            warm = {c: v[level > 0] for c, v in a.items()}
+            warm = {c: wide(v[level > 0]) if v.ndim > 1 else v[level > 0] for c, v in a.items()} if level.any() else {}
             more = level[level > 0]
             for i in range(side + 1) if len(more) else ():
                 fit = (warm["lo"] >= i) & (warm["hi"] >= side - i)

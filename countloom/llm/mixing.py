@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, groups_for, tasks_for, text_bytes
+from .common import cut, tasks_for
 
 BLOCK_WORDS = 1 << 16
 MOST_REPEATS = 3
-#: Words of an output shard, and how many there are at least.
-SHARD_WORDS, LEAST_SHARDS = 1 << 25, 8
+#: Words of an output shard (about 12 MB of text); shards grow where there would be more than tasks_for() allows.
+SHARD_WORDS = 1 << 21
 FAN = 16
 #: How often the gap that is left in a source's last block is filled with documents that still fit.
 FILLS = 6
@@ -97,7 +97,7 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataF
     sized = cut(docs.select("doc_id", F.col("source").cast("string"), word_count().alias("size")), "sizes")
     table = cut(source_targets(sized), "targets")
     if shards is None:
-        shards = groups_for(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).head()[0], SHARD_WORDS, LEAST_SHARDS)
+        shards = tasks_for(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).head()[0], SHARD_WORDS)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS))
     table = table.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_REPEATS))).otherwise(0).cast("int"))
     table = table.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("blocks", blocks)
@@ -133,9 +133,10 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataF
 def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataFrame:
     """docs as the mix has them, partitioned by shard and in the local order: a document taken n times has n rows, one taken 0 times none."""
     takes = mixture(docs, shards, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("takes").alias("takes"))
+    takes = cut(takes, "takes")
+    last = takes.agg(F.max(F.array_max(F.col("takes.shard")))).head()[0] or 0
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.col("source").cast("string"), word_count().alias("size"))
     same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size"))
     rows = rows.alias("r").join(takes.alias("t"), same).select("r.row", "r.doc_id", F.explode("t.takes").alias("take"))
-    tasks = tasks_for(text_bytes(docs))
-    rows = rows.repartition(tasks, "take.shard").sortWithinPartitions("take.shard", "take.slot", "doc_id")
+    rows = rows.repartitionById(last + 1, "take.shard").sortWithinPartitions("take.shard", "take.slot", "doc_id")
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import GRAM_BASE, Words, by_bucket, cut, groups_for, mix, tasks_for, text_bytes, text_runs
 
 WINDOW, PREFIX = 13, 7
-#: Bytes of text whose anchors make one group.
-GROUP_BYTES = 8 << 20
+#: Bytes of text whose anchors make one group, and how many groups there are at least (results come as a row a document and group, so few more of them for small inputs).
+GROUP_BYTES, LEAST_GROUPS = 24 << 20, 24
 #: Records that may share an anchor: 6 MB of them. At most MOST_HOT anchors (16 MB) can be listed as shared by more.
 HOT, MOST_HOT = 1 << 16, 1 << 21
 #: Records of a group whose subtrees are built at once.
@@ -437,7 +437,7 @@ def repeats(docs: DataFrame, others: list[str], window: int = WINDOW, prefix: in
     """row (a struct of the columns `others`), text, tk (text key) and late: the maximal repeats of each text that a smaller doc_id has too, as a list of tk and packed spans."""
     spark = docs.sparkSession
     size = text_bytes(docs)
-    groups, tasks = groups_for(size, GROUP_BYTES), tasks_for(size)
+    groups, tasks = groups_for(size, GROUP_BYTES, LEAST_GROUPS), tasks_for(size)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     limit = max(HOT, size // 8 // MOST_HOT)  # a record needs a word, its separator and, on average, as much again
     met = cut(by_bucket(rows.mapInArrow(_send_anchors(groups, window, prefix), BLOB), groups).applyInArrow(_meet(limit), "doc_id long, at binary"), "anchors")

@@ -60,9 +60,33 @@ class Encoder:
         ranks = {bytes(value[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
         self.coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={c: t["id"] for c, t in added.items()})
         self.kind = "<u2" if self.coding.max_token_value < 1 << 16 else "<u4"
+        self.size, self.file, self.slow = self.coding.max_token_value + 1, tokenizer, {}
+
+    def _slowly(self, text: str, plain: bool) -> np.ndarray:
+        """By the library that the file is written for: for the texts, such as a million blanks in a row, that the fast one's pattern search gives up on."""
+        from tokenizers import Tokenizer
+
+        if plain not in self.slow:
+            self.slow[plain] = Tokenizer.from_file(self.file)
+            self.slow[plain].encode_special_tokens = plain
+        return np.array(self.slow[plain].encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.coding.encode_to_numpy(text, allowed_special="all")
+        try:
+            return self.coding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return self._slowly(text, False)
+
+    def plain(self, text: str) -> np.ndarray:
+        """Ids where strings of added tokens are ordinary text."""
+        try:
+            return self.coding.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return self._slowly(text, True)
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id, by id."""
+        return [self.coding.decode_single_token_bytes(i) for i in range(self.size)]
 
 
 @lru_cache(maxsize=2)

@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express the result."""
+"""The registered queries of the corpus operators, and their SQL where SQL can express the result."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, multiindex, nbsvm, packing, rules, substrings, toxicity, warc
+from . import alignment, chat, minhash, mixing, multiindex, nbsvm, packing, pii, rules, substrings, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -14,6 +14,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -76,7 +82,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken, F.col("takes.shard").alias("shards"), F.col("takes.slot").alias("slots"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_chat, op4_rules, op5_toxicity, op6_quality, op7_vectors, op8_minhash, op9_substrings, op10_mixing)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_read(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(_read(spark, sf_dir, "documents"))
+    counts = [pii.counted(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
+    base = F.sha2(pii.listed(F.col("spans"), list(pii.BASE)).cast("binary"), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_chat, op4_rules, op5_toxicity, op6_quality, op7_vectors, op8_minhash, op9_substrings, op10_mixing, op12_alignment, op13_personal_data)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, minhash, mixing, multiindex, nbsvm, packing, pii, rules, substrings, toxicity, warc
+from . import alignment, chat, minhash, mixing, multiindex, nbsvm, packing, pii, prefixes, rules, substrings, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -82,6 +82,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken, F.col("takes.shard").alias("shards"), F.col("takes.slot").alias("slots"))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(*prefixes.rebuilt(*prefixes.numbered(_read(spark, sf_dir, "conversations"))))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_read(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
 
@@ -93,7 +97,7 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, base.alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_chat, op4_rules, op5_toxicity, op6_quality, op7_vectors, op8_minhash, op9_substrings, op10_mixing, op12_alignment, op13_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_chat, op4_rules, op5_toxicity, op6_quality, op7_vectors, op8_minhash, op9_substrings, op10_mixing, op11_prefixes, op12_alignment, op13_personal_data)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -142,6 +146,33 @@ reach(v, r) as (select doc_id, doc_id from d union select reach.v, u.b from reac
 m as (select v, min(r) as c from reach group by v)
 select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c as component_id, doc_id = c as kept
 from d left join n using (doc_id) join m on m.v = d.doc_id""",
+    "op11_prefixes": rf"""
+with t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) as p,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as t
+  from conversations where conv_id is not null),
+o as (select c, list(t order by p) as turns from t group by c),
+bits as (
+  select c, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(c as varchar), ''),
+      lambda x: list_concat([ascii(x)::bigint], [-1, -1, -1, -1, -1, -1, -1, -1]::bigint[])))),
+    lambda s, e: case when e >= 0 then xor(s, e) else xor(s >> 1, 3988292384 * (s & 1)) end) as crc from o),
+r as (
+  select c, list_concat(coalesce(b.turns, [])[:h], o.turns[h + 1:]) as path
+  from o join (select c, cast(xor(crc, 4294967295) % 4 as int) as h from bits) using (c) left join (select c as base, turns from o) b on b.base = c - c % 20),
+m as (select c, len(path) as length, d, path[:d] as node from (select c, path, unnest(range(0, len(path) + 1)) as d from r)),
+n as (
+  select d, node, min(c) as id, count(*) as n,
+    coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where length = d), '') as ends from m group by d, node),
+k as (select *, len(regexp_extract_all(coalesce(node[d].text, ''), '[^ 	-
+]+')) as words from n),
+up as (select distinct m.d as d, a.id as id, x.d as low, x.id as low_id from m join n a using (d, node) join m y on y.c = m.c and y.d >= m.d join n x on x.d = y.d and x.node = y.node),
+q as (select d, id, (select count(*) from up u where u.d = up.d and u.id = up.id and u.low = up.d + 1) as children from up group by d, id),
+s as (
+  select up.d, up.id, sum(case when q.children = 0 then 1 else 0 end) as leaves, sum((k.n - 1) * k.words) as saved
+  from up join q on q.d = up.low and q.id = up.low_id join k on k.d = up.low and k.id = up.low_id group by up.d, up.id)
+select k.id as conv_id, cast(k.d as bigint) as depth, p.id as parent_conv_id, k.n as n_convs, q.children as n_children,
+  cast(s.leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens, sha256(k.ends) as ends_sha256
+from k join q using (d, id) join s using (d, id) left join up p on p.low = k.d and p.low_id = k.id and p.d = k.d - 1""",
     "op7_vectors": """
 with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
 l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),

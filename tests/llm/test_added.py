@@ -4,11 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from countloom.llm import alignment, packing, pii, queries
+from countloom.llm import alignment, packing, pii, prefixes, queries
 
 
 def test_packing_of_long_white_space(spark):
@@ -140,3 +141,57 @@ def test_personal_data_digest(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, x, _ in base) for k in pii.BASE]
         assert r.spans == ",".join(f"{k}:{s}:{e}" for s, k, e in pii.find(texts[r.doc_id] or ""))
+
+
+def plain_trie(rows):
+    """op11's rows by dictionaries of whole prefixes. rows: conv_id, turn, role, text, without ties."""
+    own = collections.defaultdict(list)
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own[c].append((r or "", x or ""))
+    paths = {c: tuple(own.get(c - c % 20, [])[: (h := zlib.crc32(str(c).encode()) % 4)] + turns[h:]) for c, turns in own.items()}
+    members = collections.defaultdict(list)
+    for c, path in sorted(paths.items()):
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    words = lambda p: len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+    out = []
+    for node, convs in members.items():
+        below = [p for p in members if p[: len(node)] == node]
+        children = [p for p in below if len(p) == len(node) + 1]
+        leaves = sum(not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in below) for p in below)
+        saved = sum((len(members[p]) - 1) * words(p) for p in below)
+        ends = ",".join(str(c) for c in convs if paths[c] == node)
+        out.append((convs[0], len(node), members[node[:-1]][0] if node else None, len(convs), len(children), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("long", "hot", "block"), [(1 << 12, 512, 4), (8, 2, 4), (4, 10**6, 2)])
+def test_trie_against_dictionaries(spark, monkeypatch, long, hot, block):
+    """Also with parts of long conversations, hot keys and narrow blocks."""
+    from countloom.llm import common
+
+    rng = random.Random(9)
+    monkeypatch.setattr(prefixes, "LONG", long)
+    monkeypatch.setattr(common, "MOST_OF_A_KEY", hot)
+    rows = []
+    for c in range(60):
+        first = [("user", "hello there you"), ("assistant", "good day")] if c % 3 else [("user", rng.choice("abc"))]
+        more = [(rng.choice(["user", None]), rng.choice([None, "", "x y", "z"])) for _ in range(rng.choice([0, 0, 1, 2, 7, 9]))]
+        rows += [(c * 7 if c % 2 else c, t if t else None, *turn) for t, turn in enumerate(first + more)]
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    rows += [(5000, t, "user", "same") for t in range(50)] + [(5001, t, "user", "same") for t in range(49)] + [(None, 0, "user", "nobody")]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, depth int")
+    got = prefixes.prefix_trie(*prefixes.rebuilt(*prefixes.numbered(turns)), block).collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_trie(rows)
+
+
+def test_trie_of_odd_rows(spark):
+    """Repeated rows count each; a conversation may be left without turns; an empty table has no nodes."""
+    schema = "conv_id long, turn long, role string, text string"
+    trie = lambda rows: prefixes.prefix_trie(*prefixes.rebuilt(*prefixes.numbered(spark.createDataFrame(rows, schema))))
+    assert trie([]).count() == 0
+    alone = next(c for c in range(1, 20) if zlib.crc32(str(c).encode()) % 4)
+    got = [tuple(r)[:7] for r in trie([(alone, 0, "user", "gone")]).collect()]
+    assert got == [(alone, 0, None, 1, 0, 1, 0)]
+    twice = sorted(tuple(r)[:7] for r in trie([(20, 1, "user", "a b"), (20, 1, "user", "a b")]).collect())
+    assert twice == [(20, 0, None, 1, 1, 1, 0), (20, 1, 20, 1, 1, 1, 0), (20, 2, 20, 1, 0, 1, 0)]

@@ -143,86 +143,6 @@ def allowed(spans: list | None, lo: int, hi: int) -> np.ndarray:
     return step[:-1].cumsum() > 0
 
 
-def oriented_counts(df: DataFrame, text: str, sizes: tuple[int, ...], keys: list[str], spans: str | None = None) -> DataFrame:
-    """keys, strand, k, code, n: each position once a strand and k. On + the word ends at the position; on - it is the reverse
-    complement of the word that begins there; 4^k where it leaves the text or holds another letter.
-
-    spans: a column of half-open intervals (an array of start and end) outside of which no position counts; words may reach out of them."""
-    kinds = _arrow(df, keys)
-    most, wide = max(sizes), [spans] if spans else []
-
-    def run(batches):
-        gap = np.full(most, 4)
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                points = DIGIT[np.minimum(np.frombuffer((row[-1] or "").encode("utf-32-le"), np.uint32), 127)]
-                for lo in range(0, len(points), RUN):
-                    hi = min(len(points), lo + RUN)
-                    before, after = points[max(0, lo - most + 1) : lo], points[hi : hi + most - 1]
-                    here = allowed((row[-2] or []) if spans else None, lo, hi)
-                    yield row[: len(keys)], np.concatenate([gap[: most - 1 - len(before)], before, points[lo:hi], after, gap[: most - 1 - len(after)]]), here
-
-    def count(batches):
-        held: dict = {}
-        for owner, padded, here in run(batches):
-            n = len(padded) - 2 * (most - 1)
-            for k in sizes:
-                plus = rolling_codes(padded[most - k : most - 1 + n], k)
-                minus = rolling_codes(padded[most - 1 : most - 1 + n + k - 1], k)
-                for strand, codes in (("+", plus), ("-", minus)):
-                    held.setdefault((owner, strand, k), []).append(codes[here])
-            if sum(len(c) for v in held.values() for c in v) >= RUN:
-                yield from flush(held)
-                held = {}
-        yield from flush(held)
-
-    def flush(held):
-        for (owner, strand, k), codes in held.items():
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            code = reverse_codes(code, k) if strand == "-" else code
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array([owner[c]] * len(n), f.type) for c, f in enumerate(kinds)), pa.array([strand] * len(n)), pa.array([k] * len(n), pa.int32()), pa.array(code), pa.array(n)],
-                [*kinds.names, "strand", "k", "code", "n"],
-            )
-
-    part = df.select(*keys, *wide, text).mapInArrow(count, _schema(df, keys, "strand string, k int, code long, n long"))
-    return part.groupBy(*keys, "strand", "k", "code").agg(F.sum("n").alias("n"))
-
-
-def joint_counts(df: DataFrame, text: str, k: int, half: int, keys: list[str]) -> DataFrame:
-    """keys, code, gc, valid, n: how often a k-mer ends at a position whose window of `half` letters each way, clipped at the ends, has so
-    many G and C letters and so many bases. Each position once; 4^k where the word leaves the text or holds another letter."""
-    kinds, wide, halo = _arrow(df, keys), 2 * half + 2, max(half, k - 1)
-
-    def count(owner, codes):
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
-        values = (code // wide // wide, code // wide % wide, code % wide, n)
-        return pa.RecordBatch.from_arrays([*(pa.array([owner[c]] * len(n), f.type) for c, f in enumerate(kinds)), *map(pa.array, values)], [*kinds.names, "code", "gc", "valid", "n"])
-
-    def run(batches):
-        held: dict = {}
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                points = DIGIT[np.minimum(np.frombuffer((row[-1] or "").encode("utf-32-le"), np.uint32), 127)]
-                for lo in range(0, len(points), RUN):
-                    hi = min(len(points), lo + RUN)
-                    part = np.full(hi - lo + 2 * halo, 4)
-                    first, last = max(0, lo - halo), min(len(points), hi + halo)
-                    part[first - lo + halo : last - lo + halo] = points[first:last]
-                    code = rolling_codes(part[halo - k + 1 : halo + hi - lo], k)
-                    sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((part == 1) | (part == 2), part < 4)]
-                    at = np.arange(halo, halo + hi - lo)
-                    gc, valid = (x[at + half + 1] - x[at - half] for x in sums)
-                    held.setdefault(row[:-1], []).append((code * wide + gc) * wide + valid)
-            if sum(len(c) for v in held.values() for c in v) >= RUN:
-                yield from (count(*x) for x in held.items())
-                held = {}
-        yield from (count(*x) for x in held.items())
-
-    part = df.select(*keys, text).mapInArrow(run, _schema(df, keys, "code long, gc long, valid long, n long"))
-    return part.groupBy(*keys, "code", "gc", "valid").agg(F.sum("n").alias("n"))
-
-
 def word_places(df: DataFrame, text: str, words: list[str], width: int, keys: list[str]) -> DataFrame:
     """keys, word, bin, n: where the words begin (overlapping ones too), in bins of `width` letters."""
     kinds = _arrow(df, keys)
@@ -265,27 +185,6 @@ def backoff_scores(table: DataFrame, sizes: tuple[int, ...], strength: float | N
     return score[0].withColumnRenamed("_code", "code")
 
 
-def window_sums(df: DataFrame, text: str, key: str, half: int) -> DataFrame:
-    """key, positions, gc, valid, most_gc: over all positions of a text, the sums of the G and C letters and of the bases in the window of
-    `half` letters each way, clipped at the ends, and the largest G and C count. Prefix sums; nothing is exploded."""
-    kinds = _arrow(df, [key])
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                points = DIGIT[np.minimum(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), 127)]
-                n = len(points)
-                lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
-                gc, valid = (np.concatenate([[0], np.cumsum(x)]) for x in ((points == 1) | (points == 2), points < 4))
-                near = gc[hi] - gc[lo]
-                out.append((name, n, int(near.sum()), int((valid[hi] - valid[lo]).sum()), int(near.max(initial=0))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(0).type if i == 0 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))] if out else [pa.array([], kinds.field(0).type), *[pa.array([], pa.int64())] * 4],
-                                             [key, "positions", "gc", "valid", "most_gc"])
-
-    return df.select(key, text).mapInArrow(run, _schema(df, [key], "positions long, gc long, valid long, most_gc long"))
-
-
 def category_table(rows: DataFrame, key: str, y: str) -> DataFrame:
     """key, total, positive, negative, rate, enrichment over the prevalence."""
     t = rows.groupBy(key).agg(F.count("*").cast("long").alias("total"), F.sum(y).cast("long").alias("positive"))

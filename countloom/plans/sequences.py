@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import counts
+from ..operators import chunks, counts
 from ..operators.pins import pinned
 from .registry import query
 
@@ -30,7 +30,7 @@ def _code(k):
 
 
 def letters(text="text", columns="doc_id, source"):
-    return f"select {columns}, unnest(string_split({text}, '')) as c, unnest(range(1, length(text) + 1)) as i from documents where length(text) > 0"
+    return f"select {columns}, unnest(string_split({text}, '')) as c, unnest(range(1, length({text}) + 1)) as i from documents where length(text) > 0"
 
 
 def _windows(k, text=UP, columns="doc_id, source"):
@@ -55,8 +55,8 @@ select source, strand, k, cast(case when regexp_matches(s, '^[ACGT]+$') then lis
   else power(4, k) end as bigint) as code,
   cast(sum(n) as bigint) as n from o group by 1, 2, 3, 4""")
 def e1_oriented_kmers(t):
-    """2-, 4-, 6- and 8-mers on both strands that end at each position, in one pass; N/edge is 4^k, so each strand and k counts every position once."""
-    return counts.oriented_counts(sequences(t), "seq", (2, 4, 6, 8), ["source"])
+    """2-, 4-, 6- and 8-mers on both strands that end at each position, in one pass over chunks; N/edge is 4^k, so each strand and k counts every position once."""
+    return chunks.oriented_kmers(chunks.of_texts(t("documents"), "text", ["source"], 7), (2, 4, 6, 8), ["source"])
 
 
 @query(f"""with c as (select cast({_code(4)} as bigint) as code, count(*) as n from ({_windows(4)}) group by 1),
@@ -88,9 +88,8 @@ s as (select doc_id, pos, sum(gc) over (partition by doc_id order by pos range b
   by pos range between 50 preceding and 50 following) as valid from w)
 select doc_id, cast(sum(gc) as bigint) as gc, cast(sum(valid) as bigint) as valid, max(gc) as top from s group by 1""")
 def d6_window_composition(t):
-    """Centred windows by prefix sums inside each text: the sum over positions of the window counts, and the largest."""
-    rows = sequences(t).where(F.length("seq") > 0)
-    return counts.window_sums(rows, "seq", "doc_id", 50).select("doc_id", "gc", "valid", F.col("most_gc").alias("top"))
+    """Centred windows by running sums over chunks: the sum over positions of the window counts, and the largest."""
+    return chunks.window_sums(chunks.of_texts(t("documents"), "text", ["doc_id"], 50), 50, ["doc_id"]).select("doc_id", "gc", "valid", F.col("most_gc").alias("top"))
 
 
 @query("""select case when l_discount >= 0.08 then 4 when l_discount >= 0.06 then 3 when l_discount >= 0.03 then 2 when l_discount >= 0.01 then 1 else 0 end as code, count(*) as n,

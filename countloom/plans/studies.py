@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import counts, models, ranks
+from ..operators import chunks, counts, models, ranks
 from ..operators import intervals as iv
 from ..operators.pins import pinned, pinned_path
 from ..sources import lines, tables
@@ -176,7 +176,7 @@ w as (select sum(g) over k as gc, sum(v) over k as valid, lag(c, 5) over o || la
 select cast(coalesce({_code(6)}, 4096) as bigint) as code, cast(gc as bigint) as gc, cast(valid as bigint) as valid, count(*) as n from w group by 1, 2, 3""")
 def e2_window_composition(t):
     """6-mers that end at each position by the G and C letters and the bases in the window of 50 letters each way."""
-    return counts.joint_counts(sequences(t), "seq", 6, 50, [])
+    return chunks.joint_counts(chunks.of_texts(t("documents"), "text", [], 50), 6, 50, [])
 
 
 @query(f"""with c as (select {_code(4)} as code, quality as y from ({_windows(4)}) join labels using (doc_id)), n as (select code, count(*) as total, count(*) filter
@@ -426,7 +426,7 @@ select strand, k, cast(case when regexp_matches(s, '^[ACGT]+$') then list_sum([(
 def e1_allowed_kmers(t):
     """2- and 4-mers on both strands at the positions of two allowed intervals of each text; words may reach out of them, so each allowed position counts once."""
     spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((10, 60), (100, 400))))
-    return counts.oriented_counts(sequences(t).withColumn("spans", spans), "seq", (2, 4), [], "spans")
+    return chunks.oriented_kmers(chunks.of_texts(t("documents").withColumn("spans", spans), "text", ["spans"], 3), (2, 4), [], "spans")
 
 
 @query(f"""with c as (select w, count(*) as n from ({_windows(7, f"('NNN' || {FOLDED} || 'NNN')", "doc_id")}) group by 1)

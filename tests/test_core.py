@@ -45,44 +45,3 @@ def test_kmer_codes(spark):
     words = {(r.g, r.word): r.n for r in counts.word_counts(rows, "s", 3, ["g"]).collect()}
     assert words == {("x", "ACG"): 1, ("x", "CGT"): 1, ("x", "GTN"): 1, ("y", "ACé"): 1, ("y", "Cé\U0001f600"): 1, ("y", "é\U0001f600A"): 1, ("y", "\U0001f600AC"): 1}
     assert spark.range(1).select(sc.kmer_label(F.lit(6), 2), sc.reverse_complement(F.lit("AACG"))).head()[:] == ("CG", "CGTT")
-
-
-@pytest.mark.parametrize("run", [1 << 20, 7])
-def test_oriented_counts_cover_each_position_once(spark, run, monkeypatch):
-    """Also where texts go in short pieces."""
-    import random
-    from collections import Counter
-
-    import pyarrow as pa
-
-    monkeypatch.setattr(counts, "RUN", run)
-    draw = random.Random(1)
-    texts = ["".join(draw.choice("ACGTN") for _ in range(n)) for n in (0, 1, 5, 40, 63)]
-    code = lambda w: sum("ACGT".index(c) * 4**i for i, c in enumerate(reversed(w))) if set(w) <= set("ACGT") else 4 ** len(w)
-    want = Counter()
-    for s in texts:
-        for p in range(len(s)):
-            for k in (2, 4):
-                want["+", k, code(s[p - k + 1 : p + 1] if p >= k - 1 else "N" * k)] += 1
-                want["-", k, code(s[p : p + k][::-1].translate(str.maketrans("ACGT", "TGCA")) if p + k <= len(s) else "N" * k)] += 1
-    kernel = {}
-
-    class Frame:
-        schema, columns = {}, []
-
-        def select(self, *a):
-            return self
-
-        def mapInArrow(self, f, schema):
-            kernel["f"] = f
-            return self
-
-        groupBy = agg = select
-
-    monkeypatch.setattr(counts, "_arrow", lambda df, keys: pa.schema([]))
-    counts.oriented_counts(Frame(), "s", (2, 4), [])
-    got = Counter()
-    for b in kernel["f"]([pa.RecordBatch.from_arrays([pa.array(texts)], ["s"])]):
-        for r in b.to_pylist():
-            got[r["strand"], r["k"], r["code"]] += r["n"]
-    assert got == want and sum(n for (s, k, _), n in got.items() if (s, k) == ("-", 4)) == sum(map(len, texts))

@@ -188,19 +188,6 @@ def test_lightest_folds_against_a_loop(spark, monkeypatch):
     assert sorted(r.fold for r in models.lightest_folds(df, "g", 3).collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
 
 
-def test_joint_counts_against_loops(spark, monkeypatch):
-    texts = ["ACGTNNACG", "GGC", "", None]
-    got = {(r.code, r.gc, r.valid): r.n for r in counts.joint_counts(spark.createDataFrame([(t,) for t in texts], "s string"), "s", 2, 2, []).collect()}
-    want = {}
-    for s in filter(None, texts):
-        for p in range(len(s)):
-            w, near = s[p - 1 : p + 1] if p else "", s[max(0, p - 2) : p + 3]
-            code = 4 * "ACGT".index(w[0]) + "ACGT".index(w[1]) if w and set(w) <= set("ACGT") else 16
-            key = (code, sum(c in "GC" for c in near), sum(c in "ACGT" for c in near))
-            want[key] = want.get(key, 0) + 1
-    assert got == want
-
-
 def test_merge_and_precision_recall(spark):
     from countloom.operators import metrics
 

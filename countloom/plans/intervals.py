@@ -144,10 +144,3 @@ def c13_expansion(t):
     hits = order_days(t).groupBy("contig", "pos").agg(F.count("*").alias("c"))
     rows = iv.expanded(customer_spans(t)).join(hits, ["contig", "pos"], "left")
     return rows.groupBy("contig").agg(F.count("*").alias("positions"), F.sum(F.coalesce("c", F.lit(0))).alias("counts"), F.count("c").alias("positive"))
-
-
-@query("""with d as (select text, count(*) as n, count(distinct source) as s from documents group by 1)
-select count(*) as distinct_texts, cast(sum(n - 1) as bigint) as excess, max(n) as largest, count(*) filter (where n > 1 and s > 1) as spanning from d""")
-def e11_duplicate_texts(t):
-    d = t("documents").groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"))
-    return d.agg(F.count("*").alias("distinct_texts"), F.sum(F.col("n") - 1).alias("excess"), F.max("n").alias("largest"), F.count_if((F.col("n") > 1) & (F.col("s") > 1)).alias("spanning"))

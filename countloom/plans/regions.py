@@ -177,31 +177,3 @@ def e8_segment_letters(t):
     rows = t("documents").select("source", "lang", n("[^A-Z]").alias("u"), n("[^a-z]").alias("l"), F.length("text").alias("n"))
     sets = rows.groupingSets([["source"], ["lang"], []], "source", "lang")
     return sets.agg(F.sum("u").alias("upper_letters"), F.sum("l").alias("lower_letters"), F.sum(F.col("n") - F.col("u") - F.col("l")).alias("others"))
-
-
-@query("""with w as (select doc_id, w, greatest(1, length(text) // 2 + 1 - w // 2) as a, length(text) // 2 + 1 - w // 2 < 1 or length(text) // 2 + w - w // 2 >
-  length(text) as edge, text from documents, (select unnest([51, 201, 1001]) as w) where length(text) > 0),
-s as (select doc_id, w, edge, substr(text, a, length(text) // 2 + 1 - w // 2 + w - a) as s from w),
-c as (select doc_id, w, edge, length(s) as n, length(regexp_replace(s, '[^CGcg]', '', 'g')) as gc, length(regexp_replace(s, '[^ACGTacgt]', '', 'g')) as v,
-  length(regexp_replace(s, '[^acgt]', '', 'g')) as low from s)
-select doc_id, cast(w as bigint) as width, edge, round(gc / nullif(v, 0), 10) as gc_share, cast(n - v as bigint) as other_letters, round(low / nullif(v, 0), 10) as lower_share from c""")
-def d9_composition_widths(t):
-    """The composition around the middle of each text at three widths, and whether the window meets an edge."""
-    w, n = F.col("width"), F.length("text")
-    half = F.floor(w / 2)
-    first = F.floor(n / 2) + 1 - half
-    start = F.greatest(F.lit(1).cast("long"), first)
-    rows = t("documents").where(n > 0).select("doc_id", "text", F.explode(F.array(*[F.lit(x).cast("long") for x in (51, 201, 1001)])).alias("width"))
-    rows = rows.select("doc_id", "width", ((first < 1) | (first + w - 1 > n)).alias("edge"), F.col("text").substr(start.cast("int"), (first + w - start).cast("int")).alias("s"))
-    count = lambda pattern: F.length(F.regexp_replace("s", pattern, ""))
-    rows = rows.select("doc_id", "width", "edge", F.length("s").cast("long").alias("n"), count("[^CGcg]").alias("gc"), count("[^ACGTacgt]").alias("v"), count("[^acgt]").alias("low"))
-    return rows.select("doc_id", "width", "edge", F.round(F.try_divide("gc", "v"), 10).alias("gc_share"), (F.col("n") - F.col("v")).alias("other_letters"), F.round(F.try_divide("low", "v"), 10).alias("lower_share"))
-
-
-@query("""select doc_id, cast(o as bigint) as at, case when regexp_matches(b, '[ACGTacgt]') then translate(b, 'acgt', 'ACGT') else 'N' end as base
-from (select doc_id, o, substr(text, 50 + o, 1) as b from documents, (select unnest([-3, -2, -1, 0, 1, 2, 3]) as o) where length(text) >= 100) where not regexp_matches(b, '[Aa]')""")
-def d3_positional_bases(t):
-    """The ones of the one-hot code around position 50 in long form: A is the reference and has no row, N is every other letter."""
-    rows = t("documents").where(F.length("text") >= 100).select("doc_id", F.posexplode(F.split(F.substring("text", 47, 7), "")).alias("i", "b")).where("i < 7")
-    base = F.when(F.col("b").rlike("[ACGTacgt]"), F.translate("b", "acgt", "ACGT")).otherwise("N")
-    return rows.where(~F.col("b").rlike("[Aa]")).select("doc_id", (F.col("i") - 3).cast("long").alias("at"), base.alias("base"))

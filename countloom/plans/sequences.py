@@ -19,11 +19,6 @@ def sequences(t):
     return t("documents").select("doc_id", "lang", "source", sc.fold_bases(F.col("text")).alias("seq"))
 
 
-@query(f"""select doc_id, case when length(text) < 100 then null else reverse(translate(substr({UP}, 90, 11), 'ACGT', 'TGCA')) end as context from documents""")
-def d1_oriented_context(t):
-    return sequences(t).select("doc_id", F.when(F.length("seq") >= 100, sc.reverse_complement(F.substring("seq", 90, 11))).alias("context"))
-
-
 def _code(k):
     digit = lambda j: f"(strpos('ACGT', substr(w, {j}, 1)) - 1)"
     return f"case when regexp_matches(w, '^[ACGT]{{{{{k}}}}}$') then " .replace("{{", "{").replace("}}", "}") + " + ".join(f"{digit(j)} * {4 ** (k - j)}" for j in range(1, k + 1)) + f" else {4**k} end"
@@ -129,14 +124,6 @@ def d16_scalar_maths(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", *(F.round(c, 10).alias(n) for n, c in (("sigmoid", sc.sigmoid(x)), ("logit", sc.logit(x + 0.1)), ("softplus", sc.softplus(x)), ("ratio", sc.log2_ratio(F.col("l_quantity"), x)))))
 
 
-@query("""with w as (select l.quality as y, substr(text, i, 1) as base, i as pos from documents join labels l using (doc_id), unnest(range(1, 41)) as u(i) where length(text) >= 40)
-select pos, base, count(*) filter (where y = 1) as ones, count(*) filter (where y = 0) as zeros from w group by 1, 2""")
-def e13_base_frequency(t):
-    rows = t("documents").join(t("labels"), "doc_id").where(F.length("text") >= 40)
-    rows = rows.select(F.col("quality").alias("y"), F.posexplode(F.split(F.substring("text", 1, 40), "")).alias("at", "base")).where("base <> ''")
-    return rows.groupBy((F.col("at") + 1).cast("long").alias("pos"), "base").agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") == 0).alias("zeros"))
-
-
 @query(f"""with b as (select lang, w as word from ({_windows(3, "text", "doc_id, lang")})),
 n as (select word, count(*) filter (where lang = 'en') as a, count(*) filter (where lang <> 'en') as b from b group by 1)
 select word, a as en, b as other, round(log2((a + 1) / (b + 1)), 10) as log_ratio from n order by a desc, word limit 50""")

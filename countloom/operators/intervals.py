@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import keyed_hash
 from .pins import pinned
-from .ranks import cumulative, scan
+from .ranks import cumulative, row_numbers, scan
 
 
 def with_offsets(intervals: DataFrame, order: list[Column]) -> DataFrame:
@@ -164,9 +165,43 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return left.join(right, on, how)
 
 
-def background(intervals: DataFrame, n: int, seed: int) -> DataFrame:
-    """(contig, pos) of n different positions, uniform over all bases of disjoint intervals (all of them when there are fewer).
+def weighted_draws(rows: DataFrame, draws: DataFrame, p: str, hi: str, buckets: int) -> DataFrame:
+    """draws (u from 0 to 1, ...) with the row in whose part of the running sum of shares (p, and hi with the row itself) u falls: rows and draws meet by the bucket of
+    the sum, so the work goes with both and not with their product."""
+    most = F.lit(buckets - 1)
+    bucket = lambda x: F.least(F.greatest(F.floor(x * buckets), F.lit(0)), most)
+    low = F.col(hi) - F.col(p)
+    parts = rows.where(F.col(p) > 0).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(F.col(hi)))))
+    return draws.withColumn("_bucket", bucket(F.col("u"))).join(parts, "_bucket").where((F.col("u") >= low) & (F.col("u") < F.col(hi))).drop("_bucket")
+
+
+ROUNDS = 4
+
 
-    Positions are ranked by a seeded hash; Spark keeps n a task before it merges."""
-    rows = expanded(intervals).select("contig", "pos")
-    return rows.orderBy(F.xxhash64("contig", "pos", F.lit(seed)), "contig", "pos").limit(n)
+def permuted(index: Column, half: int, seed: int) -> Column:
+    """A keyed permutation of the numbers below 4^half: rounds that add a hash of one half of the bits to the other."""
+    mask = F.lit((1 << half) - 1).cast("long")
+    left, right = F.shiftright(index, half), index.bitwiseAND(mask)
+    for r in range(ROUNDS):
+        mixed = F.conv(F.substring(keyed_hash(right, f"{seed}:{r}"), 1, 8), 16, 10).cast("long").bitwiseAND(mask)
+        left, right = right, left.bitwiseXOR(mixed)
+    return F.shiftleft(left, half) + right
+
+
+def background(intervals: DataFrame, n: int, seed: int) -> DataFrame:
+    """(draw, contig, pos) of n different positions, uniform over all bases of disjoint intervals (all of them when there are fewer).
+
+    The numbers 0, 1, 2 and so on go through a keyed permutation of the powers of four above the number of bases; those that fall below it are linear
+    indices, all different, and are decoded to positions. So work goes with n and with the number of intervals, never with the number of bases."""
+    spans = pinned(with_offsets(intervals.select("contig", "start", "end"), [F.col("contig"), F.col("start")]))
+    total, count = spans.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)), F.count("*")).head()
+    spark, half = intervals.sparkSession, max(1, -(-max(int(total) - 1, 1).bit_length() // 2))
+    most = min(4**half, int(1.1 * n * 4**half / max(total, 1)) + 64)
+    while True:
+        found = pinned(spark.range(most).select(F.col("id"), permuted(F.col("id"), half, seed).alias("template_index")).where(F.col("template_index") < total))
+        if most == 4**half or found.count() >= n:
+            break
+        most = min(4**half, 2 * most)
+    found = row_numbers(found, [F.asc("id")], "draw").where(F.col("draw") <= n).select((F.col("draw") - 1).alias("draw"), "template_index")
+    place = spans.select("contig", F.lit("+").alias("strand"), "start", F.col("offset").alias("template_start"), (F.col("offset") + F.col("end") - F.col("start")).alias("template_stop"))
+    return linear_positions(found, place, max(1, int(total) // max(1, 4 * count))).select("draw", "contig", "pos")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, Imputer, MinMaxScaler, NGram, OneHotEncoder, RegexTokenizer, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, Imputer, MinMaxScaler, NGram, OneHotEncoder, RegexTokenizer, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
@@ -67,9 +71,14 @@ def frequent(df: DataFrame, column: str, least: int, most: int | None = None, ot
 def preprocessor(numeric: list[str], categorical: list[str], impute: str = "median", scale: str | None = "standard") -> Pipeline:
     """Imputed and scaled numbers with missing flags, one-hot levels with a slot for unknown ones; all learned where it is fitted.
 
-    The input must come through with_flags()."""
+    impute: median, mean or mode, or a number as text, which then fills every gap. The input must come through with_flags()."""
     filled = [f"{c}_filled" for c in numeric]
-    stages: list = [Imputer(strategy=impute, inputCols=numeric, outputCols=filled)] if numeric else []
+    stages: list = []
+    if numeric and impute in ("median", "mean", "mode"):
+        stages.append(Imputer(strategy=impute, inputCols=numeric, outputCols=filled))
+    elif numeric:
+        gaps = ", ".join(f"coalesce(nanvl({c}, null), {float(impute)}D) as {c}_filled" for c in numeric)
+        stages.append(SQLTransformer(statement=f"select *, {gaps} from __THIS__"))
     parts = [f"{c}_missing" for c in numeric]
     if numeric:
         stages.append(VectorAssembler(inputCols=filled, outputCol="numbers", handleInvalid="keep"))
@@ -224,18 +233,145 @@ def letter_bags(text: str, k: int = 3, size: int = 4096) -> Pipeline:
     return Pipeline(stages=[RegexTokenizer(inputCol=text, outputCol="_c", pattern="(?s).", gaps=False), NGram(n=k, inputCol="_c", outputCol="_k"), HashingTF(inputCol="_k", outputCol="features", numFeatures=size)])
 
 
-#: Groups whose sizes may come to the driver to be dealt one after the other; more go round the folds by falling size.
-MOST_GROUPS = 100_000
+def _after(loads: list[int], n: int, m: int) -> list[int]:
+    """Loads after m groups of n rows went one by one to the lightest fold (the first of equal ones)."""
+    low, high = min(loads), max(loads) + n * m
+    taken = lambda v: sum(max(0, (v - x) // n + 1) for x in loads)  # noqa: E731  how many groups find their fold at a load of at most v
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if taken(mid) >= m else (mid + 1, high)
+    steps = [max(0, (low - 1 - x) // n + 1) for x in loads]
+    left = m - sum(steps)
+    for i, x in enumerate(loads):
+        if left and x + steps[i] * n == low:
+            steps[i] += 1
+            left -= 1
+    return [x + s * n for x, s in zip(loads, steps, strict=True)]
+
+
+def _dealt(starts):
+    """Of (group, n, rank among the groups of its size, from 0): the fold, by what each fold holds before the first group of that size."""
+
+    def run(batches):
+        for b in batches:
+            size, rank = (b.column(c).to_numpy() for c in (1, 2))
+            out = np.zeros(len(size), np.int32)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                loads = np.array(starts.value[int(n)], np.int64)
+                want = rank[at].astype(np.int64)
+                low, high = np.full(len(at), loads.min()), loads.max() + n * (want + 1)
+                while (low < high).any():  # the load at which each group finds its fold
+                    mid = (low + high) // 2
+                    enough = np.maximum(0, (mid[:, None] - loads) // n + 1).sum(1) > want
+                    low, high = np.where(enough, low, mid + 1), np.where(enough, mid, high)
+                place = want - np.maximum(0, (low[:, None] - 1 - loads) // n + 1).sum(1)
+                folds = (loads <= low[:, None]) & ((low[:, None] - loads) % n == 0)
+                out[at] = (folds.cumsum(1) == place[:, None] + 1).argmax(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], [*b.schema.names[:2], "fold"])
+
+    return run
 
 
 def lightest_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """group, n, fold: groups by falling size, then name, each to the fold that has the fewest rows so far."""
+    """group, n, fold: groups by falling size, then name, each to the fold that has the fewest rows so far (the first of equal ones).
+
+    Groups of one size are dealt at once: what the folds hold before them fixes where the r-th of them goes. So the driver sees a row a distinct size, never the groups."""
     sizes = pinned(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")))
-    if sizes.count() > MOST_GROUPS:
-        return ranks.row_numbers(sizes, [F.desc("n"), F.asc(group)], "r").select(group, "n", ((F.col("r") - 1) % folds).cast("int").alias("fold"))
-    held, out = [0] * folds, []
-    for name, n in sizes.orderBy(F.desc("n"), group).collect():
-        fold = held.index(min(held))
-        held[fold] += n
-        out.append((name, n, fold))
-    return df.sparkSession.createDataFrame(out, f"`{group}` {sizes.schema[group].dataType.simpleString()}, n long, fold int")
+    held, starts = [0] * folds, {}
+    for n, m in sizes.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect():
+        starts[n] = held
+        held = _after(held, n, m)
+    rows = ranks.row_numbers(sizes, [F.asc(group)], "_r", ["n"]).select(group, "n", (F.col("_r") - 1).alias("_r"))
+    kind = f"`{group}` {sizes.schema[group].dataType.simpleString()}, n long, fold int"
+    return rows.mapInArrow(_dealt(df.sparkSession.sparkContext.broadcast(starts)), kind)
+
+
+def best_strength(table: DataFrame, low: float = 1e-3, high: float = 1e9, tolerance: float = 1e-6, points: int = 33, prior: str | None = None) -> tuple[float, float]:
+    """(strength, log_likelihood): the strength between low and high at which the beta-binomial likelihood of (total, positive) rows is largest, to a relative tolerance of its logarithm.
+
+    prior: a column with the mean that a row is drawn to, else the prevalence. Equal rows are counted once and written; each step evaluates `points` strengths in one aggregate and keeps
+    the two intervals around the best, so the bracket shrinks by (points - 1) / 2 a job."""
+    rows = table.where("total > 0")
+    g = rows.agg((F.sum("positive") / F.sum("total")).alias("p"))
+    q = F.least(F.greatest(F.col(prior) if prior else F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    rows = pinned(rows.crossJoin(F.broadcast(g)).select("total", "positive", q.alias("q")).groupBy("total", "positive", "q").agg(F.count("*").alias("n")))
+    beta = lambda x, y: log_gamma(x) + log_gamma(y) - log_gamma(x + y)
+    a, b = math.log(low), math.log(high)
+    while True:
+        grid = [a + (b - a) * i / (points - 1) for i in range(points)]
+        s = F.col("_s")
+        x, y = s * F.col("q"), s * (1 - F.col("q"))
+        each = rows.withColumn("_s", F.explode(F.array(*[F.lit(math.exp(v)) for v in grid])))
+        found = each.groupBy("_s").agg(F.sum(F.col("n") * (beta(F.col("positive") + x, F.col("total") - F.col("positive") + y) - beta(x, y))).alias("l"))
+        best = max(found.collect(), key=lambda r: (r.l, -r._s), default=None)
+        if best is None:
+            raise ValueError("no rows with a total")
+        i = min(range(points), key=lambda k: abs(math.exp(grid[k]) - best._s))
+        a, b = grid[max(0, i - 1)], grid[min(points - 1, i + 1)]
+        if b - a <= tolerance:
+            return best._s, best.l
+
+
+def native_categories(categorical: list[str], numeric: list[str], least: int = 1) -> Pipeline:
+    """Features in which each categorical column is one slot of nominal kind, so that trees split on sets of levels. Levels of fewer than `least` rows, null and unseen ones share
+    one slot: levels are numbered by falling frequency, and the rest follow as one."""
+    index = [NativeLevels(c, f"{c}_level", least) for c in categorical]
+    return Pipeline(stages=[*index, VectorAssembler(inputCols=[*(f"{c}_level" for c in categorical), *numeric], outputCol="features", handleInvalid="keep")])
+
+
+class NativeLevels(Estimator):
+    """Numbers the levels of a column by falling frequency, then name; rare, null and unseen ones share the number after the last."""
+
+    def __init__(self, column: str, out: str, least: int = 1):
+        super().__init__()
+        self.column, self.out, self.least = column, out, least
+
+    def _fit(self, df: DataFrame) -> Transformer:
+        n = df.where(F.col(self.column).isNotNull()).groupBy(F.col(self.column).cast("string").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= self.least)
+        names = [r.v for r in n.orderBy(F.desc("n"), "v").limit(MOST_LEVELS + 1).collect()]
+        if len(names) > MOST_LEVELS:
+            raise ValueError(f"{self.column} has more than {MOST_LEVELS} levels of {self.least} rows: raise the least number of rows of a level")
+        return NativeLevelsModel(self.column, self.out, names)
+
+
+class NativeLevelsModel(Transformer):
+    def __init__(self, column: str, out: str, names: list[str]):
+        super().__init__()
+        self.column, self.out, self.names = column, out, names
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        number = F.create_map(*(x for i, v in enumerate(self.names) for x in (F.lit(v), F.lit(float(i))))) if self.names else None
+        last = F.lit(float(len(self.names)))
+        value = F.coalesce(F.element_at(number, F.col(self.column).cast("string")), last) if self.names else last
+        kind = {"ml_attr": {"type": "nominal", "name": self.out, "vals": [*self.names, "(other)"]}}
+        return df.withColumn(self.out, value.alias(self.out, metadata=kind))
+
+
+#: Levels of a column that trees may tell apart.
+MOST_LEVELS = 1000
+
+
+def feature_profile(model: PipelineModel, df: DataFrame, column: str = "features") -> DataFrame:
+    """slot, name, mean, std, non_zero, n of each slot of the vector that the last but one stage leaves: one aggregate over the rows."""
+    at = df
+    for stage in model.stages[:-1]:
+        at = stage.transform(at)
+    s = at.select(Summarizer.metrics("count", "mean", "std", "numNonZeros").summary(F.col(column)).alias("s")).first().s
+    attrs = at.schema[column].metadata.get("ml_attr", {}).get("attrs", {})
+    names = {a["idx"]: a.get("name") for kind in attrs.values() for a in kind}
+    rows = [(i, names.get(i), float(m), float(d), int(z), int(s["count"])) for i, (m, d, z) in enumerate(zip(s.mean.toArray(), s.std.toArray(), s.numNonZeros.toArray(), strict=True))]
+    return df.sparkSession.createDataFrame(rows, "slot long, name string, mean double, std double, non_zero long, n long")
+
+
+def stage_gaps(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """stage, name, column, nulls: null and NaN values of each column that a stage adds, and of the input (stage -1), one aggregate a stage."""
+    out, at, seen = [], df, []
+    for i, stage in enumerate([None, *model.stages]):
+        at = stage.transform(at) if stage else at
+        new = [c for c in at.columns if c not in seen]
+        missing = lambda c: F.col(c).isNull() | (F.isnan(c) if at.schema[c].dataType.typeName() in ("double", "float") else F.lit(False))  # noqa: B023, E731
+        facts = at.agg(*(F.count_if(missing(c)).alias(c) for c in new)).first() if new else []
+        out += [(i - 1, type(stage).__name__ if stage else "input", c, int(facts[c])) for c in new]
+        seen += new
+    return df.sparkSession.createDataFrame(out, "stage long, name string, column string, nulls long")

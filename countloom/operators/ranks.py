@@ -67,17 +67,32 @@ def scan(df: DataFrame, order: list[str], found: dict[str, tuple[str, Column]],
     return part.join(shift, same).select(*df.columns, *(join[kind](k).alias(k) for k, (kind, _) in found.items()))
 
 
+#: Groups whose rows may be sent to every task.
+MOST_SENT = 1_000_000
+
+
+def _per_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined to groups (by as _by_*, a row each), null-safe: by broadcast where they are counted to be few, else by a shuffle; one row where there is no `by`."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))
+    groups = pinned(groups)
+    same = [F.col(x).eqNullSafe(F.col(f"_by_{x}")) for x in by]
+    return rows.join(F.broadcast(groups) if groups.count() <= MOST_SENT else groups, same)
+
+
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """by, q, value: exact linear quantiles of the values that are not null, from two-level ranks of distinct values, so that no task
-    holds all values. weight: how often a row counts. The rows asked for (groups x probs x 2) are broadcast."""
+    holds all values. weight: how often a row counts. A group's ranks that are asked for travel as one row; each level picks those that fall on it."""
     by = by or []
     n = F.sum(weight) if weight else F.count("*")
     levels = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(n.cast("long").alias("_n"))
-    c = cumulative(levels, [F.asc("_v")], {"_upto": F.col("_n")}, by)
-    at = c.groupBy(*by).agg(F.max("_upto").alias("_all")).withColumn("q", F.explode(F.array(*(F.lit(float(p)) for p in probs)))).withColumn("_p", F.col("q") * (F.col("_all") - 1))
-    ends = at.select(*(F.col(x).alias(f"_by_{x}") for x in by), "q", "_p", F.explode(F.array(F.floor("_p") + 1, F.ceil("_p") + 1)).alias("_r")).distinct()
-    on = [(F.col("_upto") - F.col("_n") < F.col("_r")) & (F.col("_r") <= F.col("_upto")), *(F.col(x).eqNullSafe(F.col(f"_by_{x}")) for x in by)]
-    found = c.join(F.broadcast(ends), on).groupBy(*by, "q", "_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    c = pinned(cumulative(levels, [F.asc("_v")], {"_upto": F.col("_n")}, by))
+    at = c.groupBy(*(F.col(x).alias(f"_by_{x}") for x in by)).agg(F.max("_upto").alias("_all")).where("_all is not null")
+    place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    asked = F.flatten(F.array(*(F.array_distinct(F.array(*(F.struct(F.lit(float(q)).alias("q"), place(q).alias("p"), (f(place(q)) + 1).alias("r")) for f in (F.floor, F.ceil)))) for q in probs)))
+    at = at.select(*(f"_by_{x}" for x in by), asked.alias("_asked"))
+    here = F.filter("_asked", lambda x: (F.col("_upto") - F.col("_n") < x["r"]) & (x["r"] <= F.col("_upto")))
+    found = _per_group(c, at, by).select(*by, "_v", F.explode(here).alias("_a")).groupBy(*by, F.col("_a.q").alias("q"), F.col("_a.p").alias("_p")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     return found.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_p") - F.floor("_p"))).alias("value"))
 
 
@@ -86,10 +101,9 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float
     two of them, the end values beyond."""
     by = by or []
     levels = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).cast("double").alias("_w")).where("_w > 0")
-    c = cumulative(levels, [F.asc("_v")], {"_upto": F.col("_w")}, by)
+    c = pinned(cumulative(levels, [F.asc("_v")], {"_upto": F.col("_w")}, by))
     whole = c.groupBy(*(F.col(x).alias(f"_by_{x}") for x in by)).agg(F.max("_upto").alias("_all"))
-    same = [F.col(x).eqNullSafe(F.col(f"_by_{x}")) for x in by]
-    c = (c.join(F.broadcast(whole), same) if by else c.crossJoin(F.broadcast(whole))).withColumn("_at", (F.col("_upto") - F.col("_w") / 2) / F.col("_all"))
+    c = _per_group(c, whole, by).withColumn("_at", (F.col("_upto") - F.col("_w") / 2) / F.col("_all"))
     c = c.select(*by, "_at", "_v", F.explode(F.array(*(F.lit(float(p)) for p in probs))).alias("q"))
     low, high = F.col("_at") <= F.col("q"), F.col("_at") >= F.col("q")
     end = F.struct("_at", "_v")

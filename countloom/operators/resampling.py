@@ -38,27 +38,60 @@ def group_means(df: DataFrame, group: str, target: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(two)).withColumn("kind", F.when(F.col("_two"), "rate").otherwise("mean")).drop("_two")
 
 
-def _draws(replicates: int, seed: int):
+STEP, ONE, TWO = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def poisson_weights(key: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights, a row for each key and a column for each replicate, from the keys, replicate and seed alone."""
+    with np.errstate(over="ignore"):
+        x = key.view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * STEP + np.uint64(seed) * TWO
+        x = (x ^ (x >> np.uint64(30))) * ONE
+        x = (x ^ (x >> np.uint64(27))) * TWO
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(np.array(poisson_cuts(12)), (x >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def _replicate_sums(replicates: int, seed: int, rows: int = 4096):
+    """Of (group number, row key, value): for each group of the task its weighted sums and weights in each replicate. Rows are weighted `rows` at a time; groups are sent on when a task holds many."""
+
     def run(batches):
+        held: dict = {}
+
+        def flush():
+            names = list(held)
+            sums = np.stack([held[g] for g in names])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(sums[:, 0]), pa.list_(pa.float64())), pa.array(list(sums[:, 1]), pa.list_(pa.float64()))], ["_g", "_s", "_w"])
+
         for b in batches:
-            names = b.schema.names
-            key, n = b.column(names.index("_key")).to_numpy(), b.column(names.index("_n")).to_numpy()
-            weights = [np.random.Generator(np.random.PCG64([seed, int(k) & (1 << 64) - 1])).poisson(float(c), replicates) for k, c in zip(key, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(weights, pa.list_(pa.int64()))], [*names, "_w"])
+            groups, keys, values = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for at in range(0, len(groups), rows):
+                weight = poisson_weights(keys[at : at + rows], replicates, seed).astype(float)
+                names = groups[at : at + rows]
+                distinct = list(dict.fromkeys(names))
+                number = {g: i for i, g in enumerate(distinct)}
+                one = np.zeros((len(distinct), len(names)))
+                one[[number[g] for g in names], np.arange(len(names))] = 1.0
+                both = np.stack([one @ (weight * values[at : at + rows, None]), one @ weight], 1)
+                for g, x in zip(distinct, both, strict=True):
+                    held[g] = held[g] + x if g in held else x
+                if len(held) > 10_000:
+                    yield flush()
+                    held = {}
+        if held:
+            yield flush()
 
     return run
 
 
-def group_intervals(df: DataFrame, group: str, target: str, level: float = 0.95, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """group_means() with low and high: percentile intervals of a Poisson bootstrap.
+def group_intervals(df: DataFrame, group: str, target: str, key: list[str], level: float = 0.95, replicates: int = 200, seed: int = 7) -> DataFrame:
+    """group_means() with low and high: percentile intervals of a Poisson bootstrap of the rows.
 
-    Rows of equal group and value are drawn together: their weights in a replicate add up to one Poisson count. Draws are seeded by
-    group and value, so reruns agree."""
-    seen = df.where(F.col(target).isNotNull()).groupBy(F.col(group).cast("string").alias("_g"), F.col(target).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    seen = seen.withColumn("_key", F.xxhash64("_g", "_v"))
-    drawn = seen.mapInArrow(_draws(replicates, seed), "_g string, _v double, _n long, _key long, _w array<long>")
-    each = drawn.select("_g", "_v", F.posexplode("_w").alias("replicate", "_k")).groupBy("_g", "replicate")
-    means = pinned(each.agg(F.try_divide(F.sum(F.col("_v") * F.col("_k")), F.sum("_k")).alias("mean")).where("mean is not null"))
+    A row's weights follow from `key`, which tells rows apart, so reruns agree whatever the partitions. Each task adds up its rows' weighted values into one row a
+    group; nothing is multiplied by the replicates before that."""
+    rows = df.where(F.col(target).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.xxhash64(*key).alias("_k"), F.col(target).cast("double").alias("_v"))
+    part = rows.mapInArrow(_replicate_sums(replicates, seed), "_g string, _s array<double>, _w array<double>")
+    each = part.select("_g", F.posexplode(F.arrays_zip("_s", "_w")).alias("replicate", "x")).groupBy("_g", "replicate")
+    means = pinned(each.agg(F.try_divide(F.sum("x._s"), F.sum("x._w")).alias("mean")).where("mean is not null"))
     ends = quantiles(means, "mean", [(1 - level) / 2, (1 + level) / 2], ["_g"])
     ends = ends.groupBy("_g").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     own = group_means(df, group, target)

@@ -70,13 +70,14 @@ def matched_negatives(targets: DataFrame, negatives: DataFrame, score: str, key:
     ladder = F.coalesce(*(F.when(inside(i), F.lit(i)) for i in range(last + 1)))
     need = targets.groupBy(ladder.alias("bin")).agg((F.count("*") * multiplier).alias("need")).where("bin is not null")
     have = negatives.select(key, score, ladder.alias("bin")).where("bin is not null")
-    rank = F.row_number().over(W.partitionBy("bin").orderBy(keyed_hash(key, seed), key))
     size = have.groupBy("bin").agg(F.count("*").alias("have"))
     plan = need.join(size, "bin", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    full = have.withColumn("r", rank).join(F.broadcast(plan.where("have > 0")), "bin").where("r <= need")
+    full = have.withColumn("_h", keyed_hash(key, seed))  # ranks over range partitions: a hot bin is many tasks
+    full = row_numbers(full, [F.asc("_h"), F.asc(key)], "r", ["bin"]).join(F.broadcast(plan.where("have > 0")), "bin").where("r <= need")
     centre = F.element_at(F.array(*(F.lit((a + b) / 2) for a, b in zip(cuts, cuts[1:], strict=False))), F.col("bin") + 1)
     far = negatives.select(key, score).crossJoin(F.broadcast(plan.where("have = 0").withColumn("have", F.greatest("need", F.lit(32)))))
-    near = far.withColumn("r", F.row_number().over(W.partitionBy("bin").orderBy(F.abs(F.col(score) - centre), key))).where("r <= have and r <= need")
+    near = far.withColumn("_d", F.abs(F.col(score) - centre))
+    near = row_numbers(near, [F.asc("_d"), F.asc(key)], "r", ["bin"]).where("r <= have and r <= need")
     both = full.select("bin", key, "r", "need", "have").unionByName(near.select("bin", key, "r", "need", "have"))
     times = F.greatest(F.lit(1), F.ceil((F.col("need") - F.col("r") + 1) / F.col("have"))).cast("int")
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("bin", key, "copy")

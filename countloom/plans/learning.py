@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import counts, intervals, models, ranks
-from .intervals import customer_spans
+from .intervals import SPANS, customer_spans
 from .registry import query
 from .sequences import UP, _code, _windows, sequences
 
@@ -103,7 +103,19 @@ def d10_pair_bin_levels(t):
     return joint(t).where("code not in (0, 16) and gc_bin <> 0").select(F.concat_ws(":", "code", "gc_bin").alias("level"), "n")
 
 
-@query()
+def _permuted(rounds: int, seed: int) -> str:
+    """CTEs r0, r1, ...: the halves of the numbers i after each round."""
+    out = ["r0 as (select i, i >> half as l, i & mask as r from range(0, 1 << 14) k(i), g where i < size)"]
+    for k in range(rounds):
+        out.append(f"r{k + 1} as (select i, r as l, xor(l, cast('0x' || substr(md5(cast(r as varchar) || ':{seed}:{k}'), 1, 8) as bigint) & mask) as r from r{k}, g)")
+    return ", ".join(out)
+
+
+@query(f"""with s as ({SPANS}), o as (select contig, start, "end" - start as n, sum("end" - start) over (order by contig, start) - ("end" - start) as off from s),
+t as (select cast(sum(n) as bigint) as total from o), h as (select total, cast(ceil(ceil(log2(total)) / 2) as bigint) as half from t),
+g as (select total, half, (1::bigint << half) - 1 as mask, 1::bigint << (2 * half) as size from h), {_permuted(intervals.ROUNDS, 42)},
+d as (select row_number() over (order by i) - 1 as draw, (l << half) + r as template_index from r{intervals.ROUNDS}, g where (l << half) + r < total)
+select draw, contig, cast(start + template_index - off as bigint) as pos from d join o on template_index >= off and template_index < off + n where draw < 1000""")
 def g6_background_positions(t):
     """A thousand positions of the customers' spans without replacement, the same on each run (sampling is the feature)."""
     return intervals.background(customer_spans(t), 1000, 42)

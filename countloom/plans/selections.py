@@ -228,9 +228,8 @@ def e17_group_rates(t):
 
 @query()
 def e17_group_intervals(t):
-    """Mean price by priority with percentile intervals of 200 bootstrap replicates; prices go in steps of 1,000, so that equal ones are drawn together."""
-    rows = t("orders").withColumn("y", F.floor(F.col("o_totalprice") / 1000))
-    return resampling.group_intervals(rows, "o_orderpriority", "y")
+    """Mean price by priority with percentile intervals of 200 bootstrap replicates, whose weights follow from the order's key."""
+    return resampling.group_intervals(t("orders"), "o_orderpriority", "o_totalprice", ["o_orderkey"])
 
 
 SUPPLIER_AP = """with l as (select l_suppkey, m, case when m = 'a' then round(l_extendedprice) else l_quantity end as score, count(*) as total, sum(case when

@@ -133,7 +133,7 @@ def g5_tile_draws(t):
     rows = pinned(tile_rows(t).select("contig", "tile", mix.alias("p")))
     c = ranks.cumulative(rows, [F.asc("contig"), F.asc("tile")], {"hi": F.col("p")}).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     draws = rows.sparkSession.range(DRAWS).select(F.col("id").alias("draw"), sc.keyed_uniform("id", "draws").alias("u"))
-    return c.join(F.broadcast(draws), (F.col("u") >= F.col("hi") - F.col("p")) & (F.col("u") < F.col("hi"))).select("draw", "contig", "tile", F.round(1 / (F.col("p") * F.col("n")), 8).alias("weight"))
+    return iv.weighted_draws(c, draws, "p", "hi", DRAWS).select("draw", "contig", "tile", F.round(1 / (F.col("p") * F.col("n")), 8).alias("weight"))
 
 
 @query(f"""select case when x is null then 5 when x >= 0.08 then 4 when x >= 0.06 then 3 when x >= 0.03 then 2 when x >= 0.01 then 1 else 0 end as code, count(*) as n from (select nullif(l_discount, 0.05) as x from lineitem) group by 1""")
@@ -264,7 +264,7 @@ def e18_correlations(t):
     """Pearson and Spearman correlations of each pair of columns; ranks are joined from one row a value."""
     rows = t("lineitem").select(*NUMBERS)
     for c in NUMBERS:
-        rows = rows.join(F.broadcast(ranks.value_ranks(t("lineitem"), c).select(c, F.col("average").alias(f"r_{c}"))), c)
+        rows = rows.join(ranks.value_ranks(t("lineitem"), c).select(c, F.col("average").alias(f"r_{c}")), c)
     pairs = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
     each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 10).alias("pearson"), F.round(F.corr(f"r_{a}", f"r_{b}"), 10).alias("spearman")) for a, b in pairs))
     return rows.agg(each.alias("x")).select(F.inline("x"))

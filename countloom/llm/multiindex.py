@@ -1,6 +1,6 @@
 """Near-duplicate vectors by an inverted multi-index.
 
-Two codebooks, one for each half of the unit vectors, are fitted on at most SAMPLE vectors (those with
+Two codebooks, one for each half of the unit vectors, are fitted on at most SAMPLE vectors, or POINTS for each code where that is more (those with
 the least hashes of their contents); pairs of their entries form a grid of cells, and every vector is filed
 in one cell. A vector visits cells by rising sum of the two half distances. How many is set by brute force: of
 at most PROBES vectors, outside the fitted sample where there are others, against all vectors, each must find
@@ -14,7 +14,7 @@ in the precision that they came in. Equal vectors are one entry with a count. Gr
 bounded size, and a block returns counts and a spanning forest, not pairs. Exact counts of links inside a
 dense cell take work with the square of its different vectors; that work is spread over blocks.
 
-Nulls and odd rows: vectors that are null, empty, zero, of another length than most, or hold null or
+Nulls and odd rows: vectors link only with others of their length; those that are null, empty, zero, or hold null or
 non-finite components link with nothing; so do rows with a null vec_id, whose component is null; rows
 that repeat id and vector are one vector, rows that repeat an id with other vectors share a component;
 other columns are ignored; an empty table gives an empty result.
@@ -23,6 +23,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,14 @@ from pyspark.sql import types as T
 
 from .common import MOST_SENT, by_bucket, connected_components, cut, mix, spread_join
 
-SAMPLE, PROBES, LEAST_CELLS, LEAST_LINKED = 8192, 1024, 8, 32
-CELL, MOST_CODES = 64, 256
+#: Vectors to fit on at least, and for each code; probes; cells to visit at least; linked probes to go by at least.
+SAMPLE, POINTS, PROBES, LEAST_CELLS, LEAST_LINKED = 8192, 16, 1024, 8, 32
+#: Vectors of a cell. Codes of a half: beyond 64 million vectors cells grow instead.
+CELL, MOST_CODES = 64, 1024
 #: Vectors of a block, and of a matrix product in it.
 INDEX_BLOCK, QUERY_BLOCK, TILE = 1 << 15, 1 << 16, 2048
 VISITS = 1 << 16  # made at once
-KEYED = "vec_id long, same binary"
+KEYED, MET = "vec_id long, same binary", "rep long, links long, to long"
 
 
 def _valid(dim: int, vectors: bool):
@@ -316,7 +319,8 @@ def _block(least: float, kind: str):
 def _met(filed: DataFrame, codes: int, least: float, kind: str) -> DataFrame:
     """rep, links, to: links found in blocks, and a spanning forest of them."""
     sc = filed.sparkSession.sparkContext
-    sizes = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}  # at most codes * codes rows
+    found = filed.groupBy("cell").count().toArrow()  # at most codes * codes rows
+    sizes = dict(zip(found["cell"].to_pylist(), found["count"].to_pylist(), strict=True))
     group, ib = grouped(sizes, codes, INDEX_BLOCK)
     asked = np.zeros(len(ib), np.int64)
     for r in filed.select("cell", "visits").mapInArrow(_ask(sc.broadcast((group, ib))), "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
@@ -325,55 +329,61 @@ def _met(filed: DataFrame, codes: int, least: float, kind: str) -> DataFrame:
         asked[group[cell]] += n if ib[group[cell]] > 1 else 0  # parts of a large cell ask its later parts
     qb = np.maximum(1, -(-asked // QUERY_BLOCK))
     dealt = filed.mapInArrow(_deal(sc.broadcast((group, ib, qb))), BLOCKS)
-    return cut(by_bucket(dealt, int((ib * qb).sum())).applyInArrow(_block(least, kind), "rep long, links long, to long"), "met")
+    return cut(by_bucket(dealt, int((ib * qb).sum())).applyInArrow(_block(least, kind), MET), "met")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999) -> DataFrame:
-    """vec_id, n_links, component_id, kept for vectors (vec_id, embedding): links are cosines of at least `least`."""
-    spark = vectors.sparkSession
-    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
-    kind, array = ("<f4", "array<float>") if single else ("<f8", "array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(array).alias("v"))
-    common = rows.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    dim = common["d"] if common else 0
-    if not dim:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+def _linked(rows: DataFrame, dim: int, kind: str, least: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """Of the vectors of one length: owner (vec_id, same, rep, n, copies: the least id of equal vectors and how many ids have them), and met (rep, links, to)."""
+    spark = rows.sparkSession
     keys = cut(rows.mapInArrow(_valid(dim, False), KEYED).groupBy("same", "vec_id").agg(F.count("*").alias("copies")), "keys")
     several = cut(keys.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "several")
     owner = spread_join(keys, several, "same", "vec_id", "left").select("vec_id", "same", F.coalesce("rep", "vec_id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"), "copies")
     owner = cut(owner, "owners")
     total = owner.where("vec_id = rep").count()
+    if total <= 1:
+        return owner, spark.createDataFrame([], MET)
     whole = rows.mapInArrow(_valid(dim, True), f"{KEYED}, raw binary")
+    codes = int(min(MOST_CODES, max(2, round((total / CELL) ** 0.5))))
+    fit = max(SAMPLE, POINTS * codes)
+    part = max(1, total // (4 * (fit + PROBES)))
+    hashed = F.xxhash64("same")
+    sample = whole.where(F.pmod(hashed, F.lit(part)) == 0).groupBy("same").agg(F.first("raw").alias("raw")).orderBy(hashed, "same").limit(fit + PROBES).collect()
+    points = units(pa.array([bytes(r["raw"]) for r in sample]), kind)
+    fitted = min(len(points), fit)
+    chosen = slice(max(0, len(points) - PROBES), None) if len(points) > fit else slice(0, PROBES)
+    codes = min(codes, fitted)
+    books = tuple(fit_codebook(h, codes) for h in halves(points[:fitted]))
+    probes, homes = points[chosen], nearest_cells(points[chosen], books, 1)[:, 0]
+    seen = whole.mapInArrow(_hits(probes, [bytes(r["same"]) for r in sample[chosen]], homes, books, least, kind), "probe int, cell int, n long").groupBy("probe", "cell").agg(F.sum("n").alias("n"))
+    needed = [r["cells"] for r in seen.groupBy("probe").applyInArrow(_needed(probes, homes, books, target), "cells int").collect()]  # at most PROBES rows
+    if len(needed) < LEAST_LINKED:
+        other = nearest_cells(turned(probes, (1 + least) / 2), books, 1)[:, 0]
+        needed += [cells_needed(p, h, np.array([c]), np.array([1]), books, target) for p, h, c in zip(probes, homes, other, strict=True) if h <= c]
+    cells = min(codes * codes, max(LEAST_CELLS, *needed, 0))
+    lost = owner.where("vec_id <> rep").select("vec_id", "same")
+    few = lambda d: F.broadcast(d) if d.count() <= MOST_SENT // 8 else d
+    one = whole.join(few(lost), ["vec_id", "same"], "left_anti").join(few(several.select("same", "n")), "same", "left")
+    if not owner.where("copies > 1").isEmpty():
+        one = one.dropDuplicates(["vec_id", "same"])
+    one = one.select("vec_id", F.coalesce("n", F.lit(1)).alias("n"), "raw")
+    filed = cut(one.mapInArrow(_file(books, cells, kind), "rep long, n long, raw binary, cell int, visits array<int>"), "cells")
+    return owner, _met(filed, codes, least, kind)
+
 
-    met = spark.createDataFrame([], "rep long, links long, to long")
-    if total > 1:
-        part = max(1, total // (4 * (SAMPLE + PROBES)))
-        hashed = F.xxhash64("same")
-        sample = whole.where(F.pmod(hashed, F.lit(part)) == 0).groupBy("same").agg(F.first("raw").alias("raw")).orderBy(hashed, "same").limit(SAMPLE + PROBES).collect()
-        points = units(pa.array([bytes(r["raw"]) for r in sample]), kind)
-        fitted = min(len(points), SAMPLE)
-        chosen = slice(max(0, len(points) - PROBES), None) if len(points) > SAMPLE else slice(0, PROBES)
-        codes = int(min(MOST_CODES, fitted, max(2, round((total / CELL) ** 0.5))))
-        books = tuple(fit_codebook(h, codes) for h in halves(points[:fitted]))
-        probes, homes = points[chosen], nearest_cells(points[chosen], books, 1)[:, 0]
-        seen = whole.mapInArrow(_hits(probes, [bytes(r["same"]) for r in sample[chosen]], homes, books, least, kind), "probe int, cell int, n long").groupBy("probe", "cell").agg(F.sum("n").alias("n"))
-        needed = [r["cells"] for r in seen.groupBy("probe").applyInArrow(_needed(probes, homes, books, target), "cells int").collect()]  # at most PROBES rows
-        if len(needed) < LEAST_LINKED:
-            other = nearest_cells(turned(probes, (1 + least) / 2), books, 1)[:, 0]
-            needed += [cells_needed(p, h, np.array([c]), np.array([1]), books, target) for p, h, c in zip(probes, homes, other, strict=True) if h <= c]
-        cells = min(codes * codes, max(LEAST_CELLS, *needed, 0))
-        lost = owner.where("vec_id <> rep").select("vec_id", "same")
-        few = lambda d: F.broadcast(d) if d.count() <= MOST_SENT // 8 else d
-        one = whole.join(few(lost), ["vec_id", "same"], "left_anti").join(few(several.select("same", "n")), "same", "left")
-        if not owner.where("copies > 1").isEmpty():
-            one = one.dropDuplicates(["vec_id", "same"])
-        one = one.select("vec_id", F.coalesce("n", F.lit(1)).alias("n"), "raw")
-        filed = cut(one.mapInArrow(_file(books, cells, kind), "rep long, n long, raw binary, cell int, visits array<int>"), "cells")
-        met = _met(filed, codes, least, kind)
-    degree = met.groupBy("rep").agg(F.sum("links").alias("links"))
+def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999) -> DataFrame:
+    """vec_id, n_links, component_id, kept for vectors (vec_id, embedding): links are cosines of at least `least`. Vectors of each length that at least two have are
+    indexed apart, one length after the other; a vector alone in its length has no links."""
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind, array = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(array).alias("v"))
+    lengths = rows.where("size(v) > 0 and vec_id is not null").groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()
+    if not lengths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    parts = [_linked(rows.where(F.size("v") == r["d"]) if len(lengths) > 1 else rows, r["d"], kind, least, target) for r in lengths]
+    owner, met = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
     ends = met.select(F.col("rep").alias("a"), F.col("to").alias("b")).unionByName(owner.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     component = connected_components(ends).toDF("vec_id", "component_id")
-    own = spread_join(owner, degree, "rep", "vec_id", "left")
+    own = reduce(DataFrame.unionByName, (spread_join(o, m.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "vec_id", "left") for o, m in parts))
     own = own.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")).groupBy("vec_id").agg(F.max("links").alias("links"))
     out = rows.select("vec_id").join(own, "vec_id", "left").join(component, "vec_id", "left")
     named = F.coalesce("component_id", "vec_id")

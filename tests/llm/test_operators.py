@@ -197,6 +197,21 @@ def test_vectors_against_brute_force(spark, monkeypatch, blocks, kind):
     assert [tuple(r) for r in multiindex.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
 
 
+def test_vectors_of_each_length(spark):
+    """Each length is compared in itself, beside null and repeated ids; against brute force."""
+    sets = {n: RNG.normal(size=(40, n)) for n in (1, 2, 3, 16)}
+    rows, want = [], {}
+    for k, (n, x) in enumerate(sets.items()):
+        x[1:6] = x[0] * 2 + 0.001
+        links, name = links_by_force(x)
+        rows += [(1000 * k + i, [float(v) for v in r]) for i, r in enumerate(x)]
+        want |= {1000 * k + i: (links[i], 1000 * k + name[i]) for i in range(40)}
+    rows += [(9000, [1.0] * 7), (None, rows[0][1]), (None, [1.0, 2.0]), rows[50], (9001, [0.0, 0.0]), (9002, [0.0, 0.0])]
+    want |= {9000: (0, 9000), 9001: (0, 9001), 9002: (0, 9002)}
+    got = [r for r in multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.vec_id is not None]
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == len(rows) - 2
+
+
 def test_an_id_with_two_vectors(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     rows = [(1, a), (2, b), (5, a), (5, b), (9, [0.0, 0.0, 1.0, 0.0])]

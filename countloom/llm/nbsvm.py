@@ -3,7 +3,8 @@
 A document's n-grams (words and signs, pairs of them, shapes of words and signs, and pairs of shapes), hashed to BINS
 indicators, are scaled by the log ratio of their shares in the two classes; a linear hinge-loss model
 is fitted by dual coordinate descent; a logistic curve fitted on rows held out from it turns margins
-into scores. All on at most MOST_ROWS labelled documents (a documented bound). Every whole text is scored.
+into scores. All on at most MOST_ROWS labelled documents with at most MOST_GRAMS n-grams together (documented bounds); an n-gram counts that
+LEAST_ROWS of them have. Every whole text is scored.
 
 Nulls and odd rows: null and empty texts have no n-gram and get the score of the bare bias; without labels
 of both kinds every score is 0.5; rows that repeat a doc_id each get their row; other columns are ignored.
@@ -19,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M2, mix
+from .common import M2, cut, mix
 from .labelled import labelled_sample
 
-MOST_ROWS, BINS, LEAST_ROWS = 12000, 1 << 20, 5
+#: Documents, and their n-grams in all, to learn from; bins; rows that an n-gram must have to count.
+MOST_ROWS, MOST_GRAMS, BINS, LEAST_ROWS = 12000, 1 << 25, 1 << 20, 5
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\n")
 #: Characters of text whose n-grams are made at once, and tokens that are remembered.
 RUN, REMEMBERED = 1 << 20, 400_000
@@ -80,11 +82,11 @@ def _rows(batches):
     seen = Hashes()
     for b in batches:
         out = []
-        for part in runs(b.column(1).to_pylist()):
+        for part in runs(b.column(2).to_pylist()):
             doc, bins = features(part, seen)
             edges = np.searchsorted(doc, np.arange(len(part) + 1))
             out += [bins[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["k", "y", "n", "x"])
 
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -132,10 +134,18 @@ def calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(c)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_ROWS):
-    """(scaled weights as one array with the bias last, ratio, slope, shift), or None."""
-    found = labelled_sample(docs, labels, label, most).select("y", "text", F.xxhash64("doc_id").alias("k")).repartition("k").select("y", "text").mapInArrow(_rows, "y int, x binary").collect()
-    found = sorted((r["y"], bytes(r["x"])) for r in found)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_ROWS, grams: int = MOST_GRAMS):
+    """(scaled weights as one array with the bias last, ratio, slope, shift), or None. Of the sample's documents, by the hash of their ids, those are learned from whose n-grams
+    together are at most `grams`; the driver holds these and no more."""
+    rows = labelled_sample(docs, labels, label, most).select("y", "text", F.xxhash64("doc_id").alias("k")).repartition("k").select("k", "y", "text").mapInArrow(_rows, "k long, y int, n long, x binary")
+    rows = cut(rows, "grams")
+    sizes = rows.select("k", "n").orderBy("k").toArrow()  # a row a document of the sample
+    whole = np.cumsum(sizes["n"].to_numpy())
+    fits = int(np.searchsorted(whole, grams, "right")) - 1
+    if fits < len(whole) - 1:
+        rows = rows.where(F.col("k") <= sizes["k"][max(fits, 0)].as_py())
+    found = rows.select("y", "x").toArrow()
+    found = sorted(zip(found["y"].to_pylist(), found["x"].to_pylist(), strict=True))
     y, rows = np.array([r[0] for r in found]), [np.frombuffer(r[1], np.int32) for r in found]
     if len(set(y.tolist())) < 2:
         return None

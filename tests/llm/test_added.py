@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from countloom.llm import alignment, packing, pii, prefixes, queries
+from countloom.llm import alignment, nbsvm, packing, pii, prefixes, queries, toxicity
 
 
 def test_packing_of_long_white_space(spark):
@@ -195,3 +195,62 @@ def test_trie_of_odd_rows(spark):
     assert got == [(alone, 0, None, 1, 0, 1, 0)]
     twice = sorted(tuple(r)[:7] for r in trie([(20, 1, "user", "a b"), (20, 1, "user", "a b")]).collect())
     assert twice == [(20, 0, None, 1, 1, 1, 0), (20, 1, 20, 1, 1, 1, 0), (20, 2, 20, 1, 0, 1, 0)]
+
+
+def test_noisy_or_fit_is_stationary():
+    """The fitted weights against the likelihood written out by documents: its differences vanish there, and other weights are no likelier."""
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 5, 60)
+    hits = [[sorted(set(rng.integers(0, 4, rng.integers(1, 3)).tolist())) for _ in range(rng.integers(0, k + 1))] for k in n]
+    y = np.array([int(any(0 in s for s in h) if rng.random() < 0.85 else rng.random() < 0.3) for h in hits])
+    l2 = 1e-2
+
+    def likelihood(theta):
+        total = 0.0
+        for label, k, h in zip(y, n, hits, strict=True):
+            none = 1.0
+            for s in [*h, *[[]] * (k - len(h))]:
+                none *= 1 - 1 / (1 + np.exp(-(theta[0] + sum(theta[1 + w] for w in s))))
+            total += np.log(1 - none if label else none)
+        return total / len(y) - l2 / 2 * (theta[1:] ** 2).sum()
+
+    bias, weights = toxicity.noisy_or_fit(y, n.astype(float), hits, 4, steps=4000, rate=0.02, l2=l2)
+    best = np.concatenate([[bias], weights])
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-4
+        assert abs(likelihood(best + step) - likelihood(best - step)) / 2e-4 < 2e-3
+    assert all(likelihood(best) >= likelihood(best + rng.normal(0, 0.5, 5)) for _ in range(100))
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The hinge objective of its weights against that of a plain solver of the dual, which the duality gap proves optimal."""
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(40)]
+    y = np.array([int(3 in r) if rng.random() < 0.8 else int(rng.random() < 0.5) for r in rows])
+    ratio = np.zeros(nbsvm.BINS)
+    ratio[:12] = rng.normal(0, 1, 12)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    x[:, 12], sign = 1, np.where(y == 1, 1.0, -1.0)
+    bound = np.where(y == 1, 40 / (2 * (y == 1).sum()), 40 / (2 * (y == 0).sum()))
+    gram, alpha = (x * sign[:, None]) @ (x * sign[:, None]).T, np.zeros(40)
+    for _ in range(20_000):  # projected gradient
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, bound)
+    primal = lambda w: w @ w / 2 + (bound * np.maximum(0, 1 - sign * (x @ w))).sum()
+    plain = (alpha * sign) @ x
+    assert primal(plain) - (alpha.sum() - plain @ plain / 2) < 1e-6
+    w = nbsvm.dual_descent(rows, y, ratio, rounds=400)
+    assert primal(np.append(w[:12], w[-1])) == pytest.approx(primal(plain), rel=1e-4)
+
+
+def test_quality_learns_from_a_bounded_number_of_ngrams(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=30)) + (" zap!!" * 5 if i % 2 else ""), i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    whole, part = nbsvm.train(docs, labels), nbsvm.train(docs, labels, grams=2000)
+    again = nbsvm.train(docs.repartition(3), labels, grams=2000)
+    assert (part[0] == again[0]).all() and (whole[0] != part[0]).any()
+    for model in (whole, part):
+        assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in nbsvm.score(docs, model).collect())

@@ -6,10 +6,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import anomalies, counts, models
+from ..functions import scalars as sc
+from ..operators import anomalies, models
 from ..operators.pins import pinned
 from .registry import query
-from .sequences import sequences
 
 FEATURES = ["l_extendedprice", "l_quantity", "l_tax", "constant"]
 MULTIPLIER, THRESHOLD = 0.3, 1.2
@@ -54,9 +54,8 @@ def e20_row_rollup(t):
 
 @query()
 def h1_strength_search(t):
-    """How strongly the rates of 4-mers of labelled texts are drawn to the prevalence: the strength of the largest likelihood by a search; compared with a plain one in the tests."""
-    rows = sequences(t).join(t("labels").where("quality is not null"), "doc_id").select("seq", F.col("quality").alias("y"))
-    table = counts.kmer_counts(rows, "seq", 4, ["y"]).groupBy("code").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("y")).alias("positive"))
+    """How strongly the texts' shares of the letter e are drawn to the share in all: the strength of the largest likelihood by a search; compared with a plain one in the tests."""
+    table = t("documents").where(F.length("text") > 0).select(F.length("text").cast("long").alias("total"), sc.letter_count(F.col("text"), "e").cast("long").alias("positive"))
     s, likelihood = models.best_strength(table)
     return t.spark.createDataFrame([(s, likelihood)], "strength double, log_likelihood double").select(F.round("strength", 2).alias("strength"), F.round("log_likelihood", 4).alias("log_likelihood"))
 

@@ -101,6 +101,40 @@ def kmer_counts(df: DataFrame, text: str, k: int, keys: list[str]) -> DataFrame:
     return part.groupBy(*keys, "code").agg(F.sum("n").alias("n"))
 
 
+def letter_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """keys, length, a, c, g, t of each text, in either letter case; one pass over the letters. Null texts have a null length."""
+    kinds = _arrow(df, keys)
+    digit = np.minimum(DIGIT, 4)
+    digit[[ord(x) for x in "acgt"]] = range(4)
+
+    def run(batches):
+        for b in batches:
+            texts, held, at, size = b.column(b.num_columns - 1).to_pylist(), [], 0, 0
+            counts = np.zeros((len(texts), 5), np.int64)
+
+            def add(parts, counts=counts):
+                points = np.frombuffer("".join(x for _, x in parts).encode("utf-32-le"), np.uint32)
+                owner = np.repeat([i for i, _ in parts], [len(x) for _, x in parts])
+                low = int(owner[0]) if len(owner) else 0
+                found = np.bincount((owner - low) * 5 + digit[np.minimum(points, 127)])
+                found = np.pad(found, (0, -len(found) % 5)).reshape(-1, 5)
+                counts[low : low + len(found)] += found
+
+            for i, x in enumerate(texts):
+                for at in range(0, len(x or ""), RUN):
+                    held.append((i, x[at : at + RUN]))
+                    size += len(held[-1][1])
+                    if size >= RUN:
+                        add(held)
+                        held, size = [], 0
+            if held:
+                add(held)
+            length = pa.array([None if x is None else len(x) for x in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], length, *(pa.array(counts[:, c]) for c in range(4))], [*kinds.names, "length", "a", "c", "g", "t"])
+
+    return df.select(*keys, text).mapInArrow(run, _schema(df, keys, "length long, a long, c long, g long, t long"))
+
+
 def word_counts(df: DataFrame, text: str, k: int, keys: list[str]) -> DataFrame:
     """keys, word, n: the same for windows of any characters, as words; k is at most 3."""
     kinds = _arrow(df, keys)

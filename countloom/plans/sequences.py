@@ -71,7 +71,7 @@ select doc_id, len as length, round(case when a + c + g + t > 0 then (c + g) / (
   log2(c / (a + c + g + t)) else 0 end
    + case when g > 0 then g / (a + c + g + t) * log2(g / (a + c + g + t)) else 0 end + case when t > 0 then t / (a + c + g + t) * log2(t / (a + c + g + t)) else 0 end) end, 8) as entropy from n""")
 def d11_sequence_stats(t):
-    rows = sequences(t).select("doc_id", F.length("seq").cast("long").alias("length"), *(sc.letter_count(F.col("seq"), b).alias(b.lower()) for b in "ACGT"))
+    rows = counts.letter_counts(t("documents"), "text", ["doc_id"])
     all_bases = F.col("a") + F.col("c") + F.col("g") + F.col("t")
     gc = F.when(all_bases > 0, (F.col("c") + F.col("g")) / all_bases)
     return rows.select("doc_id", "length", F.round(gc, 10).alias("gc"), F.round(F.try_divide(F.col("length") - all_bases, "length"), 10).alias("n_share"), F.round(sc.entropy([F.col(x) for x in "acgt"]), 8).alias("entropy"))

@@ -102,7 +102,7 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = 17) -> DataF
     table = table.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_REPEATS))).otherwise(0).cast("int"))
     table = table.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("blocks", blocks)
     rows = sized.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks"))  # by size, too: many rows may lack an id)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")))  # by size, too: many rows may lack an id
 
     per = rows.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     per = ranked(cut(per, "blocks"), ["rank"], F.xxhash64(F.lit(seed), F.lit("block"), "rank", "block"), ["block"], "words")

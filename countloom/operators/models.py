@@ -40,6 +40,10 @@ def empirical_strength(table: DataFrame, strengths: list[float]) -> float:
     return strength_likelihoods(table, strengths).orderBy(F.desc("log_likelihood"), "strength").first().strength
 
 
+#: Compacted rows for each task of a fit.
+COMPACT_ROWS = 50_000
+
+
 def compacted(df: DataFrame, levels: list[str], y: str) -> DataFrame:
     """Rows of equal levels and label as one row with a weight."""
     return df.groupBy(*levels, F.col(y).cast("double").alias("label")).agg(F.count("*").cast("double").alias("weight"))
@@ -50,7 +54,8 @@ def fit_levels(df: DataFrame, levels: list[str], y: str, c: float = 1.0, max_ite
 
     c is the inverse strength for the summed loss, as in least-squares texts: Spark's regParam is 1 / (c * sum of weights)."""
     rows = pinned(compacted(df, levels, y))
-    whole = rows.agg(F.sum("weight")).first()[0] or 1.0
+    whole, n = rows.agg(F.coalesce(F.sum("weight"), F.lit(1.0)), F.count("*")).first()
+    rows = rows.coalesce(max(1, n // COMPACT_ROWS))  # a step of the fit is a job: a few dozen rows are one task of it
     index = StringIndexer(inputCols=levels, outputCols=[f"{x}_index" for x in levels], handleInvalid="keep", stringOrderType="alphabetAsc")
     hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{x}_hot" for x in levels], dropLast=False)
     lr = LogisticRegression(weightCol="weight", regParam=1 / (c * whole), maxIter=max_iter, standardization=False, tol=1e-9)

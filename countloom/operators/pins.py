@@ -25,3 +25,15 @@ def pinned(df: DataFrame) -> DataFrame:
     path = pinned_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input for each task of a range exchange, and its tasks at most.
+TASK_BYTES, MOST_TASKS = 32 << 20, 50_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for an exchange of df: the session's number of shuffle partitions, or one for each TASK_BYTES of the tables that its plan reads where that is more. No job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    total = sum(n for n in sizes if n < 1 << 62)  # rows of the driver have no known size
+    return min(MOST_TASKS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)))

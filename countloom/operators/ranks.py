@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pins import pinned
+from .pins import pinned, tasks_for
 
 
 def _spread(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
     """df dealt by range of the order, with the partition each row went to. Range bounds are drawn from a
     sample, and two plans over the same rows may draw them apart, so the rows are pinned with their partition."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or tasks_for(df)
     return pinned(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
 
 

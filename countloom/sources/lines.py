@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranks
 from ..operators.intervals import checked_lengths
-from ..operators.pins import pinned
+from ..operators.pins import pinned, tasks_for
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -79,8 +79,7 @@ def alphabet(chunked: DataFrame) -> DataFrame:
 
 def write_ordered(rows: DataFrame, order: list[Column], value: Column, path: str, compression: str = "gzip") -> None:
     """One line a row, in order over the part files by name; gzip members of such parts may be concatenated."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(value.alias("value")).write.text(path, compression=compression)
+    rows.repartitionByRange(tasks_for(rows), *order).sortWithinPartitions(*order).select(value.alias("value")).write.text(path, compression=compression)
 
 
 def read_ordered(spark: SparkSession, path: str) -> DataFrame:

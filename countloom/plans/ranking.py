@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import counts, metrics, ranks
+from ..operators.pins import pinned
 from .registry import query
 
 LEVELS = "select round(l_extendedprice) as score, count(*) as total, cast(sum(case when l_returnflag = 'R' then 1 else 0 end) as bigint) as positive from lineitem group by 1"
@@ -134,29 +135,33 @@ def e20_outliers(t):
     return t("orders").agg(F.count_if((x < q1 - far) | (x > q3 + far)).alias("iqr_outliers"), F.count_if(score > 3.5).alias("mad_outliers"))
 
 
-@query("""with n as (select distinct c_nationkey from customer), r as (select c_nationkey, row_number() over (order by c_nationkey) as r, count(*) over () as k from n)
-select c_nationkey, case when r <= ceil(0.25 * k) then 'validation' else 'train' end as split from r""")
+@query("""with n as (select l_suppkey, count(*) as rows from lineitem group by 1), r as (select *, row_number() over (order by md5(cast(l_suppkey as varchar) || ':groups'), l_suppkey) as r, count(*) over () as k from n)
+select l_suppkey, rows, case when r <= ceil(0.25 * k) then 'validation' else 'train' end as split from r""")
 def g1_group_holdout(t):
-    n = t("customer").select("c_nationkey").distinct()
-    rows = ranks.row_numbers(n, [F.asc("c_nationkey")], "r").crossJoin(F.broadcast(n.agg(F.count("*").alias("k"))))
-    return rows.select("c_nationkey", F.when(F.col("r") <= F.ceil(F.lit(0.25) * F.col("k")), "validation").otherwise("train").alias("split"))
+    """Whole suppliers with their rows, a quarter of them to validation in a seeded order."""
+    n = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("rows")).withColumn("h", F.md5(F.concat(F.col("l_suppkey").cast("string"), F.lit(":groups")).cast("binary")))
+    n = pinned(n)
+    rows = ranks.row_numbers(n, [F.asc("h"), F.asc("l_suppkey")], "r").crossJoin(F.broadcast(n.agg(F.count("*").alias("k"))))
+    return rows.select("l_suppkey", "rows", F.when(F.col("r") <= F.ceil(F.lit(0.25) * F.col("k")), "validation").otherwise("train").alias("split"))
 
 
-@query("""with r as (select l_orderkey, l_linenumber, l_suppkey, l_returnflag, row_number() over (partition by l_suppkey, l_returnflag order by l_orderkey, l_linenumber)
-  as r, count(*) over (partition by l_suppkey, l_returnflag) as n from lineitem)
+@query("""with h as (select *, md5(cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':strata') as h from lineitem),
+r as (select l_orderkey, l_linenumber, row_number() over (partition by l_suppkey, l_linestatus order by h, l_orderkey, l_linenumber) as r, count(*) over (partition by l_suppkey, l_linestatus) as n from h)
 select l_orderkey, l_linenumber, round(n / least(n, 20), 10) as weight from r where r <= 20""")
 def g4_stratified_sample(t):
-    w = W.partitionBy("l_suppkey", "l_returnflag")
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").withColumn("r", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber"))).where("r <= 20")
-    n = t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
-    return rows.join(n, ["l_suppkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", F.round(F.col("n") / F.least("n", F.lit(20)), 10).alias("weight"))
+    """20 rows of each supplier and status by least seeded hash, with the weights that undo it (sampling is the feature)."""
+    w = W.partitionBy("l_suppkey", "l_linestatus")
+    h = F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", F.lit("strata")).cast("binary"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus").withColumn("r", F.row_number().over(w.orderBy(h, "l_orderkey", "l_linenumber"))).where("r <= 20")
+    n = t("lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.count("*").alias("n"))
+    return rows.join(n, ["l_suppkey", "l_linestatus"]).select("l_orderkey", "l_linenumber", F.round(F.col("n") / F.least("n", F.lit(20)), 10).alias("weight"))
 
 
 @query("""with n as (select distinct c_nationkey from customer), r as (select c_nationkey, row_number() over (order by md5(cast(c_nationkey as varchar) || ':holdout'),
   c_nationkey) as r, count(*) over () as k from n)
 select c_nationkey, case when r <= ceil(0.25 * k) then 'validation' else 'train' end as split from r""")
 def g1_seeded_holdout(t):
-    """Whole groups in a seeded order, the first quarter to validation; g1_group_holdout takes them in key order."""
+    """Whole groups in a seeded order, the first quarter to validation."""
     n = t("customer").select("c_nationkey").distinct().withColumn("h", F.md5(F.concat(F.col("c_nationkey").cast("string"), F.lit(":holdout")).cast("binary")))
     rows = ranks.row_numbers(n, [F.asc("h"), F.asc("c_nationkey")], "r").crossJoin(F.broadcast(n.agg(F.count("*").alias("k"))))
     return rows.select("c_nationkey", F.when(F.col("r") <= F.ceil(F.lit(0.25) * F.col("k")), "validation").otherwise("train").alias("split"))
@@ -167,7 +172,7 @@ r as (select l_orderkey, l_linenumber, row_number() over (partition by l_suppkey
   l_suppkey, l_returnflag) as n from h)
 select l_orderkey, l_linenumber, round(n / least(n, 20), 10) as weight from r where r <= 20""")
 def g4_seeded_sample(t):
-    """20 rows of each supplier and class by least seeded hash, so that each row of a group is as likely; g4_stratified_sample takes them in key order."""
+    """20 rows of each supplier and class by least seeded hash, so that each row of a group is as likely."""
     by = ["l_suppkey", "l_returnflag"]
     h = F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", F.lit("sample")).cast("binary"))
     rows = t("lineitem").select("l_orderkey", "l_linenumber", *by).withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(h, "l_orderkey", "l_linenumber"))).where("r <= 20")

@@ -247,6 +247,8 @@ def check_of(name, rows, t):
         assert {r.feature for r in rows} == {"l_quantity", "l_extendedprice", "l_linestatus"} and sum(r.importance for r in rows) == pytest.approx(1)
     elif name == "h8_pipeline_trace":
         assert len({r.n_rows for r in rows}) == 1 and [r.stage for r in rows] == list(range(len(rows))) and rows[-1].n_columns > rows[0].n_columns
+    elif name == "h5_estimators":
+        assert {r.model for r in rows} == {"logistic", "ridge", "tree", "forest", "boosting"} and all(0.3 < r.auc <= 1 and 0.3 < r.accuracy <= 1 for r in rows)
     elif name == "h13_probe_splits":
         assert {r.split for r in rows} == {"random", "source"} and all(0 <= r.auc <= 1 for r in rows)
     elif name == "e17_group_intervals":

@@ -80,7 +80,10 @@ Condition = tuple[str, str, float]
 
 
 def learn(stats: DataFrame, labels: DataFrame, cuts: int = 32, most_rules: int = 10, most_conditions: int = 3, precision: float = 0.97, least: int = 5) -> list[list[Condition]]:
-    """Rules, each a list of (rate, '>=' or '<', threshold), that mark low quality; in order."""
+    """Rules, each a list of (rate, '>=' or '<', threshold), that mark low quality; in order.
+
+    Bounds: thresholds at `cuts` percentiles of each rate; at most most_rules rules of at most most_conditions conditions; a condition leaves at least
+    `least` bad rows, and a rule is taken if the share `precision` of the held-out rows that it marks is bad."""
     label = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     rows = stats.join(label, "doc_id").withColumns(rates(stats))
     names = [f"r_{k}" for k in RATES]

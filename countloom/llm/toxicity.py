@@ -2,8 +2,8 @@
 
 A sentence scores sigmoid(bias + weights of its words); a document scores the noisy-or of its sentences,
 1 - prod(1 - score). Weights are fitted to the documents' labels by gradient steps on that likelihood,
-over at most MOST_ROWS labelled documents (a documented bound). Words with a weight are all those that
-stand out in toxic documents by more standard errors than the largest of as many chance values would;
+over at most MOST_ROWS labelled documents (a documented bound). Words with a weight are all those that at least LEAST_DOCS of
+them have and that stand out in toxic documents by more standard errors than the largest of as many chance values would;
 where none does, a warning says so. Scoring reads every whole text; sentences that score at least 0.5
 are located.
 

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from countloom.llm import alignment, nbsvm, packing, pii, prefixes, queries, toxicity
+from countloom.llm import alignment, nbsvm, packing, pii, prefixes, queries, rules, toxicity
 
 
 def test_packing_of_long_white_space(spark):
@@ -254,3 +254,63 @@ def test_quality_learns_from_a_bounded_number_of_ngrams(spark):
     assert (part[0] == again[0]).all() and (whole[0] != part[0]).any()
     for model in (whole, part):
         assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in nbsvm.score(docs, model).collect())
+
+
+def plain_list(rows, most_rules=10, most_conditions=3, precision=0.97, least=5):
+    """Sequential covering over rows (good, whether to prune with it, rates) by trying every threshold that a row has."""
+    names, out = list(rows[0][2]), []
+    holds = lambda rule, v: all(v[c] >= t if op == ">=" else v[c] < t for c, op, t in rule)
+    left = list(rows)
+    for _ in range(most_rules):
+        rule = []
+        while len(rule) < most_conditions:
+            grow = [r for r in left if not r[1] and holds(rule, r[2])]
+            p0, q0 = sum(not r[0] for r in grow), sum(r[0] for r in grow)
+            if p0 < least or not q0:
+                break
+            best = (0.0, None)
+            for c in names:
+                for t in sorted({r[2][c] for r in rows}):
+                    for op in (">=", "<"):
+                        part = [r for r in grow if holds([(c, op, t)], r[2])]
+                        p = sum(not r[0] for r in part)
+                        if p >= least and len(part) < len(grow):
+                            gain = p * (np.log2(p / len(part)) - np.log2(p0 / len(grow)))
+                            best = (gain, (c, op, t)) if gain > best[0] + 1e-12 else best
+            if best[1] is None:
+                break
+            rule.append(best[1])
+        if not rule:
+            break
+        worth = []
+        for k in range(1, len(rule) + 1):
+            part = [r for r in left if r[1] and holds(rule[:k], r[2])]
+            bad, good = sum(not r[0] for r in part), sum(r[0] for r in part)
+            worth.append(((bad - good) / max(1, bad + good), bad, k))
+        top = max(w[0] for w in worth)
+        value, hits, size = max((w for w in worth if w[0] >= top - 0.005), key=lambda w: w[1])
+        if hits < max(1, least // 2) or (value + 1) / 2 < precision:
+            break
+        out.append(rule[:size])
+        left = [r for r in left if not holds(rule[:size], r[2])]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decision_list_against_exhaustive_search(spark, seed):
+    rng = random.Random(seed)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim"]
+    stats, labels, rows = [], [], []
+    for i in range(600):
+        symbols, exclaim, upper, dup = rng.choice([0, 0, 10, 30, 50]), rng.choice([0, 0, 20, 40]), rng.choice([0, 50, 100]), rng.choice([0, 0, 3])
+        bad = symbols >= 30 and exclaim >= 20 or upper == 100 and dup == 3 or rng.random() < 0.01
+        stats.append((i, 100, 500, symbols, 10, dup, 0, upper, exclaim))
+        labels.append((i, int(not bad)))
+        rates = {"r_word_length": 5.0, "r_symbol_rate": symbols / 100, "r_dup_line_rate": dup / 10, "r_repeat_rate": 0.0, "r_upper_rate": upper / 500, "r_exclaim_rate": exclaim / 100, "r_words": 100.0}
+        rows.append((int(not bad), zlib.crc32(str(i).encode()) % 3 == 0, rates))
+    frame = spark.createDataFrame(stats, ", ".join(f"{c} long" for c in columns))
+    got = rules.learn(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
+    want = plain_list(rows)
+    assert len(want) >= 2 and [[(c, op, pytest.approx(t)) for c, op, t in r] for r in want] == got
+    kept = {r.doc_id: r.k for r in frame.select("doc_id", rules.verdict(got, frame).alias("k")).collect()}
+    assert all(kept[i] != any(all(v[c] >= t if op == ">=" else v[c] < t for c, op, t in r) for r in want) for i, (_, _, v) in enumerate(rows))

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ranks import row_numbers
-from .common import cut, salted, skewed_join, tasks_for
+from .common import cut, skewed_join, tasks_for
 from .mixing import word_count
 
 #: Turns in a block, and in a part of a long conversation.

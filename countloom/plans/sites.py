@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as sc
 from ..operators import chunks, duplicates, segments, sites
 from ..operators.pins import pinned_path
 from ..sources import indexed

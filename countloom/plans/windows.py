@@ -72,3 +72,17 @@ def d8_window_bins(t):
 def e2_key_totals(t):
     """Positions, distinct joint keys and the largest count of each strand: every position counts once."""
     return e2_all_pair_bins(t).groupBy("strand").agg(F.sum("n").alias("positions"), F.count("*").alias("keys"), F.max("n").alias("largest"))
+
+
+ALLOWED = ((10, 60), (100, 400))
+
+
+@query(f"""with l as (select doc_id, source, c, i - 1 as p, lag(c) over (partition by doc_id order by i) as b from (select doc_id, source, unnest(string_split({UP}, '')) as c, unnest(range(1, length(text) + 1)) as i from documents where length(text) > 0)),
+a as (select * from l where {" or ".join(f"p >= {x} and p < {y}" for x, y in ALLOWED)}),
+k as (select source, 1 as k, c as w from a union all select source, 2, coalesce(b || c, 'N') from a)
+select source, k, cast(case when regexp_matches(w, '^[ACGT]+$') and length(w) = k then list_sum([(strpos('ACGT', substr(w, j, 1)) - 1) * power(4, k - j) for j in range(1, k + 1)]) else power(4, k) end as bigint) as code, count(*) as n from k group by all""")
+def e8_allowed_pairs(t):
+    """Bases and pairs of each source at the positions of two allowed intervals of each text; other letters count as one."""
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ALLOWED))
+    rows = chunks.of_texts(t("documents").withColumn("spans", spans), "text", ["source", "spans"], 1)
+    return chunks.oriented_kmers(rows, (1, 2), ["source"], "spans").where("strand = '+'").drop("strand")

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from countloom import catalog
-from countloom.operators import counts, intervals, models, ranks, resampling, selection
+from countloom.operators import intervals, models, ranks, resampling, selection
 from countloom.sources import lines, tables
 
 DATA = "/root/testdata/sf0.001"

@@ -106,6 +106,27 @@ def token_counts(chunks: DataFrame, merges: list[tuple[str, str]], keys: list[st
     return part.groupBy(*keys, "token").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(chunks: DataFrame, merges: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """keys, first, second, n: how often two tokens stand side by side in a chunk; without merges these are pairs of letters. Equal tokens in a row count for each neighbouring two."""
+    kinds = _arrow(chunks, keys)
+
+    def run(batches):
+        merger = _Merger(merges)
+        size = len(merger.names)
+        for rows in _runs(batches):
+            token, _, _, owner = merger([r[-1] for r in rows])
+            names, number = _distinct([r[:-4] for r in rows])
+            at = np.flatnonzero(owner[:-1] == owner[1:])
+            both, n = np.unique((number[owner[at]] * size + token[at]) * size + token[at + 1], return_counts=True)
+            who, first, second = both // size // size, both // size % size, both % size
+            columns = [pa.array([names[i][c] for i in who.tolist()], f.type) for c, f in enumerate(kinds)]
+            spelt = [pa.array([merger.names[i] for i in side.tolist()], pa.string()) for side in (first, second)]
+            yield pa.RecordBatch.from_arrays([*columns, *spelt, pa.array(n)], [*kinds.names, "first", "second", "n"])
+
+    part = chunks.select(*keys, *NAMES).mapInArrow(run, _schema(chunks, keys, "first string, second string, n long"))
+    return part.groupBy(*keys, "first", "second").agg(F.sum("n").alias("n"))
+
+
 def tokens_at(chunks: DataFrame, sites: DataFrame, contig: str, merges: list[tuple[str, str]], width: int) -> DataFrame:
     """sites (contig, pos from 0, ...) with token, token_start and token_end of the token that holds the position. chunks: by contig, halo 0, of that width. A chunk that is asked for
     is merged once for all its positions, of which it has at most `width` different ones; a hot contig is many chunks."""

@@ -41,3 +41,9 @@ def d14_tokens_at_sites(t):
     asked = t("events").select(F.col("user_id").alias("doc_id")).distinct()
     rows = chunks.of_texts(t("documents").join(asked, "doc_id", "left_semi"), "text", ["doc_id"], 0, WIDTH)
     return merges.tokens_at(rows, event_sites(t), "doc_id", MERGES, WIDTH).select("event_id", "token", "token_start", "token_end")
+
+
+@query(f"""with p as (select token as first, lead(token) over (partition by doc_id, core order by i) as second from {TOKENS}) select first, second, count(*) as n from p where second is not null group by 1, 2""")
+def d13_pair_counts(t):
+    """How often two tokens stand side by side: what a next merge would be chosen by. No merge is learned here."""
+    return merges.pair_counts(chunks.of_texts(t("documents"), "text", [], 0, WIDTH), MERGES, [])

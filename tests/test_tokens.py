@@ -35,15 +35,17 @@ def plain(text, listed):
 def test_tokens_and_their_places(spark, listed, width):
     df = spark.createDataFrame([*TEXTS.items(), ("none", None), ("empty", "")], "contig string, text string")
     pieces = chunks.of_texts(df, "text", ["contig"], 0, width)
-    want, place = Counter(), {}
+    want, pairs, place = Counter(), Counter(), {}
     for c, text in TEXTS.items():
         for core in range(0, len(text), width):
-            at = core
-            for token in plain(text[core : core + width], listed):
+            at, tokens = core, plain(text[core : core + width], listed)
+            pairs.update((c, *p) for p in zip(tokens, tokens[1:], strict=False))
+            for token in tokens:
                 want[c, token] += 1
                 place |= {(c, p): (token, at, at + len(token)) for p in range(at, at + len(token))}
                 at += len(token)
     assert {(r.contig, r.token): r.n for r in merges.token_counts(pieces, listed, ["contig"]).collect()} == want
+    assert {(r.contig, r.first, r.second): r.n for r in merges.pair_counts(pieces, listed, ["contig"]).collect()} == pairs
     sites = [(c, p, i) for i, (c, p) in enumerate(sorted(place)[::3])]
     odd = [("c2", 50, -1), ("c2", -1, -1), ("none", 0, -1), (None, 1, -1), ("c2", None, -1), sites[0]]
     got = merges.tokens_at(pieces, spark.createDataFrame([*sites, *odd], "contig string, pos long, k int"), "contig", listed, width).collect()

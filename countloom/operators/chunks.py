@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import lines
-from .counts import RUN, _arrow, _distinct, _schema, allowed, reverse_codes
+from .counts import _arrow, _distinct, _rows, _schema, allowed, reverse_codes
 
 #: Letters in the core of a chunk.
 WIDTH = 1 << 17
+#: Letters that a task lays side by side: arrays of so many numbers stay near the processor.
+RUN = 1 << 18
+#: Places of a table of counts, up to which codes are counted by place; more are sorted.
+PLACES = 1 << 21
 #: Digit of a character among A, C, G and T in either case; 4 for any other.
 DIGIT = np.full(128, 4, np.int8)
 DIGIT[[ord(c) for c in "ACGT"]] = DIGIT[[ord(c) for c in "acgt"]] = range(4)
@@ -52,6 +56,7 @@ class Side:
         self.at = np.arange(self.edges[-1]) + np.repeat(first - self.edges[:-1], size)
         self.owners, self.starts = [r[:-4] for r in rows], [r[-4] for r in rows]
         self.sums: dict = {}
+        self.found: dict = {}
 
     def words(self, k: int, minus: bool = False) -> np.ndarray:
         """Base-4 codes at the core letters: of the words that end there, or of the reverse complements of those that begin there; 4^k where one holds N or leaves the contig."""
@@ -64,14 +69,20 @@ class Side:
 
     def near(self, what: str, half: int) -> np.ndarray:
         """How often a letter, a pair of letters or any base ("") stands inside the window of `half` letters each way, clipped at the ends."""
-        if what not in self.sums:
-            d = self.digits
-            hit = d < 4 if not what else d == "ACGT".index(what[0])
+        if (what, half) not in self.found:
+            if what not in self.sums:
+                d = self.digits
+                hit = d < 4 if not what else d == "ACGT".index(what[0])
+                if len(what) == 2:
+                    hit = hit[:-1] & (d[1:] == "ACGT".index(what[1]))
+                self.sums[what] = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+            total, wide = self.sums[what], 2 * half + (1 if len(what) < 2 else 0)
+            found = total[wide:] - total[: len(total) - wide]  # of all windows, then of those around core letters
             if len(what) == 2:
-                hit = hit[:-1] & (d[1:] == "ACGT".index(what[1]))
-            self.sums[what] = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
-        total = self.sums[what]
-        return total[self.at + half + (1 if len(what) < 2 else 0)] - total[self.at - half]
+                del self.sums[what]
+                return found[self.at - half]
+            self.found[what, half] = found[self.at - half]
+        return self.found[what, half]
 
     def share_bins(self, half: int, edges) -> np.ndarray:
         """Bins of the share of G and C among bases; one more than there are bins without bases."""
@@ -79,36 +90,59 @@ class Side:
 
     def ratio_bins(self, pair: str, half: int, edges) -> np.ndarray:
         """Bins of pair * bases / (left * right); one more than there are bins where that is undefined."""
-        left, right = (self.near(x, half).astype(np.int64) for x in pair)
-        return _bins(self.near(pair, half).astype(np.int64) * self.near("", half), left * right, edges)
+        left, right, both, n = (self.near(x, half) for x in (*pair, pair, ""))
+        if (2 * half + 1) ** 2 >= 1 << 31:
+            left, both = left.astype(np.int64), both.astype(np.int64)
+        return _bins(both * n, left * right, edges)
 
 
 def _bins(over: np.ndarray, under: np.ndarray, edges) -> np.ndarray:
-    value = np.divide(over, under, out=np.full(len(over), np.nan), where=under > 0)
-    return np.where(under > 0, np.searchsorted(np.asarray(edges), value, side="right"), len(edges) + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = over / under
+    out = np.zeros(len(value), np.int8 if len(edges) < 100 else np.int64)
+    for e in edges:
+        out += value >= e
+    out[under <= 0] = len(edges) + 1
+    return out
 
 
 def sides(batches, halo: int):
     rows, size = [], 0
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows.append(row)
-            size += len(row[-1])
-            if size >= RUN:
-                yield Side(rows, halo)
-                rows, size = [], 0
+    for row in _rows(batches):
+        rows.append(row)
+        size += len(row[-1])
+        if size >= RUN:
+            yield Side(rows, halo)
+            rows, size = [], 0
     if rows:
         yield Side(rows, halo)
 
 
+def _tally(key: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below `places`, rising, and how often each stands."""
+    if places <= PLACES:
+        n = np.bincount(key, minlength=1)
+        found = np.flatnonzero(n)
+        return found, n[found]
+    found, n = np.unique(key.astype(np.int32) if places < 1 << 31 else key, return_counts=True)
+    return found.astype(np.int64), n
+
+
 def _counted(kinds: pa.Schema, owners: list, owner: np.ndarray, codes: dict, more: list[str]):
-    """Partial counts of codes by owner: codes has an array for each value of the further columns (a tuple each)."""
-    for values, code in codes.items():
-        base = int(code.max(initial=0)) + 1
-        both, n = np.unique(owner * base + code, return_counts=True)
-        who, code = both // base, both % base
-        columns = [pa.array([owners[i][c] for i in who.tolist()], f.type) for c, f in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array([v] * len(n)) for v in values), pa.array(code), pa.array(n)], [*kinds.names, *more, "code", "n"])
+    """Partial counts of codes by owner: codes gives (values of the further columns, an array) pair by pair."""
+    who, values, code, n = [], [], [], []
+    for value, part in codes:
+        base = int(part.max(initial=0)) + 1
+        key = owner * base + part if len(owners) > 1 else part
+        found, times = _tally(key, len(owners) * base)
+        who.append(found // base)
+        code.append(found % base)
+        n.append(times)
+        values += [value] * len(found)
+    who = np.concatenate(who)
+    columns = [pa.array([o[c] for o in owners], f.type).take(pa.array(who)) for c, f in enumerate(kinds)]
+    further = [pa.array([v[i] for v in values]) for i in range(len(more))]
+    yield pa.RecordBatch.from_arrays([*columns, *further, pa.array(np.concatenate(code)), pa.array(np.concatenate(n))], [*kinds.names, *more, "code", "n"])
 
 
 def oriented_kmers(chunks: DataFrame, sizes: tuple[int, ...], keys: list[str], spans: str | None = None) -> DataFrame:
@@ -129,7 +163,7 @@ def oriented_kmers(chunks: DataFrame, sizes: tuple[int, ...], keys: list[str], s
             whole = np.zeros(len(s.digits) - most + 1, np.int32)
             for j in range(most):
                 whole = whole * 5 + s.digits[j : j + len(whole)]
-            yield from _counted(kinds, names, owner, {("+",): whole[at - most + 1].astype(np.int64), ("-",): whole[at].astype(np.int64)}, ["strand"])
+            yield from _counted(kinds, names, owner, [(("+",), whole[at - most + 1].astype(np.int64)), (("-",), whole[at].astype(np.int64))], ["strand"])
 
     def read_off(batches):
         for b in batches:
@@ -160,7 +194,7 @@ def joint_counts(chunks: DataFrame, k: int, half: int, keys: list[str]) -> DataF
         for s in sides(batches, max(half, k - 1)):
             names, number = _distinct(s.owners)
             code = (s.words(k) * wide + s.near("G", half) + s.near("C", half)) * wide + s.near("", half)
-            yield from _counted(kinds, names, number[s.chunk], {(): code}, [])
+            yield from _counted(kinds, names, number[s.chunk], [((), code)], [])
 
     part = chunks.select(*keys, *NAMES).mapInArrow(run, _schema(chunks, keys, "code long, n long")).groupBy(*keys, "code").agg(F.sum("n").alias("n"))
     return part.select(*keys, F.expr(f"code div {wide * wide}").alias("code"), F.expr(f"code div {wide} % {wide}").alias("gc"), (F.col("code") % wide).alias("valid"), "n")
@@ -183,12 +217,12 @@ def joint_bins(chunks: DataFrame, k: int, half: int, pairs: tuple[str, ...], sha
     def run(batches):
         for s in sides(batches, max(half, k - 1)):
             names, number = _distinct(s.owners)
-            share, codes = s.share_bins(half, share_edges), {}
+            share, codes = s.share_bins(half, share_edges), []
             for strand in "+-":
                 code = s.words(k, strand == "-") * wide + share
                 for pair in pairs:
                     code = code * ratio + s.ratio_bins(pair if strand == "+" else opposite(pair), half, ratio_edges)
-                codes[strand,] = code
+                codes.append(((strand,), code))
             yield from _counted(kinds, names, number[s.chunk], codes, ["strand"])
 
     part = chunks.select(*keys, *NAMES).mapInArrow(run, _schema(chunks, keys, "strand string, code long, n long")).groupBy(*keys, "strand", "code").agg(F.sum("n").alias("n"))
@@ -205,7 +239,7 @@ def pair_bins(chunks: DataFrame, half: int, pairs: list[str], edges: tuple[float
     def run(batches):
         for s in sides(batches, half):
             names, number = _distinct(s.owners)
-            yield from _counted(kinds, names, number[s.chunk], {(p,): s.ratio_bins(p, half, edges) for p in pairs}, ["pair"])
+            yield from _counted(kinds, names, number[s.chunk], (((p,), s.ratio_bins(p, half, edges)) for p in pairs), ["pair"])
 
     part = chunks.select(*keys, *NAMES).mapInArrow(run, _schema(chunks, keys, "pair string, code long, n long"))
     return part.groupBy(*keys, "pair", F.col("code").alias("bin")).agg(F.sum("n").alias("n"))

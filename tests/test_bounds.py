@@ -71,3 +71,16 @@ def test_counts_by_place_and_by_order_agree(monkeypatch):
     monkeypatch.setattr(chunks, "PLACES", 10)
     for a, b in zip(one, chunks._tally(key, 5000), strict=True):
         assert a.tolist() == b.tolist()
+
+
+def test_joint_keys_are_counted_in_small_runs():
+    """Two million letters: word, share bin and three ratio bins of each position."""
+
+    def run():
+        for s in chunks.sides([chunk_batch(100, 20_000)], 100):
+            code = s.words(6) * 9 + s.share_bins(100, (0.3, 0.5))
+            for p in ("CG", "GG", "TA"):
+                code = code * 8 + s.ratio_bins(p, 100, (0.5, 1.0))
+            chunks._tally(code, 4097 * 9 * 512)
+
+    assert peak_of(run) < 60

@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from countloom.operators import chunks
+from countloom.operators import chunks, counts
 
 
 def moved(spark, f):
@@ -84,3 +85,16 @@ def test_joint_keys_are_counted_in_small_runs():
             chunks._tally(code, 4097 * 9 * 512)
 
     assert peak_of(run) < 60
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_kmer_runs_hold_little(k):
+    """A batch of eight million letters: neither its strings nor the windows of a run take much."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 400), pa.array(["ACGT N" * 3333] * 400)], ["key", "text"])
+
+    def run():
+        for points, lengths, owners in counts._runs([batch], k - 1):
+            at, _ = counts._windows_of(points, lengths, k)
+            counts.rolling_codes(counts.DIGIT[np.minimum(points, 127)], k)[at]
+
+    assert peak_of(run) < 40

@@ -98,3 +98,15 @@ def test_kmer_runs_hold_little(k):
             counts.rolling_codes(counts.DIGIT[np.minimum(points, 127)], k)[at]
 
     assert peak_of(run) < 40
+
+
+def test_letter_counts_hold_little(spark, monkeypatch):
+    """The letters of a batch are read one text at a time."""
+    held = {}
+    df = spark.createDataFrame([(1, "Aa")], "id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: held.setdefault("f", f))
+    counts.letter_counts(df, "text", ["id"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([None, "", *["ACGT N" * 3333] * 398])], ["id", "text"])
+    out = []
+    assert peak_of(lambda: out.extend(held["f"]([batch]))) < 15
+    assert out[0].column("length").to_pylist()[:3] == [None, 0, 19998] and out[0].column("t").to_pylist()[1:3] == [0, 3333]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import NAMES
-from .counts import RUN, _arrow, _distinct, _schema
+from .counts import RUN, _arrow, _distinct, _rows, _schema
 
 LETTERS = "ACGTN"
 
@@ -77,13 +77,12 @@ class _Merger:
 
 def _runs(batches):
     rows, size = [], 0
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows.append(row)
-            size += len(row[-1])
-            if size >= RUN:
-                yield rows
-                rows, size = [], 0
+    for row in _rows(batches):
+        rows.append(row)
+        size += len(row[-1])
+        if size >= RUN:
+            yield rows
+            rows, size = [], 0
     if rows:
         yield rows
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from countloom.operators import chunks, counts
+from countloom.operators import chunks, counts, merges
 
 
 def moved(spark, f):
@@ -110,3 +110,13 @@ def test_letter_counts_hold_little(spark, monkeypatch):
     out = []
     assert peak_of(lambda: out.extend(held["f"]([batch]))) < 15
     assert out[0].column("length").to_pylist()[:3] == [None, 0, 19998] and out[0].column("t").to_pylist()[1:3] == [0, 3333]
+
+
+def test_token_runs_hold_little():
+    """A batch of eight million letters is merged in small runs."""
+
+    def run():
+        for rows in merges._runs([chunk_batch(400, 20_000)]):
+            merges._Merger([("A", "C"), ("G", "T")])([r[-1] for r in rows])
+
+    assert peak_of(run) < 40

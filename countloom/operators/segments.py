@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ranks
 from .chunks import NAMES
-from .counts import RUN, _arrow, _schema
+from .counts import RUN, _arrow, _rows, _schema
 from .pins import pinned
 
 KINDS = ["upper", "lower", "other"]
@@ -22,42 +22,44 @@ def segments(chunked: DataFrame, contig: str) -> DataFrame:
     """contig, start, end, kind of every run of upper-case bases, of lower-case ones, and of other letters, from chunks (keys contig, halo 0) of whole contigs."""
     kinds = _arrow(chunked, [contig])
 
-    def found(rows):
+    def found(rows, edges):
         points = np.frombuffer("".join(r[-1] for r in rows).encode("utf-32-le"), np.uint32)
         kind = KIND[np.minimum(points, 127)]
-        size = np.array([len(r[-1]) for r in rows])
+        size, start = np.array([len(r[-1]) for r in rows]), np.array([r[1] for r in rows], np.int64)
         edge = np.concatenate([[0], np.cumsum(size)])
         new = np.concatenate([[True], kind[1:] != kind[:-1]])
         new[edge[:-1]] = True
         first = np.flatnonzero(new)
         stop = np.append(first[1:], len(kind))
-        owner = np.searchsorted(edge, first, side="right") - 1
-        shift = np.array([r[1] for r in rows], np.int64)[owner] - edge[owner]
-        touches = (first == edge[owner]) | (stop == edge[owner + 1])
+        owner = np.repeat(np.arange(len(rows)), np.add.reduceat(new, edge[:-1], dtype=np.int64))
+        touches = (stop == edge[owner + 1]) | (first == edge[owner]) & (start[owner] > 0)  # the neighbour may go on; before the first letter there is none
+        kept = np.flatnonzero(touches == edges)
+        first, stop, owner = first[kept], stop[kept], owner[kept]
+        shift = (start - edge[:-1])[owner]
         who = pa.array([r[0] for r in rows], kinds.field(0).type).take(pa.array(owner))
-        return pa.RecordBatch.from_arrays([who, pa.array(first + shift), pa.array(stop + shift), pa.array(kind[first].astype(np.int32)), pa.array(touches)], [contig, "start", "end", "code", "touches"])
+        return pa.RecordBatch.from_arrays([who, pa.array(first + shift), pa.array(stop + shift), pa.array(kind[first].astype(np.int32))], [contig, "start", "end", "code"])
 
-    def run(batches):
-        rows, size = [], 0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+    def run(edges):
+        """Runs that touch an edge, or the others, which are final. The texts are read for each: the final ones are many and are not written in between."""
+
+        def each(batches):
+            rows, size = [], 0
+            for row in _rows(batches):
                 rows.append(row)
                 size += len(row[-1])
                 if size >= RUN:
-                    yield found(rows)
+                    yield found(rows, edges)
                     rows, size = [], 0
-        if rows:
-            yield found(rows)
-
-    runs = chunked.select(contig, *NAMES).mapInArrow(run, _schema(chunked, [contig], "start long, end long, code int, touches boolean"))
-    whole = chunked.groupBy(contig).count().where("count > 1").select(contig)  # of a contig of one chunk all runs are final
-    runs = pinned(runs.join(whole.withColumn("_long", F.lit(True)), contig, "left"))
-    inner = runs.where("not touches or _long is null")
-    edges = pinned(runs.where("touches and _long").drop("_long", "touches"))
+            if rows:
+                yield found(rows, edges)
+
+        return chunked.select(contig, *NAMES).mapInArrow(each, _schema(chunked, [contig], "start long, end long, code int"))
+
+    inner, edges = run(False), pinned(run(True))
     before = edges.select(F.col(contig).alias("_c"), F.col("end").alias("_e"), F.col("code").alias("_k"))
     edges = edges.join(before, (F.col(contig) == F.col("_c")) & (F.col("start") == F.col("_e")) & (F.col("code") == F.col("_k")), "left")
     edges = edges.select(contig, "start", "end", "code", F.col("_c").isNull().cast("long").alias("_new"))
     edges = ranks.cumulative(edges, [F.asc("start")], {"_run": F.col("_new")}, [contig])
     joined = edges.groupBy(contig, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("code").alias("code")).drop("_run")
-    out = inner.select(contig, "start", "end", "code").unionByName(joined)
+    out = inner.unionByName(joined)
     return out.select(contig, "start", "end", F.element_at(F.array(*map(F.lit, KINDS)), F.col("code") + 1).alias("kind"))

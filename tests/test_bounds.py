@@ -5,8 +5,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from countloom.operators import chunks, counts, merges
+from countloom.operators import chunks, counts, merges, segments
 
 
 def moved(spark, f):
@@ -120,3 +121,10 @@ def test_token_runs_hold_little():
             merges._Merger([("A", "C"), ("G", "T")])([r[-1] for r in rows])
 
     assert peak_of(run) < 40
+
+
+def test_segments_write_edges_only(spark, tmp_path):
+    """Final runs are neither written nor shuffled, whatever their number, and none is lost."""
+    rows = spark.range(200).select("id", F.expr("repeat('aC .', 2500)").alias("text"))
+    mb, n = moved(spark, lambda: segments.segments(chunks.of_texts(rows, "text", ["id"], 0), "id").agg(F.count("*"), F.sum(F.expr("end - start"))).first())
+    assert tuple(n) == (200 * 3 * 2500, 200 * 10_000) and mb < 1

@@ -98,6 +98,17 @@ def expanded(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
 
 
+def expanded_with(intervals: DataFrame, values: DataFrame, value: str, width: int = 128) -> DataFrame:
+    """contig, pos, value: a row for each position of the intervals, with its value of values (contig, pos, value; a row a position), null where there is none.
+
+    Intervals and values meet by tile; a tile's positions become rows behind the join, so they are never shuffled."""
+    side = intervals.withColumn("_tile", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    side = side.select("contig", "_tile", F.greatest("start", F.col("_tile") * width).alias("_lo"), F.least("end", (F.col("_tile") + 1) * width).alias("_hi"))
+    held = values.groupBy("contig", F.floor(F.col("pos") / width).alias("_tile")).agg(F.map_from_entries(F.collect_list(F.struct("pos", value))).alias("_held"))
+    rows = side.join(held, ["contig", "_tile"], "left").withColumn("pos", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
+    return rows.select("contig", "pos", F.try_element_at("_held", F.col("pos")).alias(value))
+
+
 def pooled(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Two sparse replicates (keys, count) by full outer join: r1, r2, count, target."""
     rows = first.withColumnRenamed("count", "r1").join(second.withColumnRenamed("count", "r2"), keys, "full_outer")

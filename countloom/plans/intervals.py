@@ -142,5 +142,5 @@ def c9_anti_membership(t):
 select contig, count(*) as positions, cast(sum(coalesce(c, 0)) as bigint) as counts, count(c) as positive from x left join n using (contig, pos) group by contig""")
 def c13_expansion(t):
     hits = order_days(t).groupBy("contig", "pos").agg(F.count("*").alias("c"))
-    rows = iv.expanded(customer_spans(t)).join(hits, ["contig", "pos"], "left")
+    rows = iv.expanded_with(customer_spans(t), hits, "c")
     return rows.groupBy("contig").agg(F.count("*").alias("positions"), F.sum(F.coalesce("c", F.lit(0))).alias("counts"), F.count("c").alias("positive"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.operators import chunks, counts, merges, segments
+from countloom.operators import chunks, counts, intervals, merges, segments
 
 
 def moved(spark, f):
@@ -128,3 +128,16 @@ def test_segments_write_edges_only(spark, tmp_path):
     rows = spark.range(200).select("id", F.expr("repeat('aC .', 2500)").alias("text"))
     mb, n = moved(spark, lambda: segments.segments(chunks.of_texts(rows, "text", ["id"], 0), "id").agg(F.count("*"), F.sum(F.expr("end - start"))).first())
     assert tuple(n) == (200 * 3 * 2500, 200 * 10_000) and mb < 1
+
+
+def test_positions_are_never_shuffled(spark):
+    """Spans of half a million positions: what moves goes with tiles and values."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spans = spark.range(100).select(F.col("id").alias("contig"), F.lit(3).cast("long").alias("start"), F.lit(5003).cast("long").alias("end"))
+        values = spark.range(100).select(F.col("id").alias("contig"), F.explode(F.expr("array(3L, 127L, 128L, 5002L, 6000L)")).alias("pos"), F.lit(2).alias("c"))
+        mb, n = moved(spark, lambda: intervals.expanded_with(spans, values, "c").agg(F.count("*"), F.sum("pos"), F.sum("c"), F.sum(F.expr("case when c = 2 then pos end"))).first())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tuple(n) == (500_000, 100 * sum(range(3, 5003)), 800, 100 * (3 + 127 + 128 + 5002)) and mb < 0.5

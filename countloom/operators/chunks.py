@@ -141,7 +141,7 @@ def _counted(kinds: pa.Schema, owners: list, owner: np.ndarray, codes: dict, mor
         values += [value] * len(found)
     who = np.concatenate(who)
     columns = [pa.array([o[c] for o in owners], f.type).take(pa.array(who)) for c, f in enumerate(kinds)]
-    further = [pa.array([v[i] for v in values]) for i in range(len(more))]
+    further = [pa.array([v[i] for v in values], pa.string()) for i in range(len(more))]
     yield pa.RecordBatch.from_arrays([*columns, *further, pa.array(np.concatenate(code)), pa.array(np.concatenate(n))], [*kinds.names, *more, "code", "n"])
 
 

@@ -75,6 +75,12 @@ def test_counts_by_place_and_by_order_agree(monkeypatch):
         assert a.tolist() == b.tolist()
 
 
+def test_a_run_without_counts_keeps_its_types():
+    none = np.empty(0, np.int64)
+    (batch,) = chunks._counted(pa.schema([]), [()], none, [(("+",), none)], ["strand"])
+    assert batch.num_rows == 0 and batch.schema.field("strand").type == pa.string()
+
+
 def test_joint_keys_are_counted_in_small_runs():
     """Two million letters: word, share bin and three ratio bins of each position."""
 

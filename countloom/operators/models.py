@@ -13,11 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_gamma
 from . import metrics, ranks
-from .pins import pinned
+from .pins import pinned, tasks_for
 
 SCALERS = {"standard": StandardScaler, "robust": RobustScaler, "minmax": MinMaxScaler}
 CENTRED = {"standard": {"withMean": True}, "robust": {"withCentering": True}, "minmax": {}}
@@ -49,6 +50,13 @@ def compacted(df: DataFrame, levels: list[str], y: str) -> DataFrame:
     return df.groupBy(*levels, F.col(y).cast("double").alias("label")).agg(F.count("*").cast("double").alias("weight"))
 
 
+def fit_counted(head: Pipeline, last: Estimator, df: DataFrame) -> PipelineModel:
+    """head fitted on the rows of df, then `last`, a model that takes weights and draws no rows, on the distinct rows with their numbers as weights: the fit of all rows, but each of its steps reads the distinct ones."""
+    first = head.fit(df)
+    rows = pinned(first.transform(compacted(df, [c for c in df.columns if c != "label"], "label")).select("features", "label", "weight"))
+    return PipelineModel(stages=[first, last.copy().setWeightCol("weight").fit(rows)])
+
+
 def fit_levels(df: DataFrame, levels: list[str], y: str, c: float = 1.0, max_iter: int = 100) -> tuple[PipelineModel, DataFrame]:
     """Weighted L2 logistic regression on one-hot levels, and its coefficients (feature, coefficient, odds_ratio).
 
@@ -118,10 +126,11 @@ def probability(df: DataFrame) -> DataFrame:
     return df.withColumn("score", vector_to_array("probability")[1] if "probability" in df.columns else F.col("prediction"))
 
 
-def auc_of(scored: DataFrame) -> float | None:
-    """Exact AUC of (score, label)."""
-    rows = scored.select(F.round("score", 12).alias("score"), F.col("label").cast("long").alias("label"))
-    return metrics.auc(metrics.score_levels(rows, "score", "label")).first().auc
+def auc_of(scored: DataFrame, count: str | None = None) -> float | None:
+    """Exact AUC of (score, label). count: how often a row counts."""
+    n = F.col(count) if count else F.lit(1).cast("long")
+    levels = scored.groupBy(F.round("score", 12).alias("score")).agg(F.sum(n).alias("total"), F.sum(n * F.col("label").cast("long")).alias("positive"))
+    return metrics.auc(levels).first().auc
 
 
 def metrics_of(scored: DataFrame) -> tuple[float | None, float, float, float]:
@@ -201,12 +210,47 @@ def shuffled_column(df: DataFrame, column: str, key: str, seed: int) -> DataFram
     return rows.join(values, "_r").withColumn(column, F.col("_v")).select(*df.columns)
 
 
+def _seeded_positions(ids: DataFrame, seed: int, name: str) -> DataFrame:
+    """_r (from 0) and the _id as `name`: rows of (_k, _id) in the order of a seeded hash of _k. Hashes are spread evenly, so buckets of them are fixed beforehand: rows move once and nothing is written."""
+    n = tasks_for(ids)
+    h = F.xxhash64("_k", F.lit(seed))
+    rows = ids.select(h.alias("_h"), "_id", F.least(F.floor((h.cast("double") / 2.0**64 + 0.5) * n), F.lit(n - 1)).cast("int").alias("_b"))
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n")).select(F.col("_b").alias("_b2"), (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"))  # a row a bucket
+    place = F.row_number().over(W.partitionBy("_b").orderBy("_h", "_id")) - 1
+    return rows.repartition(n, "_b").withColumn("_at", place).join(F.broadcast(sizes), F.col("_b") == F.col("_b2")).select((F.col("_at") + F.col("_before")).alias("_r"), F.col("_id").alias(name))
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], key: str, repeats: int = 2, seed: int = 42) -> DataFrame:
-    """(feature, repeat, drop): how much the AUC falls when a column is permuted."""
+    """(feature, repeat, drop): how much the AUC falls when a column is permuted as by shuffled_column(). key tells rows apart and is no input of the model.
+
+    The columns of a repeat share one permutation. What moves for it is a number for each row, that of its distinct values; a distinct row with another's value is scored once and counted."""
+    names = [c for c in df.columns if c != key]
     df = pinned(df)
-    whole = auc_of(probability(model.transform(df)))
-    out = [(c, r, whole - auc_of(probability(model.transform(shuffled_column(df, c, key, seed + 2 * r))))) for c in columns for r in range(repeats)]
-    return df.sparkSession.createDataFrame(out, "feature string, repeat long, drop double")
+    kinds = pinned(ranks.row_numbers(df.groupBy(*names).agg(F.count("*").alias("_n")), [F.asc_nulls_first(c) for c in names], "_id"))
+    sent = F.broadcast if kinds.count() <= ranks.MOST_SENT else (lambda x: x)
+    same = lambda a, b, by: [a[c].eqNullSafe(b[f"_by_{c}"]) for c in by]
+    one = lambda by: kinds.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.min("_id").alias("_one"))
+    owners = kinds
+    for i, c in enumerate(columns):  # one row stands for all that are alike without the column, and one for all that have its value
+        for what, by in (("rest", [x for x in names if x != c]), ("value", [c])):
+            alike = one(by)
+            owners = owners.join(sent(alike), same(owners, alike, by)).select(*owners.columns, F.col("_one").alias(f"_{what}_{i}"))
+    owners = pinned(owners)
+    asked = kinds.select("_id", *(F.col(c).alias(f"_by_{c}") for c in names))
+    ids = pinned(df.join(sent(asked), same(df, asked, names)).select(F.col(key).alias("_k"), "_id"))
+    area = lambda rows: auc_of(probability(model.transform(rows)), "_n")
+    whole, out = area(kinds.drop("_id")), {}
+    for r in range(repeats):
+        pairs = _seeded_positions(ids, seed + 2 * r + 1, "_id").join(_seeded_positions(ids, seed + 2 * r, "_from"), "_r").drop("_r")
+        rest = owners.select("_id", *(f"_rest_{i}" for i in range(len(columns))))
+        value = owners.select(F.col("_id").alias("_from"), *(f"_value_{i}" for i in range(len(columns))))
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_rest_{i}").alias("rest"), F.col(f"_value_{i}").alias("value")) for i in range(len(columns)))))
+        found = pinned(pairs.join(sent(rest), "_id").join(sent(value), "_from").select(each.alias("x")).groupBy("x.i", "x.rest", "x.value").agg(F.count("*").alias("_n")))
+        for i, c in enumerate(columns):
+            at = found.where(F.col("i") == i).join(sent(kinds.select(F.col("_id").alias("rest"), *(x for x in names if x != c))), "rest")
+            at = at.join(sent(kinds.select(F.col("_id").alias("value"), c)), "value").select(*names, "_n")
+            out[c, r] = whole - area(at)
+    return df.sparkSession.createDataFrame([(c, r, out[c, r]) for c in columns for r in range(repeats)], "feature string, repeat long, drop double")
 
 
 def pipeline_trace(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from countloom.operators import chunks, counts, intervals, merges, segments
+from countloom.operators import chunks, counts, intervals, merges, models, segments
 
 
 def moved(spark, f):
@@ -147,3 +148,17 @@ def test_positions_are_never_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert tuple(n) == (500_000, 100 * sum(range(3, 5003)), 800, 100 * (3 + 127 + 128 + 5002)) and mb < 0.5
+
+
+def test_permutations_move_numbers_of_rows(spark):
+    """Two columns, twice: what moves is a number for each row and repeat, and the drops are those of shuffled_column()."""
+    x, c = F.col("id") % 10, F.when(F.col("id") % 7 > 0, (F.col("id") % 3).cast("string"))
+    df = models.with_flags(spark.range(60_000).select("id", x.alias("x"), c.alias("c"), ((F.col("id") * 7919 % 10 + x) > 9).cast("double").alias("label")), ["x"])
+    model = models.fit_counted(models.native_categories(["c"], ["x"]), models.estimator("tree"), df.drop("id"))
+    plain = Pipeline(stages=[models.native_categories(["c"], ["x"]), models.estimator("tree")]).fit(df)
+    assert model.stages[-1].toDebugString.split("\n")[1:] == plain.stages[-1].toDebugString.split("\n")[1:]
+    mb, got = moved(spark, lambda: {(r.feature, r.repeat): r.drop for r in models.permutation_importance(plain, df, ["x", "c"], "id").collect()})
+    area = lambda d: models.auc_of(models.probability(plain.transform(d)))
+    whole = area(df)
+    assert all(got[k, r] == whole - area(models.shuffled_column(df, k, "id", 42 + 2 * r)) for k, r in (("x", 1), ("c", 0)))
+    assert mb < 10

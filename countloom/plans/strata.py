@@ -27,7 +27,7 @@ def c11_match_quality(t):
     p = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 997 + 0.5) / 998.0
     rows = t("lineitem").where("l_returnflag in ('R', 'N')").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_returnflag").alias("cohort"), p.alias("p"))
     sizes = rows.agg(F.count_if(F.col("cohort") == "R").alias("n_first"), F.count_if(F.col("cohort") == "N").alias("n_second"))
-    out = matching.pair_quality(matching.logit_pairs(rows, "key", "cohort", "p", "R", "N", WIDTHS), sizes)
+    out = matching.pair_quality(matching.logit_pair_counts(rows, "key", "cohort", "p", "R", "N", WIDTHS), sizes)
     return out.select("width", "bins", "pairs", *(F.round(c, 8 if c.startswith("standard") else 10).alias(c) for c in out.columns[3:]))
 
 

@@ -1,5 +1,8 @@
 """Work and memory of steps that once grew too fast."""
 
+import collections
+import hashlib
+import math
 import tracemalloc
 
 import numpy as np
@@ -8,7 +11,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from countloom.operators import chunks, counts, intervals, merges, models, segments
+from countloom.operators import chunks, counts, intervals, matching, merges, models, segments
 
 
 def moved(spark, f):
@@ -162,3 +165,29 @@ def test_permutations_move_numbers_of_rows(spark):
     whole = area(df)
     assert all(got[k, r] == whole - area(models.shuffled_column(df, k, "id", 42 + 2 * r)) for k, r in (("x", 1), ("c", 0)))
     assert mb < 10
+
+
+def test_matched_pairs_are_counted_by_score(spark, monkeypatch):
+    """The counts are those of the pairs, the draw is that of a plain sort, and what moves goes with scores and not with rows."""
+    monkeypatch.setattr(matching, "DIGITS", 1)
+    score = lambda n: ((F.col("id") * 7919 % n) + 0.5) / n
+    rows = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"), score(37).alias("p"))
+    names = ("width", "bin", "pair", "first_key", "second_key", "p1", "p2")
+    pairs = [tuple(r) for r in matching.logit_pairs(rows, "id", "c", "p", "a", "b", [0.5, 2.0]).select(*names).collect()]
+    counted = matching.logit_pair_counts(rows, "id", "c", "p", "a", "b", [0.5, 2.0]).groupBy("width", "bin", "p1", "p2").agg(F.sum("n")).collect()
+    assert {tuple(r[:4]): r[4] for r in counted} == collections.Counter((w, b, p1, p2) for w, b, _, _, _, p1, p2 in pairs)
+    held: dict = {}
+    for i, c, p in rows.collect():
+        for w in (0.5, 2.0):
+            held.setdefault((w, math.floor(math.log(p / (1 - p)) / w)), {}).setdefault(c, []).append((hashlib.md5(str(i).encode()).hexdigest(), i, p))
+    want = set()
+    for (w, b), of in held.items():
+        n = min(len(of.get("a", [])), len(of.get("b", [])))
+        a, z = (sorted((p, i) for _, i, p in sorted(of.get(c, []))[:n]) for c in "ab")
+        want |= {(w, b, k + 1, x[1], y[1], x[0], y[0]) for k, (x, y) in enumerate(zip(a, z, strict=True))}
+    assert set(pairs) == want and len(pairs) == len(want) > 1000
+    many = spark.range(200_000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"), score(37).alias("p"))
+    monkeypatch.undo()
+    sizes = spark.range(1).select(F.lit(1).alias("n_first"), F.lit(1).alias("n_second"))
+    mb, _ = moved(spark, lambda: matching.pair_quality(matching.logit_pair_counts(many, "id", "c", "p", "a", "b", [0.5]), sizes).collect())
+    assert mb < 2

@@ -12,7 +12,7 @@ from pyspark.ml.feature import HashingTF, Imputer, MinMaxScaler, NGram, OneHotEn
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -133,22 +133,54 @@ def auc_of(scored: DataFrame, count: str | None = None) -> float | None:
     return metrics.auc(levels).first().auc
 
 
-def metrics_of(scored: DataFrame) -> tuple[float | None, float, float, float]:
-    """Exact AUC and average precision, log-loss and accuracy at 0.5 of (score, label); scores are clipped for the loss."""
-    rows = pinned(scored.select(F.round("score", 12).alias("score"), F.col("label").cast("long").alias("label")))
-    levels = pinned(metrics.score_levels(rows, "score", "label"))
+def metrics_of(scored: DataFrame, count: str | None = None) -> tuple[float | None, float, float, float]:
+    """Exact AUC and average precision, log-loss and accuracy at 0.5 of (score, label); scores are clipped for the loss. count: how often a row counts. One order of the distinct scores serves all four."""
+    n = F.col(count).cast("long") if count else F.lit(1).cast("long")
+    levels = pinned(scored.groupBy(F.round("score", 12).alias("score")).agg(F.sum(n).alias("total"), F.coalesce(F.sum(n * F.col("label").cast("long")), F.lit(0)).alias("positive")))
+    c = ranks.cumulative(levels, [F.desc("score")], {"ct": F.col("total"), "cp": F.col("positive")}).withColumn("negative", F.col("total") - F.col("positive"))
+    c = c.crossJoin(F.broadcast(levels.agg(F.sum(F.col("total") - F.col("positive")).alias("all_negative"))))
+    lower = F.col("all_negative") - (F.col("ct") - F.col("cp")) + F.col("negative") / 2
     p = F.least(F.greatest("score", F.lit(1e-15)), F.lit(1 - 1e-15))
-    loss = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))
-    plain = rows.agg(F.avg(loss).alias("loss"), F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy")).first()
-    return metrics.auc(levels).first().auc, metrics.average_precision(levels).first().ap, plain.loss, plain.accuracy
+    loss = -(F.col("positive") * F.ln(p) + F.col("negative") * F.ln(1 - p))
+    right = F.when(F.col("score") >= 0.5, F.col("positive")).otherwise(F.col("negative"))
+    found = c.agg(
+        (F.sum(F.col("positive") * lower) / F.nullif(F.sum("positive") * F.sum("negative"), F.lit(0))).alias("auc"),
+        F.coalesce(F.sum(F.col("positive") * F.col("cp") / F.col("ct")) / F.nullif(F.sum("positive"), F.lit(0)), F.lit(0.0)).alias("ap"), (F.sum(loss) / F.sum("total")).alias("loss"), (F.sum(right) / F.sum("total")).alias("accuracy"),
+    ).first()
+    return found.auc, found.ap, found.loss, found.accuracy
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """The distinct rows of df, written, with their numbers as weight."""
+    return pinned(df.groupBy(*df.columns).agg(F.count("*").cast("double").alias("weight")))
+
+
+def held_out(df: DataFrame, counts: DataFrame, held: Column, pipelines: dict[str, Pipeline]) -> list[tuple]:
+    """(candidate, auc, average_precision, log_loss, accuracy) of each pipeline, fitted on the rows that are not held and scored on the others. counts: counted(df).
+
+    Preprocessing is learned from the rows, once for all pipelines that have the same stages for it. Last stages see counted rows with weights, unless they take none or draw rows (forests)."""
+    made, out = {}, []
+    for name, p in pipelines.items():
+        *head, last = p.getStages()
+        key = tuple(map(id, head))
+        if key not in made:
+            first = Pipeline(stages=head).fit(df.where(~held))
+            made[key] = first, pinned(first.transform(counts.withColumn("_held", held)).select("_held", "features", "label", "weight"))
+        first, rows = made[key]
+        if last.hasParam("weightCol") and not isinstance(last, RandomForestClassifier):
+            model = last.copy().setWeightCol("weight").fit(rows.where("not _held"))
+        else:
+            model = last.fit(first.transform(df.where(~held)))
+        out.append((name, *metrics_of(probability(model.transform(rows.where("_held"))), "weight")))
+    return out
 
 
 def cross_validated(df: DataFrame, fold: str, pipelines: dict[str, Pipeline]) -> DataFrame:
-    """(candidate, fold, auc, average_precision, log_loss, accuracy): each pipeline fitted without a fold and scored on it. df has label; folds and candidates are few."""
+    """(candidate, fold, auc, average_precision, log_loss, accuracy): each pipeline fitted without a fold and scored on it. df has label and what the pipelines read; folds and candidates are few."""
     df, out = pinned(df), []
-    for (k,) in df.select(fold).distinct().orderBy(fold).collect():
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        out += [(name, int(k), *metrics_of(probability(p.fit(train).transform(test)))) for name, p in pipelines.items()]
+    counts = counted(df)
+    for (k,) in counts.select(fold).distinct().orderBy(fold).collect():
+        out += [(name, int(k), *found) for name, *found in held_out(df, counts, F.col(fold) == k, pipelines)]
     return df.sparkSession.createDataFrame(out, "candidate string, fold long, auc double, average_precision double, log_loss double, accuracy double")
 
 

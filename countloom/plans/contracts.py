@@ -57,11 +57,11 @@ def f1_precision_recall(t):
 @query()
 def h5_estimators(t):
     """AUC, average precision, loss and accuracy on even orders of each estimator fitted on odd ones: trees on native levels, linear models on one-hot ones."""
-    rows = pinned(category_lines(t))
-    train, test, out = rows.where("l_orderkey % 2 = 1"), rows.where("l_orderkey % 2 = 0"), []
+    rows = pinned(category_lines(t).withColumn("half", F.col("l_orderkey") % 2).drop("l_orderkey"))
     native, hot = models.native_categories(CATEGORIES, ["l_quantity"], 20), models.preprocessor(["l_quantity"], CATEGORIES)
+    pipelines = {}
     for name, head in (("logistic", hot), ("ridge", hot), ("tree", native), ("forest", native), ("boosting", native)):
         last = models.estimator(name)
-        last = last.setMaxBins(64) if last.hasParam("maxBins") else last
-        out.append((name, *models.metrics_of(models.probability(Pipeline(stages=[head, last]).fit(train).transform(test)))))
+        pipelines[name] = Pipeline(stages=[head, last.setMaxBins(64) if last.hasParam("maxBins") else last])
+    out = models.held_out(rows, models.counted(rows), F.col("half") == 0, pipelines)
     return t.spark.createDataFrame(out, "model string, auc double, average_precision double, log_loss double, accuracy double")

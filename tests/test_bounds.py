@@ -191,3 +191,30 @@ def test_matched_pairs_are_counted_by_score(spark, monkeypatch):
     sizes = spark.range(1).select(F.lit(1).alias("n_first"), F.lit(1).alias("n_second"))
     mb, _ = moved(spark, lambda: matching.pair_quality(matching.logit_pair_counts(many, "id", "c", "p", "a", "b", [0.5]), sizes).collect())
     assert mb < 2
+
+
+def test_held_out_scores_are_those_of_whole_rows(spark):
+    """Preprocessing is fitted once for all pipelines that share it, last stages on counted rows, forests on all; the metrics are those of plain fits."""
+    x = F.col("id") % 10
+    df = spark.range(4_000).select(x.cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("c"), ((F.col("id") * 7919 % 10 + x) > 9).cast("double").alias("label"), (F.col("id") % 4).alias("fold"))
+    df = models.with_flags(df, ["x"])
+    head, fits = models.preprocessor(["x"], ["c"]), []
+    counts = models.counted(df)
+    assert counts.count() < 200
+    pipelines = {n: Pipeline(stages=[head, models.estimator(n)]) for n in ("logistic", "ridge", "tree", "forest")}
+    fit, Pipeline.fit = Pipeline.fit, lambda self, rows, *a: fits.append(self) or fit(self, rows, *a)
+    try:
+        got = models.held_out(df, counts, F.col("fold") == 0, pipelines)
+    finally:
+        Pipeline.fit = fit
+    assert len([p for p in fits if p.getStages() == [head]]) == 1
+    for name, *found in got:
+        plain = models.probability(pipelines[name].fit(df.where("fold <> 0")).transform(df.where("fold = 0")))
+        rows = [(r.score, r.label) for r in plain.select(F.round("score", 12).alias("score"), "label").collect()]
+        good, bad = ([s for s, y in rows if y == k] for k in (1, 0))
+        auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad)
+        loss = -sum(math.log(min(max(s if y else 1 - s, 1e-15), 1)) for s, y in rows) / len(rows)
+        right = sum((s >= 0.5) == (y == 1) for s, y in rows) / len(rows)
+        assert (found[0], found[3]) == (pytest.approx(auc, abs=1e-9), pytest.approx(right))
+        assert name == "ridge" or found[2] == pytest.approx(loss, abs=1e-5)
+        assert found[1] == pytest.approx(models.metrics_of(plain)[1], abs=1e-9)

@@ -371,20 +371,23 @@ def lightest_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
 def best_strength(table: DataFrame, low: float = 1e-3, high: float = 1e9, tolerance: float = 1e-6, points: int = 33, prior: str | None = None) -> tuple[float, float]:
     """(strength, log_likelihood): the strength between low and high at which the beta-binomial likelihood of (total, positive) rows is largest, to a relative tolerance of its logarithm.
 
-    prior: a column with the mean that a row is drawn to, else the prevalence. Equal rows are counted once and written; each step evaluates `points` strengths in one aggregate and keeps
-    the two intervals around the best, so the bracket shrinks by (points - 1) / 2 a job."""
+    prior: a column with the mean that a row is drawn to, else the prevalence. The likelihood is a sum of parts, each of one number (positive, negative or total) and the mean: equal ones are counted
+    once and written. Each step evaluates `points` strengths in one aggregate, over as many tasks as the session has, and keeps the two intervals around the best, so the bracket shrinks by
+    (points - 1) / 2 a job."""
     rows = table.where("total > 0")
     g = rows.agg((F.sum("positive") / F.sum("total")).alias("p"))
     q = F.least(F.greatest(F.col(prior) if prior else F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    rows = pinned(rows.crossJoin(F.broadcast(g)).select("total", "positive", q.alias("q")).groupBy("total", "positive", "q").agg(F.count("*").alias("n")))
-    beta = lambda x, y: log_gamma(x) + log_gamma(y) - log_gamma(x + y)
+    rows = rows.crossJoin(F.broadcast(g)).select("total", "positive", q.alias("q")).groupBy("total", "positive", "q").agg(F.count("*").alias("n"))
+    part = lambda value, share, sign: F.struct(F.col(value).cast("long").alias("value"), share.alias("share"), F.lit(sign).alias("sign"))
+    parts = F.array(part("positive", F.col("q"), 1), part("negative", 1 - F.col("q"), 1), part("total", F.lit(1.0), -1))
+    rows = rows.withColumn("negative", F.col("total") - F.col("positive")).select(F.explode(parts).alias("x"), "n")
+    rows = pinned(rows.groupBy("x.value", "x.share", "x.sign").agg(F.sum("n").alias("n")).where("value > 0"))
     a, b = math.log(low), math.log(high)
     while True:
         grid = [a + (b - a) * i / (points - 1) for i in range(points)]
-        s = F.col("_s")
-        x, y = s * F.col("q"), s * (1 - F.col("q"))
-        each = rows.withColumn("_s", F.explode(F.array(*[F.lit(math.exp(v)) for v in grid])))
-        found = each.groupBy("_s").agg(F.sum(F.col("n") * (beta(F.col("positive") + x, F.col("total") - F.col("positive") + y) - beta(x, y))).alias("l"))
+        x = F.col("_s") * F.col("share")
+        each = rows.repartition(tasks_for(rows)).withColumn("_s", F.explode(F.array(*[F.lit(math.exp(v)) for v in grid])))
+        found = each.groupBy("_s").agg(F.sum(F.col("n") * F.col("sign") * (log_gamma(F.col("value") + x) - log_gamma(x))).alias("l"))
         best = max(found.collect(), key=lambda r: (r.l, -r._s), default=None)
         if best is None:
             raise ValueError("no rows with a total")

@@ -218,3 +218,12 @@ def test_held_out_scores_are_those_of_whole_rows(spark):
         assert (found[0], found[3]) == (pytest.approx(auc, abs=1e-9), pytest.approx(right))
         assert name == "ridge" or found[2] == pytest.approx(loss, abs=1e-5)
         assert found[1] == pytest.approx(models.metrics_of(plain)[1], abs=1e-9)
+
+
+def test_strength_search_counts_single_numbers(spark, monkeypatch):
+    """What each step of the search reads are distinct positives, negatives and totals, not their pairs."""
+    held, pin = [], models.pinned
+    monkeypatch.setattr(models, "pinned", lambda df: held.append(pin(df)) or held[-1])
+    rows = spark.range(1550).select((50 + F.col("id") % 50).alias("total"), (F.col("id") % 31).alias("positive"))
+    models.best_strength(rows, tolerance=0.1)
+    assert held[0].count() < 200 and held[0].where("sign = -1").agg(F.sum("n")).first()[0] == 1550

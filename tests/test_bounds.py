@@ -227,3 +227,12 @@ def test_strength_search_counts_single_numbers(spark, monkeypatch):
     rows = spark.range(1550).select((50 + F.col("id") % 50).alias("total"), (F.col("id") % 31).alias("positive"))
     models.best_strength(rows, tolerance=0.1)
     assert held[0].count() < 200 and held[0].where("sign = -1").agg(F.sum("n")).first()[0] == 1550
+
+
+def test_probe_reads_texts_once(spark, monkeypatch):
+    from countloom.plans import learning
+
+    held, pin = [], learning.pinned
+    monkeypatch.setattr(learning, "pinned", lambda df: held.append(pin(df)) or held[-1])
+    got = learning.h13_probe_splits(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")).collect()
+    assert len(got) == 2 and len(held) == 1 and held[0].columns == ["doc_id", "source", "label", "features"]

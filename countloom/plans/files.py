@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed_hash
 from ..operators import intervals
 from ..operators.pins import pinned_path
-from ..sources import lines, tables
+from ..sources import indexed, lines, tables
 from .registry import query
 
 WIDTH, HALO, LINE = 1000, 50, 60
@@ -19,10 +21,9 @@ select contig, k as chunk_id, k * {WIDTH} as core_start, least((k + 1) * {WIDTH}
 md5(substr(s, greatest(k * {WIDTH} - {HALO}, 0) + 1, least((k + 1) * {WIDTH} + {HALO}, n) - greatest(k * {WIDTH} - {HALO}, 0))) as bases_md5 from c""")
 def a1_sequence_chunks(t):
     """The texts' letters as headed records of 60-letter lines, written and read back as chunks with halos."""
-    s = t("documents").select(F.col("doc_id").cast("string").alias("contig"), F.regexp_replace("text", "[^A-Za-z]", "").alias("s")).where("length(s) > 0")
-    path = pinned_path(s.sparkSession, "records")
-    s.select(F.concat(F.lit(">"), "contig", F.lit("\n"), F.regexp_replace("s", f"(.{{{LINE}}})", "$1\n"))).write.text(path)
-    found = lines.chunks(lines.records(s.sparkSession, path), WIDTH, HALO)
+    path = pinned_path(t.spark, "records")
+    indexed.write_sequences(t("documents").where(F.col("text").rlike("[A-Za-z]")), "doc_id", "text", path, LINE, indexed.letters_as(string.ascii_letters))
+    found = lines.chunks(lines.records(t.spark, path), WIDTH, HALO)
     return found.select("contig", "chunk_id", "core_start", "core_end", "pad_left", F.md5(F.col("bases").cast("binary")).alias("bases_md5"))
 
 

@@ -5,44 +5,94 @@ ranges that lie near each other and reads those bytes only, so what is read goes
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranks
 from ..operators.intervals import checked_lengths
 from ..operators.pins import pinned
 from ..operators.sites import oriented
-from .lines import numbered
+from .lines import PART, PART_NAMES, carried, in_blocks, parts_of
 
 #: Bytes between two ranges that are read with them, and of one read.
 GAP, MOST_READ = 1 << 12, 1 << 24
 
 
-def write_sequences(df: DataFrame, name: str, bases: str, path: str, line: int = 60) -> None:
-    """Records of df as text files: '>name', then lines of `line` letters; letters must be ASCII without line breaks."""
-    body = F.regexp_replace(F.col(bases), f"(.{{{line}}})(?=.)", "$1\n")
-    df.select(F.concat(F.lit(">"), F.col(name).cast("string"), F.lit("\n"), body).alias("value")).write.text(path)
+#: Records that a task writes out at once.
+ROWS = 64
+
+
+def _written(line: int, letters: np.ndarray | None):
+    def one(name: str, text: str) -> bytes:
+        if letters is None:
+            data = np.frombuffer(text.encode("ascii"), np.uint8)
+        else:
+            data = letters[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 127)]
+            data = data[data > 0]
+        whole = len(data) // line * line
+        rows = np.full((whole // line, line + 1), 10, np.uint8)
+        rows[:, :line] = data[:whole].reshape(-1, line)
+        out = rows.tobytes() + data[whole:].tobytes()
+        return b">" + name.encode() + b"\n" + (out if whole < len(data) else out[:-1])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                names, texts = (c.to_pylist() for c in b.slice(at, ROWS).columns)
+                yield pa.RecordBatch.from_arrays([pa.array([one(*x) for x in zip(names, texts, strict=True)], pa.binary()).cast(pa.string())], ["value"])
+
+    return run
+
+
+def letters_as(kept: str, other: str = "") -> np.ndarray:
+    """Letters for write_sequences(): `kept` stay, every other character is `other`, or left out."""
+    out = np.full(128, ord(other) if other else 0, np.uint8)
+    out[[ord(c) for c in kept]] = [ord(c) for c in kept]
+    return out
+
+
+def write_sequences(df: DataFrame, name: str, bases: str, path: str, line: int = 60, letters: np.ndarray | None = None) -> None:
+    """Records of df as text files: '>name', then lines of `line` letters. letters: what is written for each character below 127, and at 127 for all others; 0 leaves it out.
+    Without it, letters must be ASCII without line breaks. Rows without a name or letters (null) have no record."""
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(bases).alias("bases")).where("name is not null and bases is not null")
+    rows.mapInArrow(_written(line, letters), "value string").write.text(path)
+
+
+def _parts(batches):
+    def size(lines, head):
+        return pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+    most, before = np.iinfo(np.int64).max, None
+    for columns, lines, weights, first in parts_of(batches, size):
+        head, last = columns[2].to_numpy(zero_copy_only=False), np.append(first[1:], len(lines)) - 1
+        whole, longest = np.add.reduceat(weights, first), np.maximum.reduceat(weights, first)
+        inner = weights.copy()
+        inner[last] = most
+        inner = np.minimum.reduceat(inner, first)
+        if before is not None and columns[3][0].as_py() > 0:
+            inner[0] = min(inner[0], before)
+        before = None if head[-1] else int(weights[-1])
+        body = lambda x, none=False, head=head: pa.array(x, mask=head | none)
+        columns += [pa.array(whole), body(whole - (last - first + 1)), body(longest), body(inner, inner == most), body(weights[last])]
+        yield pa.RecordBatch.from_arrays(columns, [*PART_NAMES, "bytes", "letters", "longest", "inner", "final"])
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
     """file, contig, length, byte_offset (of the first letter), line_bases, line_bytes of every record of plain sequence files. ValueError where the lines of a record, but for its
     last, differ in length, where there is sequence before a header, and where a name is empty or repeated."""
-    rows = numbered(spark, path)
-    head = F.col("value").startswith(">")
-    rows = rows.withColumn("head", head.cast("long")).withColumn("bytes", (F.octet_length("value") + 1).cast("long"))
-    rows = ranks.cumulative(rows, [F.asc("line_no")], {"record": F.col("head"), "upto": F.col("bytes")}, ["file"])
-    rows = pinned(rows.select("file", "line_no", "record", "head", "upto", "bytes", F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name")))
-    body = F.col("head") == 0
-    index = rows.groupBy("file", "record").agg(
-        F.max("name").alias("contig"), F.coalesce(F.sum(F.when(body, F.col("bytes") - 1)), F.lit(0)).alias("length"), F.max(F.when(~body, F.col("upto"))).alias("byte_offset"),
-        F.coalesce(F.max(F.when(body, F.col("bytes"))), F.lit(1)).alias("line_bytes"), F.count_if(body).alias("_lines"), F.max(F.when(body, F.col("line_no"))).alias("_last"),
-    )
-    index = pinned(index)
-    if not index.where("byte_offset is null").isEmpty():
+    parts = pinned(in_blocks(spark, path).mapInArrow(_parts, f"{PART}, bytes long, letters long, longest long, inner long, final long"))
+    rows = carried(parts, F.col("place") + F.col("bytes"), {"_final": F.col("final")})
+    before = F.when(~F.col("head") & (F.col("place") == 0), F.col("_final"))  # a line that another block's line follows
+    rows = rows.select("file", F.coalesce(F.col("before") + F.col("origin"), "_origin").alias("byte_offset"), F.coalesce("contig", "_contig").alias("contig"), "letters", "longest", F.least("inner", before).alias("inner"))
+    index = pinned(rows.groupBy("file", "byte_offset").agg(
+        F.max("contig").alias("contig"), F.coalesce(F.sum("letters"), F.lit(0)).alias("length"), F.coalesce(F.max("longest"), F.lit(1)).alias("line_bytes"), F.min("inner").alias("inner"),
+    ))
+    facts = index.agg(F.count_if(F.col("byte_offset").isNull()).alias("loose"), F.count_if(F.col("inner") < F.col("line_bytes")).alias("ragged")).head()
+    if facts.loose:
         raise ValueError("sequence before a header")
-    short = rows.where(body).join(index.select("file", "record", "line_bytes", "_last"), ["file", "record"]).where((F.col("bytes") != F.col("line_bytes")) & (F.col("line_no") != F.col("_last")))
-    if not short.isEmpty():
+    if facts.ragged:
         raise ValueError("lines of a record differ in length")
     if not index.groupBy("contig").count().where("count > 1 or contig = ''").isEmpty():
         raise ValueError("repeated or empty name")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ranks
@@ -31,44 +37,107 @@ def dense_values(spark: SparkSession, path: str, expected: int | None = None) ->
     return rows.where("number > 0").select("line_no", F.col("number").alias("value"))
 
 
+def in_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, value): the lines of plain or gzip files with the first byte of the byte range that they were read in; a task reads each range in order."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+#: Lines of a record that travel as one row.
+TOGETHER = 128
+NAME = re.compile(r"^>\s*(\S*)", re.ASCII)
+
+
+def parts_of(batches, weigh, together: int | None = None):
+    """Of batches of in_blocks(): the columns file, block, head (whether the part is a header line; else it is successive lines of one record, at most `together`), place (weight of the
+    block's lines before the part), origin (that before the record's first line) and contig, both null where the record began in a block before; then the lines, their weights, and the
+    number of each part's first line. Lines are cut into parts at headers, blocks and ends of batches; weigh gives their weights."""
+    here, total, base, origin, name = None, 0, 0, None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lines, head = b.column(2).cast(pa.large_string()), pc.starts_with(b.column(2), ">").to_numpy(zero_copy_only=False)
+        weights = weigh(lines, head)
+        new = np.ones(len(lines), bool)
+        new[1:] = pc.not_equal(b.column(0)[1:], b.column(0)[:-1]).to_numpy(zero_copy_only=False) | np.diff(b.column(1).to_numpy()).astype(bool)
+        new[0] = here != (b.column(0)[0], b.column(1)[0])
+        here = b.column(0)[-1], b.column(1)[-1]
+        cut = new | head
+        cut[1:] |= head[:-1]
+        cut[:: together or len(lines)] = True
+        first = np.flatnonzero(cut)
+        head, new, number = head[first], new[first], np.arange(len(first))
+        upto = total + np.cumsum(np.add.reduceat(weights, first))
+        at = np.concatenate([[total], upto[:-1]])
+        block, record = (np.maximum.accumulate(np.where(x, number, -1)) for x in (new, head))
+        bases = np.where(block >= 0, at[block], base)
+        known = np.where(record >= 0, record >= block, (block < 0) & (origin is not None))
+        origins = np.where(record >= 0, upto[record], origin or 0)
+        names = pa.array([name, *(NAME.match(x).group(1) for x in lines.take(pa.array(first[head])).to_pylist())], pa.string())
+        contig = names.take(pa.array(np.cumsum(head), mask=~known))
+        columns = [b.column(0).take(pa.array(first)), b.column(1).take(pa.array(first)), pa.array(head), pa.array(at - bases), pa.array(origins - bases, mask=~known), contig]
+        total, base, origin, name = int(upto[-1]), int(bases[-1]), int(origins[-1]) if known[-1] else None, contig[-1].as_py()
+        yield columns, lines, weights, first
+
+
+PART = "file string, block long, head boolean, place long, origin long, contig string"
+PART_NAMES = ["file", "block", "head", "place", "origin", "contig"]
+
+
+def carried(parts: DataFrame, end: Column, last: dict[str, Column]) -> DataFrame:
+    """parts with before (weight of the file before the block), _origin and _contig (of the record that the block begins in, null for none), and the values `last` of the
+    last part of the block before. end: the weight of the block up to the end of the part."""
+    found = [F.max_by(c, "place").alias(k) for k, c in last.items()]
+    blocks = parts.groupBy("file", "block").agg(F.max(end).alias("_n"), F.max("origin").alias("_last"), F.max_by("contig", "origin").alias("_name"), *found)
+    ahead = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row a block
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    origin, contig = F.last(F.col("before") + F.col("_last"), True).over(ahead), F.last("_name", True).over(ahead)
+    step = W.partitionBy("file").orderBy("block")
+    blocks = pinned(blocks.select("file", "block", "before", origin.alias("_origin"), contig.alias("_contig"), *(F.lag(k).over(step).alias(k) for k in last)))
+    return parts.join(F.broadcast(blocks) if blocks.count() <= ranks.MOST_SENT else blocks, ["file", "block"])
+
+
+def _pieces(batches):
+    def letters(lines, head):
+        return np.where(head, 0, pc.utf8_length(lines).to_numpy(zero_copy_only=False))
+
+    for columns, lines, weights, first in parts_of(batches, letters, TOGETHER):
+        ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+        bases = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends[np.append(first, len(lines))]), lines.buffers()[2])
+        size = np.add.reduceat(weights, first)
+        columns += [pa.array(size), pc.if_else(columns[2], pa.scalar("", pa.large_string()), bases).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [*PART_NAMES, "size", "bases"]).filter(pc.or_(columns[2], pa.array(size > 0)))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, start, bases): the sequence lines of '>'-headed records with their place in the record. Letter case is kept.
+    """(contig, start, bases): the sequence of '>'-headed records in pieces of at most TOGETHER lines, with their place in the record. Letter case is kept.
 
     Raises for sequence before a header, empty records and repeated names."""
-    lines = numbered(spark, path).withColumn("value", F.trim("value")).where("value <> ''")
-    head = F.col("value").startswith(">")
-    lines = lines.withColumn("head", head.cast("long")).withColumn("size", F.when(head, 0).otherwise(F.length("value")).cast("long"))
-    lines = pinned(ranks.cumulative(lines, [F.asc("line_no")], {"record": F.col("head"), "upto": F.col("size")}, ["file"]))
-    names = lines.where("head = 1").select("file", "record", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("contig"), F.col("upto").alias("origin"))
-    sizes = lines.groupBy("file", "record").agg(F.sum("size").alias("size"))
-    checks = {
-        "sequence before a header": sizes.where("record = 0"),
-        "empty record": sizes.where("record > 0 and size = 0"),
-        "repeated or empty name": names.groupBy("contig").count().where("count > 1 or contig = ''"),
-    }
-    for what, rows in checks.items():
-        if not rows.isEmpty():
+    lines = in_blocks(spark, path).withColumn("value", F.trim("value"))
+    parts = pinned(lines.mapInArrow(_pieces, f"{PART}, size long, bases string"))
+    rows = carried(parts, F.col("place") + F.col("size"), {})
+    rows = rows.withColumn("start", F.col("place") - F.coalesce("origin", F.col("_origin") - F.col("before"))).withColumn("contig", F.coalesce("contig", "_contig"))
+    sizes = rows.groupBy("contig").agg(F.count_if("head").alias("heads"), F.sum("size").alias("size"))
+    bad = {"sequence before a header": F.col("contig").isNull(), "empty record": F.col("size") == 0, "repeated or empty name": (F.col("heads") > 1) | (F.col("contig") == "")}
+    for what, n in zip(bad, sizes.agg(*map(F.count_if, bad.values())).head(), strict=True):
+        if n:
             raise ValueError(what)
-    body = lines.where("head = 0").join(names, ["file", "record"])
-    return body.select("contig", (F.col("upto") - F.col("size") - F.col("origin")).alias("start"), F.col("value").alias("bases"))
+    return rows.where(~F.col("head")).select("contig", "start", "bases")
 
 
 def chunks(lines: DataFrame, width: int, halo: int) -> DataFrame:
     """(contig, chunk_id, core_start, core_end, pad_left, bases) from (contig, start, bases).
 
-    bases covers the core and up to halo letters on both sides. A group is one chunk, so a long contig is many groups."""
+    bases covers the core and up to halo letters on both sides. A group is one chunk, so a long contig is many groups; it ends within its core or halo where the contig does."""
     end = F.col("start") + F.length("bases")
-    size = lines.groupBy("contig").agg(F.max(end).alias("length"))
     first, last = F.greatest(F.lit(0), F.floor((F.col("start") - halo) / width)), F.floor((end - 1 + halo) / width)
     dealt = lines.withColumn("chunk_id", F.explode(F.sequence(first, last)))
     low, high = F.col("chunk_id") * width - halo, (F.col("chunk_id") + 1) * width + halo
     skip = F.greatest(F.lit(0), low - F.col("start"))
     piece = F.col("bases").substr((skip + 1).cast("int"), (F.least(end, high) - F.col("start") - skip).cast("int"))
-    pieces = dealt.select("contig", "chunk_id", F.greatest("start", low).alias("at"), piece.alias("piece"))
-    joined = pieces.groupBy("contig", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("bases"), F.min("at").alias("low"))
+    pieces = dealt.select("contig", "chunk_id", F.greatest("start", low).alias("at"), F.least(end, high).alias("stop"), piece.alias("piece"))
+    rows = pieces.groupBy("contig", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("bases"), F.min("at").alias("low"), F.max("stop").alias("stop"))
     start = F.col("chunk_id") * width
-    rows = joined.join(size, "contig").where(start < F.col("length"))
-    return rows.select("contig", "chunk_id", start.alias("core_start"), F.least(start + width, F.col("length")).alias("core_end"), (start - F.col("low")).alias("pad_left"), "bases")
+    return rows.where(start < F.col("stop")).select("contig", "chunk_id", start.alias("core_start"), F.least(start + width, F.col("stop")).alias("core_end"), (start - F.col("low")).alias("pad_left"), "bases")
 
 
 def alphabet(chunked: DataFrame) -> DataFrame:

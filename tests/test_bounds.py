@@ -12,6 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from countloom.operators import chunks, counts, intervals, matching, merges, models, segments
+from countloom.sources import indexed, lines
 
 
 def moved(spark, f):
@@ -236,3 +237,17 @@ def test_probe_reads_texts_once(spark, monkeypatch):
     monkeypatch.setattr(learning, "pinned", lambda df: held.append(pin(df)) or held[-1])
     got = learning.h13_probe_splits(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")).collect()
     assert len(got) == 2 and len(held) == 1 and held[0].columns == ["doc_id", "source", "label", "features"]
+
+
+@pytest.mark.parametrize("of", ["records", "index"])
+def test_lines_of_records_travel_together(spark, tmp_path, of):
+    """Records of a hundred thousand lines: what moves are pieces of many lines, each written once, and for the index a few numbers."""
+    rows = spark.range(100).select("id", F.expr("repeat('ACGTNACGTGACCATTNGCA', 3000)").alias("s"))
+    indexed.write_sequences(rows, "id", "s", f"file://{tmp_path}/s")
+    if of == "records":
+        mb, found = moved(spark, lambda: lines.records(spark, f"file://{tmp_path}/s").agg(F.count("*"), F.sum(F.length("bases")), F.sum("start")).first())
+        assert found[0] < 100 * 1000 / 50 and found[1] == 6_000_000
+    else:
+        mb, found = moved(spark, lambda: indexed.build_index(spark, f"file://{tmp_path}/s").agg(F.count("*"), F.sum("length")).first())
+        assert tuple(found) == (100, 6_000_000)
+    assert mb < 1

@@ -1,9 +1,11 @@
 import gzip
+import random
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.sources import lines, tables
+from countloom.sources import indexed, lines, tables
 
 
 def test_lines_are_numbered_over_byte_ranges_and_gzip(spark, tmp_path):
@@ -73,3 +75,56 @@ def test_catalog_and_plans(spark, tmp_path):
     assert tables.feature_groups(df, {"continuous": ["n"], "nominal": ["s"]}, "y") == []
     assert len(tables.feature_groups(df, {"continuous": ["s", "y", "z"]}, "y")) == 4
     assert tables.feature_plan(df, {"continuous": ["n"], "nominal": ["s"]}, exclude=["s"]) == (["n"], {"s": "excluded"})
+
+
+@pytest.mark.parametrize(("split", "batch"), [("211", "7"), ("4000", "3")])
+def test_records_over_byte_ranges_and_batches(spark, tmp_path, split, batch):
+    """Records that run over many byte ranges and batches: pieces and index are those of the whole files, and a short line is found wherever ranges end."""
+    draw = random.Random(5)
+    texts = {f"c{i}": "".join(draw.choice("ACGTn") for _ in range(n)) for i, n in enumerate((1, 10, 11, 999, 40, 0, 305, 10, 2000)) if n}
+    names, folder = list(texts), tmp_path / "in"
+    folder.mkdir()
+    for k in range(2):
+        body = "".join(f">{n} more\n" + "".join(texts[n][i : i + 10] + "\n" for i in range(0, len(texts[n]), 10)) for n in names[k::2])
+        (folder / f"{k}.txt").write_text(body)
+    bad = []
+    for at in (50, 98):
+        cut = [texts["c3"][i : i + 10] for i in range(0, 990, 10)]
+        cut[at] = cut[at][:9] if at < 98 else cut[at] + "ACGT"
+        bad.append(tmp_path / f"bad{at}.txt")
+        bad[-1].write_text(">x\n" + "\n".join(cut) + "\n")
+    loose = tmp_path / "loose.txt"
+    loose.write_text("ACGTACGTAC\n" * 40 + ">a\nAC\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(old, (split, batch), strict=True):
+            spark.conf.set(k, v)
+        got: dict = {}
+        for r in sorted(lines.records(spark, f"file://{folder}").collect(), key=lambda r: (r.contig, r.start)):
+            assert r.start == len(got.get(r.contig, "")) and r.bases
+            got[r.contig] = got.get(r.contig, "") + r.bases
+        index = indexed.build_index(spark, f"file://{folder}").collect()
+        for f in bad:
+            with pytest.raises(ValueError, match="differ in length"):
+                indexed.build_index(spark, f"file://{f}")
+        for read in (lines.records, indexed.build_index):
+            with pytest.raises(ValueError, match="before a header"):
+                read(spark, f"file://{loose}")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == texts and {r.contig: r.length for r in index} == {n: len(x) for n, x in texts.items()}
+    for r in index:
+        raw = open(urlparse(r.file).path).read()
+        assert raw[: r.byte_offset].endswith(f">{r.contig} more\n") and raw[r.byte_offset :][:10].split("\n")[0] == texts[r.contig][:10]
+        assert r.line_bytes == r.line_bases + 1 == min(10, r.length) + 1
+
+
+def test_written_sequences(spark, tmp_path):
+    rows = [(1, "aCG-é日T" * 2), (2, "ACGTAC"), (None, "AC"), (3, None), (4, "A")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    fold = indexed.letters_as("ACGT", "N")
+    for name, letters, want in (("a", indexed.letters_as("ACGTa"), {"1": ["aCG", "TaC", "GT"], "2": ["ACG", "TAC"], "4": ["A"]}), ("b", fold, {"1": ["NCG", "NNN", "TNC", "GNN", "NT"], "2": ["ACG", "TAC"], "4": ["A"]})):
+        indexed.write_sequences(df, "id", "s", f"file://{tmp_path}/{name}", 3, letters)
+        found = "\n".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*"))).split(">")
+        assert {x.split()[0]: x.split()[1:] for x in found if x.strip()} == want

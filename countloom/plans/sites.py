@@ -37,11 +37,19 @@ def d1_oriented_context(t):
     return site_contexts(t, 5).select("event_id", "strand", "context")
 
 
+def folded_sequences(t) -> str:
+    """The path of sequence files of the texts, every letter but A, C, G and T in either case as N."""
+    path = pinned_path(t.spark, "sequences")
+    fold = indexed.letters_as("ACGT", "N")
+    fold[[ord(c) for c in "acgt"]] = [ord(c) for c in "ACGT"]
+    indexed.write_sequences(t("documents").where(F.length("text") > 0), "doc_id", "text", path, letters=fold)
+    return path
+
+
 @query(f"select event_id, strand, {context(20)} as context from {SITES}")
 def d1_indexed_contexts(t):
     """The same with 20 letters each way, read by byte ranges from sequence files through their index."""
-    path = pinned_path(t.spark, "sequences")
-    indexed.write_sequences(t("documents").where(F.length("text") > 0).select("doc_id", sites.folded(F.col("text")).alias("seq")), "doc_id", "seq", path)
+    path = folded_sequences(t)
     asked = event_sites(t).select("event_id", "strand", "pos", F.col("doc_id").cast("string").alias("contig"))
     return indexed.indexed_contexts(indexed.build_index(t.spark, path), asked, 20).select("event_id", "strand", "context")
 
@@ -50,8 +58,7 @@ def d1_indexed_contexts(t):
 select cast(doc_id as varchar) as contig, cast(n as bigint) as length, cast(least(n, 60) as bigint) as line_bases, cast(least(n, 60) + 1 as bigint) as line_bytes from d""")
 def a2_built_index(t):
     """The index of sequence files, built from the files; where a record stands in its file depends on how the files were written, so offsets are tested by reading."""
-    path = pinned_path(t.spark, "sequences")
-    indexed.write_sequences(t("documents").where(F.length("text") > 0).select("doc_id", sites.folded(F.col("text")).alias("seq")), "doc_id", "seq", path)
+    path = folded_sequences(t)
     return indexed.build_index(t.spark, path).select("contig", "length", "line_bases", "line_bytes")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +52,39 @@ def offset_letters(rows: DataFrame, half: int, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.posexplode(letters).alias("_i", "base")).select(*keys, (F.col("_i") - half).cast("long").alias("at"), "base")
 
 
+#: Rows whose letters a task lays side by side.
+ROWS = 512
+#: Marks of a byte of UTF-8 in one number: G and C, bases, lower-case bases; no window holds more letters than a field.
+FIELD = 21
+MARKS = np.zeros(256, np.int64)
+for _place, _letters in enumerate((b"CGcg", b"ACGTacgt", b"acgt")):
+    MARKS[list(_letters)] += 1 << FIELD * _place
+
+
 def composition(rows: DataFrame, widths: list[int], most: int) -> DataFrame:
-    """Of windows_at(half=most): a row for each width: edge (whether the window leaves the contig), n, gc, valid and lower letters of it."""
-    w = F.col("width")
-    half = F.expr("width div 2")
-    rows = rows.withColumn("width", F.explode(F.array(*[F.lit(x).cast("long") for x in widths])))
-    skip = F.greatest(F.lit(0), F.lit(most) - F.col("left") - half)  # letters of raw before the window
-    size = F.least(half, F.lit(most) - F.col("left")) + half + 1  # up to its end, cut by the end of raw
-    s = F.col("raw").substr((skip + 1).cast("int"), size.cast("int"))
-    rows = rows.withColumn("_s", s)
-    count = lambda letters: (F.length("_s") - F.length(F.translate("_s", letters, ""))).cast("long")
-    return rows.withColumns({"edge": F.length("_s") < w, "n": F.length("_s").cast("long"), "gc": count("CGcg"), "valid": count("ACGTacgt"), "lower": count("acgt")}).drop("_s")
+    """Of windows_at(half=most): the sites' columns and a row for each width: edge (whether the window leaves the contig), n, gc, valid and lower letters of it. All windows of a
+    site are differences of the same running sums over its letters."""
+    if most >= 1 << FIELD - 1:
+        raise ValueError(f"windows of {2 * most + 1} letters are too long")
+    kept = [c for c in rows.columns if c not in ("raw", "left", "right")]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                raw = part.column(len(kept)).cast(pa.large_string())
+                ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+                data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+                ends, begins = ends - ends[0], data & 0xC0 != 0x80  # bytes that begin a character
+                if not begins.all():
+                    ends, data = np.concatenate([[0], np.cumsum(begins)])[ends], data[begins]
+                total = np.concatenate([[0], np.cumsum(MARKS[data])])
+                centre = ends[:-1] + most - part.column(len(kept) + 1).to_numpy()
+                low, high = (np.concatenate(x) for x in zip(*((np.maximum(centre - w // 2, ends[:-1]), np.minimum(centre + w // 2 + 1, ends[1:])) for w in widths), strict=True))
+                found, n, width = total[high] - total[low], high - low, np.repeat(widths, len(raw))
+                fields = [found >> FIELD * i & (1 << FIELD) - 1 for i in range(3)]
+                again = np.tile(np.arange(len(raw)), len(widths))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(again)) for c in part.columns[: len(kept)]), *map(pa.array, (width, n < width, n, *fields))], [*kept, "width", "edge", "n", "gc", "valid", "lower"])
+
+    kind = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.select(*kept, "raw", "left").mapInArrow(run, f"{kind}width long, edge boolean, n long, gc long, valid long, lower long")

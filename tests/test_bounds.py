@@ -11,7 +11,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from countloom.operators import chunks, counts, intervals, matching, merges, models, segments
+from countloom.operators import chunks, counts, intervals, matching, merges, models, segments, sites
 from countloom.sources import indexed, lines
 
 
@@ -251,3 +251,22 @@ def test_lines_of_records_travel_together(spark, tmp_path, of):
         mb, found = moved(spark, lambda: indexed.build_index(spark, f"file://{tmp_path}/s").agg(F.count("*"), F.sum("length")).first())
         assert tuple(found) == (100, 6_000_000)
     assert mb < 1
+
+
+def test_compositions_hold_little(spark, monkeypatch):
+    """Ten million letters in a batch of windows: their three widths are read off running sums over a few windows at a time, and no letters come out."""
+    held, text = {}, "acGé日tN CGTT" * 91
+    df = spark.createDataFrame([(1, text, 0, 0)], "id long, raw string, left int, right int")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: held.setdefault("f", f))
+    sites.composition(df, [51, 201, 1001], 500)
+    n, out = 10_000, []
+    left = [i % 501 for i in range(n)]
+    raw = [text[: 1001 - x] for x in left]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(raw), pa.array(left, pa.int32())], ["id", "raw", "left"])
+    assert peak_of(lambda: out.extend(held["f"]([batch]))) < 60
+    assert out[0].schema.names == ["id", "width", "edge", "n", "gc", "valid", "lower"] and sum(b.num_rows for b in out) == 3 * n
+    for r in (r for b in out[:1] + out[-1:] for r in b.to_pylist()[::7]):
+        c, h = 500 - left[r["id"]], r["width"] // 2
+        s = raw[r["id"]][max(0, c - h) : c + h + 1]
+        assert (r["n"], r["edge"]) == (len(s), len(s) < r["width"])
+        assert (r["gc"], r["valid"], r["lower"]) == tuple(sum(x in of for x in s) for of in ("CGcg", "ACGTacgt", "acgt"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import lines
-from .counts import _arrow, _distinct, _rows, _schema, allowed, reverse_codes
+from .counts import LETTERS, MIDDLE, _arrow, _distinct, _rows, _schema, allowed, reverse_codes, tally
 
 #: Letters in the core of a chunk.
 WIDTH = 1 << 17
@@ -17,9 +17,8 @@ WIDTH = 1 << 17
 RUN = 1 << 18
 #: Places of a table of counts, up to which codes are counted by place; more are sorted.
 PLACES = 1 << 21
-#: Digit of a character among A, C, G and T in either case; 4 for any other.
-DIGIT = np.full(128, 4, np.int8)
-DIGIT[[ord(c) for c in "ACGT"]] = DIGIT[[ord(c) for c in "acgt"]] = range(4)
+#: Quotients that are binned at once.
+BLOCK = 1 << 14
 NAMES = ["core_start", "size", "pad_left", "bases"]
 
 
@@ -42,12 +41,13 @@ def of_lines(rows: DataFrame, halo: int, width: int | None = None) -> DataFrame:
 
 
 class Side:
-    """Chunks side by side: digits; at (where their core letters are); chunk (whose each of them is); owners (the leading columns of each chunk); starts (each core's first place in its contig)."""
+    """Chunks side by side: digits; at (where their core letters are); chunk (whose each of them is); owners (the leading columns of each chunk); starts (each core's first place in its contig).
+
+    Methods with a leading underscore answer for all places but the halo at both ends, by slices; core() takes the core letters out of that."""
 
     def __init__(self, rows: list, halo: int):
         gap = "N" * halo
-        points = np.frombuffer((gap + gap.join(r[-1] for r in rows) + gap).encode("utf-32-le"), np.uint32)
-        self.digits = DIGIT[np.minimum(points, 127)]
+        self.digits = np.frombuffer((gap + gap.join(r[-1] for r in rows) + gap).encode().translate(LETTERS, MIDDLE), np.int8)
         length = np.array([len(r[-1]) for r in rows], np.int64)
         size, pad = (np.array([r[c] for r in rows], np.int64) for c in (-3, -2))
         first = halo + np.concatenate([[0], np.cumsum(length + halo)[:-1]]) + pad
@@ -55,54 +55,76 @@ class Side:
         self.chunk = np.repeat(np.arange(len(rows)), size)
         self.at = np.arange(self.edges[-1]) + np.repeat(first - self.edges[:-1], size)
         self.owners, self.starts = [r[:-4] for r in rows], [r[-4] for r in rows]
+        self.halo, self.n, self.inner = halo, len(self.digits) - 2 * halo, self.at - halo
         self.sums: dict = {}
         self.found: dict = {}
 
+    def core(self, found: np.ndarray) -> np.ndarray:
+        return found[self.inner]
+
     def words(self, k: int, minus: bool = False) -> np.ndarray:
         """Base-4 codes at the core letters: of the words that end there, or of the reverse complements of those that begin there; 4^k where one holds N or leaves the contig."""
-        code, fine = np.zeros(len(self.at), np.int64), np.ones(len(self.at), bool)
-        for j in range(k):
-            d = self.digits[self.at + j] if minus else self.digits[self.at - (k - 1 - j)]
-            code += (3 - (d & 3)).astype(np.int64) << 2 * j if minus else (d & 3).astype(np.int64) << 2 * (k - 1 - j)
+        return self.core(self._words(k, minus)).astype(np.int64)
+
+    def _words(self, k: int, minus: bool = False) -> np.ndarray:
+        code, fine = np.zeros(self.n, np.int32 if k < 16 else np.int64), np.ones(self.n, bool)
+        for j in range(k - 1, -1, -1):
+            first = self.halo + (j if minus else -j)
+            d = self.digits[first : first + self.n]
+            code <<= 2
+            code |= d & 3 ^ 3 if minus else d & 3
             fine &= d < 4
-        return np.where(fine, code, 4**k)
+        code[~fine] = 4**k
+        return code
 
     def near(self, what: str, half: int) -> np.ndarray:
         """How often a letter, a pair of letters or any base ("") stands inside the window of `half` letters each way, clipped at the ends."""
+        return self.core(self._near(what, half))
+
+    def _near(self, what: str, half: int) -> np.ndarray:
         if (what, half) not in self.found:
             if what not in self.sums:
                 d = self.digits
                 hit = d < 4 if not what else d == "ACGT".index(what[0])
                 if len(what) == 2:
                     hit = hit[:-1] & (d[1:] == "ACGT".index(what[1]))
-                self.sums[what] = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
-            total, wide = self.sums[what], 2 * half + (1 if len(what) < 2 else 0)
-            found = total[wide:] - total[: len(total) - wide]  # of all windows, then of those around core letters
+                self.sums[what] = np.zeros(len(hit) + 1, np.int32)
+                np.cumsum(hit, dtype=np.int32, out=self.sums[what][1:])
+            total, low, wide = self.sums[what], self.halo - half, 2 * half + (1 if len(what) < 2 else 0)
+            found = total[low + wide : low + wide + self.n] - total[low : low + self.n]
             if len(what) == 2:
                 del self.sums[what]
-                return found[self.at - half]
-            self.found[what, half] = found[self.at - half]
+                return found
+            self.found[what, half] = found
         return self.found[what, half]
 
     def share_bins(self, half: int, edges) -> np.ndarray:
         """Bins of the share of G and C among bases; one more than there are bins without bases."""
-        return _bins(self.near("G", half) + self.near("C", half), self.near("", half), edges)
+        return self.core(self._share_bins(half, edges))
+
+    def _share_bins(self, half: int, edges) -> np.ndarray:
+        return _bins(self._near("G", half) + self._near("C", half), self._near("", half), edges)
 
     def ratio_bins(self, pair: str, half: int, edges) -> np.ndarray:
         """Bins of pair * bases / (left * right); one more than there are bins where that is undefined."""
-        left, right, both, n = (self.near(x, half) for x in (*pair, pair, ""))
+        return self.core(self._ratio_bins(pair, half, edges))
+
+    def _ratio_bins(self, pair: str, half: int, edges) -> np.ndarray:
+        left, right, both, n = (self._near(x, half) for x in (*pair, pair, ""))
         if (2 * half + 1) ** 2 >= 1 << 31:
             left, both = left.astype(np.int64), both.astype(np.int64)
         return _bins(both * n, left * right, edges)
 
 
 def _bins(over: np.ndarray, under: np.ndarray, edges) -> np.ndarray:
+    out = np.zeros(len(over), np.int8 if len(edges) < 100 else np.int64)
     with np.errstate(divide="ignore", invalid="ignore"):
-        value = over / under
-    out = np.zeros(len(value), np.int8 if len(edges) < 100 else np.int64)
-    for e in edges:
-        out += value >= e
-    out[under <= 0] = len(edges) + 1
+        for at in range(0, len(over), BLOCK):
+            part, low = out[at : at + BLOCK], under[at : at + BLOCK]
+            value = over[at : at + BLOCK] / low
+            for e in edges:
+                part += value >= e
+            part[low <= 0] = len(edges) + 1
     return out
 
 
@@ -120,12 +142,7 @@ def sides(batches, halo: int):
 
 def _tally(key: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys below `places`, rising, and how often each stands."""
-    if places <= PLACES:
-        n = np.bincount(key, minlength=1)
-        found = np.flatnonzero(n)
-        return found, n[found]
-    found, n = np.unique(key.astype(np.int32) if places < 1 << 31 else key, return_counts=True)
-    return found.astype(np.int64), n
+    return tally(key, places, PLACES)
 
 
 def _counted(kinds: pa.Schema, owners: list, owner: np.ndarray, codes: dict, more: list[str]):
@@ -213,16 +230,19 @@ def joint_bins(chunks: DataFrame, k: int, half: int, pairs: tuple[str, ...], sha
     kinds, wide, ratio = _arrow(chunks, keys), len(share_edges) + 2, len(ratio_edges) + 2
     if (4**k + 1) * wide * ratio ** len(pairs) >= 1 << 62:
         raise ValueError("the joint key does not fit 64 bits")
+    kind = np.int32 if (4**k + 1) * wide * ratio ** len(pairs) < 1 << 31 else np.int64
 
     def run(batches):
         for s in sides(batches, max(half, k - 1)):
             names, number = _distinct(s.owners)
-            share, codes = s.share_bins(half, share_edges), []
+            share, codes = s._share_bins(half, share_edges), []
+            bins = {p: s._ratio_bins(p, half, ratio_edges) for p in {q for p in pairs for q in (p, opposite(p))}}
             for strand in "+-":
-                code = s.words(k, strand == "-") * wide + share
-                for pair in pairs:
-                    code = code * ratio + s.ratio_bins(pair if strand == "+" else opposite(pair), half, ratio_edges)
-                codes.append(((strand,), code))
+                code = s._words(k, strand == "-").astype(kind)
+                for size, part in ((wide, share), *((ratio, bins[p if strand == "+" else opposite(p)]) for p in pairs)):
+                    code *= size
+                    code += part
+                codes.append(((strand,), s.core(code)))
             yield from _counted(kinds, names, number[s.chunk], codes, ["strand"])
 
     part = chunks.select(*keys, *NAMES).mapInArrow(run, _schema(chunks, keys, "strand string, code long, n long")).groupBy(*keys, "strand", "code").agg(F.sum("n").alias("n"))

@@ -99,6 +99,24 @@ def test_joint_keys_are_counted_in_small_runs():
     assert peak_of(run) < 60
 
 
+def held_function(spark, monkeypatch, call, columns):
+    """What an operator gives to mapInArrow."""
+    held, df = {}, spark.createDataFrame([], columns)
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, f, schema: held.setdefault("f", f) and df.sparkSession.createDataFrame([], schema))
+        call(df)
+    return held["f"]
+
+
+def test_both_strands_share_ratio_bins(spark, monkeypatch):
+    """CG and TA are their own reverse complements: four of six bins are worked out, each once a run."""
+    f = held_function(spark, monkeypatch, lambda df: chunks.joint_bins(df, 6, 100, ("CG", "GG", "TA"), (0.3, 0.5), (0.5, 1.0), []), "core_start long, size long, pad_left long, bases string")
+    calls, bins = [], chunks._bins
+    monkeypatch.setattr(chunks, "_bins", lambda *a: calls.append(1) or bins(*a))
+    out = list(f([chunk_batch(4, 20_000)]))
+    assert len(calls) == 5 and sum(sum(b.column("n").to_pylist()) for b in out) == 2 * 4 * 20_000
+
+
 @pytest.mark.parametrize("k", [1, 2, 4])
 def test_kmer_runs_hold_little(k):
     """A batch of eight million letters: neither its strings nor the windows of a run take much."""

@@ -11,7 +11,9 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from countloom import catalog  # noqa: F401
 from countloom.operators import chunks, counts, intervals, matching, merges, models, segments, sites
+from countloom.plans import registry
 from countloom.sources import indexed, lines
 
 
@@ -130,6 +132,44 @@ def test_kmer_runs_hold_little(k):
     assert peak_of(run) < 40
 
 
+@pytest.mark.parametrize("k", [2, 4])
+def test_kmer_counts_hold_bytes(spark, monkeypatch, k):
+    """Eight million letters: a run takes a few bytes a letter, from the text's bytes to its counts."""
+    f = held_function(spark, monkeypatch, lambda df: counts.kmer_counts(df, "text", k, ["key"]), "key long, text string")
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 400), pa.array(["ACGT N" * 3333] * 400)], ["key", "text"])
+    out = []
+    assert peak_of(lambda: out.extend(f([batch]))) < 10
+    assert sum(sum(b.column("n").to_pylist()) for b in out) == 400 * (19_998 - k + 1)
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 7, 1 << 18])
+def test_kmer_counts_of_any_piece(spark, monkeypatch, run):
+    """Sizes 1 to 3 in one pass, in either case, by pieces of few bytes: no window twice, none across texts."""
+    texts = [("a", "acGTéA漢CGcgNNta"), ("a", "g"), ("b", "TTé"), ("b", None), ("b", ""), ("c", "é"), (None, "AC"), ("a", "😀aC")]
+    f = held_function(spark, monkeypatch, lambda df: counts.kmer_counts(df, "text", (1, 2, 3), ["key"]), "key string, text string")
+    monkeypatch.setattr(counts, "RUN", run)
+    want = collections.Counter()
+    for key, t in texts:
+        up = (t or "").upper()
+        for k in (1, 2, 3):
+            for i in range(len(up) - k + 1):
+                w = up[i : i + k]
+                want[key, k, sum("ACGT".index(c) * 4 ** (k - 1 - j) for j, c in enumerate(w)) if set(w) <= set("ACGT") else 4**k] += 1
+    got = collections.Counter()
+    for b in f([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*texts, strict=True)], ["key", "text"])]):
+        for r in b.to_pylist():
+            got[r["key"], r["k"], r["code"]] += r["n"]
+    assert got == want
+
+
+def test_pairs_and_bases_are_one_pass(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "x", "acgtCG"), (2, "y", "CGé"), (3, None, "AC")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, of = [], counts.kmer_counts
+    monkeypatch.setattr(counts, "kmer_counts", lambda *a: calls.append(1) or of(*a))
+    got = {(r.source, r.pair): r.observed_expected for r in registry.QUERIES["d8_all_pairs"](spark, str(tmp_path)).collect()}
+    assert len(calls) == 1 and got[("x", "CG")] == 2 * 6 / 4 and got[("y", "CG")] == 2 and got[(None, "AC")] == 2 and len(got) == 6
+
+
 def test_letter_counts_hold_little(spark, monkeypatch):
     """The letters of a batch are read one text at a time."""
     held = {}

@@ -170,6 +170,14 @@ def test_pairs_and_bases_are_one_pass(spark, tmp_path, monkeypatch):
     assert len(calls) == 1 and got[("x", "CG")] == 2 * 6 / 4 and got[("y", "CG")] == 2 and got[(None, "AC")] == 2 and len(got) == 6
 
 
+def test_letter_counts_hold_bytes(spark, monkeypatch):
+    f = held_function(spark, monkeypatch, lambda df: counts.letter_counts(df, "text", ["id"]), "id long, text string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(403)), pa.array([None, "", "é漢a", *["ACGT N" * 3333] * 400])], ["id", "text"])
+    out = []
+    assert peak_of(lambda: out.extend(f([batch]))) < 4
+    assert out[0].column("length").to_pylist()[:4] == [None, 0, 3, 19998] and out[0].column("a").to_pylist()[:4] == [0, 0, 1, 3333]
+
+
 def test_letter_counts_hold_little(spark, monkeypatch):
     """The letters of a batch are read one text at a time."""
     held = {}
